@@ -1,9 +1,9 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tapeworks.llm import bpe, exact_dedup, simhash, sstable
+from tapeworks.llm import bpe, exact_dedup, quality, simhash, sstable
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (bpe, exact_dedup, simhash, sstable):
+for _module in (bpe, exact_dedup, quality, simhash, sstable):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
