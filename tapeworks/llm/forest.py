@@ -30,7 +30,7 @@ from tapeworks.llm.util import stored, table
 
 TREES, LEAF, SAMPLE, SEED = 16, 256, 20_000, 7
 #: A query takes leaves until their members in the sample come to this share of the sample, and to LEAST members.
-SHARE, LEAST = 0.9, 1500
+SHARE, LEAST = 0.9, 6000
 BLOCK, K, EVERY = 4096, 20, 20
 
 

@@ -1,9 +1,9 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from tapeworks.llm import bpe, contextmix, exact_dedup, forest, line_dedup, mixing, quality, simhash, sstable
+from tapeworks.llm import bpe, contextmix, exact_dedup, forest, html_main, line_dedup, mixing, quality, simhash, sstable
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (bpe, contextmix, exact_dedup, forest, line_dedup, mixing, quality, simhash, sstable):
+for _module in (bpe, contextmix, exact_dedup, forest, html_main, line_dedup, mixing, quality, simhash, sstable):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
