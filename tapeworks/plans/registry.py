@@ -1,4 +1,365 @@
 """Queries by name, and the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapeworks.functions.scalars import at_least, r6
+from tapeworks.operators import analyser, context, forecast, grid, recurrence, score
+from tapeworks.plans import oracles as O
+from tapeworks.plans import settings as S
+from tapeworks.sources.events import ticks
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(F.col(n)) for n in names})
+
+
+def tape(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
+    return grid.filled(grid.densify(grid.bars(ticks(spark, sf_dir, panel=panel)), common=panel))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.projected(tape(spark, sf_dir))
+
+
+FIELDS = ("open", "high", "low", "close", "vol", "qvol", "takerfrac")
+R_FIELDS = ", ".join(O.r6(f, f) for f in FIELDS)
+
+
+@query(f"WITH {O.bars(True)} SELECT symbol, t, ntrades, {R_FIELDS} FROM bars")
+def bars_ohlcv(spark, sf_dir):
+    return rounded(grid.bars(ticks(spark, sf_dir, panel=True)), *FIELDS)
+
+
+@query(f"WITH {O.grid(True)} SELECT symbol, t, ntrades, valid, {R_FIELDS} FROM tape")
+def dense_grid_fill(spark, sf_dir):
+    """Forward fill, and back fill before a symbol's first bar."""
+    return rounded(tape(spark, sf_dir, True), *FIELDS).drop("big")
+
+
+@query(f"WITH {O.grid(True)} SELECT symbol, t // 1440 AS stretch, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid, round(100.0 * (count(*) - count(*) FILTER (WHERE valid)) / count(*), 4) + 0.0 AS gap_pct FROM tape GROUP BY ALL")
+def gap_report(spark, sf_dir):
+    return grid.gaps(tape(spark, sf_dir, True), 1440).withColumn("gap_pct", F.col("gap_pct") + 0.0)
+
+
+@query(f"""WITH {O.grid(True)}, s AS (SELECT symbol, t // 1440 AS d, min(t) AS t0, count(*) AS n FROM tape WHERE valid GROUP BY ALL), l AS (SELECT symbol, t0, n, lead(t0) OVER (PARTITION BY symbol ORDER BY t0) AS next_t0 FROM s)
+    SELECT * FROM l WHERE next_t0 != t0 + n""")
+def shard_breaks(spark, sf_dir):
+    """Contiguity check, over days taken as shards."""
+    days = grid.densify(grid.bars(ticks(spark, sf_dir, panel=True)), common=True).where("valid").groupBy("symbol", F.floor(F.col("t") / 1440).alias("d")).agg(F.min("t").alias("t0"), F.count("*").alias("n"))
+    return grid.breaks(days.drop("d"))
+
+
+@query(f"""WITH {O.grid(True)}, c AS (SELECT *, CAST(round_even(close * 100, 0) AS BIGINT) AS c FROM tape)
+    SELECT symbol, t, c - coalesce(lag(c) OVER (PARTITION BY symbol, t // {grid.SPAN} ORDER BY t), 0) AS dclose, CAST(round_even(open * 100, 0) AS BIGINT) - c AS open_off,
+           CAST(round_even(high * 100, 0) AS BIGINT) - c AS high_off, CAST(round_even(low * 100, 0) AS BIGINT) - c AS low_off, CAST(round_even(vol * 1e5, 0) AS BIGINT) AS vol_q,
+           CAST(round_even(qvol, 0) AS BIGINT) AS qvol_q, ntrades, CAST(round_even(takerfrac * 65535, 0) AS INT) AS taker_q, valid FROM c""")
+def codec_encoded(spark, sf_dir):
+    return grid.encoded(tape(spark, sf_dir, True)).drop("big")
+
+
+@query(f"WITH {O.grid(True)} SELECT symbol, t, ntrades, valid, {R_FIELDS} FROM tape")
+def codec_roundtrip(spark, sf_dir):
+    """Encoding and decoding give the tape back."""
+    return rounded(grid.decoded(grid.encoded(tape(spark, sf_dir, True))), *FIELDS).drop("big")
+
+
+LOGS = ("logp", "close", "hi_off", "lo_off", "lv", "lntr", "imb")
+
+
+@query(f"WITH {O.logs()} SELECT symbol, t, valid, {', '.join(O.r6(x, x) for x in LOGS)} FROM logs")
+def tape_projection(spark, sf_dir):
+    return rounded(logs(spark, sf_dir), *LOGS).drop("big")
+
+
+INVERSE = ("close", "high", "low", "vol", "ntrades", "takerfrac")
+
+
+@query(f"""WITH {O.logs()} SELECT symbol, t, valid, {O.r6("close", "close")}, {O.r6("exp(logp + hi_off)", "high")}, {O.r6("exp(logp + lo_off)", "low")}, {O.r6("exp(lv) - 1", "vol")},
+    round((exp(lv) - 1) * close, 5) + 0.0 AS qvol, {O.r6("round(exp(lntr) - 1)", "ntrades")}, {O.r6("imb / 2 + 0.5", "takerfrac")} FROM logs""")
+def tape_inverse(spark, sf_dir):
+    return rounded(grid.restored(logs(spark, sf_dir)), *INVERSE).withColumn("qvol", F.round("qvol", 5) + 0.0).drop("big")
+
+
+@query(f"""WITH {O.logs()} SELECT symbol, t, {", ".join(O.r6(f"logp - coalesce(lag(logp, {k}) OVER o, first_value(logp) OVER o)", f"ret_{k}") for k in analyser.RETURNS)} FROM logs WINDOW o AS (PARTITION BY symbol ORDER BY t)""")
+def lag_returns(spark, sf_dir):
+    back = recurrence.lags(logs(spark, sf_dir), "logp", list(analyser.RETURNS))
+    return back.select("symbol", "t", *(r6(F.col("logp") - F.col(f"lag_{k}")).alias(f"ret_{k}") for k in analyser.RETURNS))
+
+
+LADDER = [recurrence.Average(f"var_{h}", "r2", h) for h in analyser.VOLATILITY]
+
+
+@query(f"""WITH RECURSIVE {O.logs()}, inputs AS (SELECT *, power(logp - coalesce(lag(logp) OVER (PARTITION BY symbol ORDER BY t), logp), 2) AS r2 FROM logs){O.averages("inputs", LADDER, "one")}
+    SELECT symbol, t, {", ".join(O.r6(f"ln(greatest(sqrt(greatest(var_{h}, 0.0)), 1e-9)) + 9.0", f"logvol_{h}") for h in analyser.VOLATILITY)} FROM one""")
+def vol_ladder(spark, sf_dir):
+    """Ticks to bars, gap fill, returns, and realised volatility at five half-lives."""
+    back = recurrence.lags(logs(spark, sf_dir), "logp", [1])
+    ladder = recurrence.averages(back.withColumn("r2", (F.col("logp") - F.col("lag_1")) ** 2), LADDER)
+    return ladder.select("symbol", "t", *(r6(F.ln(at_least(F.sqrt(at_least(F.col(f"var_{h}"), 0.0)), 1e-9)) + 9.0).alias(f"logvol_{h}") for h in analyser.VOLATILITY))
+
+
+GROUPS = {
+    "squashed_returns": "_tanh", "scaled_returns": "s_z", "vol_term_structure": "volratio", "trend_distance": "trend_", "parkinson_range": "range_", "activity_z": ("vol_z", "logvol_ratio", "ntrades"),
+    "flow_imbalance": "flow_imb", "signed_volume": "signed_vol", "vwap_deviation": "vwap_dev", "illiquidity": "amihud", "calendar": ("tod_", "dow_"), "data_quality": ("valid_frac", "gap_flag"), "momentum": ("accel", "rsi"),
+}
+
+
+def features_of(names):
+    def run(spark, sf_dir):
+        found = analyser.features(tape(spark, sf_dir), F.col("t") * 60)
+        return found.select("symbol", "t", *(r6(F.col(n)).alias(n) for n in names))
+
+    return run
+
+
+for _group, _marks in GROUPS.items():
+    _marks = (_marks,) if isinstance(_marks, str) else _marks
+    _names = [n for n in analyser.NAMES if any(m in n for m in _marks) and not (_group == "scaled_returns" and not n.startswith("ret"))]
+    QUERIES[_group], ORACLE_SQL[_group] = features_of(_names), O.features(*_names)
+QUERIES["analyser_features"], ORACLE_SQL["analyser_features"] = features_of(analyser.NAMES), O.features(*analyser.NAMES)
+
+
+def cursors(tape_: DataFrame) -> DataFrame:
+    return context.replay_times(tape_, S.CONTEXT, S.HORIZON, S.STRIDE)
+
+
+WINDOW = ("rel", "hi_off", "lo_off", "lv", "lntr", "imb")
+
+
+@query(f"WITH {O.window()} SELECT symbol, id, t, pos, valid, {', '.join(O.r6(x, x) for x in WINDOW)} FROM wide")
+def context_window(spark, sf_dir):
+    found = logs(spark, sf_dir)
+    return rounded(context.context(cursors(found), found, S.CONTEXT), *WINDOW).drop("s")
+
+
+CHANNELS = ("path", "ret", "hi", "lo", "act", "ntr", "imb", "valid")
+SIG = "2e-4"
+
+
+@query(f"""WITH {O.window()}, x AS (SELECT id, symbol, t, pos, rel / ({SIG} * {S.CONTEXT ** 0.5!r}) AS path, coalesce(rel - lag(rel) OVER o, 0.0) / {SIG} AS ret, hi_off / {SIG} AS hi, lo_off / {SIG} AS lo,
+    lv - avg(lv) OVER a AS act, lntr - avg(lntr) OVER a AS ntr, imb, valid::INT::DOUBLE AS valid FROM wide WINDOW o AS (PARTITION BY id ORDER BY pos), a AS (PARTITION BY id))
+    SELECT id, symbol, t, pos, {", ".join(O.r6(f"greatest(least({c}, 10.0), -10.0)", c) for c in CHANNELS)} FROM x""")
+def window_normalised(spark, sf_dir):
+    found = logs(spark, sf_dir)
+    return rounded(context.normalised(context.context(cursors(found), found, S.CONTEXT), S.CONTEXT, F.lit(float(SIG))), *CHANNELS)
+
+
+@query(f"WITH {O.window()} " + " UNION ALL ".join(f"SELECT '{n}' AS level, id, symbol, t, (pos - {S.CONTEXT - span} - 1) // {stride} AS step, {O.r6('avg(rel)', 'rel')}, {O.r6('avg(lv)', 'lv')} FROM wide WHERE pos > {S.CONTEXT - span} GROUP BY ALL" for n, span, stride in S.POOL))
+def pyramid_pool(spark, sf_dir):
+    found = logs(spark, sf_dir)
+    wide = context.context(cursors(found), found, S.CONTEXT)
+    out = None
+    for name, span, stride in S.POOL:
+        level = rounded(context.pooled(wide, S.CONTEXT, span, stride, ["rel", "lv"]), "rel", "lv").withColumn("level", F.lit(name))
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
+@query(f"WITH {O.grid()}{O.cursors()}{O.truth()} SELECT id, symbol, t, h, {O.r6('truth', 'truth')} FROM truth")
+def settle_paths(spark, sf_dir):
+    found = logs(spark, sf_dir)
+    return rounded(context.settled(cursors(found), found, S.HORIZON), "truth")
+
+
+@query(f"WITH {O.basis_sql()} SELECT h, k, {O.r6('phi', 'phi')} FROM basis")
+def kl_basis(spark, sf_dir):
+    return rounded(forecast.basis(spark, S.HORIZON, S.MODES), "phi")
+
+
+@query(f"WITH w AS (SELECT h, power(1.0 / sqrt(h), 0.5) AS w FROM generate_series(1, {S.HORIZON}) a(h)) SELECT h, {O.r6('w / avg(w) OVER ()', 'hw')} FROM w")
+def horizon_tilt(spark, sf_dir):
+    return rounded(forecast.tilt(spark, S.HORIZON), "hw")
+
+
+def volatility(tape_: DataFrame) -> DataFrame:
+    """symbol, t, logp, close, sig, signal of every bar."""
+    return analyser.features(tape_, F.col("t") * 60).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
+
+
+def forecasts(spark: SparkSession, tape_: DataFrame) -> DataFrame:
+    """model, id, t, sig, q, h, path of every model at every cursor."""
+    models = spark.createDataFrame(list(S.MODELS), "model string, drift double")
+    seen = cursors(tape_).join(volatility(tape_), ["symbol", "t"])
+    raw = forecast.ordered(forecast.walk(seen, models, S.HORIZON, S.MODES), "model", "id")
+    return forecast.paths(raw, forecast.basis(spark, S.HORIZON, S.MODES), S.HORIZON, "model", "id", "t", "sig")
+
+
+@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, id, t, q, h, {O.r6('path', 'path')} FROM forecasts")
+def path_synthesis(spark, sf_dir):
+    return rounded(forecasts(spark, tape(spark, sf_dir)), "path").drop("sig")
+
+
+@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, id, t, q, h, round(close * exp(greatest(least(path, 0.5), -0.5)), 4) + 0.0 AS price FROM forecasts JOIN vol USING (t)")
+def price_band(spark, sf_dir):
+    tape_ = tape(spark, sf_dir)
+    lasts = tape_.select("t", "close")
+    return forecasts(spark, tape_).join(lasts, "t").select("model", "id", "t", "q", "h", (F.round(forecast.prices(F.col("path"), F.col("close")), 4) + 0.0).alias("price"))
+
+
+_E = "embeddings"
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, (i - 1) % 3 AS q, (i - 1) // 3 AS k, embedding[i]::DOUBLE AS raw FROM embeddings, generate_series(1, 24) a(i) WHERE len(embedding) >= 24)
+    SELECT id, q, k, {O.r6(f"CASE q WHEN 1 THEN m WHEN 0 THEN m - {O.softplus('lo')} ELSE m + {O.softplus('hi')} END", "coef")} FROM
+    (SELECT *, max(raw) FILTER (WHERE q = 1) OVER w AS m, max(raw) FILTER (WHERE q = 0) OVER w AS lo, max(raw) FILTER (WHERE q = 2) OVER w AS hi FROM e WINDOW w AS (PARTITION BY id, k))""")
+def quantile_order(spark, sf_dir):
+    """Ordering of arbitrary raw coefficients, here the first 24 of each embedding."""
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").where("size(embedding) >= 24")
+    raw = vectors.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 24)).alias("i", "x")).select("id", (F.col("i") % 3).cast("long").alias("q"), F.floor(F.col("i") / 3).alias("k"), F.col("x").cast("double").alias("raw"))
+    return rounded(forecast.ordered(raw, "id"), "coef").drop("raw")
+
+
+SCORES = ("nrmse", "flat_nrmse", "dir_hit", "endpoint", "jump", "roll_hit", "roll_nrmse")
+
+
+@query(f"WITH RECURSIVE {O.scored()} SELECT model, t, {', '.join(O.r6(x, x) for x in SCORES)}, {O.r6('100 * exp(-nrmse)', 'acc')}, {O.r6('100 * exp(-roll_nrmse)', 'roll_acc')}, {O.r6('100 * (1 - nrmse)', 'skill')} FROM scores")
+def score_by_time(spark, sf_dir):
+    return rounded(replay(spark, sf_dir), *SCORES, "acc", "roll_acc", "skill")
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tape_ = tape(spark, sf_dir)
+    return score.scores(forecasts(spark, tape_), context.settled(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL)
+
+
+@query(f"""WITH RECURSIVE {O.scored()} SELECT model, round(avg(dir_hit) * 100, 2) AS dir_hit_pct, round(avg(nrmse), 4) AS path_nrmse, round(avg(endpoint), 4) AS endpoint_nrmse, round(avg(100 * exp(-nrmse)), 2) AS accuracy_pct,
+    round(median(jump), 5) AS stability_jump_sigma FROM scores GROUP BY model""")
+def scorecard(spark, sf_dir):
+    return score.scorecard(replay(spark, sf_dir))
+
+
+_SCALE = f"(greatest(sig, 1e-8) * {S.HORIZON ** 0.5!r})"
+
+
+@query(f"""WITH RECURSIVE {O.forecasts()}{O.truth()}, hw AS (SELECT h, w / avg(w) OVER () AS hw FROM (SELECT h, power(1.0 / sqrt(h), 0.5) AS w FROM generate_series(1, {S.HORIZON}) a(h))), x AS (
+        SELECT f.*, truth, hw, (truth - path) / {_SCALE} AS e, CASE q WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END AS p,
+               (path - 2 * lag(path) OVER o + lag(path, 2) OVER o) / {_SCALE} AS bend
+        FROM forecasts f JOIN truth USING (id, h) JOIN hw USING (h) WINDOW o AS (PARTITION BY model, f.id, q ORDER BY h)
+    ), plain AS (
+        SELECT model, avg(greatest(p * e, (p - 1) * e) * hw) AS quantile, avg(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END * hw) FILTER (WHERE q = 1) AS huber,
+               avg({O.softplus(f"(-tanh(path / ({_SCALE} * 0.5)) * sign(truth) * 4.0)")}) FILTER (WHERE q = 1 AND h = {S.HORIZON}) AS direction,
+               avg(power(bend, 2)) FILTER (WHERE q = 1) * {S.HORIZON} AS smooth, sqrt(avg(e * e) FILTER (WHERE q = 1)) AS nrmse, avg((sign(path) = sign(truth))::INT) FILTER (WHERE q = 1 AND h = {S.HORIZON}) AS hit
+        FROM x GROUP BY model
+    ), steady AS (
+        SELECT a.model, avg(power((a.path - (b.path - c.path)) / (greatest(a.sig, 1e-8) * {S.HORIZON ** 0.5!r}), 2)) AS stability
+        FROM forecasts a JOIN forecasts b ON b.model = a.model AND b.q = a.q AND b.t = a.t - {S.STRIDE} AND b.h = a.h + {S.STRIDE}
+        JOIN forecasts c ON c.model = a.model AND c.q = a.q AND c.t = b.t AND c.h = {S.STRIDE} GROUP BY a.model
+    ) SELECT model, {", ".join(O.r6(x, x) for x in ("quantile", "huber", "direction", "stability", "smooth", "nrmse", "hit"))}, {O.r6("quantile + huber + 0.15 * direction + 0.35 * stability + 0.02 * smooth", "loss")}, {O.r6("-nrmse + 0.5 * (hit - 0.5)", "reward")}
+    FROM plain JOIN steady USING (model)""")
+def loss_terms(spark, sf_dir):
+    tape_ = tape(spark, sf_dir)
+    found = score.losses(forecasts(spark, tape_), context.settled(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.STRIDE)
+    return rounded(found, *(c for c in found.columns if c != "model"))
+
+
+_BAND = "band AS (SELECT f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t GROUP BY f.t, h)"
+
+
+@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND} SELECT t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
+def ensemble_band(spark, sf_dir):
+    tape_ = tape(spark, sf_dir)
+    found = score.band(forecasts(spark, tape_), tape_.select("t", F.col("close").alias("price")))
+    return found.select("t", "h", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
+@query(f"""WITH RECURSIVE {O.forecasts()}, {_BAND}, shown AS (
+        SELECT c.t, count(*) FILTER (WHERE x.t <= c.t) AS n_past, count(*) FILTER (WHERE x.t > c.t) AS n_future, min(x.close) FILTER (WHERE x.t <= c.t) AS lo, max(x.close) FILTER (WHERE x.t <= c.t) AS hi
+        FROM cursors c JOIN tape x ON x.t BETWEEN c.t - {S.LOOKBACK} AND c.t + {S.HORIZON} GROUP BY c.t
+    ), drawn AS (SELECT f.t, any_value(close) AS price, min(close * exp(greatest(least(path, 0.5), -0.5))) AS pl, max(close * exp(greatest(least(path, 0.5), -0.5))) AS ph FROM forecasts f JOIN vol v ON v.t = f.t WHERE q = 1 GROUP BY f.t),
+    b AS (SELECT t, min(lower) AS bl, max(upper) AS bh FROM band GROUP BY t), y AS (SELECT t, price, n_past, n_future, least(lo, pl, bl) AS y0, greatest(hi, ph, bh) AS y1 FROM shown JOIN drawn USING (t) JOIN b USING (t))
+    SELECT t, price, n_past, n_future, round(y0 - greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_low, round(y1 + greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_high FROM y""")
+def frame_records(spark, sf_dir):
+    tape_ = tape(spark, sf_dir)
+    found = score.frames(cursors(tape_), tape_, forecasts(spark, tape_), S.LOOKBACK, S.HORIZON)
+    return found.withColumns({c: F.round(c, 4) for c in ("y_low", "y_high")})
+
+
+@query(f"WITH {O.grid()}{O.cursors()} SELECT symbol, t, id FROM cursors")
+def replay_cursors(spark, sf_dir):
+    return cursors(tape(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), c AS (SELECT i, greatest(least(lo + i * ((hi - lo) // 16) + (i * 7919) % greatest((hi - lo) // 16, 1), hi), lo) AS t, lo, hi FROM e, generate_series(0, 15) a(i))
+    SELECT i, t, CASE WHEN t + 30 > hi THEN lo + (i * 104729) % greatest(hi - lo - 1, 1) ELSE t + 30 END AS next_t, t + 30 <= hi AS cont, 30 * 16 * (i + 1) AS seen FROM c""")
+def cursor_batch(spark, sf_dir):
+    """Sixteen cursors over a range of keys, their next place, whether they went on, and the bars seen."""
+    ends = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    i, lo, hi = F.col("i"), F.col("lo"), F.col("hi")
+    placed = spark.range(16).withColumnRenamed("id", "i").crossJoin(F.broadcast(ends)).withColumn("t", context.batch_cursors(lo, hi, 16, i * 7919, i))
+    return placed.select("i", "t", context.advanced(F.col("t"), 30, lo, hi, i * 104729).alias("next_t"), (F.col("t") + 30 <= hi).alias("cont"), (30 * 16 * (i + 1)).alias("seen"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderkey % 4 AS kind, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1000000000 END * CAST(epoch(o_orderdate) AS BIGINT) AS stamp FROM orders)
+    SELECT id, stamp // CASE WHEN stamp > 100000000000000000 THEN 1000000000 WHEN stamp > 100000000000000 THEN 1000000 WHEN stamp > 100000000000 THEN 1000 ELSE 1 END AS sec FROM s""")
+def timestamp_units(spark, sf_dir):
+    """Stamps in four units, told apart by size."""
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    unit = F.element_at(F.array(*(F.lit(10**k) for k in (0, 3, 6, 9))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    at = grid.seconds(F.col("o_orderdate").cast("timestamp_ntz"))
+    return orders.select(F.col("o_orderkey").alias("id"), grid.epoch_seconds(unit * at).alias("sec"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS symbol, l_partkey AS t, l_quantity AS q, l_extendedprice AS p, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS n FROM lineitem)
+    SELECT symbol, t, q, p FROM r WHERE n = 1""")
+def last_write_wins(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(F.col("l_suppkey").alias("symbol"), F.col("l_partkey").alias("t"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), "l_orderkey", "l_linenumber")
+    return grid.last_wins(rows, "l_orderkey", "l_linenumber").select("symbol", "t", "q", "p")
+
+
+@query(f"WITH RECURSIVE {O.scored()}, inputs AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM inputs){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
+def metric_ema(spark, sf_dir):
+    """The running 0.98 / 0.02 average of a logged metric, begun at its first value."""
+    logged = replay(spark, sf_dir).where("model = 'walk'").select(F.lit("walk").alias("symbol"), F.col("t").alias("at"), (F.row_number().over(Window.partitionBy("model").orderBy("t")) - 1).cast("long").alias("t"), "nrmse")
+    steps = recurrence.averages(logged.withColumn("big", F.lit(0).cast("long")), [recurrence.Average("ema", "nrmse", 34.30961849, None)])
+    return steps.select(F.col("at").alias("t"), r6(F.col("ema")).alias("ema"))
+
+
+@query(f"WITH RECURSIVE {O.scored()} SELECT model, count(*) AS steps, {O.r6('avg(nrmse)', 'nrmse')}, {O.r6('avg(dir_hit)', 'hit')}, {O.r6('-avg(nrmse) + 0.5 * (avg(dir_hit) - 0.5)', 'reward')}, t // 1440 AS day FROM scores GROUP BY model, t // 1440")
+def training_curves(spark, sf_dir):
+    """Metrics by model over days."""
+    return replay(spark, sf_dir).groupBy("model", F.floor(F.col("t") / 1440).alias("day")).agg(F.count("*").alias("steps"), r6(F.avg("nrmse")).alias("nrmse"), r6(F.avg("dir_hit")).alias("hit"), r6(-F.avg("nrmse") + 0.5 * (F.avg("dir_hit") - 0.5)).alias("reward"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in forecast.RECIPES.items()) + ") r(name, width, layers, heads, n_basis, dropout, rate, stability, tilt, weight_decay)")
+def recipes(spark, sf_dir):
+    return forecast.recipes(spark)
+
+
+@query()
+def learning_rates(spark, sf_dir):
+    """Linear warm-up, then a cosine down to a tenth."""
+    s = F.col("id")
+    cosine = 0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * F.least((s - 100) / 900.0, F.lit(1.0))))
+    return spark.range(1100).select(s.alias("step"), F.round(3e-4 * F.when(s < 100, (s + 1) / 100).otherwise(cosine), 9).alias("lr"))
+
+
+ORACLE_SQL["learning_rates"] = "SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 0.1 + 0.45 * (1 + cos(pi() * least((s - 100) / 900.0, 1.0))) END, 9) AS lr FROM generate_series(0, 1099) a(s)"
+
+
+@query()
+def seam_check(spark, sf_dir):
+    """The last average, made block by block, against one plain recursion over all bars; for tapes small enough for that."""
+    back = recurrence.lags(logs(spark, sf_dir), "logp", [1]).withColumn("r2", (F.col("logp") - F.col("lag_1")) ** 2)
+    spec = recurrence.Average("var", "r2", 60)
+    whole = back.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "r2"))), lambda x: x["r2"]).alias("x"), F.min("t").alias("t0"))
+    b = recurrence.decay(60)
+    plain = whole.select("symbol", (F.col("t0") + F.size("x") - 1).alias("t"), F.aggregate("x", F.lit(0.0), lambda y, x: y * b + x * (1 - b)).alias("plain"))
+    both = recurrence.averages(back, [spec]).join(plain, ["symbol", "t"])
+    apart = F.abs(F.col("var") - F.col("plain"))
+    return both.agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
