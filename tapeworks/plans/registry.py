@@ -10,8 +10,9 @@ from tapeworks.operators import analyser, context, forecast, grid, recurrence, s
 from tapeworks.plans import oracles as O
 from tapeworks.plans import settings as S
 from tapeworks.sources.events import ticks
+from tapeworks.streaming import queries as streams
 
-QUERIES: dict = {}
+QUERIES: dict = dict(streams.QUERIES)
 ORACLE_SQL: dict = {}
 
 
