@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import uuid
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.util import new_path, stored, table
+from tapeworks.llm.util import ASCII_LOWER, new_path, stored, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -39,7 +40,11 @@ BLOCK, PROBES, BITS_A_KEY, MAGIC = 1 << 16, 7, 10, b"TWSST001"
 FOOTER, INDEX = struct.Struct("<QQQQQQQ8s"), struct.Struct("<9sQQQ")
 END_ID = 1
 #: Words that a worker keeps encoded; when full, the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_600_000
+#: Texts that are encoded together.
+GROUP = 256
+#: So many shards at most are dealt by bounds that the plan holds.
+FEW_SHARDS = 500
 
 
 def default_path() -> str:
@@ -175,37 +180,103 @@ class Reader:
         return None
 
 
-def write_shards(path: str, folder: str, end_id: int):
-    """For mapInArrow over rows (doc_id, text) in order: encodes them and writes a shard for the partition."""
+#: A word of Latin letters and the plain marks after it: certainly two pieces to the pre-tokeniser, or one.
+STEM = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!*%&$#|]*)\Z")
 
-    def run(batches):
+
+class Encoder:
+    """Encodes texts word by word with one tokenizer file, each distinct word once.
+
+    The tokenizer drops white space, never looks across it, and lower-cases; so words can be encoded apart and A-Z lower-cased
+    first. Texts that may name a special token go through the library whole.
+    """
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        width = 2 if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        kind, known, shard = f"<u{width}", {}, None
-        end = np.array([end_id], kind).tobytes()
-
-        def encode(text: bytes) -> bytes:
-            # the tokenizer drops white space and never looks across it, so that words can be encoded one by one
-            nonlocal known
-            words = text.split()
-            try:
-                return b"".join(map(known.__getitem__, words))
-            except KeyError:
-                new = list({w for w in words if w not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list(set(words))
-                for w, found in zip(new, library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    known[w] = np.array(found.ids, kind).tobytes()
-                return b"".join(map(known.__getitem__, words))
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.width = 2 if max(len(vocabulary), end_id + 1) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes new words. Those of letters alone, and the letters before marks, share calls: a closing token ends each."""
+        known = self.known
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        marked, plain, rest = [], set(), set()
+        for w in words:
+            match = STEM.match(w)
+            if not match:
+                rest.add(w)
+            elif match[2]:
+                marked.append((w, *match.groups()))
+            else:
+                plain.add(w)
+        plain.update(stem for _, stem, _ in marked if stem not in known)
+        rest.update(tail for _, _, tail in marked if tail not in known)
+        letters = list(plain)
+        for i in range(0, len(letters), 2000):
+            group = letters[i : i + 2000]
+            ids = self.ids(b" ".join(group))
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer doesn't close each word with one token")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(group, ends):
+                known[w], begin = raw[begin:end], end
+        for w in rest:
+            known[w] = self.ids(w).tobytes()
+        for w, stem, tail in marked:
+            known[w] = known[stem] + known[tail]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian integers of the width."""
+        out, waiting, new, get = [], [], set(), self.known.get
+        for text in texts:
+            if b"<|" in text:
+                out.append([self.ids(text).tobytes()])
+                continue
+            words = text.translate(ASCII_LOWER).split()
+            values = list(map(get, words))
+            if None in values:
+                at = [i for i, v in enumerate(values) if v is None]
+                waiting.append((values, words, at))
+                new.update([words[i] for i in at])
+            out.append(values)
+        if new:
+            self.learn(new)
+        for values, words, at in waiting:
+            for i in at:
+                values[i] = self.known[words[i]]
+        return list(map(b"".join, out))
+
+
+#: Encoders of this process, which may run many tasks.
+_ENCODERS: dict = {}
 
+
+def write_shards(path: str, folder: str, end_id: int):
+    """For mapInArrow over rows (doc_id, text) in order: encodes them and writes a shard for the partition."""
+
+    def run(batches):
+        encoder = _ENCODERS[path, end_id] = _ENCODERS.get((path, end_id)) or Encoder(path, end_id)
+        end, shard = np.array([end_id], encoder.kind).tobytes(), None
         for batch in batches:
-            shard = shard or (Writer(folder, width) if len(batch) else None)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                shard.add(key_of(doc_id), encode(text.as_py() or b"") + end)
+            shard = shard or (Writer(folder, encoder.width) if len(batch) else None)
+            for i in range(0, len(batch), GROUP):
+                part = batch.slice(i, GROUP)
+                values = encoder.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
+                for doc_id, value in zip(part.column(0).to_pylist(), values):
+                    shard.add(key_of(doc_id), value + end)
         if shard:
             first = id_of(shard.keys[0])
             shard.close()
@@ -217,7 +288,14 @@ def write_shards(path: str, folder: str, end_id: int):
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Writes docs as shards; gives the manifest: name, first_id, n_docs, n_tokens, base (ids of all shards before)."""
     rows = docs.select("doc_id", "text")
-    ordered = rows.repartitionByRange(shards or max(1, rows.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id", "text")
+    n = shards or max(1, rows.rdd.getNumPartitions())
+    if n <= FEW_SHARDS:  # bounds from the ids alone; a range partitioning would read the texts twice
+        bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+        shard = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: F.col("doc_id") > b)) if n > 1 and bounds else F.lit(0)
+        dealt = rows.repartitionById(n, F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
+    else:
+        dealt = rows.repartitionByRange(n, "doc_id")
+    ordered = dealt.sortWithinPartitions("doc_id", "text")
     manifest = stored(ordered.mapInArrow(write_shards(path or default_path(), folder, end_id), "name string, first_id long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
