@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,11 +97,18 @@ NAMES = (
 )
 
 
-def features(tape: DataFrame, clock: Column | None = None) -> DataFrame:
-    """symbol, t, close, logp, valid and the 59 features. Two passes of averages; the second of the squared deviations."""
-    first = averages(inputs(tape), FIRST)
-    c = F.col
-    squared = first.withColumns({f"{x}_dev2": (c(x) - c(f"{x}_3600")) ** 2 for x in ("lv", "ln")})
-    second = averages(squared, SECOND)
-    made = formulas(c("t") if clock is None else clock)
-    return second.select("symbol", "big", "t", "close", "logp", "valid", *(clipped(made[n]).alias(n) for n in NAMES))
+def features(tape: DataFrame, clock: Column | None = None, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """symbol, t, close, logp, valid and the named features. Only averages that these use are made.
+
+    Two passes of averages, the second, if asked for, of squared deviations from averages of the first.
+    """
+    made = formulas(F.col("t") if clock is None else clock)
+    used = {word for n in names for word in re.findall(r"\w+", str(made[n]))}
+    second = [s for s in SECOND if s.name in used]
+    used |= {f"{s.name.removesuffix('_dev')}_3600" for s in second}
+    first = [s for s in FIRST if s.name in used]
+    found = averages(inputs(tape), first) if first else inputs(tape)
+    if second:
+        deviations = {s.of: (F.col(x) - F.col(f"{x}_3600")) ** 2 for s in second for x in [s.name.removesuffix("_dev")]}
+        found = averages(found.withColumns(deviations), second)
+    return found.select("symbol", "big", "t", "close", "logp", "valid", *(clipped(made[n]).alias(n) for n in names))

@@ -123,7 +123,7 @@ GROUPS = {
 
 def features_of(names):
     def run(spark, sf_dir):
-        found = analyser.features(tape(spark, sf_dir), F.col("t") * 60)
+        found = analyser.features(tape(spark, sf_dir), F.col("t") * 60, tuple(names))
         return found.select("symbol", "t", *(r6(F.col(n)).alias(n) for n in names))
 
     return run
@@ -190,7 +190,7 @@ def horizon_tilt(spark, sf_dir):
 
 def volatility(tape_: DataFrame) -> DataFrame:
     """symbol, t, logp, close, sig, signal of every bar."""
-    return analyser.features(tape_, F.col("t") * 60).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
+    return analyser.features(tape_, F.col("t") * 60, ("logvol_300s", "ret_60s_z")).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
 
 
 def forecasts(spark: SparkSession, tape_: DataFrame) -> DataFrame:
@@ -316,11 +316,11 @@ def timestamp_units(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("id"), grid.epoch_seconds(unit * at).alias("sec"))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS symbol, l_partkey AS t, l_quantity AS q, l_extendedprice AS p, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS n FROM lineitem)
+@query("""WITH r AS (SELECT l_suppkey AS symbol, l_partkey AS t, l_quantity AS q, l_extendedprice AS p, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS n FROM lineitem)
     SELECT symbol, t, q, p FROM r WHERE n = 1""")
 def last_write_wins(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select(F.col("l_suppkey").alias("symbol"), F.col("l_partkey").alias("t"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), "l_orderkey", "l_linenumber")
-    return grid.last_wins(rows, "l_orderkey", "l_linenumber").select("symbol", "t", "q", "p")
+    return grid.last_wins(rows, "l_orderkey", "l_linenumber", "q", "p").select("symbol", "t", "q", "p")
 
 
 @query(f"WITH RECURSIVE {O.scored()}, inputs AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM inputs){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
