@@ -364,3 +364,79 @@ def seam_check(spark, sf_dir):
     both = recurrence.averages(back, [spec]).join(plain, ["symbol", "t"])
     apart = F.abs(F.col("var") - F.col("plain"))
     return both.agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
+
+
+@query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()} SELECT c.id, c.t, {O.r6("sig", "sigref")}, close AS price, {O.r6("signal", "ret_60s_z")} FROM cursors c JOIN vol v ON v.t = c.t""")
+def observe(spark, sf_dir):
+    """What a cursor sees beside its window: the volatility at hand, the last price, a feature."""
+    tape_ = tape(spark, sf_dir)
+    return cursors(tape_).join(volatility(tape_), ["symbol", "t"]).select("id", "t", r6(F.col("sig")).alias("sigref"), F.col("close").alias("price"), r6(F.col("signal")).alias("ret_60s_z"))
+
+
+@query(f"WITH RECURSIVE {O.scored()} SELECT model, t, count(*) OVER o AS n, {O.r6('avg(dir_hit) OVER o', 'hit_so_far')} FROM scores WINDOW o AS (PARTITION BY model ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def hit_history(spark, sf_dir):
+    """Hits so far, as a frame shows them."""
+    so_far = Window.partitionBy("model").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return replay(spark, sf_dir).select("model", "t", F.count("*").over(so_far).alias("n"), r6(F.avg("dir_hit").over(so_far)).alias("hit_so_far"))
+
+
+@query(f"WITH {O.grid()}{O.cursors()} SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM cursors) WHERE k % 5 = 0")
+def frame_stride(spark, sf_dir):
+    """Every fifth cursor."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("t")) - 1
+    return cursors(tape(spark, sf_dir)).withColumn("k", place).where("k % 5 = 0").select("t")
+
+
+@query(f"WITH {O.grid()}, e AS (SELECT max(t) AS b FROM tape) SELECT t, close, strftime(make_timestamp(t * 60000000), '%Y-%m-%d %H:%M:%S') AS utc, t * 60 - (t * 60) % 86400 AS day_start FROM tape, e WHERE t >= b - 2880 AND t < b - 1440")
+def range_scan(spark, sf_dir):
+    """A half-open range of bars, with their times and the beginnings of their days."""
+    found = tape(spark, sf_dir)
+    last = found.agg(F.max("t").alias("b"))
+    sec = F.col("t") * 60
+    inside = found.join(F.broadcast(last), (F.col("t") >= F.col("b") - 2880) & (F.col("t") < F.col("b") - 1440))
+    return inside.select("t", "close", F.date_format((F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=sec)), "yyyy-MM-dd HH:mm:ss").alias("utc"), (sec - F.pmod(sec, F.lit(86400))).alias("day_start"))
+
+
+@query(f"WITH {O.grid()} SELECT t, open, high, low, close, valid FROM tape WHERE t IN ((SELECT min(t) FROM tape), (SELECT max(t) FROM tape), (SELECT min(t) + 777 FROM tape))")
+def point_lookup(spark, sf_dir):
+    """Bars by time: the first, the last, and one between."""
+    found = tape(spark, sf_dir)
+    ends = found.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.array("a", "b", F.col("a") + 777)).alias("t"))
+    return found.join(F.broadcast(ends.distinct()), "t").select("t", "open", "high", "low", "close", "valid")
+
+
+@query(f"""WITH {O.grid(True)}, s AS (SELECT symbol, t // 1440 AS d, min(t) AS t0, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid, sum(ntrades) AS ntrades FROM tape GROUP BY ALL)
+    SELECT symbol, count(*) AS shards, sum(n)::BIGINT AS n, sum(n_valid)::BIGINT AS n_valid, sum(ntrades)::BIGINT AS ntrades, count(*) FILTER (WHERE n_valid > 0) AS at_hand FROM s GROUP BY symbol""")
+def manifest_totals(spark, sf_dir):
+    """Totals over shards of a day."""
+    shards = tape(spark, sf_dir, True).groupBy("symbol", F.floor(F.col("t") / 1440).alias("d")).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.sum("ntrades").alias("ntrades"))
+    return shards.groupBy("symbol").agg(F.count("*").alias("shards"), F.sum("n").alias("n"), F.sum("n_valid").alias("n_valid"), F.sum("ntrades").alias("ntrades"), F.count_if(F.col("n_valid") > 0).alias("at_hand"))
+
+
+@query(f"""WITH {O.grid(True)} SELECT * FROM (SELECT symbol, t // 1440 AS stretch, count(*) FILTER (WHERE NOT valid) AS gaps, row_number() OVER (ORDER BY count(*) FILTER (WHERE NOT valid) DESC, symbol, t // 1440) AS place FROM tape GROUP BY symbol, t // 1440) WHERE place <= 6""")
+def worst_gaps(spark, sf_dir):
+    """The six stretches with most gaps: a top-k report."""
+    found = grid.gaps(tape(spark, sf_dir, True), 1440).select("symbol", "stretch", (F.col("n") - F.col("n_valid")).alias("gaps")).orderBy(F.desc("gaps"), "symbol", "stretch").limit(6)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("gaps"), "symbol", "stretch")).cast("long"))
+
+
+@query(f"WITH {O.grid(True)} SELECT symbol, t, {R_FIELDS} FROM tape WHERE t % 2 = 0 UNION ALL SELECT symbol, t, {R_FIELDS} FROM tape WHERE t % 2 = 1")
+def shard_union(spark, sf_dir):
+    """Two halves of a tape put together again."""
+    found = rounded(tape(spark, sf_dir, True), *FIELDS).select("symbol", "t", *FIELDS)
+    return found.where(F.pmod(F.col("t"), F.lit(2)) == 0).unionByName(found.where(F.pmod(F.col("t"), F.lit(2)) == 1))
+
+
+@query("SELECT i AS member, ['base', 'deep', 'wide', 'agile'][i % 4 + 1] || CASE WHEN i < 4 THEN '' ELSE (i // 4)::VARCHAR END AS name, [24, 32, 32, 40][i % 4 + 1] AS n_basis FROM generate_series(0, 9) a(i)")
+def population(spark, sf_dir):
+    """Ten members of a population of forecasters."""
+    return forecast.population(spark, 10).select(F.col("member").cast("long").alias("member"), "name", "n_basis")
+
+
+@query(f"WITH {O.grid()}, e AS (SELECT min(t) AS a, max(t) AS b FROM tape), d AS (SELECT greatest((t * 60 - (t * 60) % 86400) // 60, (SELECT a FROM e) + {S.CONTEXT} + 1) AS t0, max(t) AS last, count(*) AS n FROM tape GROUP BY (t * 60 - (t * 60) % 86400) // 60, greatest((t * 60 - (t * 60) % 86400) // 60, (SELECT a FROM e) + {S.CONTEXT} + 1)) SELECT t0, least(last + 1, (SELECT b FROM e) - {S.HORIZON} + 1) AS t1, n FROM d")
+def sessions(spark, sf_dir):
+    """Days as replay sessions, held within what has full context and a full future."""
+    found = tape(spark, sf_dir).select("t", (F.col("t") - F.pmod(F.col("t"), F.lit(1440))).alias("day"))
+    ends = found.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    days = found.groupBy("day").agg(F.max("t").alias("last"), F.count("*").alias("n")).crossJoin(F.broadcast(ends))
+    return days.select(F.greatest("day", F.col("a") + S.CONTEXT + 1).alias("t0"), F.least(F.col("last") + 1, F.col("b") - S.HORIZON + 1).alias("t1"), "n")
