@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.util import stored, table
 
 WEIGHTS, MOST = (1, 2, 3), 3.0
-LEAF, FAN, SEED = 20_000, 64, 20240229
+LEAF, FAN, SEED = 2_000, 64, 20240229
 #: Documents of a group, largest first, that are made whole before the others.
 LARGE = 64
 #: Source tables of at most so many rows are broadcast.
@@ -51,7 +51,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     fits = F.when(F.col("level") * F.col("w") <= F.col("full"), F.col("level"))
     everywhere = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = weighed.withColumn("level", level).withColumn("level", F.first(fits, ignorenulls=True).over(everywhere))
-    return ranked.select("source", "source_size", F.least("full", F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
+    kept = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return ranked.select("source", "source_size", *kept, F.least("full", F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
 
 
 def settle_large(copies: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -118,14 +119,14 @@ def plan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken."""
     text = F.coalesce("text", F.lit(""))
     sized = stored(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("tie")), "sizes")
-    sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    rows, n_sources = sized.count(), sources.count()
-    leaves = max(1, -(-rows // LEAF))
+    sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))), "targets")
+    n_sources, most = sources.agg(F.count("*"), F.max("n_docs")).first()
+    leaves = max(1, -(-(most or 0) // LEAF))  # of the largest source
     named = sources.withColumnRenamed("source", "of")
     joined = sized.join(F.broadcast(named) if n_sources <= FEW_SOURCES else named, F.col("source").eqNullSafe(F.col("of")))
     share = F.when(F.col("size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(MOST))).otherwise(0.0)
     joined = joined.withColumn("share", share).withColumn("base", F.floor(F.col("share") + EDGE)).withColumn("copies", F.greatest(F.col("share") - F.col("base"), F.lit(0.0)))
-    leaf = F.pmod(F.xxhash64(F.lit(SEED), "tie"), F.lit(leaves)).cast("int")
+    leaf = F.pmod(F.xxhash64(F.lit(SEED), "tie"), F.ceil(F.col("n_docs") / LEAF)).cast("int")
     state = joined.select("doc_id", "size", "source_size", "target", "tie", F.xxhash64("of", F.col("of").isNull()).alias("group"), "base", "copies", leaf.alias("leaf"), uniform(F.lit(SEED), "tie", F.lit(0)).alias("draw"))
     done, level = [], 0
     while True:
