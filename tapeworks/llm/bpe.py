@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,10 @@ from tapeworks.llm.util import table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fragments that a worker keeps encoded; when full, the memory starts anew. Results don't depend on it.
-REMEMBERED = 400_000
-#: Bytes of text in one output batch, at least one row each.
-BATCH_BYTES = 16 << 20
+REMEMBERED = 800_000
+#: Texts that are encoded together.
+GROUP = 64
+SPACED = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 
 
 def default_path() -> str:
@@ -91,6 +94,7 @@ class Codec:
         for raw, i in self.special.items():
             self.pieces[i] = raw
         self.cut = cuts(plain.values())
+        self.opens = np.array([x.startswith(b" ") for x in self.pieces])
         self.known: dict[bytes, bytes] = {}
 
     def split(self, text: bytes) -> list[bytes]:
@@ -103,51 +107,57 @@ class Codec:
         ends = (at + 1).tolist()
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
-    def learn(self, fragments) -> None:
-        new = list({x for x in fragments if x not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(fragments))
-        for x, found in zip(new, self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)):
+    def learn(self, new: set[bytes]) -> None:
+        """Encodes fragments. Many of a space and letters take one call: a token that begins with the space begins each."""
+        plain = sorted(x for x in new if SPACED.match(x))
+        for i in range(0, len(plain), 2000):
+            group = plain[i : i + 2000]
+            ids = np.array(self.library.encode(b"".join(group).decode(), add_special_tokens=False).ids, np.int32)
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(group):
+                raise ValueError("the tokenizer doesn't open each word with one token")
+            raw, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), 4 * len(ids)]
+            for x, a, b in zip(group, (begins * 4).tolist(), ends):
+                self.known[x] = raw[a:b]
+        rest = list(new.difference(plain))
+        for x, found in zip(rest, self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)):
             self.known[x] = np.array(found.ids, np.int32).tobytes()
 
-    def encode(self, text: bytes) -> bytes:
-        """Ids of one UTF-8 text as little-endian 32-bit integers."""
-        if any(s in text for s in self.special):  # rare: the library knows how these split a text
-            return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
-        fragments = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, fragments))
-        except KeyError:
-            self.learn(fragments)
-            return b"".join(map(self.known.__getitem__, fragments))
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian 32-bit integers."""
+        # texts that name a special token are rare: the library knows how these split a text
+        split = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        wanted = set(chain.from_iterable(f for f in split if f))
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, wanted
+        if new:
+            self.learn(new)
+        known = self.known.__getitem__
+        whole = lambda t: np.array(self.library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
+        return [whole(t) if f is None else b"".join(map(known, f)) for t, f in zip(texts, split)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+#: Codecs of this process, which may run many tasks.
+_CODECS: dict = {}
+
+
 def encode_decode(path: str):
     """For mapInArrow over (doc_id, text): doc_id, ids, and the text that the ids decode to."""
 
     def run(batches):
-        codec = Codec(path)
+        codec = _CODECS[path] = _CODECS.get(path) or Codec(path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            start, size = 0, 0
-            for i in range(len(batch) + 1):
-                if i == len(batch) or size >= BATCH_BYTES:
-                    if i > start:
-                        yield part(codec, batch.column(0)[start:i], texts[start:i].to_pylist())
-                    start, size = i, 0
-                if i < len(batch):
-                    size += len(texts[i].as_buffer() or b"")
-
-    def part(codec, doc_ids, texts):
-        raw = [codec.encode(t or b"") for t in texts]
-        ids = np.frombuffer(b"".join(raw), np.int32)
-        ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
-        decoded = [codec.decode(ids[a:b].tolist()).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
-        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            for i in range(0, len(batch), GROUP):
+                part = batch.slice(i, GROUP)
+                raw = codec.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
+                ids = np.frombuffer(b"".join(raw), np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
+                decoded = [codec.decode(ids[a:b].tolist()).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
