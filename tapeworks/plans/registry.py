@@ -323,7 +323,7 @@ def last_write_wins(spark, sf_dir):
     return grid.last_wins(rows, "l_orderkey", "l_linenumber", "q", "p").select("symbol", "t", "q", "p")
 
 
-@query(f"WITH RECURSIVE {O.scored()}, inputs AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM inputs){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
+@query(f"WITH RECURSIVE {O.scored()}, logged AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM logged){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
 def metric_ema(spark, sf_dir):
     """The running 0.98 / 0.02 average of a logged metric, begun at its first value."""
     logged = replay(spark, sf_dir).where("model = 'walk'").select(F.lit("walk").alias("symbol"), F.col("t").alias("at"), (F.row_number().over(Window.partitionBy("model").orderBy("t")) - 1).cast("long").alias("t"), "nrmse")

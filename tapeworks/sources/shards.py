@@ -154,7 +154,8 @@ def read(spark: SparkSession, folder: str, **options) -> DataFrame:
 def write(tape: DataFrame, folder: str, width: int, magic: str = MAGIC, level: int = 17) -> DataFrame:
     """Writes a shard for each symbol and stretch of ``width`` bars, which bounds a task's rows; gives the manifest.
 
-    A file gets its name when it is whole, and a stretch that is there already is left as it is, with status cached.
+    A file gets its name when it is whole, and a stretch that is there already is left as it is, with status cached. The
+    manifest is written as JSON beside the shards, so that reading it never writes again.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +171,10 @@ def write(tape: DataFrame, folder: str, width: int, magic: str = MAGIC, level: i
             fs.move(tmp, path)
         return pd.DataFrame([[name, symbol, t0, n, valid, fs.get_file_info(path).size, round(100 * (n - valid) / n, 4), status]], columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    return tape.withColumn("stretch", F.floor(F.col("t") / width)).groupBy("symbol", "stretch").applyInPandas(one, MANIFEST)
+    made = tape.withColumn("stretch", F.floor(F.col("t") / width)).groupBy("symbol", "stretch").applyInPandas(one, MANIFEST)
+    place = f"{folder.rstrip('/')}/_manifest-{uuid.uuid4().hex}"
+    made.write.json(place)
+    return tape.sparkSession.read.schema(MANIFEST).json(place)
 
 
 def totals(manifest: DataFrame) -> DataFrame:
