@@ -33,18 +33,18 @@ class Average:
 
 def averages(tape: DataFrame, specs: list[Average]) -> DataFrame:
     """tape (symbol, big, t, ...) with a column for each average. All share one sort and one fold."""
-    inside = Window.partitionBy("symbol", "big", "blk").orderBy("t")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = tape.withColumn("blk", F.floor(F.col("t") / SHORT)).withColumn("j", F.row_number().over(inside) - 1)
+    so_far = Window.partitionBy("symbol", "big", "blk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = tape.withColumn("blk", F.floor(F.col("t") / SHORT)).withColumn("j", F.col("t") - F.col("blk") * SHORT)
 
-    def local(s: Average) -> Column:
+    def part(s: Average) -> Column:
         b = decay(s.halflife)
-        return F.pow(F.lit(b), F.col("j")) * F.sum(F.col(s.of) * (1 - b) * F.pow(F.lit(b), -F.col("j"))).over(so_far)
+        return F.sum(F.col(s.of) * (1 - b) * F.pow(F.lit(b), -F.col("j")))
 
-    local_sums = placed.select("*", *(local(s).alias(f"__{s.name}") for s in specs))
-    ends = local_sums.groupBy("symbol", "blk").agg(
-        F.count("*").alias("n"), *(F.max_by(f"__{s.name}", "t").alias(s.name) for s in specs), *(F.min_by(s.of, "t").cast("double").alias(f"first_{s.name}") for s in specs if s.first is None)
+    # what a block hands on is a plain sum over its rows: no order, and partial sums before the exchange
+    ends = placed.groupBy("symbol", "blk").agg(
+        F.count("*").alias("n"), F.min("j").alias("j0"), *((part(s) * F.pow(F.lit(decay(s.halflife)), F.max("j"))).alias(s.name) for s in specs), *(F.min_by(s.of, "t").cast("double").alias(f"first_{s.name}") for s in specs if s.first is None)
     )
+    local_sums = placed.select("*", *((part(s).over(so_far) * F.pow(F.lit(decay(s.halflife)), F.col("j"))).alias(f"__{s.name}") for s in specs))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("blk")
@@ -53,12 +53,12 @@ def averages(tape: DataFrame, specs: list[Average]) -> DataFrame:
         for n, end in zip(rows["n"].to_numpy(), rows[[s.name for s in specs]].to_numpy(float)):
             out.append(carried)
             carried = end + rest**n * carried
-        return pd.DataFrame(np.array(out), columns=[s.name for s in specs]).assign(symbol=rows["symbol"].to_numpy(), blk=rows["blk"].to_numpy())
+        return pd.DataFrame(np.array(out), columns=[s.name for s in specs]).assign(symbol=rows["symbol"].to_numpy(), blk=rows["blk"].to_numpy(), j0=rows["j0"].to_numpy())
 
-    carries = ends.groupBy("symbol").applyInPandas(fold, ", ".join([*(f"`{s.name}` double" for s in specs), "symbol string", "blk long"]))
-    carries = carries.select("symbol", "blk", *(F.col(s.name).alias(f"c_{s.name}") for s in specs))
+    carries = ends.groupBy("symbol").applyInPandas(fold, ", ".join([*(f"`{s.name}` double" for s in specs), "symbol string", "blk long", "j0 long"]))
+    carries = carries.select("symbol", "blk", "j0", *(F.col(s.name).alias(f"c_{s.name}") for s in specs))
     joined = local_sums.join(carries, ["symbol", "blk"])
-    done = [(F.col(f"__{s.name}") + F.col(f"c_{s.name}") * F.pow(F.lit(decay(s.halflife)), F.col("j") + 1)).alias(s.name) for s in specs]
+    done = [(F.col(f"__{s.name}") + F.col(f"c_{s.name}") * F.pow(F.lit(decay(s.halflife)), F.col("j") - F.col("j0") + 1)).alias(s.name) for s in specs]
     return joined.select(*tape.columns, *done)
 
 
