@@ -10,7 +10,7 @@ sum is refined by an adaptive map for each gate. The bits of class and words sum
 What is learnt comes from all training documents. Words are counted first, by class, so that a word is spelled once for a
 class however often it occurs: its bits weigh as much as its count. Counts of contexts are sums over tasks; weights and maps
 are learnt online, batch by batch, in each task, and averaged by the tokens they saw. What a word says about itself is taken
-out of the counts when the weights learn from it. The tables have a fixed number of slots (``SLOT_BITS``), 19 MB as kept;
+out of the counts when the weights learn from it. The tables have a fixed number of slots (``SLOT_BITS``), 26 MB as kept;
 so that rare words don't fill them, the ``DEEP`` most frequent words count in whole-word contexts, all words in the others.
 Only the classes are found on a bounded sample, ``SAMPLE`` training texts; with them every text of every size is classed.
 
@@ -45,18 +45,18 @@ GROUP = 64
 #: Distinct words that a task counts before it passes them on.
 HELD = 600_000
 #: Log2 of the slots of each predictor's table.
-SLOT_BITS = (16, 19, 20, 22, 22)
+SLOT_BITS = (19, 21, 21, 22, 22)
 OFFSETS = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in SLOT_BITS)]))
 PREDICTORS = len(SLOT_BITS)
 CHUNK = 1 << 16
 #: Predictors before the whole-word ones, and the weights that learning begins with.
 SHALLOW, FIRST = 3, np.array([0.0, 0.1, 0.1, 0.3, 0.5])
 #: Classes of texts, those to begin with, the training texts they are found on, and the words that tell them apart.
-CLASSES, SEEDS, SAMPLE, TELLING, STEPS = 8, 24, 2000, 2048, 6
+CLASSES, SEEDS, SAMPLE, TELLING, STEPS = 16, 48, 3000, 4096, 10
 #: Distinct words for each task that counts contexts.
 TABLE_WORDS = 2_000_000
 #: Words that count in whole-word contexts.
-DEEP = 600_000
+DEEP = 1_500_000
 #: Bytes that are spelled at once.
 SPAN = 1 << 14
 EXACT, GROWTH = 32, 1.07
@@ -250,12 +250,12 @@ class Mixer:
         p = sigmoid(z)
         return p, np.clip(0.5 * (p + self.map[bucket]), 1e-5, 1 - 1e-5), bucket
 
-    def learn(self, inputs, gate, bit, weight, measure: bool) -> None:
-        """One online Newton step for each gate in the batch; curvature is measured in every other batch and counts twice."""
+    def learn(self, inputs, gate, bit, weight) -> None:
+        """One online Newton step for each gate in the batch."""
         p, _, bucket = self.predict(inputs, gate)
-        error, curve = (bit - p) * weight, p * (1 - p) * weight * 2
+        error, curve = (bit - p) * weight, p * (1 - p) * weight
         slope = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], 1)
-        for i in range(PREDICTORS * measure):
+        for i in range(PREDICTORS):
             scaled = curve * inputs[i]
             for j in range(i + 1):
                 self.curves[:, i, j] += np.bincount(gate, scaled * inputs[j], GATES)
@@ -270,14 +270,14 @@ def learn_mixer(shared, deep: int):
     """For mapInArrow over (word, c, by): parameter number, value times mass, and mass, as learnt in the task."""
 
     def run(batches):
-        slots_of, look, mixer, measure = shared.value, Lookups(), Mixer(), False
+        slots_of, look, mixer = shared.value, Lookups(), Mixer()
         for batch in batches:
             words, classes, counts, totals = trained(batch)
             first = 0
             for raw, starts, contexts, sizes in spelled(words, classes):
                 mine = slice(first, first + len(sizes))
                 weight, own = np.repeat(counts[mine], sizes), np.repeat(totals[mine] >= deep, sizes)
-                first, measure = first + len(sizes), not measure
+                first += len(sizes)
                 others = np.where(own, 0, 1 << 16)
                 for bit, slots in planes(raw, contexts):
                     codes = [slots_of[s].astype(np.int64) for s in slots]
@@ -285,7 +285,7 @@ def learn_mixer(shared, deep: int):
                     deep_bit = np.where(own, mine_bit, 2 << 16)
                     inputs = [look.odds_less[c + (mine_bit if k < SHALLOW else deep_bit)] for k, c in enumerate(codes)]
                     seen = [look.seen_less[c + others] for c in codes[SHALLOW:]]
-                    mixer.learn(inputs, seen[1] * 8 + seen[0], bit, weight, measure)
+                    mixer.learn(inputs, seen[1] * 8 + seen[0], bit, weight)
                 mixer.refine()
         mass = np.concatenate([np.repeat(mixer.mass, PREDICTORS), np.ones(2 * GATES * BUCKETS)])
         values = np.concatenate([mixer.weights.ravel(), mixer.maps.ravel()])

@@ -124,6 +124,19 @@ def test_probabilities_of_all_continuations_sum_to_one():
     assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_the_model_is_whole_and_every_batch_measures_curvature():
+    assert all(a >= b for a, b in zip(contextmix.SLOT_BITS, (19, 21, 21, 22, 22)))
+    rng, n = np.random.default_rng(1), 50
+    inputs, bit, weight = list(rng.normal(size=(contextmix.PREDICTORS, n))), rng.integers(0, 2, n), rng.random(n)
+    mixer, gate = contextmix.Mixer(), np.full(n, 5)
+    want = contextmix.RIDGE * np.eye(contextmix.PREDICTORS)
+    for _ in range(3):
+        p = mixer.predict(inputs, gate)[0]
+        want = want + np.einsum("in,jn,n->ij", inputs, inputs, p * (1 - p) * weight)
+        mixer.learn(inputs, gate, bit, weight)
+        assert mixer.curves[5] == pytest.approx(want)
+
+
 # nearest neighbours
 
 
