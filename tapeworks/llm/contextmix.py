@@ -60,6 +60,7 @@ DEEP = 1_500_000
 #: Bytes that are spelled at once.
 SPAN = 1 << 14
 EXACT, GROWTH = 32, 1.07
+LARGEST = EXACT * GROWTH ** (255 - EXACT)
 RIDGE = 300.0
 BUCKETS = 33
 K1, K2, K3, RADIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x100000001B3))
@@ -72,7 +73,7 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-# counts, kept in one byte: exact up to EXACT, then in steps of GROWTH
+# counts, kept in one byte: exact up to EXACT, then in steps of GROWTH; above the last step both counts of a slot shrink alike
 
 
 def kept_counts() -> np.ndarray:
@@ -86,6 +87,12 @@ def code(count):
     return F.when(count <= EXACT, F.round(count)).otherwise(F.least(steps, F.lit(255.0))).cast("int")
 
 
+def slot_codes(zeros, ones):
+    """Columns of a slot's counts as zeros' code * 256 + ones' code; counts over the largest code keep their ratio."""
+    shrink = F.greatest(zeros / LARGEST, ones / LARGEST, F.lit(1.0))
+    return code(zeros / shrink) * 256 + code(ones / shrink)
+
+
 class Lookups:
     """For a slot's two codes (zeros * 256 + ones): log odds of a one, and how often the context was seen."""
 
@@ -186,13 +193,13 @@ def count_contexts(deep: int):
     """For mapInArrow over (word, c, by): slot, zeros, ones, summed over the task."""
 
     def run(batches):
-        sums = np.zeros(2 * OFFSETS[-1], np.float32)
+        sums = np.zeros(2 * OFFSETS[-1], np.int64)
         for batch in batches:
             words, classes, counts, totals = trained(batch)
             first = 0
             for raw, starts, contexts, sizes in spelled(words, classes):
                 mine = slice(first, first + len(sizes))
-                weight = np.repeat(counts[mine].astype(np.float32), sizes)
+                weight = np.repeat(counts[mine].astype(np.int64), sizes)
                 deeper = np.flatnonzero(np.repeat(totals[mine] >= deep, sizes))
                 first += len(sizes)
                 for bit, slots in planes(raw, contexts):
@@ -495,10 +502,10 @@ def scores(docs: DataFrame) -> DataFrame:
     if v > DEEP:
         deep = int(learnt.agg(F.percentile_approx("c", 1 - DEEP / v, 10_000)).first()[0]) + 1
     # each task passes on a table of its own, so there are as few tasks as the words ask for
-    counted = learnt.coalesce(max(1, -(-v // TABLE_WORDS))).mapInArrow(count_contexts(deep), "slot int, zeros float, ones float")
+    counted = learnt.coalesce(max(1, -(-v // TABLE_WORDS))).mapInArrow(count_contexts(deep), "slot int, zeros long, ones long")
     dealt = counted.withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("int")).repartition("chunk")
     slots = dealt.groupBy("chunk", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    codes = slots.select("chunk", "slot", (code(F.col("zeros")) * 256 + code(F.col("ones"))).alias("codes"))
+    codes = slots.select("chunk", "slot", slot_codes(F.col("zeros"), F.col("ones")).alias("codes"))
     packed = codes.mapInArrow(pack_slots, "chunk int, codes binary").toArrow()  # two bytes for each slot of the tables
     slots_of = np.zeros(-(-OFFSETS[-1] // CHUNK) * CHUNK, np.uint16)
     for chunk, part in zip(packed.column("chunk").to_pylist(), packed.column("codes")):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,25 @@ def test_the_model_is_whole_and_every_batch_measures_curvature():
         assert mixer.curves[5] == pytest.approx(want)
 
 
+def test_counts_over_the_largest_code_keep_their_ratio(spark):
+    pairs = [(10**9, 10**8), (10**8, 10**9), (4 * 10**9, 4 * 10**9), (10**11, 3 * 10**7), (7, 0), (10**9, 0)]
+    rows = spark.createDataFrame(pairs, "zeros long, ones long").select("zeros", "ones", contextmix.slot_codes(F.col("zeros"), F.col("ones")).alias("c")).collect()
+    odds = contextmix.Lookups().odds
+    for x in rows:
+        if x["zeros"] and x["ones"]:
+            assert odds[x["c"]] == pytest.approx(math.log(x["ones"] / x["zeros"]), abs=0.07)
+    small = next(x["c"] for x in rows if x["zeros"] == 7)
+    assert small == 7 * 256 and odds[next(x["c"] for x in rows if (x["zeros"], x["ones"]) == (10**9, 0))] < -20
+
+
+def test_small_counts_add_to_large_ones():
+    by = pa.array([[{"cls": 0, "c": 1 << 25}], [{"cls": 0, "c": 1}], [{"cls": 0, "c": 1}]], pa.list_(pa.struct([("cls", pa.int32()), ("c", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"aa", b"ab", b"ac"], pa.binary()), pa.array([1 << 25, 1, 1], pa.int64()), by], names=["word", "c", "by"])
+    found = pa.Table.from_batches(contextmix.count_contexts(1)([batch]))
+    counts = [z + o for z, o in zip(found.column("zeros").to_pylist(), found.column("ones").to_pylist())]
+    assert max(counts) == (1 << 25) + 2
+
+
 # nearest neighbours
 
 
