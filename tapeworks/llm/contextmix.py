@@ -10,8 +10,10 @@ sum is refined by an adaptive map for each gate. The bits of class and words sum
 What is learnt comes from all training documents. Words are counted first, by class, so that a word is spelled once for a
 class however often it occurs: its bits weigh as much as its count. Counts of contexts are sums over tasks; weights and maps
 are learnt online, batch by batch, in each task, and averaged by the tokens they saw. What a word says about itself is taken
-out of the counts when the weights learn from it. The tables have a fixed number of slots (``SLOT_BITS``), 26 MB as kept;
-so that rare words don't fill them, the ``DEEP`` most frequent words count in whole-word contexts, all words in the others.
+out of the counts when the weights learn from it. Every word counts in every context. Whole-word contexts of ``HEAD`` bytes
+or more are shared only by words that begin with the same ``HEAD`` bytes; such words meet in one task, which makes a table of
+its own for them, with as many slots as its words ask for. The other contexts are in broadcast tables (``SLOT_BITS``, 26 MB),
+which double with the number of such beginnings over 2^18.
 Only the classes are found on a bounded sample, ``SAMPLE`` training texts; with them every text of every size is classed.
 
 Words beyond the ``COMMON`` most frequent (and those over ``LONG`` bytes) are not broadcast but joined by word, after
@@ -55,8 +57,8 @@ SHALLOW, FIRST = 3, np.array([0.0, 0.1, 0.1, 0.3, 0.5])
 CLASSES, SEEDS, SAMPLE, TELLING, STEPS = 16, 48, 3000, 4096, 10
 #: Distinct words for each task that counts contexts.
 TABLE_WORDS = 2_000_000
-#: Words that count in whole-word contexts.
-DEEP = 1_500_000
+#: Bytes of a word that decide the task that holds its longer whole-word contexts; distinct words for each such task, and slots a word.
+HEAD, PART_WORDS, LOCAL = 6, 150_000, 8
 #: Bytes that are spelled at once.
 SPAN = 1 << 14
 EXACT, GROWTH = 32, 1.07
@@ -93,6 +95,14 @@ def slot_codes(zeros, ones):
     return code(zeros / shrink) * 256 + code(ones / shrink)
 
 
+def plain_codes(pairs: np.ndarray) -> np.ndarray:
+    """The same of an array of zeros and ones."""
+    counts = pairs / np.maximum(pairs.max(axis=1, keepdims=True) / LARGEST, 1.0)
+    steps = np.floor(np.log(np.maximum(counts, 1.0) / EXACT) / math.log(GROWTH) + 0.5) + EXACT
+    codes = np.where(counts <= EXACT, np.floor(counts + 0.5), np.minimum(steps, 255)).astype(np.uint16)
+    return codes[:, 0] * np.uint16(256) + codes[:, 1]
+
+
 class Lookups:
     """For a slot's two codes (zeros * 256 + ones): log odds of a one, and how often the context was seen."""
 
@@ -155,7 +165,34 @@ def spelled(words: list[bytes], classes: np.ndarray):
         i = j
 
 
-def planes(raw: np.ndarray, contexts: list[np.ndarray]):
+SHIFTS = tuple(np.uint64(64 - b) for b in SLOT_BITS)
+
+
+class Places:
+    """Where slots lie: the broadcast tables, then those of a task's own words."""
+
+    def __init__(self, heads: int, words: int = 0, pairs: int = 0):
+        grown = max(0, (max(heads, 1) - 1).bit_length() - 18)
+        bits = [b + grown * (k > 0) for k, b in enumerate(SLOT_BITS)]
+        own = [max(10, (LOCAL * n).bit_length()) for n in (words, pairs)]
+        self.offsets, self.own_offsets = ([int(x) for x in np.cumsum([0, *(1 << b for b in part)])] for part in (bits, own))
+        self.shifts, self.own_shifts = ([np.uint64(64 - b) for b in part] for part in (bits, own))
+
+    @staticmethod
+    def late(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether a byte's whole-word contexts are in the task's own tables."""
+        return np.arange(int(sizes.sum())) - np.repeat(starts, sizes) >= HEAD
+
+    def of(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
+        """Shifts and offsets of each predictor, by byte for the whole-word ones."""
+        late, total = self.late(starts, sizes), self.offsets[-1]
+        own = list(zip(self.own_shifts, self.own_offsets))
+        shifts = [np.where(late, a, b) for (a, _), b in zip(own, self.shifts[SHALLOW:])]
+        offsets = [np.where(late, a + total, b) for (_, a), b in zip(own, self.offsets[SHALLOW:])]
+        return self.shifts[:SHALLOW] + shifts, self.offsets[:SHALLOW] + offsets
+
+
+def planes(raw: np.ndarray, contexts: list[np.ndarray], shifts=SHIFTS, offsets=OFFSETS):
     """For each of a byte's bits, highest first: the bit, and each predictor's slot."""
     node = np.ones(len(raw), np.int64)
     for b in range(7, -1, -1):
@@ -164,9 +201,9 @@ def planes(raw: np.ndarray, contexts: list[np.ndarray]):
         slots = []
         for k, c in enumerate(contexts):
             slot = c + step
-            slot >>= np.uint64(64 - SLOT_BITS[k])
+            slot >>= shifts[k]
             slot = slot.view(np.int64)
-            slot += OFFSETS[k]
+            slot += offsets[k]
             slots.append(slot)
         yield bit, slots
         node = node * 2 + bit
@@ -189,26 +226,26 @@ def trained(batch):
     return [words[i] for i in used.tolist()], classes[used], counts[used], totals[used]
 
 
-def count_contexts(deep: int):
-    """For mapInArrow over (word, c, by): slot, zeros, ones, summed over the task."""
+def count_contexts(heads: int):
+    """For mapInArrow over (word, c, by): slot, zeros, ones of the broadcast tables, summed over the task."""
 
     def run(batches):
-        sums = np.zeros(2 * OFFSETS[-1], np.int64)
+        places = Places(heads)
+        sums = np.zeros(2 * places.offsets[-1], np.int64)
         for batch in batches:
-            words, classes, counts, totals = trained(batch)
+            words, classes, counts, _ = trained(batch)
             first = 0
             for raw, starts, contexts, sizes in spelled(words, classes):
-                mine = slice(first, first + len(sizes))
-                weight = np.repeat(counts[mine].astype(np.int64), sizes)
-                deeper = np.flatnonzero(np.repeat(totals[mine] >= deep, sizes))
+                weight = np.repeat(counts[first : first + len(sizes)].astype(np.int64), sizes)
+                early = np.flatnonzero(~places.late(starts, sizes))
                 first += len(sizes)
-                for bit, slots in planes(raw, contexts):
+                for bit, slots in planes(raw, contexts, places.shifts, places.offsets):
                     for k, slot in enumerate(slots):
                         slot = slot * 2 + bit
                         if k < SHALLOW:
                             np.add.at(sums, slot, weight)
                         else:
-                            np.add.at(sums, slot[deeper], weight[deeper])
+                            np.add.at(sums, slot[early], weight[early])
         sums = sums.reshape(-1, 2)
         used = np.flatnonzero(sums.any(axis=1))
         for i in range(0, len(used), 1 << 18):
@@ -218,6 +255,27 @@ def count_contexts(deep: int):
     return run
 
 
+def own_tables(batches: list, heads: int) -> tuple[Places, np.ndarray]:
+    """Where slots lie for the words of a task, and the codes of its own tables."""
+    places = Places(heads, sum(map(len, batches)), sum(len(b.column(2).flatten()) for b in batches))
+    sums = np.zeros(2 * places.own_offsets[-1], np.int64)
+    for batch in batches:
+        words, classes, counts, _ = trained(batch)
+        first = 0
+        for raw, starts, contexts, sizes in spelled(words, classes):
+            late = np.flatnonzero(places.late(starts, sizes))
+            weight = np.repeat(counts[first : first + len(sizes)].astype(np.int64), sizes)[late]
+            first += len(sizes)
+            for bit, slots in planes(raw[late], [c[late] for c in contexts[SHALLOW:]], places.own_shifts, places.own_offsets):
+                for slot in slots:
+                    np.add.at(sums, slot * 2 + bit, weight)
+    pairs = sums.reshape(-1, 2)
+    used = np.flatnonzero(pairs.any(axis=1))
+    codes = np.zeros(len(pairs), np.uint16)
+    codes[used] = plain_codes(pairs[used])
+    return places, codes
+
+
 def pack_slots(batches):
     """For mapInArrow over (chunk, slot, codes): the codes of each chunk of CHUNK slots as bytes."""
     chunks: dict[int, np.ndarray] = {}
@@ -273,26 +331,24 @@ class Mixer:
         self.maps[1] += np.bincount(bucket, weight, GATES * BUCKETS)
 
 
-def learn_mixer(shared, deep: int):
+def learn_mixer(shared, heads: int):
     """For mapInArrow over (word, c, by): parameter number, value times mass, and mass, as learnt in the task."""
 
     def run(batches):
-        slots_of, look, mixer = shared.value, Lookups(), Mixer()
+        look, mixer, batches = Lookups(), Mixer(), list(batches)
+        places, own = own_tables(batches, heads)
+        slots_of = np.concatenate([shared.value, own])
         for batch in batches:
-            words, classes, counts, totals = trained(batch)
+            words, classes, counts, _ = trained(batch)
             first = 0
             for raw, starts, contexts, sizes in spelled(words, classes):
-                mine = slice(first, first + len(sizes))
-                weight, own = np.repeat(counts[mine], sizes), np.repeat(totals[mine] >= deep, sizes)
+                weight = np.repeat(counts[first : first + len(sizes)], sizes)
                 first += len(sizes)
-                others = np.where(own, 0, 1 << 16)
-                for bit, slots in planes(raw, contexts):
+                for bit, slots in planes(raw, contexts, *places.of(starts, sizes)):
                     codes = [slots_of[s].astype(np.int64) for s in slots]
-                    mine_bit = bit << 16  # what the word itself has added is taken out
-                    deep_bit = np.where(own, mine_bit, 2 << 16)
-                    inputs = [look.odds_less[c + (mine_bit if k < SHALLOW else deep_bit)] for k, c in enumerate(codes)]
-                    seen = [look.seen_less[c + others] for c in codes[SHALLOW:]]
-                    mixer.learn(inputs, seen[1] * 8 + seen[0], bit, weight)
+                    mine = bit << 16  # what the word itself has added is taken out
+                    seen = [look.seen_less[c] for c in codes[SHALLOW:]]
+                    mixer.learn([look.odds_less[c + mine] for c in codes], seen[1] * 8 + seen[0], bit, weight)
                 mixer.refine()
         mass = np.concatenate([np.repeat(mixer.mass, PREDICTORS), np.ones(2 * GATES * BUCKETS)])
         values = np.concatenate([mixer.weights.ravel(), mixer.maps.ravel()])
@@ -301,12 +357,12 @@ def learn_mixer(shared, deep: int):
     return run
 
 
-def spell_scores(slots_of, look: Lookups, mixer: Mixer, words: list[bytes], classes: np.ndarray) -> np.ndarray:
+def spell_scores(slots_of, look: Lookups, mixer: Mixer, words: list[bytes], classes: np.ndarray, places: Places) -> np.ndarray:
     """Log10 probability of each word in a text of its class."""
     out = []
     for raw, starts, contexts, sizes in spelled(words, classes):
         total = np.ones(len(raw))
-        for bit, slots in planes(raw, contexts):
+        for bit, slots in planes(raw, contexts, *places.of(starts, sizes)):
             codes = [slots_of[s] for s in slots]
             p = mixer.predict([look.odds[c] for c in codes], look.seen[codes[-1]] * 8 + look.seen[codes[-2]])[1]
             total *= np.where(bit == 1, p, 1 - p)
@@ -314,15 +370,17 @@ def spell_scores(slots_of, look: Lookups, mixer: Mixer, words: list[bytes], clas
     return np.concatenate(out) if out else np.empty(0)
 
 
-def score_words(shared, weights, maps, n: int, v: int):
+def score_words(shared, weights, maps, n: int, v: int, heads: int):
     """For mapInArrow over (word, c, by): word, cls, c, base and model, the log10 probabilities of one occurrence."""
 
     def run(batches):
-        look, mixer = Lookups(), Mixer(weights, maps)
+        look, mixer, batches = Lookups(), Mixer(weights, maps), list(batches)
+        places, own = own_tables(batches, heads)
+        slots_of = np.concatenate([shared.value, own])
         for batch in batches:
             words, classes, _, totals = occurrences(batch)
             base = np.log10((totals + 0.1) / (n + 0.1 * (v + 1)))
-            model = spell_scores(shared.value, look, mixer, words, classes)
+            model = spell_scores(slots_of, look, mixer, words, classes, places)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(totals), pa.array(base), pa.array(model)], names=["word", "cls", "c", "base", "model"])
 
     return run
@@ -490,36 +548,35 @@ def scores(docs: DataFrame) -> DataFrame:
 
     counted = docs.select("text", (~held_out).alias("train")).mapInArrow(count_words(kinds), "word binary, cls int, c long")
     pairs = counted.groupBy("word", "cls").agg(F.sum("c").alias("c"))
-    by = F.collect_list(F.struct("cls", "c")).alias("by")  # CLASSES entries at most
+    by = F.sort_array(F.collect_list(F.struct("cls", "c"))).alias("by")  # CLASSES entries at most
     vocabulary = stored(pairs.groupBy("word").agg(F.sum("c").alias("c"), by), "words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    head = F.substring("word", 1, HEAD)
+    n, v, many, heads = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*"), F.approx_count_distinct(head)).first()
     ends = vocabulary.where(F.col("word") == F.lit(END)).select(F.explode("by").alias("k")).select("k.*").collect()  # a row for each class
     texts = sum(r["c"] for r in ends)
     code_of = {k: math.log10(0.5 / (texts + 0.5 * CLASSES)) for k in range(CLASSES)} | {r["cls"]: math.log10((r["c"] + 0.5) / (texts + 0.5 * CLASSES)) for r in ends}
 
     learnt = vocabulary.where("c > 0")
-    deep = 1
-    if v > DEEP:
-        deep = int(learnt.agg(F.percentile_approx("c", 1 - DEEP / v, 10_000)).first()[0]) + 1
+    met = lambda rows: rows.repartition(max(1, -(-many // PART_WORDS)), head)
     # each task passes on a table of its own, so there are as few tasks as the words ask for
-    counted = learnt.coalesce(max(1, -(-v // TABLE_WORDS))).mapInArrow(count_contexts(deep), "slot int, zeros long, ones long")
+    counted = learnt.coalesce(max(1, -(-v // TABLE_WORDS))).mapInArrow(count_contexts(heads), "slot int, zeros long, ones long")
     dealt = counted.withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("int")).repartition("chunk")
     slots = dealt.groupBy("chunk", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     codes = slots.select("chunk", "slot", slot_codes(F.col("zeros"), F.col("ones")).alias("codes"))
     packed = codes.mapInArrow(pack_slots, "chunk int, codes binary").toArrow()  # two bytes for each slot of the tables
-    slots_of = np.zeros(-(-OFFSETS[-1] // CHUNK) * CHUNK, np.uint16)
+    slots_of = np.zeros(Places(heads).offsets[-1], np.uint16)
     for chunk, part in zip(packed.column("chunk").to_pylist(), packed.column("codes")):
         slots_of[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part.as_buffer(), np.uint16)
     del packed
     shared = context.broadcast(slots_of)
     del slots_of
-    found = learnt.mapInArrow(learn_mixer(shared, deep), "at int, value double, mass double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).toArrow()
+    found = met(learnt).sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(learn_mixer(shared, heads), "at int, value double, mass double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).toArrow()
     at, value, mass = (found.column(x).to_numpy() for x in ("at", "value", "mass"))
     cut = GATES * PREDICTORS
     params, seen = np.zeros(cut + 2 * GATES * BUCKETS), np.zeros(cut + 2 * GATES * BUCKETS)
     params[at], seen[at] = value, mass
     weights = np.where(seen[:cut] > 0, params[:cut] / np.maximum(seen[:cut], 1e-9), np.tile(FIRST, GATES)).reshape(GATES, PREDICTORS)
-    words = stored(vocabulary.mapInArrow(score_words(shared, weights, params[cut:].reshape(2, -1), n, v), "word binary, cls int, c long, base double, model double"), "scored")
+    words = stored(met(vocabulary).mapInArrow(score_words(shared, weights, params[cut:].reshape(2, -1), n, v, heads), "word binary, cls int, c long, base double, model double"), "scored")
 
     common = words.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word", "cls").limit(COMMON).toArrow()  # COMMON rows of LONG bytes at most
     lexicon = context.broadcast(Lexicon.packed(common))

@@ -157,6 +157,39 @@ def test_small_counts_add_to_large_ones():
     assert max(counts) == (1 << 25) + 2
 
 
+def vocabulary(counts):
+    by = pa.array([[{"cls": 0, "c": c}] for c in counts.values()], pa.list_(pa.struct([("cls", pa.int32()), ("c", pa.int64())])))
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), by], names=["word", "c", "by"])
+
+
+def test_every_word_counts_in_whole_word_contexts_however_many_there_are():
+    def seen(word, batch):
+        places, own = contextmix.own_tables([batch], 1)
+        n = contextmix.kept_counts()
+        raw, starts, contexts, sizes = next(contextmix.spelled([word], np.zeros(1, np.int64)))
+        late = places.late(starts, sizes)
+        found = []
+        for bit, slots in contextmix.planes(raw, contexts, *places.of(starts, sizes)):
+            for slot in slots[contextmix.SHALLOW :]:
+                code = own[slot[late] - places.offsets[-1]]
+                found.append(np.where(bit[late] == 1, n[code % 256], n[code // 256]))
+        return np.array(found)
+
+    few = {b"prefix" + b"%06d" % i: 5 for i in range(50)}
+    many = {b"prefix" + b"%06d" % (i * 7919 % 1_000_000): 1 + i % 3 for i in range(100_000)}
+    assert (seen(b"prefix000007", vocabulary(few)) >= 5).all()
+    assert (seen(b"prefix" + b"%06d" % (77 * 7919 % 1_000_000), vocabulary(many)) >= 1).all()
+    assert contextmix.Places(1, 10**6, 10**6).own_offsets[-1] >= 16 * 10**6 and contextmix.Places(1 << 20).offsets[-1] > 3 * contextmix.OFFSETS[-1]
+    assert not hasattr(contextmix, "DEEP")
+
+
+def test_a_task_has_the_tables_that_the_driver_would_make(spark):
+    rng = np.random.default_rng(2)
+    pairs = (10 ** rng.uniform(0, 11, (500, 2))).astype(np.int64)
+    rows = spark.createDataFrame(pairs.tolist(), "zeros long, ones long").select(contextmix.slot_codes(F.col("zeros"), F.col("ones")).alias("c")).collect()
+    assert contextmix.plain_codes(pairs).tolist() == [r["c"] for r in rows]
+
+
 # nearest neighbours
 
 
