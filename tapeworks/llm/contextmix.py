@@ -14,7 +14,8 @@ out of the counts when the weights learn from it. Every word counts in every con
 or more are shared only by words that begin with the same ``HEAD`` bytes; such words meet in one task, which makes a table of
 its own for them, with as many slots as its words ask for. The other contexts are in broadcast tables (``SLOT_BITS``, 26 MB),
 which double with the number of such beginnings over 2^18.
-Only the classes are found on a bounded sample, ``SAMPLE`` training texts; with them every text of every size is classed.
+The classes are found by passes over all training texts, by their counts of the ``TELLING`` commonest words. There are as many
+as shorten the code of those words and of the classes themselves; texts that their class fits worst seed further ones.
 
 Words beyond the ``COMMON`` most frequent (and those over ``LONG`` bytes) are not broadcast but joined by word, after
 counting them by document. So counts are exact, and no key of that join holds more than one token in COMMON (long words
@@ -53,8 +54,8 @@ PREDICTORS = len(SLOT_BITS)
 CHUNK = 1 << 16
 #: Predictors before the whole-word ones, and the weights that learning begins with.
 SHALLOW, FIRST = 3, np.array([0.0, 0.1, 0.1, 0.3, 0.5])
-#: Classes of texts, those to begin with, the training texts they are found on, and the words that tell them apart.
-CLASSES, SEEDS, SAMPLE, TELLING, STEPS = 16, 48, 3000, 4096, 10
+#: Texts that seed classes at a time, the words that tell classes apart, and the passes that refine them.
+SEEDS, TELLING, STEPS = 48, 4096, 10
 #: Distinct words for each task that counts contexts.
 TABLE_WORDS = 2_000_000
 #: Bytes of a word that decide the task that holds its longer whole-word contexts; distinct words for each such task, and slots a word.
@@ -389,42 +390,8 @@ def score_words(shared, weights, maps, n: int, v: int, heads: int):
 class Classes:
     """Tells the class of a text from its common words, as the likeliest of a mixture of word distributions."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        counts = Counter(w for t in texts for w in t)
-        self.number = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TELLING])}
-        rows = np.stack([self.counts(t) for t in texts]) if texts else np.zeros((0, 0))
-        self.odds = np.zeros((1, len(self.number)))
-        if len(texts) < 2 * CLASSES:
-            return
-        whole = rows.sum(0)
-        prior = (whole + 0.5) / (whole.sum() + 0.5 * len(whole))
-        spread = lambda r: np.log((r + 20 * prior) / (r.sum() + 20))
-        known = rows.sum(1)
-        seeds = np.argsort(-np.minimum(known, 100), kind="stable")[:SEEDS]  # the sample is in hash order
-        self.refine(rows, spread, np.stack([spread(rows[i]) for i in seeds]))
-        sums = [rows[self.at == k].sum(0) for k in range(len(self.odds)) if (self.at == k).any()]
-        fit = lambda r: float(r @ spread(r))
-        fits = [fit(r) for r in sums]
-        while len(sums) > CLASSES:  # the two that lose least by it become one
-            pairs = [(fits[i] + fits[j] - fit(sums[i] + sums[j]), i, j) for i in range(len(sums)) for j in range(i)]
-            _, i, j = min(pairs)
-            both = sums[i] + sums[j]
-            sums = [r for k, r in enumerate(sums) if k not in (i, j)] + [both]
-            fits = [f for k, f in enumerate(fits) if k not in (i, j)] + [fit(both)]
-        self.refine(rows, spread, np.stack([spread(r) for r in sums]))
-
-    def refine(self, rows, spread, odds) -> None:
-        for _ in range(STEPS):
-            self.at = np.argmax(rows @ odds.T, axis=1)
-            odds = np.stack([spread(rows[self.at == k].sum(0)) for k in range(len(odds))])
-        self.odds = odds
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        return np.bincount(self.found(words), minlength=len(self.number)).astype(np.float32)
-
-    def found(self, words: list[bytes]) -> np.ndarray:
-        at = numbers(self.number, [words])
-        return at[at >= 0]
+    def __init__(self, words: list[bytes], odds: np.ndarray):
+        self.number, self.odds = {w: i for i, w in enumerate(words)}, odds
 
     def best(self, telling: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The class of each of several texts, whose words' places among the telling ones (-1: none) follow one another."""
@@ -473,6 +440,153 @@ def count_words(shared):
     return run
 
 
+def telling_words(shared):
+    """For mapInArrow over (key, text): key, how many telling words, which ones (at) and how often each (n)."""
+
+    def run(batches):
+        number = shared.value.number
+        for batch in batches:
+            found = [numbers(number, [tokens(t or b"")]) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            kept = [np.unique(x[x >= 0], return_counts=True) for x in found]
+            columns = ([x.astype(np.uint16).tobytes() for x, _ in kept], [x.astype(np.uint32).tobytes() for _, x in kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x.sum()) for _, x in kept], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["key", "known", "at", "n"])
+
+    return run
+
+
+def classed(at, n, odds: np.ndarray):
+    """Of several texts' telling words: the text, place and count of each, and the texts' classes and fit to them."""
+    places = [np.frombuffer(x, np.uint16) for x in at]
+    texts = np.repeat(np.arange(len(places)), [*map(len, places)])
+    flat, times = np.concatenate(places).astype(np.int64), np.concatenate([np.frombuffer(x, np.uint32) for x in n]).astype(np.int64)
+    dense = np.zeros((len(places), odds.shape[1]), np.float32)
+    dense[texts, flat] = times
+    fit = dense @ odds.T.astype(np.float32)
+    return texts, flat, times, np.argmax(fit, axis=1), fit.max(axis=1)
+
+
+def class_sums(shared):
+    """For mapInArrow over (key, known, at, n): class, telling word (-1: texts) and its count, summed over the task."""
+
+    def run(batches):
+        odds = shared.value
+        width = odds.shape[1] + 1
+        sums = np.zeros(len(odds) * width, np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), 4 * GROUP):
+                at, n = (batch.column(k).slice(i, 4 * GROUP).to_pylist() for k in (2, 3))
+                texts, flat, times, kinds, _ = classed(at, n, odds)
+                np.add.at(sums, kinds[texts] * width + flat, times)
+                np.add.at(sums, kinds * width + width - 1, 1)
+        used = np.flatnonzero(sums)
+        at = np.where(used % width == width - 1, -1, used % width)
+        yield pa.RecordBatch.from_arrays([pa.array((used // width).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[used])], names=["cls", "at", "n"])
+
+    return run
+
+
+def misfits(shared):
+    """For mapInArrow over (key, known, at, n): the SEEDS texts of the task whose class costs most a word over their own counts."""
+
+    def run(batches):
+        odds, best = shared.value, []
+        for batch in batches:
+            for i in range(0, len(batch), 4 * GROUP):
+                part = batch.slice(i, 4 * GROUP).to_pylist()
+                texts, _, times, _, fit = classed([x["at"] for x in part], [x["n"] for x in part], odds)
+                known = np.bincount(texts, times, len(part))
+                own = np.bincount(texts, times * np.log(times / known[texts]), len(part))
+                gap = np.where(known >= 20, (own - fit) / np.maximum(known, 20), 0)
+                best += [(-g, x["key"], x["at"], x["n"]) for g, x in zip(gap.tolist(), part) if g > 0]
+                best = sorted(best)[:SEEDS]
+        if best:
+            gaps, keys, at, n = zip(*best)
+            yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(keys, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["gap", "key", "at", "n"])
+
+    return run
+
+
+def spread(sums: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log share of each telling word in each class."""
+    return np.log((sums + 20 * prior) / (sums.sum(axis=-1, keepdims=True) + 20))
+
+
+def code_lengths(sums: np.ndarray, many: np.ndarray, texts: int, prior: np.ndarray) -> np.ndarray:
+    """Nats of each class: its words, its name for each of its texts, and its shares."""
+    words = -(sums * spread(sums, prior)).sum(axis=-1)
+    return words - many * np.log(np.maximum(many, 1) / texts) + 0.5 * (sums > 0).sum(axis=-1) * math.log(texts + 1)
+
+
+def joined(sums: np.ndarray, many: np.ndarray, prior: np.ndarray):
+    """Joins the two classes that gain most by it, as long as that shortens the code."""
+    texts, sums, many = int(many.sum()), list(sums), list(many)
+    cost = [float(code_lengths(r, m, texts, prior)) for r, m in zip(sums, many)]
+    gain = lambda i, j: cost[i] + cost[j] - float(code_lengths(sums[i] + sums[j], many[i] + many[j], texts, prior))
+    gains = {(i, j): gain(i, j) for i in range(len(sums)) for j in range(i)}
+    while gains and max(gains.values()) > 0:
+        i, j = max(gains, key=gains.get)
+        sums.append(sums[i] + sums[j])
+        many.append(many[i] + many[j])
+        cost.append(cost[i] + cost[j] - gains[i, j])
+        gains = {p: g for p, g in gains.items() if not {i, j} & set(p)}
+        gone = {i, j} | {k for k in range(len(sums) - 1) if sums[k] is None}
+        for k in (i, j):
+            sums[k] = None
+        gains |= {(len(sums) - 1, k): gain(len(sums) - 1, k) for k in range(len(sums) - 1) if k not in gone}
+    left = [k for k, r in enumerate(sums) if r is not None]
+    return np.stack([sums[k] for k in left]), np.array([many[k] for k in left])
+
+
+def find_classes(train: DataFrame) -> Classes:
+    """Classes of all training texts, as many as shorten the code."""
+    context, none = train.sparkSession.sparkContext, Classes([], np.zeros((1, 0)))
+    counted = train.select("text", F.lit(True).alias("train")).mapInArrow(count_words(context.broadcast(none)), "word binary, cls int, c long")
+    top = counted.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(TELLING).toArrow()
+    words, whole = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    if not words:
+        return none
+    prior = (whole + 0.5) / (whole.sum() + 0.5 * len(whole))
+    told = train.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(telling_words(context.broadcast(Classes(words, none.odds))), "key long, known long, at binary, n binary")
+    rows = stored(told, "telling")
+
+    def seeded(found: pa.Table) -> np.ndarray:
+        dense = np.zeros((len(found), len(words)))
+        for k, (at, n) in enumerate(zip(found.column("at").to_pylist(), found.column("n").to_pylist())):
+            dense[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
+        return spread(dense, prior)
+
+    def length(sums, many) -> float:
+        return float(code_lengths(sums, many, int(many.sum()), prior).sum())
+
+    def refined(odds: np.ndarray, steps: int):
+        last = math.inf
+        for _ in range(steps):
+            shared = context.broadcast(odds)
+            found = rows.mapInArrow(class_sums(shared), "cls int, at int, n long").groupBy("cls", "at").agg(F.sum("n").alias("n")).toArrow()
+            shared.destroy()
+            cls, at, n = (found.column(x).to_numpy() for x in ("cls", "at", "n"))
+            all_ = np.zeros((len(odds), len(words) + 1))
+            all_[cls, at] = n  # texts are last
+            all_ = all_[all_[:, -1] > 0]
+            sums, many = all_[:, :-1], all_[:, -1]
+            odds, now = spread(sums, prior), length(sums, many)
+            if now > 0.999 * last:
+                break
+            last = now
+        return sums, many
+
+    first = rows.orderBy(F.desc(F.least("known", F.lit(100))), "key", "at", "n").limit(SEEDS).toArrow()
+    best = refined(spread(joined(*refined(seeded(first), STEPS), prior)[0], prior), STEPS // 2)
+    while True:
+        odds = spread(best[0], prior)
+        more = rows.mapInArrow(misfits(context.broadcast(odds)), "gap double, key long, at binary, n binary").orderBy("gap", "key", "at", "n").limit(SEEDS).toArrow()
+        tried = joined(*refined(np.concatenate([odds, seeded(more)]), STEPS // 2), prior)
+        tried = refined(spread(tried[0], prior), 1)
+        if length(*tried) >= 0.999 * length(*best):
+            return Classes(words, odds)
+        best = tried
+
+
 class Lexicon:
     """Common words with their scores in each class."""
 
@@ -490,8 +604,9 @@ class Lexicon:
         n = len(self.number)
         self.known, self.base = np.zeros(n + 1, np.int64), np.zeros(n + 1)
         self.known[at], self.base[at] = rows.column("c").to_numpy() > 0, rows.column("base").to_numpy()
-        self.model = np.full((CLASSES, n + 1), np.nan)  # the last place is for words that aren't here
-        self.model[rows.column("cls").to_numpy(), at] = rows.column("model").to_numpy()
+        pairs = at * len(classes.odds) + rows.column("cls").to_numpy()
+        order = np.argsort(pairs)
+        self.pairs, self.model = np.append(pairs[order], -1), np.append(rows.column("model").to_numpy()[order], 0.0)  # the last is for pairs that aren't here
         self.telling = np.array([*(classes.number.get(w, -1) for w in self.number), -1], np.int64)
         self.classes, self.whole = classes, int((self.telling >= 0).sum()) == len(classes.number)
 
@@ -499,8 +614,10 @@ class Lexicon:
         """For several texts: classes, known words, base and model scores of the words that are here, and the others' places."""
         found, starts = numbers(self.number, texts), firsts(texts)
         kinds = self.classes.best(self.telling[found], starts) if self.whole else np.array(self.classes.of(texts))
-        model = self.model[np.repeat(kinds, np.diff(starts, append=len(found))), found]
-        here = (found >= 0) & ~np.isnan(model)
+        asked = found * len(self.classes.odds) + np.repeat(kinds, np.diff(starts, append=len(found)))
+        at = np.searchsorted(self.pairs[:-1], asked)
+        here = (found >= 0) & (self.pairs[at] == asked)
+        model = self.model[at]
         add = lambda x: np.add.reduceat(np.where(here, x, 0), starts)
         return kinds, add(self.known[found]), add(self.base[found]), add(model), ~here, starts
 
@@ -542,19 +659,18 @@ def scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     held_out = crc_mod(F.col("doc_id"), FOLDS) == 0
-    sample = docs.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE).toArrow()
-    kinds = context.broadcast(Classes([tokens(t or b"") for t in sample.column(0).cast(pa.binary()).to_pylist()]))
-    del sample
+    found = find_classes(docs.where(~held_out))
+    kinds, many_kinds = context.broadcast(found), len(found.odds)
 
     counted = docs.select("text", (~held_out).alias("train")).mapInArrow(count_words(kinds), "word binary, cls int, c long")
     pairs = counted.groupBy("word", "cls").agg(F.sum("c").alias("c"))
-    by = F.sort_array(F.collect_list(F.struct("cls", "c"))).alias("by")  # CLASSES entries at most
+    by = F.sort_array(F.collect_list(F.struct("cls", "c"))).alias("by")  # an entry for each class at most
     vocabulary = stored(pairs.groupBy("word").agg(F.sum("c").alias("c"), by), "words")
     head = F.substring("word", 1, HEAD)
     n, v, many, heads = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*"), F.approx_count_distinct(head)).first()
     ends = vocabulary.where(F.col("word") == F.lit(END)).select(F.explode("by").alias("k")).select("k.*").collect()  # a row for each class
     texts = sum(r["c"] for r in ends)
-    code_of = {k: math.log10(0.5 / (texts + 0.5 * CLASSES)) for k in range(CLASSES)} | {r["cls"]: math.log10((r["c"] + 0.5) / (texts + 0.5 * CLASSES)) for r in ends}
+    code_of = {k: math.log10(0.5 / (texts + 0.5 * many_kinds)) for k in range(many_kinds)} | {r["cls"]: math.log10((r["c"] + 0.5) / (texts + 0.5 * many_kinds)) for r in ends}
 
     learnt = vocabulary.where("c > 0")
     met = lambda rows: rows.repartition(max(1, -(-many // PART_WORDS)), head)
@@ -587,7 +703,7 @@ def scores(docs: DataFrame) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("r_known"), F.sum(F.col("n") * F.col("base")).alias("r_base"), F.sum(F.col("n") * F.col("model")).alias("r_model"))
     whole = parts.where("word is null").drop("word").join(rare, "row", "left")
     plus = {x: F.col(x) + F.coalesce(f"r_{y}", F.lit(0)) for x, y in (("n_known", "known"), ("base", "base"), ("model", "model"))}
-    coded = F.element_at(F.array(*(F.lit(code_of[k]) for k in range(CLASSES))), F.col("cls") + 1)
+    coded = F.element_at(F.array(*(F.lit(code_of[k]) for k in range(many_kinds))), F.col("cls") + 1)
     return whole.select("doc_id", "held_out", F.col("n").alias("n_tokens"), plus["n_known"].alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus["base"].alias("base_score"), (plus["model"] + coded).alias("score"))
 
 

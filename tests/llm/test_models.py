@@ -190,6 +190,19 @@ def test_a_task_has_the_tables_that_the_driver_would_make(spark):
     assert contextmix.plain_codes(pairs).tolist() == [r["c"] for r in rows]
 
 
+def test_classes_come_from_all_texts_and_a_rare_language_gets_its_own(spark):
+    rng = random.Random(3)
+    common = [[f"{x}{i}" for i in range(60)] for x in "ab"]
+    rare = [f"r{i}" for i in range(30)]
+    n = 4000
+    texts = [" ".join(rng.choices(rare if i % 200 == 7 else common[i % 2], k=60)) for i in range(n)]
+    found = contextmix.find_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kinds = [found.of([contextmix.tokens(t.encode())])[0] for t in texts]
+    groups = [{k for i, k in enumerate(kinds) if (2 if i % 200 == 7 else i % 2) == g} for g in range(3)]
+    assert groups[0].isdisjoint(groups[1] | groups[2]) and groups[1].isdisjoint(groups[2])
+    assert len(found.odds) == 3
+
+
 # nearest neighbours
 
 
