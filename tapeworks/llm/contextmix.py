@@ -1,714 +1,411 @@
-"""Language-model scores by logistic context mixing.
-
-A text is the sequence of its lower-cased words and one end token. It has a class, found from its common words; the class
-is coded first, at the cost of its share of the training texts. A word is spelled byte by byte with a closing space, a byte
-bit by bit. For each bit, five predictors look up how often 0 and 1 followed in their hashed context: the last 2 bytes, the
-last 3 and the class, the last 5, the whole word so far, and that and the class, each with the bits of the byte at hand.
-Their log odds are summed with weights chosen by a gate, namely how often the two whole-word contexts were seen, and the
-sum is refined by an adaptive map for each gate. The bits of class and words sum to the bits of the text.
-
-What is learnt comes from all training documents. Words are counted first, by class, so that a word is spelled once for a
-class however often it occurs: its bits weigh as much as its count. Counts of contexts are sums over tasks; weights and maps
-are learnt online, batch by batch, in each task, and averaged by the tokens they saw. What a word says about itself is taken
-out of the counts when the weights learn from it. Every word counts in every context. Whole-word contexts of ``HEAD`` bytes
-or more are shared only by words that begin with the same ``HEAD`` bytes; such words meet in one task, which makes a table of
-its own for them, with as many slots as its words ask for. The other contexts are in broadcast tables (``SLOT_BITS``, 26 MB),
-which double with the number of such beginnings over 2^18.
-The classes are found by passes over all training texts, by their counts of the ``TELLING`` commonest words. There are as many
-as shorten the code of those words and of the classes themselves; texts that their class fits worst seed further ones.
-
-Words beyond the ``COMMON`` most frequent (and those over ``LONG`` bytes) are not broadcast but joined by word, after
-counting them by document. So counts are exact, and no key of that join holds more than one token in COMMON (long words
-aside, which Spark's skew join splits).
-
-Defined results: null, empty and white-space texts are the end token alone; with no training document N and V are 0 and
-words are spelled by even odds, and the base score uses its formula with c = N = V = 0; a null doc_id hashes as empty text;
-repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+"""Language-model scores by online logistic context mixing over running text.
+
+A text is the sequence of its lower-cased words and one end token. It has a class, found from its common words; the class is
+coded first, at the cost of its share of the training texts. Each word is then coded bit by bit along its path in a binary
+prefix code of the ``COMMON`` most frequent training words that occur twice at least; other words are an escape, which is
+followed by their spelling. For each bit, hashed-context predictors look up how often 0 and 1 followed at that node of the
+code: at all, in texts of the class, after the word before, after the two words before. A fifth one guesses the word that
+followed the same two words earlier in the text. Their log odds are mixed by gated weights and refined by adaptive maps
+(``bitmix``), which learn as the text is read. The bits sum to the bits of the text.
+
+What is learnt comes from all training documents, and what a training token is coded with leaves its own occurrence out.
+Words are counted exactly. Tokens are sent to the task that keeps the contexts of the word before them, about
+``PART`` tokens to a task: there the task counts the contexts of all its training tokens in tables of its own, then codes its tokens
+in order of their texts with a mixer of its own. So tables grow with the corpus, and no table is broadcast but the code,
+the counts of its nodes and those by class (32 classes of 2^19 words at most). A word that more than ``HOT`` tokens follow
+is dealt out by the word before it, and two such words in a row by text also; each part counts for itself.
+
+Words outside the code are spelled byte by byte, each distinct one once, by the same mixing of the contexts of the last 2, 3
+and 5 bytes and of the word so far. They are dealt to tasks by hash, ``SPELLED`` to a task, which learns from the
+training words among them.
+
+Defined results: null, empty and white-space texts are the end token alone; with no training document N and V are 0 and words
+are spelled by even odds, and the base score uses its formula with c = N = V = 0; a null doc_id hashes as empty text; repeated rows
+are scored each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
-from itertools import chain, compress, repeat
+import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.util import ASCII_LOWER, crc_mod, stored, table
+from tapeworks.llm.bitmix import Fixed, Hashed, Lookups, Mixer, Tree, coded, pair_codes
+from tapeworks.llm.textclass import END, GROUP, TELLING, Classes, find_classes, firsts, numbers, tokens
+from tapeworks.llm.util import crc_mod, stored, table
 
 FOLDS = 10
-END = b"\n"
 COMMON, LONG = 1 << 19, 256
-#: Texts that are read together.
-GROUP = 64
-#: Distinct words that a task counts before it passes them on.
-HELD = 600_000
-#: Log2 of the slots of each predictor's table.
-SLOT_BITS = (19, 21, 21, 22, 22)
-OFFSETS = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in SLOT_BITS)]))
-PREDICTORS = len(SLOT_BITS)
-CHUNK = 1 << 16
-#: Predictors before the whole-word ones, and the weights that learning begins with.
-SHALLOW, FIRST = 3, np.array([0.0, 0.1, 0.1, 0.3, 0.5])
-#: Texts that seed classes at a time, the words that tell classes apart, and the passes that refine them.
-SEEDS, TELLING, STEPS = 48, 4096, 10
-#: Distinct words for each task that counts contexts.
-TABLE_WORDS = 2_000_000
-#: Bytes of a word that decide the task that holds its longer whole-word contexts; distinct words for each such task, and slots a word.
-HEAD, PART_WORDS, LOCAL = 6, 150_000, 8
-#: Bytes that are spelled at once.
-SPAN = 1 << 14
-EXACT, GROWTH = 32, 1.07
-LARGEST = EXACT * GROWTH ** (255 - EXACT)
-RIDGE = 300.0
-BUCKETS = 33
-K1, K2, K3, RADIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x100000001B3))
-NODE = np.arange(256, dtype=np.uint64) * K2
-
-
-def tokens(text: bytes) -> list[bytes]:
-    words = text.translate(ASCII_LOWER).split()
-    words.append(END)
-    return words
-
-
-# counts, kept in one byte: exact up to EXACT, then in steps of GROWTH; above the last step both counts of a slot shrink alike
-
-
-def kept_counts() -> np.ndarray:
-    """The count that each code stands for."""
-    return np.concatenate([np.arange(EXACT + 1), EXACT * GROWTH ** np.arange(1, 256 - EXACT)])
-
-
-def code(count):
-    """A column's count as a code from 0 to 255."""
-    steps = F.round(F.log(F.greatest(count, F.lit(1.0)) / EXACT) / math.log(GROWTH)) + EXACT
-    return F.when(count <= EXACT, F.round(count)).otherwise(F.least(steps, F.lit(255.0))).cast("int")
-
-
-def slot_codes(zeros, ones):
-    """Columns of a slot's counts as zeros' code * 256 + ones' code; counts over the largest code keep their ratio."""
-    shrink = F.greatest(zeros / LARGEST, ones / LARGEST, F.lit(1.0))
-    return code(zeros / shrink) * 256 + code(ones / shrink)
-
-
-def plain_codes(pairs: np.ndarray) -> np.ndarray:
-    """The same of an array of zeros and ones."""
-    counts = pairs / np.maximum(pairs.max(axis=1, keepdims=True) / LARGEST, 1.0)
-    steps = np.floor(np.log(np.maximum(counts, 1.0) / EXACT) / math.log(GROWTH) + 0.5) + EXACT
-    codes = np.where(counts <= EXACT, np.floor(counts + 0.5), np.minimum(steps, 255)).astype(np.uint16)
-    return codes[:, 0] * np.uint16(256) + codes[:, 1]
-
-
-class Lookups:
-    """For a slot's two codes (zeros * 256 + ones): log odds of a one, and how often the context was seen."""
-
-    def __init__(self):
-        n = kept_counts()
-        zeros, ones = np.repeat(n, 256), np.tile(n, 256)
-        self.odds = self.log_odds(zeros, ones)
-        less = (self.log_odds(np.maximum(zeros - 1, 0), ones), self.log_odds(zeros, np.maximum(ones - 1, 0)))
-        #: Log odds less one zero, less one one, and as they are, one after the other.
-        self.odds_less = np.concatenate([*less, self.odds])
-        steps, seen = [1, 2, 3, 6, 15, 60, 400], zeros + ones
-        self.seen = np.searchsorted(steps, seen, side="right")
-        #: The same less one, and as it is.
-        self.seen_less = np.concatenate([np.searchsorted(steps, np.maximum(seen - 1, 0), side="right"), self.seen])
-
-    @staticmethod
-    def log_odds(zeros, ones):
-        return (np.log(ones + 0.08) - np.log(zeros + 0.08)).astype(np.float32)
-
-
-GATES = 8 * 8
-
-
-def spelled(words: list[bytes], classes: np.ndarray):
-    """Batches of words as (bytes, first byte of each word, hashed contexts of each predictor, lengths)."""
-    i = 0
-    while i < len(words):
-        size, j = 0, i
-        while j < len(words) and (size == 0 or size + len(words[j]) < SPAN):
-            size += len(words[j]) + 1
-            j += 1
-        part = [w if w == END else w + b" " for w in words[i:j]]
-        raw = np.frombuffer(b"".join(part), np.uint8)
-        sizes = np.fromiter(map(len, part), np.int64, len(part))
-        starts = np.cumsum(sizes) - sizes
-        at = np.arange(len(raw)) - np.repeat(starts, sizes)
-        wide = raw.astype(np.uint64) + np.uint64(1)
-        last = []
-        for k in range(1, 6):
-            shifted = np.zeros_like(wide)
-            shifted[k:] = wide[:-k]
-            shifted[at < k] = 0
-            last.append(shifted << np.uint64(9 * (k - 1)))
-        powers = np.ones(int(sizes.max()), np.uint64)
-        powers[1:] = RADIX
-        with np.errstate(over="ignore"):
-            powers = np.multiply.accumulate(powers)
-            term = wide * powers[at]
-            total = np.cumsum(term, dtype=np.uint64)
-            prefix = total - term - np.repeat(total[starts] - term[starts], sizes)
-            kind = np.repeat((classes[i:j].astype(np.uint64) + np.uint64(1)) * K3, sizes)
-            two = last[0] | last[1]
-            three = two | last[2]
-            contexts = (two, three + kind, three | last[3] | last[4], prefix, prefix + kind)
-            hashed = []
-            for k, c in enumerate(contexts):
-                c = (c + np.uint64(k)) * K1
-                hashed.append((c ^ c >> np.uint64(31)) * K1)
-        yield raw, starts, hashed, sizes
-        i = j
-
-
-SHIFTS = tuple(np.uint64(64 - b) for b in SLOT_BITS)
-
-
-class Places:
-    """Where slots lie: the broadcast tables, then those of a task's own words."""
-
-    def __init__(self, heads: int, words: int = 0, pairs: int = 0):
-        grown = max(0, (max(heads, 1) - 1).bit_length() - 18)
-        bits = [b + grown * (k > 0) for k, b in enumerate(SLOT_BITS)]
-        own = [max(10, (LOCAL * n).bit_length()) for n in (words, pairs)]
-        self.offsets, self.own_offsets = ([int(x) for x in np.cumsum([0, *(1 << b for b in part)])] for part in (bits, own))
-        self.shifts, self.own_shifts = ([np.uint64(64 - b) for b in part] for part in (bits, own))
-
-    @staticmethod
-    def late(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Whether a byte's whole-word contexts are in the task's own tables."""
-        return np.arange(int(sizes.sum())) - np.repeat(starts, sizes) >= HEAD
-
-    def of(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[list, list]:
-        """Shifts and offsets of each predictor, by byte for the whole-word ones."""
-        late, total = self.late(starts, sizes), self.offsets[-1]
-        own = list(zip(self.own_shifts, self.own_offsets))
-        shifts = [np.where(late, a, b) for (a, _), b in zip(own, self.shifts[SHALLOW:])]
-        offsets = [np.where(late, a + total, b) for (_, a), b in zip(own, self.offsets[SHALLOW:])]
-        return self.shifts[:SHALLOW] + shifts, self.offsets[:SHALLOW] + offsets
-
-
-def planes(raw: np.ndarray, contexts: list[np.ndarray], shifts=SHIFTS, offsets=OFFSETS):
-    """For each of a byte's bits, highest first: the bit, and each predictor's slot."""
-    node = np.ones(len(raw), np.int64)
-    for b in range(7, -1, -1):
-        bit = (raw >> b & 1).astype(np.int64)
-        step = NODE[node]
-        slots = []
-        for k, c in enumerate(contexts):
-            slot = c + step
-            slot >>= shifts[k]
-            slot = slot.view(np.int64)
-            slot += offsets[k]
-            slots.append(slot)
-        yield bit, slots
-        node = node * 2 + bit
-
-
-def occurrences(batch):
-    """Of rows (word, c, by): words, classes, counts by class, and counts of the words, one for each class of a word."""
-    by, total = batch.column(2), batch.column(1).to_numpy()
-    many = np.diff(by.offsets.to_numpy())
-    flat = by.flatten()
-    names = batch.column(0).to_pylist()
-    words = [w for w, n in zip(names, many.tolist()) for _ in range(n)]
-    return words, flat.field("cls").to_numpy(), flat.field("c").to_numpy().astype(np.float64), np.repeat(total, many)
-
-
-def trained(batch):
-    """Those of ``occurrences`` that training texts hold."""
-    words, classes, counts, totals = occurrences(batch)
-    used = np.flatnonzero(counts > 0)
-    return [words[i] for i in used.tolist()], classes[used], counts[used], totals[used]
-
-
-def count_contexts(heads: int):
-    """For mapInArrow over (word, c, by): slot, zeros, ones of the broadcast tables, summed over the task."""
+#: Tokens, and distinct words outside the code, that meet in one task; tokens after one word beyond which they are dealt out.
+PART, SPELLED = 2_000_000, 300_000
+HOT = PART // 4
+#: Distinct words, and tokens, that a task holds before it passes them on.
+HELD, HELD_TOKENS = 600_000, 1_000_000
+#: Words of the code that are counted by class in one piece.
+PIECE = 1 << 15
+#: Rows whose scores travel together.
+ROWS = 1 << 12
+C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-    def run(batches):
-        places = Places(heads)
-        sums = np.zeros(2 * places.offsets[-1], np.int64)
-        for batch in batches:
-            words, classes, counts, _ = trained(batch)
-            first = 0
-            for raw, starts, contexts, sizes in spelled(words, classes):
-                weight = np.repeat(counts[first : first + len(sizes)].astype(np.int64), sizes)
-                early = np.flatnonzero(~places.late(starts, sizes))
-                first += len(sizes)
-                for bit, slots in planes(raw, contexts, places.shifts, places.offsets):
-                    for k, slot in enumerate(slots):
-                        slot = slot * 2 + bit
-                        if k < SHALLOW:
-                            np.add.at(sums, slot, weight)
-                        else:
-                            np.add.at(sums, slot[early], weight[early])
-        sums = sums.reshape(-1, 2)
-        used = np.flatnonzero(sums.any(axis=1))
-        for i in range(0, len(used), 1 << 18):
-            at = used[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at, 0]), pa.array(sums[at, 1])], names=["slot", "zeros", "ones"])
-
-    return run
 
+def batch_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
 
-def own_tables(batches: list, heads: int) -> tuple[Places, np.ndarray]:
-    """Where slots lie for the words of a task, and the codes of its own tables."""
-    places = Places(heads, sum(map(len, batches)), sum(len(b.column(2).flatten()) for b in batches))
-    sums = np.zeros(2 * places.own_offsets[-1], np.int64)
-    for batch in batches:
-        words, classes, counts, _ = trained(batch)
-        first = 0
-        for raw, starts, contexts, sizes in spelled(words, classes):
-            late = np.flatnonzero(places.late(starts, sizes))
-            weight = np.repeat(counts[first : first + len(sizes)].astype(np.int64), sizes)[late]
-            first += len(sizes)
-            for bit, slots in planes(raw[late], [c[late] for c in contexts[SHALLOW:]], places.own_shifts, places.own_offsets):
-                for slot in slots:
-                    np.add.at(sums, slot * 2 + bit, weight)
-    pairs = sums.reshape(-1, 2)
-    used = np.flatnonzero(pairs.any(axis=1))
-    codes = np.zeros(len(pairs), np.uint16)
-    codes[used] = plain_codes(pairs[used])
-    return places, codes
-
-
-def pack_slots(batches):
-    """For mapInArrow over (chunk, slot, codes): the codes of each chunk of CHUNK slots as bytes."""
-    chunks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        slots, codes = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint16)
-        for chunk in np.unique(slots // CHUNK).tolist():
-            here = slots // CHUNK == chunk
-            chunks.setdefault(chunk, np.zeros(CHUNK, np.uint16))[slots[here] % CHUNK] = codes[here]
-    if chunks:
-        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], names=["chunk", "codes"])
-
-
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-class Mixer:
-    """Gated weights and the adaptive maps behind them."""
-
-    def __init__(self, weights=None, maps=None):
-        self.weights = np.tile(FIRST, (GATES, 1)) if weights is None else weights
-        centre = np.tile(sigmoid((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1)).ravel()
-        self.centre, self.maps = centre, np.zeros((2, GATES * BUCKETS)) if maps is None else maps  # ones, all
-        self.mass = np.zeros(GATES)
-        self.curves = np.tile(RIDGE * np.eye(PREDICTORS), (GATES, 1, 1))
-        self.refine()
-
-    def refine(self) -> None:
-        self.map = (self.maps[0] + 30 * self.centre) / (self.maps[1] + 30)
-
-    def predict(self, inputs, gate):
-        z = np.zeros(len(gate))
-        for k, x in enumerate(inputs):
-            z += self.weights[:, k][gate] * x
-        np.clip(z, -11, 11, out=z)
-        bucket = gate * BUCKETS + np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + BUCKETS // 2
-        p = sigmoid(z)
-        return p, np.clip(0.5 * (p + self.map[bucket]), 1e-5, 1 - 1e-5), bucket
-
-    def learn(self, inputs, gate, bit, weight) -> None:
-        """One online Newton step for each gate in the batch."""
-        p, _, bucket = self.predict(inputs, gate)
-        error, curve = (bit - p) * weight, p * (1 - p) * weight
-        slope = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], 1)
-        for i in range(PREDICTORS):
-            scaled = curve * inputs[i]
-            for j in range(i + 1):
-                self.curves[:, i, j] += np.bincount(gate, scaled * inputs[j], GATES)
-                self.curves[:, j, i] = self.curves[:, i, j]
-        self.weights += np.linalg.solve(self.curves, slope[:, :, None])[:, :, 0]
-        self.mass += np.bincount(gate, weight, GATES)
-        self.maps[0] += np.bincount(bucket, weight * bit, GATES * BUCKETS)
-        self.maps[1] += np.bincount(bucket, weight, GATES * BUCKETS)
-
-
-def learn_mixer(shared, heads: int):
-    """For mapInArrow over (word, c, by): parameter number, value times mass, and mass, as learnt in the task."""
-
-    def run(batches):
-        look, mixer, batches = Lookups(), Mixer(), list(batches)
-        places, own = own_tables(batches, heads)
-        slots_of = np.concatenate([shared.value, own])
-        for batch in batches:
-            words, classes, counts, _ = trained(batch)
-            first = 0
-            for raw, starts, contexts, sizes in spelled(words, classes):
-                weight = np.repeat(counts[first : first + len(sizes)], sizes)
-                first += len(sizes)
-                for bit, slots in planes(raw, contexts, *places.of(starts, sizes)):
-                    codes = [slots_of[s].astype(np.int64) for s in slots]
-                    mine = bit << 16  # what the word itself has added is taken out
-                    seen = [look.seen_less[c] for c in codes[SHALLOW:]]
-                    mixer.learn([look.odds_less[c + mine] for c in codes], seen[1] * 8 + seen[0], bit, weight)
-                mixer.refine()
-        mass = np.concatenate([np.repeat(mixer.mass, PREDICTORS), np.ones(2 * GATES * BUCKETS)])
-        values = np.concatenate([mixer.weights.ravel(), mixer.maps.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * mass), pa.array(mass)], names=["at", "value", "mass"])
-
-    return run
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, the like bytes of their numbers together, compressed."""
+    raw = b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
-def spell_scores(slots_of, look: Lookups, mixer: Mixer, words: list[bytes], classes: np.ndarray, places: Places) -> np.ndarray:
-    """Log10 probability of each word in a text of its class."""
-    out = []
-    for raw, starts, contexts, sizes in spelled(words, classes):
-        total = np.ones(len(raw))
-        for bit, slots in planes(raw, contexts, *places.of(starts, sizes)):
-            codes = [slots_of[s] for s in slots]
-            p = mixer.predict([look.odds[c] for c in codes], look.seen[codes[-1]] * 8 + look.seen[codes[-2]])[1]
-            total *= np.where(bit == 1, p, 1 - p)
-        out.append(np.add.reduceat(np.log10(total), starts))
-    return np.concatenate(out) if out else np.empty(0)
 
+def unpacked(data: bytes, *shapes: tuple) -> list[np.ndarray]:
+    """What ``packed`` held, given each array's kind and length (-1: all there is)."""
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for kind, n in shapes:
+        wide = np.dtype(kind).itemsize
+        n = (len(raw) - at) // wide if n < 0 else n
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
+        at += n * wide
+    return out
 
-def score_words(shared, weights, maps, n: int, v: int, heads: int):
-    """For mapInArrow over (word, c, by): word, cls, c, base and model, the log10 probabilities of one occurrence."""
 
-    def run(batches):
-        look, mixer, batches = Lookups(), Mixer(weights, maps), list(batches)
-        places, own = own_tables(batches, heads)
-        slots_of = np.concatenate([shared.value, own])
-        for batch in batches:
-            words, classes, _, totals = occurrences(batch)
-            base = np.log10((totals + 0.1) / (n + 0.1 * (v + 1)))
-            model = spell_scores(slots_of, look, mixer, words, classes, places)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(totals), pa.array(base), pa.array(model)], names=["word", "cls", "c", "base", "model"])
+def count_words(batches):
+    """For mapInArrow over (text, train): word, how often training texts hold it (c), and how often all do (m)."""
 
-    return run
+    def flush(counts, every):
+        words = list(every)
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            yield batch_of(word=pa.array(part, pa.binary()), c=pa.array([counts[w] for w in part], pa.int64()), m=pa.array([every[w] for w in part], pa.int64()))
 
+    counts, every = Counter(), Counter()
+    for batch in batches:
+        for text, train in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
+            words = tokens(text or b"")
+            every.update(words)
+            if train:
+                counts.update(words)
+        if len(every) > HELD:
+            yield from flush(counts, every)
+            counts, every = Counter(), Counter()
+    yield from flush(counts, every)
 
-class Classes:
-    """Tells the class of a text from its common words, as the likeliest of a mixture of word distributions."""
 
-    def __init__(self, words: list[bytes], odds: np.ndarray):
-        self.number, self.odds = {w: i for i, w in enumerate(words)}, odds
+class Lexicon:
+    """The words of the code, by falling count, their classes' tellers, and who is hot. Word n is any other, n + 1 the start of a text."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, kinds: Classes, hot: dict):
+        self.number, self.counts, self.kinds = {w: i for i, w in enumerate(words)}, counts, kinds
+        self.n = len(words)
+        self.telling = np.full(self.n + 1, -1, np.int64)
+        for w, i in kinds.number.items():
+            if w in self.number:
+                self.telling[self.number[w]] = i
+        self.whole = int((self.telling >= 0).sum()) == len(kinds.number)
+        found = sorted((self.name(w), -(-m // HOT)) for w, m in hot.items())
+        self.hot, self.parts = (np.array([x[k] for x in found], np.uint32) for k in (0, 1))
+
+    def name(self, word: bytes | None) -> int:
+        """A word's number; others have one from their hash."""
+        return self.n + 1 if word is None else self.number.get(word, -1) if word in self.number else self.n + 2 + zlib.crc32(word) % (1 << 26)
 
-    def best(self, telling: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The class of each of several texts, whose words' places among the telling ones (-1: none) follow one another."""
-        return np.argmax(np.add.reduceat(np.hstack([self.odds, np.zeros((len(self.odds), 1))])[:, telling], starts, axis=1), axis=0)
+    def read(self, texts: list[list[bytes]]):
+        """For several texts: word numbers (-1: not in the code), first words, and classes."""
+        found, starts = numbers(self.number, texts), firsts(texts)
+        kinds = self.kinds.best(self.telling[found], starts) if self.whole else self.kinds.of(texts)
+        return found, starts, kinds
 
-    def of(self, texts: list[list[bytes]]) -> list[int]:
-        return self.best(numbers(self.number, texts), firsts(texts)).tolist()
+    def parts_of(self, words: np.ndarray) -> np.ndarray:
+        """1, or the number of parts that the tokens after a hot word are dealt to."""
+        if not len(self.hot):
+            return np.ones(len(words), np.uint64)
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        return np.where(self.hot[at] == words, self.parts[at], 1).astype(np.uint64)
 
 
-def numbers(table: dict, texts: list[list[bytes]]) -> np.ndarray:
-    """What the table has for each word of the texts, one after the other; -1 for none."""
-    return np.fromiter(map(table.get, chain.from_iterable(texts), repeat(-1)), np.int64, sum(map(len, texts)))
+_LEXICONS: dict = {}
 
 
-def firsts(texts: list[list[bytes]]) -> np.ndarray:
-    """The place of each text's first word; a text has its end token at least."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.cumsum(sizes) - sizes
+def lexicon_of(shared, name: str) -> Lexicon:
+    """One for each process."""
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(*shared.value)
+    return _LEXICONS[name]
 
 
-def count_words(shared):
-    """For mapInArrow over (text, train): word, class and how often training texts hold it; END with no word has texts."""
+def read_documents(shared, name: str, n: int, v: int):
+    """For mapInArrow over (row, doc_id, held_out, text): a row for each text, one for each other word in it, and counts of the code's words by class."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "cls": pa.int32(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "bytes": pa.int64(), "word": pa.binary(), "piece": pa.int32(), "counts": pa.binary()}
 
-    def flush(counts):
-        keys, n = list(counts), list(counts.values())
-        for i in range(0, len(keys), 50_000):
-            words, classes = zip(*keys[i : i + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(n[i : i + 50_000], pa.int64())], names=["word", "cls", "c"])
+    def pack(many, **columns):
+        return batch_of(**{k: pa.array(columns[k], t) if k in columns else pa.nulls(many, t) for k, t in kinds.items()})
 
     def run(batches):
-        kinds, each = shared.value, defaultdict(Counter)
+        lexicon = lexicon_of(shared, name)
+        base_of = np.append(np.log10((lexicon.counts + 0.1) / (n + 0.1 * (v + 1))), 0.0)
+        width = lexicon.n + 1
+        sums = np.zeros(len(lexicon.kinds.odds) * width, np.int32)
         for batch in batches:
             for i in range(0, len(batch), GROUP):
-                texts = [tokens(t or b"") for t in batch.column(0).slice(i, GROUP).cast(pa.binary()).to_pylist()]
-                for words, kind, train in zip(texts, kinds.of(texts), batch.column(1).slice(i, GROUP).to_pylist()):
-                    if train:
-                        each[kind].update(words)
-                    else:
-                        for w in words:
-                            each[kind].setdefault(w, 0)
-                if sum(map(len, each.values())) > HELD:
-                    yield from flush({(w, k): n for k, part in each.items() for w, n in part.items()})
-                    each.clear()
-        yield from flush({(w, k): n for k, part in each.items() for w, n in part.items()})
-
-    return run
-
-
-def telling_words(shared):
-    """For mapInArrow over (key, text): key, how many telling words, which ones (at) and how often each (n)."""
-
-    def run(batches):
-        number = shared.value.number
-        for batch in batches:
-            found = [numbers(number, [tokens(t or b"")]) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            kept = [np.unique(x[x >= 0], return_counts=True) for x in found]
-            columns = ([x.astype(np.uint16).tobytes() for x, _ in kept], [x.astype(np.uint32).tobytes() for _, x in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x.sum()) for _, x in kept], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["key", "known", "at", "n"])
+                part = batch.slice(i, GROUP)
+                raw = [t or b"" for t in part.column(3).cast(pa.binary()).to_pylist()]
+                texts = [tokens(t) for t in raw]
+                found, starts, cls = lexicon.read(texts)
+                sizes, held = np.diff(starts, append=len(found)), np.array(part.column(2).to_pylist())
+                np.add.at(sums, (np.repeat(cls, sizes) * width + np.where(found < 0, lexicon.n, found))[np.repeat(~held, sizes)], np.int32(1))
+                known, base = np.add.reduceat(found >= 0, starts, dtype=np.int64), np.add.reduceat(base_of[found], starts)
+                yield pack(len(part), row=part.column(0), doc_id=part.column(1), held_out=part.column(2), cls=cls, n=sizes, known=known, base=base, bytes=[*map(len, raw)])
+                away = np.flatnonzero(found < 0)
+                if len(away):
+                    flat = list(chain.from_iterable(texts))
+                    rows = np.repeat(np.arange(len(part)), sizes)[away]
+                    many = Counter(zip(rows.tolist(), (flat[k] for k in away.tolist())))
+                    rows, words = zip(*many)
+                    yield pack(len(many), row=part.column(0).take(pa.array(rows)), cls=cls[list(rows)], word=words, n=list(many.values()))
+        for cls in range(len(lexicon.kinds.odds)):
+            for at in range(0, width, PIECE):
+                counts = sums[cls * width + at : cls * width + min(at + PIECE, width)]
+                if counts.any():
+                    yield pack(1, cls=[cls], piece=[at // PIECE], counts=[packed(counts)])
 
     return run
 
 
-def classed(at, n, odds: np.ndarray):
-    """Of several texts' telling words: the text, place and count of each, and the texts' classes and fit to them."""
-    places = [np.frombuffer(x, np.uint16) for x in at]
-    texts = np.repeat(np.arange(len(places)), [*map(len, places)])
-    flat, times = np.concatenate(places).astype(np.int64), np.concatenate([np.frombuffer(x, np.uint32) for x in n]).astype(np.int64)
-    dense = np.zeros((len(places), odds.shape[1]), np.float32)
-    dense[texts, flat] = times
-    fit = dense @ odds.T.astype(np.float32)
-    return texts, flat, times, np.argmax(fit, axis=1), fit.max(axis=1)
-
-
-def class_sums(shared):
-    """For mapInArrow over (key, known, at, n): class, telling word (-1: texts) and its count, summed over the task."""
+def merged_counts(rows: pa.Table) -> pa.Table:
+    """The counts of one piece of the code's words in one class, summed over tasks."""
+    total = 0
+    for part in rows.column("counts").to_pylist():
+        total = total + unpacked(part, (np.int32, -1))[0].astype(np.int64)
+    return pa.table({"cls": rows.column("cls").slice(0, 1), "piece": rows.column("piece").slice(0, 1), "counts": pa.array([packed(total)], pa.binary())})
+
+
+def send_tokens(shared, name: str, parts: int):
+    """For mapInArrow over (row, held_out, text): part, first row, numbers of tokens and texts, and the tokens with the words before them."""
+
+    def flush(held):
+        word, prev, before, guess, at, part, doc = (np.concatenate(x) for x in zip(*held[0]))
+        rows, cls, train = (np.concatenate(x) for x in zip(*held[1]))
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+        word, prev, before, guess, doc, part = (x[order] for x in (word, prev, before, guess, doc, part))
+        ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+        out = []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            new = np.diff(doc[a:b], prepend=-1) > 0
+            mine = doc[a:b][new]
+            data = packed(word[a:b], prev[a:b], before[a:b], guess[a:b], np.packbits(new), np.diff(rows[mine], prepend=0), cls[mine], train[mine])
+            out.append((int(part[a]), int(rows[mine[0]]), b - a, len(mine), data))
+        columns = list(zip(*out))
+        yield batch_of(part=pa.array(columns[0], pa.int32()), first=pa.array(columns[1], pa.int64()), tokens=pa.array(columns[2], pa.int32()), texts=pa.array(columns[3], pa.int32()), data=pa.array(columns[4], pa.binary()))
 
     def run(batches):
-        odds = shared.value
-        width = odds.shape[1] + 1
-        sums = np.zeros(len(odds) * width, np.int64)
+        lexicon, held, n, many = lexicon_of(shared, name), ([], []), 0, 0
+        start = np.uint32(lexicon.name(None))
         for batch in batches:
-            for i in range(0, len(batch), 4 * GROUP):
-                at, n = (batch.column(k).slice(i, 4 * GROUP).to_pylist() for k in (2, 3))
-                texts, flat, times, kinds, _ = classed(at, n, odds)
-                np.add.at(sums, kinds[texts] * width + flat, times)
-                np.add.at(sums, kinds * width + width - 1, 1)
-        used = np.flatnonzero(sums)
-        at = np.where(used % width == width - 1, -1, used % width)
-        yield pa.RecordBatch.from_arrays([pa.array((used // width).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[used])], names=["cls", "at", "n"])
+            for i in range(0, len(batch), GROUP):
+                piece = batch.slice(i, GROUP)
+                texts = [tokens(t or b"") for t in piece.column(2).cast(pa.binary()).to_pylist()]
+                word, starts, cls = lexicon.read(texts)
+                sizes = np.diff(starts, append=len(word))
+                if len(away := np.flatnonzero(word < 0)):
+                    flat = list(chain.from_iterable(texts))
+                    word[away] = [lexicon.name(flat[k]) for k in away.tolist()]
+                word = word.astype(np.uint32)
+                prev, before = np.full_like(word, start), np.full_like(word, start)
+                prev[1:], before[2:] = word[:-1], word[:-2]
+                prev[starts] = before[starts] = start
+                before[(starts + 1)[sizes > 1]] = start
+                rows, doc = piece.column(0).to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+                wide, last = prev.astype(np.uint64) * C1, before.astype(np.uint64) * C2
+                same = (wide + last) * C3 + doc.astype(np.uint64) * C2
+                order = np.argsort(same, kind="stable")
+                again = np.flatnonzero(same[order[1:]] == same[order[:-1]])
+                guess = np.zeros_like(word)
+                guess[order[again + 1]] = word[order[again]] + np.uint32(1)
+                at = np.arange(len(word)) - np.repeat(starts, sizes)
+                parts_prev, parts_before = lexicon.parts_of(prev), lexicon.parts_of(before)
+                spread = (rows[doc].astype(np.uint64) * C3 >> np.uint64(20)) + (at >> 16).astype(np.uint64)
+                key = wide + np.where(parts_prev > 1, last + np.where(parts_before > 1, spread % np.minimum(parts_prev, parts_before) * C3, np.uint64(0)), np.uint64(0))
+                key = (key ^ key >> np.uint64(31)) * C2 >> np.uint64(32)
+                held[0].append((word, prev, before, guess, at, (key % np.uint64(parts)).astype(np.int64), doc + many))
+                held[1].append((rows, cls.astype(np.uint8), ~np.array(piece.column(1).to_pylist(), bool)))
+                n, many = n + len(word), many + len(texts)
+                if n > HELD_TOKENS:
+                    yield from flush(held)
+                    held, n, many = ([], []), 0, 0
+        if n:
+            yield from flush(held)
 
     return run
 
 
-def misfits(shared):
-    """For mapInArrow over (key, known, at, n): the SEEDS texts of the task whose class costs most a word over their own counts."""
-
-    def run(batches):
-        odds, best = shared.value, []
-        for batch in batches:
-            for i in range(0, len(batch), 4 * GROUP):
-                part = batch.slice(i, 4 * GROUP).to_pylist()
-                texts, _, times, _, fit = classed([x["at"] for x in part], [x["n"] for x in part], odds)
-                known = np.bincount(texts, times, len(part))
-                own = np.bincount(texts, times * np.log(times / known[texts]), len(part))
-                gap = np.where(known >= 20, (own - fit) / np.maximum(known, 20), 0)
-                best += [(-g, x["key"], x["at"], x["n"]) for g, x in zip(gap.tolist(), part) if g > 0]
-                best = sorted(best)[:SEEDS]
-        if best:
-            gaps, keys, at, n = zip(*best)
-            yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(keys, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["gap", "key", "at", "n"])
+def table_bits(n: int) -> int:
+    return max(10, (2 * n).bit_length())
+
+
+def by_rows(rows: np.ndarray, values: np.ndarray):
+    """Sums of values by row, as blobs of ROWS rows."""
+    order = np.argsort(rows, kind="stable")
+    rows, first = np.unique(rows[order], return_index=True)
+    values = np.add.reduceat(values[order], first).astype(np.float32)
+    group = rows // ROWS
+    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(rows)]
+    return [int(group[a]) for a in edges[:-1]], [packed((rows[a:b] % ROWS).astype(np.uint16), values[a:b]) for a, b in zip(edges, edges[1:])], np.diff(edges).tolist()
+
+
+def code_tokens(shared):
+    """For applyInArrow over the rows of a part: log10 probabilities of its tokens in the code, by text."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tree, node_codes, class_codes, n = shared.value
+        tree, fields, doc_base = Tree(*tree), [], 0
+        blobs = sorted(zip(*(rows.column(x).to_pylist() for x in ("first", "tokens", "texts", "data"))))
+        for _, many, texts, data in blobs:
+            u4 = (np.uint32, many)
+            word, prev, before, guess, new, doc, cls, train = unpacked(data, u4, u4, u4, u4, (np.uint8, (many + 7) // 8), (np.int64, texts), (np.uint8, texts), (np.bool_, texts))
+            fields.append((word, prev, before, guess, np.cumsum(np.unpackbits(new, count=many), dtype=np.int64) - 1, np.cumsum(doc), cls, train))
+        place = np.repeat(np.cumsum([0, *(len(f[5]) for f in fields[:-1])]), [len(f[0]) for f in fields])
+        word, prev, before, guess, at, row, cls, train = (np.concatenate(x) for x in zip(*fields))
+        at += place
+        symbol = np.minimum(word, n).astype(np.int64)
+        hope = np.where(guess > 0, np.minimum(guess.astype(np.int64) - 1, n), -1)
+        one = prev.astype(np.uint64) * C1
+        two = (one ^ before.astype(np.uint64)) * C2 + C3
+        _, which, times = np.unique(two, return_inverse=True, return_counts=True)
+        learnt, bits = train[at], table_bits(len(word))
+        # what stands behind two words once only is told by nobody else
+        contexts = [Hashed(one, bits), Hashed(two, bits, times[which] > 1)]
+        for c in contexts:
+            c.count(symbol, learnt, tree)
+        predictors = [Fixed(node_codes), Fixed(class_codes.ravel(), cls[at], class_codes.shape[1]), *contexts]
+        found = coded(symbol, learnt, tree, predictors, Mixer([0.2, 0.4, 0.2, 0.4]), Lookups(), hope)
+        group, data, many = by_rows(row[at], found)
+        return pa.table({"grp": pa.array(group, pa.int64()), "n": pa.array(many, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def spread(sums: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Log share of each telling word in each class."""
-    return np.log((sums + 20 * prior) / (sums.sum(axis=-1, keepdims=True) + 20))
-
-
-def code_lengths(sums: np.ndarray, many: np.ndarray, texts: int, prior: np.ndarray) -> np.ndarray:
-    """Nats of each class: its words, its name for each of its texts, and its shares."""
-    words = -(sums * spread(sums, prior)).sum(axis=-1)
-    return words - many * np.log(np.maximum(many, 1) / texts) + 0.5 * (sums > 0).sum(axis=-1) * math.log(texts + 1)
-
-
-def joined(sums: np.ndarray, many: np.ndarray, prior: np.ndarray):
-    """Joins the two classes that gain most by it, as long as that shortens the code."""
-    texts, sums, many = int(many.sum()), list(sums), list(many)
-    cost = [float(code_lengths(r, m, texts, prior)) for r, m in zip(sums, many)]
-    gain = lambda i, j: cost[i] + cost[j] - float(code_lengths(sums[i] + sums[j], many[i] + many[j], texts, prior))
-    gains = {(i, j): gain(i, j) for i in range(len(sums)) for j in range(i)}
-    while gains and max(gains.values()) > 0:
-        i, j = max(gains, key=gains.get)
-        sums.append(sums[i] + sums[j])
-        many.append(many[i] + many[j])
-        cost.append(cost[i] + cost[j] - gains[i, j])
-        gains = {p: g for p, g in gains.items() if not {i, j} & set(p)}
-        gone = {i, j} | {k for k in range(len(sums) - 1) if sums[k] is None}
-        for k in (i, j):
-            sums[k] = None
-        gains |= {(len(sums) - 1, k): gain(len(sums) - 1, k) for k in range(len(sums) - 1) if k not in gone}
-    left = [k for k, r in enumerate(sums) if r is not None]
-    return np.stack([sums[k] for k in left]), np.array([many[k] for k in left])
-
-
-def find_classes(train: DataFrame) -> Classes:
-    """Classes of all training texts, as many as shorten the code."""
-    context, none = train.sparkSession.sparkContext, Classes([], np.zeros((1, 0)))
-    counted = train.select("text", F.lit(True).alias("train")).mapInArrow(count_words(context.broadcast(none)), "word binary, cls int, c long")
-    top = counted.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(TELLING).toArrow()
-    words, whole = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-    if not words:
-        return none
-    prior = (whole + 0.5) / (whole.sum() + 0.5 * len(whole))
-    told = train.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(telling_words(context.broadcast(Classes(words, none.odds))), "key long, known long, at binary, n binary")
-    rows = stored(told, "telling")
-
-    def seeded(found: pa.Table) -> np.ndarray:
-        dense = np.zeros((len(found), len(words)))
-        for k, (at, n) in enumerate(zip(found.column("at").to_pylist(), found.column("n").to_pylist())):
-            dense[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
-        return spread(dense, prior)
-
-    def length(sums, many) -> float:
-        return float(code_lengths(sums, many, int(many.sum()), prior).sum())
-
-    def refined(odds: np.ndarray, steps: int):
-        last = math.inf
-        for _ in range(steps):
-            shared = context.broadcast(odds)
-            found = rows.mapInArrow(class_sums(shared), "cls int, at int, n long").groupBy("cls", "at").agg(F.sum("n").alias("n")).toArrow()
-            shared.destroy()
-            cls, at, n = (found.column(x).to_numpy() for x in ("cls", "at", "n"))
-            all_ = np.zeros((len(odds), len(words) + 1))
-            all_[cls, at] = n  # texts are last
-            all_ = all_[all_[:, -1] > 0]
-            sums, many = all_[:, :-1], all_[:, -1]
-            odds, now = spread(sums, prior), length(sums, many)
-            if now > 0.999 * last:
-                break
-            last = now
-        return sums, many
-
-    first = rows.orderBy(F.desc(F.least("known", F.lit(100))), "key", "at", "n").limit(SEEDS).toArrow()
-    best = refined(spread(joined(*refined(seeded(first), STEPS), prior)[0], prior), STEPS // 2)
-    while True:
-        odds = spread(best[0], prior)
-        more = rows.mapInArrow(misfits(context.broadcast(odds)), "gap double, key long, at binary, n binary").orderBy("gap", "key", "at", "n").limit(SEEDS).toArrow()
-        tried = joined(*refined(np.concatenate([odds, seeded(more)]), STEPS // 2), prior)
-        tried = refined(spread(tried[0], prior), 1)
-        if length(*tried) >= 0.999 * length(*best):
-            return Classes(words, odds)
-        best = tried
-
-
-class Lexicon:
-    """Common words with their scores in each class."""
-
-    @staticmethod
-    def packed(rows: pa.Table) -> bytes:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as out:
-            out.write_table(rows)
-        return sink.getvalue().to_pybytes()
-
-    def __init__(self, raw: bytes, classes: Classes):
-        rows = pa.ipc.open_stream(raw).read_all()
-        words, self.number = rows.column("word").to_pylist(), {}
-        at = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64)
-        n = len(self.number)
-        self.known, self.base = np.zeros(n + 1, np.int64), np.zeros(n + 1)
-        self.known[at], self.base[at] = rows.column("c").to_numpy() > 0, rows.column("base").to_numpy()
-        pairs = at * len(classes.odds) + rows.column("cls").to_numpy()
-        order = np.argsort(pairs)
-        self.pairs, self.model = np.append(pairs[order], -1), np.append(rows.column("model").to_numpy()[order], 0.0)  # the last is for pairs that aren't here
-        self.telling = np.array([*(classes.number.get(w, -1) for w in self.number), -1], np.int64)
-        self.classes, self.whole = classes, int((self.telling >= 0).sum()) == len(classes.number)
-
-    def read(self, texts: list[list[bytes]]):
-        """For several texts: classes, known words, base and model scores of the words that are here, and the others' places."""
-        found, starts = numbers(self.number, texts), firsts(texts)
-        kinds = self.classes.best(self.telling[found], starts) if self.whole else np.array(self.classes.of(texts))
-        asked = found * len(self.classes.odds) + np.repeat(kinds, np.diff(starts, append=len(found)))
-        at = np.searchsorted(self.pairs[:-1], asked)
-        here = (found >= 0) & (self.pairs[at] == asked)
-        model = self.model[at]
-        add = lambda x: np.add.reduceat(np.where(here, x, 0), starts)
-        return kinds, add(self.known[found]), add(self.base[found]), add(model), ~here, starts
-
+def text_sums(rows: pa.Table) -> pa.Table:
+    """For applyInArrow over the blobs of ROWS rows: each row's sum."""
+    total, seen = np.zeros(ROWS), np.zeros(ROWS, bool)
+    for many, data in sorted(zip(rows.column("n").to_pylist(), rows.column("data").to_pylist())):
+        low, values = unpacked(data, (np.uint16, many), (np.float32, many))
+        total[low] += values
+        seen[low] = True
+    here = np.flatnonzero(seen)
+    return pa.table({"row": pa.array(here + rows.column("grp")[0].as_py() * ROWS), "coded": pa.array(total[here])})
 
-_LEXICONS: dict = {}
 
+def spell(n: int, v: int):
+    """For applyInArrow over (part, word, c): word, c, base and model, the log10 probabilities of one occurrence."""
+    shape = {"word": pa.binary(), "c": pa.int64(), "base": pa.float64(), "model": pa.float64()}
 
-def score_documents(kinds_shared, shared, name: str):
-    """For mapInArrow over (row, doc_id, held_out, text): a row of sums for each text, and one for each rare word in it."""
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "cls": pa.int32(), "word": pa.binary(), "n": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "model": pa.float64()}
-
-    def pack(columns, n):
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+    def run(rows: pa.Table) -> pa.Table:
+        pairs = sorted(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist()))
+        order = np.random.default_rng(0).permutation(len(pairs))
+        words, counts = [pairs[i][0] for i in order], np.array([pairs[i][1] for i in order], np.float64)
+        closed = [w if w == END else w + b" " for w in words]
+        raw, sizes = np.frombuffer(b"".join(closed), np.uint8), np.array([*map(len, closed)], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at, wide = np.arange(len(raw)) - np.repeat(starts, sizes), raw.astype(np.uint64) + np.uint64(1)
+
+        def last(k: int) -> np.ndarray:
+            """The last k bytes of the word, as a number."""
+            out = np.full(len(raw), k, np.uint64) * C3
+            for j in range(1, k + 1):
+                shifted = np.zeros_like(wide)
+                shifted[j:] = wide[:-j]
+                shifted[at < j] = 0
+                out = (out + shifted) * C1
+            return out
 
-    def run(batches):
-        if name not in _LEXICONS:  # one for each process
-            _LEXICONS.clear()
-            _LEXICONS[name] = Lexicon(shared.value, kinds_shared.value)
-        lexicon = _LEXICONS[name]
-        for batch in batches:
-            for i in range(0, len(batch), GROUP):
-                part = batch.slice(i, GROUP)
-                texts = [tokens(t or b"") for t in part.column(3).cast(pa.binary()).to_pylist()]
-                of, known, base, model, away, starts = lexicon.read(texts)
-                rare, times, many = [], [], []
-                for words, a in zip(texts, starts.tolist()):
-                    counts = Counter(compress(words, away[a : a + len(words)].tolist()))
-                    rare += counts.keys()
-                    times += counts.values()
-                    many.append(len(counts))
-                yield pack({"row": part.column(0), "doc_id": part.column(1), "held_out": part.column(2), "cls": of, "n": [*map(len, texts)], "n_known": known, "base": base, "model": model}, len(part))
-                if rare:
-                    yield pack({"row": part.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), "cls": np.repeat(of, many), "word": rare, "n": times}, len(rare))
+        powers = np.ones(int(sizes.max()), np.uint64)
+        powers[1:] = C2
+        term = wide * np.multiply.accumulate(powers)[at]
+        whole = np.cumsum(term, dtype=np.uint64) - term
+        whole = (whole - np.repeat(whole[starts], sizes)) * C1
+        tree, train, symbol = Tree.bytes(), np.repeat(counts > 0, sizes), raw.astype(np.int64)
+        contexts = [Hashed(c, table_bits(len(raw))) for c in (last(2), last(3), last(5), whole)]
+        for c in contexts:
+            c.count(symbol, train, tree)
+        found = coded(symbol, train, tree, contexts, Mixer([0.2, 0.3, 0.3, 0.3]), Lookups())
+        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts.astype(np.int64)), "base": pa.array(base), "model": pa.array(np.add.reduceat(found, starts))}, schema=pa.schema(list(shape.items())))
 
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scores(docs: DataFrame, reread: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    docs is read several times and its rows must come in the same order each time, as those of a table of files do; say
+    ``reread`` for such a table. Anything else is written to the shared folder first.
+    """
+    docs = docs.select("doc_id", "text")
+    docs = docs if reread else stored(docs, "texts")
     context = docs.sparkSession.sparkContext
     held_out = crc_mod(F.col("doc_id"), FOLDS) == 0
-    found = find_classes(docs.where(~held_out))
-    kinds, many_kinds = context.broadcast(found), len(found.odds)
-
-    counted = docs.select("text", (~held_out).alias("train")).mapInArrow(count_words(kinds), "word binary, cls int, c long")
-    pairs = counted.groupBy("word", "cls").agg(F.sum("c").alias("c"))
-    by = F.sort_array(F.collect_list(F.struct("cls", "c"))).alias("by")  # an entry for each class at most
-    vocabulary = stored(pairs.groupBy("word").agg(F.sum("c").alias("c"), by), "words")
-    head = F.substring("word", 1, HEAD)
-    n, v, many, heads = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*"), F.approx_count_distinct(head)).first()
-    ends = vocabulary.where(F.col("word") == F.lit(END)).select(F.explode("by").alias("k")).select("k.*").collect()  # a row for each class
-    texts = sum(r["c"] for r in ends)
-    code_of = {k: math.log10(0.5 / (texts + 0.5 * many_kinds)) for k in range(many_kinds)} | {r["cls"]: math.log10((r["c"] + 0.5) / (texts + 0.5 * many_kinds)) for r in ends}
-
-    learnt = vocabulary.where("c > 0")
-    met = lambda rows: rows.repartition(max(1, -(-many // PART_WORDS)), head)
-    # each task passes on a table of its own, so there are as few tasks as the words ask for
-    counted = learnt.coalesce(max(1, -(-v // TABLE_WORDS))).mapInArrow(count_contexts(heads), "slot int, zeros long, ones long")
-    dealt = counted.withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("int")).repartition("chunk")
-    slots = dealt.groupBy("chunk", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    codes = slots.select("chunk", "slot", slot_codes(F.col("zeros"), F.col("ones")).alias("codes"))
-    packed = codes.mapInArrow(pack_slots, "chunk int, codes binary").toArrow()  # two bytes for each slot of the tables
-    slots_of = np.zeros(Places(heads).offsets[-1], np.uint16)
-    for chunk, part in zip(packed.column("chunk").to_pylist(), packed.column("codes")):
-        slots_of[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part.as_buffer(), np.uint16)
-    del packed
-    shared = context.broadcast(slots_of)
-    del slots_of
-    found = met(learnt).sortWithinPartitions(F.xxhash64("word"), "word").mapInArrow(learn_mixer(shared, heads), "at int, value double, mass double").groupBy("at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).toArrow()
-    at, value, mass = (found.column(x).to_numpy() for x in ("at", "value", "mass"))
-    cut = GATES * PREDICTORS
-    params, seen = np.zeros(cut + 2 * GATES * BUCKETS), np.zeros(cut + 2 * GATES * BUCKETS)
-    params[at], seen[at] = value, mass
-    weights = np.where(seen[:cut] > 0, params[:cut] / np.maximum(seen[:cut], 1e-9), np.tile(FIRST, GATES)).reshape(GATES, PREDICTORS)
-    words = stored(met(vocabulary).mapInArrow(score_words(shared, weights, params[cut:].reshape(2, -1), n, v, heads), "word binary, cls int, c long, base double, model double"), "scored")
-
-    common = words.where(F.length("word") <= LONG).orderBy(F.desc("c"), "word", "cls").limit(COMMON).toArrow()  # COMMON rows of LONG bytes at most
-    lexicon = context.broadcast(Lexicon.packed(common))
-    del common
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), "text")
-    parts = stored(rows.mapInArrow(score_documents(kinds, lexicon, uuid.uuid4().hex), "row long, doc_id long, held_out boolean, cls int, word binary, n long, n_known long, base double, model double"), "parts")
-    rare = parts.where("word is not null").select("row", "word", "cls", "n").join(words, ["word", "cls"])
+    counted = docs.select("text", (~held_out).alias("train")).mapInArrow(count_words, "word binary, c long, m long")
+    vocabulary = stored(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "words")
+    n, v, every, texts = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("m"))), F.lit(0))).first()
+    eligible = (F.col("c") >= 2) & (F.length("word") <= LONG)
+    common = vocabulary.where(eligible).select("word", "c").orderBy(F.desc("c"), "word").limit(COMMON).toArrow()  # COMMON rows of LONG bytes at most
+    words, counts = common.column("word").to_pylist(), common.column("c").to_numpy()
+    kinds = find_classes(docs.where(~held_out), words[:TELLING], counts[:TELLING].astype(np.float64))
+    hot = {r["word"]: r["m"] for r in vocabulary.where(F.col("m") > HOT).select("word", "m").toArrow().to_pylist()}  # one for each HOT tokens at most
+    if texts > HOT:
+        hot[None] = texts
+    lexicon, name = context.broadcast((words, counts, kinds, hot)), uuid.uuid4().hex
+
+    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), "text")
+    read = placed.mapInArrow(read_documents(lexicon, name, n, v), "row long, doc_id long, held_out boolean, cls int, n long, known long, base double, bytes long, word binary, piece int, counts binary")
+    read = stored(read, "texts-read")
+    shares = {r["cls"]: r["n"] for r in read.where("row is not null and word is null and not held_out").groupBy("cls").agg(F.count("*").alias("n")).collect()}
+    many = len(kinds.odds)
+    code_of = [math.log10((shares.get(k, 0) + 0.5) / (sum(shares.values()) + 0.5 * many)) for k in range(many)]
+
+    by_class = np.zeros((many, len(words) + 1), np.int64)
+    for r in read.where("piece is not null").groupBy("cls", "piece").applyInArrow(merged_counts, "cls int, piece int, counts binary").collect():  # a number for each class and word of the code
+        part = unpacked(r["counts"], (np.int64, -1))[0]
+        by_class[r["cls"], r["piece"] * PIECE : r["piece"] * PIECE + len(part)] = part
+    whole = by_class.sum(0)
+    tree = Tree.huffman(whole)
+    nodes = lambda c: (lambda x: pair_codes(x[:, 0], x[:, 1]))(tree.node_counts(c))
+    model = context.broadcast(((tree.child, tree.code, tree.depth), nodes(whole), np.stack([nodes(c) for c in by_class]), len(words)))
+    del by_class
+
+    parts = max(1, -(-every // PART))
+    sent = placed.select("row", "held_out", "text").mapInArrow(send_tokens(lexicon, name, parts), "part int, first long, tokens int, texts int, data binary")
+    coded_parts = sent.repartition(parts, "part").groupBy("part").applyInArrow(code_tokens(model), "grp long, n int, data binary")
+    by_text = coded_parts.groupBy("grp").applyInArrow(text_sums, "row long, coded double")
+
+    other = vocabulary
+    if words:
+        within = (F.col("c") > int(counts[-1])) | ((F.col("c") == int(counts[-1])) & (F.col("word") <= F.lit(words[-1])))
+        other = vocabulary.where(~(eligible & within))
+    size = other.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0))).first()[0]
+    dealt = other.select(F.pmod(F.xxhash64("word"), F.lit(max(1, -(-size // (11 * SPELLED))))).cast("int").alias("part"), "word", "c")
+    spelled = dealt.groupBy("part").applyInArrow(spell(n, v), "word binary, c long, base double, model double")
+    rare = read.where("word is not null").select("row", "word", "n").join(spelled, "word")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("r_known"), F.sum(F.col("n") * F.col("base")).alias("r_base"), F.sum(F.col("n") * F.col("model")).alias("r_model"))
-    whole = parts.where("word is null").drop("word").join(rare, "row", "left")
-    plus = {x: F.col(x) + F.coalesce(f"r_{y}", F.lit(0)) for x, y in (("n_known", "known"), ("base", "base"), ("model", "model"))}
-    coded = F.element_at(F.array(*(F.lit(code_of[k]) for k in range(many_kinds))), F.col("cls") + 1)
-    return whole.select("doc_id", "held_out", F.col("n").alias("n_tokens"), plus["n_known"].alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus["base"].alias("base_score"), (plus["model"] + coded).alias("score"))
+
+    rows = read.where("row is not null and word is null").drop("word", "piece", "counts").join(by_text, "row", "left").join(rare, "row", "left")
+    add = lambda *xs: sum((F.coalesce(F.col(x), F.lit(0)) for x in xs[1:]), F.col(xs[0]))
+    total = add("coded", "r_model") + F.element_at(F.array(*map(F.lit, code_of)), F.col("cls") + 1)
+    done = rows.select("doc_id", "held_out", F.col("n").alias("n_tokens"), add("known", "r_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base", "r_base").alias("base_score"), total.alias("score"), "bytes")
+    return done.withColumn("bits_per_byte", F.when(F.col("bytes") > 0, -F.col("score") / math.log10(2) / F.col("bytes"))).drop("bytes")
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), reread=True)
 
 
 QUERIES = {"op10_context_mixing": op10_context_mixing}

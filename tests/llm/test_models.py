@@ -1,17 +1,13 @@
 import math
 import os
 import random
-import zlib
-from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.llm import contextmix, forest, html_main, quality
+from tapeworks.llm import forest, html_main, quality
 
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 # quality
@@ -72,137 +68,6 @@ def test_quality_of_edge_cases(spark, edge):
     assert quality.classify(docs, one).agg(F.min("score")).first()[0] > 0.9
 
 
-# language model
-
-
-def plain_base(rows):
-    held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0 for i, _ in rows}
-    words = [(t or "").encode().translate(LOWER).split() + [b"\n"] for _, t in rows]
-    counts = Counter(w for (i, _), ws in zip(rows, words) if not held[i] for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    return sorted((held[i], len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for (i, _), ws in zip(rows, words))
-
-
-def test_base_scores_of_edge_cases(edge):
-    found = contextmix.scores(edge).collect()
-    assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == plain_base([(r["doc_id"], r["text"]) for r in edge.collect()])
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
-    assert contextmix.scores(edge.limit(0)).count() == 0
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-def test_rare_words_take_the_other_way_with_the_same_result(spark, edge, monkeypatch):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    want = {r["doc_id"]: r for r in contextmix.scores(docs).collect()}
-    monkeypatch.setattr(contextmix, "COMMON", 20)
-    for r in contextmix.scores(docs).collect():
-        w = want[r["doc_id"]]
-        assert r["n_known"] == w["n_known"] and r["base_score"] == pytest.approx(w["base_score"]) and r["score"] == pytest.approx(w["score"])
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA.replace("0.001", "0.01")), reason="no tables")
-def test_held_out_texts_score_above_the_base(spark):
-    held = contextmix.scores(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")).where("held_out")
-    row = held.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
-    assert row["score"] > 0.97 * row["base"]
-
-
-def test_probabilities_of_all_continuations_sum_to_one():
-    rng = np.random.default_rng(0)
-    slots = rng.integers(0, 256 * 256, -(-contextmix.OFFSETS[-1] // contextmix.CHUNK) * contextmix.CHUNK).astype(np.uint16)
-    weights, look = rng.normal(0.3, 0.2, (contextmix.GATES, contextmix.PREDICTORS)), contextmix.Lookups()
-    mixer = contextmix.Mixer(weights, None)
-    # the words "x?" with each possible second byte, less the shared first byte and the closing space of each
-    words = [b"x" + bytes([b]) for b in range(256)]
-    total = 0.0
-    for raw, starts, contexts, sizes in contextmix.spelled(words, np.zeros(256, np.int64)):
-        p = np.zeros(len(raw))
-        for bit, at in contextmix.planes(raw, contexts):
-            codes = [slots[s] for s in at]
-            one = mixer.predict([look.odds[c] for c in codes], look.seen[codes[-1]] * 8 + look.seen[codes[-2]])[1]
-            p += np.log(np.where(bit == 1, one, 1 - one))
-        total += np.exp(p[starts + 1]).sum()
-    assert total == pytest.approx(1.0, abs=1e-9)
-
-
-def test_the_model_is_whole_and_every_batch_measures_curvature():
-    assert all(a >= b for a, b in zip(contextmix.SLOT_BITS, (19, 21, 21, 22, 22)))
-    rng, n = np.random.default_rng(1), 50
-    inputs, bit, weight = list(rng.normal(size=(contextmix.PREDICTORS, n))), rng.integers(0, 2, n), rng.random(n)
-    mixer, gate = contextmix.Mixer(), np.full(n, 5)
-    want = contextmix.RIDGE * np.eye(contextmix.PREDICTORS)
-    for _ in range(3):
-        p = mixer.predict(inputs, gate)[0]
-        want = want + np.einsum("in,jn,n->ij", inputs, inputs, p * (1 - p) * weight)
-        mixer.learn(inputs, gate, bit, weight)
-        assert mixer.curves[5] == pytest.approx(want)
-
-
-def test_counts_over_the_largest_code_keep_their_ratio(spark):
-    pairs = [(10**9, 10**8), (10**8, 10**9), (4 * 10**9, 4 * 10**9), (10**11, 3 * 10**7), (7, 0), (10**9, 0)]
-    rows = spark.createDataFrame(pairs, "zeros long, ones long").select("zeros", "ones", contextmix.slot_codes(F.col("zeros"), F.col("ones")).alias("c")).collect()
-    odds = contextmix.Lookups().odds
-    for x in rows:
-        if x["zeros"] and x["ones"]:
-            assert odds[x["c"]] == pytest.approx(math.log(x["ones"] / x["zeros"]), abs=0.07)
-    small = next(x["c"] for x in rows if x["zeros"] == 7)
-    assert small == 7 * 256 and odds[next(x["c"] for x in rows if (x["zeros"], x["ones"]) == (10**9, 0))] < -20
-
-
-def test_small_counts_add_to_large_ones():
-    by = pa.array([[{"cls": 0, "c": 1 << 25}], [{"cls": 0, "c": 1}], [{"cls": 0, "c": 1}]], pa.list_(pa.struct([("cls", pa.int32()), ("c", pa.int64())])))
-    batch = pa.RecordBatch.from_arrays([pa.array([b"aa", b"ab", b"ac"], pa.binary()), pa.array([1 << 25, 1, 1], pa.int64()), by], names=["word", "c", "by"])
-    found = pa.Table.from_batches(contextmix.count_contexts(1)([batch]))
-    counts = [z + o for z, o in zip(found.column("zeros").to_pylist(), found.column("ones").to_pylist())]
-    assert max(counts) == (1 << 25) + 2
-
-
-def vocabulary(counts):
-    by = pa.array([[{"cls": 0, "c": c}] for c in counts.values()], pa.list_(pa.struct([("cls", pa.int32()), ("c", pa.int64())])))
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64()), by], names=["word", "c", "by"])
-
-
-def test_every_word_counts_in_whole_word_contexts_however_many_there_are():
-    def seen(word, batch):
-        places, own = contextmix.own_tables([batch], 1)
-        n = contextmix.kept_counts()
-        raw, starts, contexts, sizes = next(contextmix.spelled([word], np.zeros(1, np.int64)))
-        late = places.late(starts, sizes)
-        found = []
-        for bit, slots in contextmix.planes(raw, contexts, *places.of(starts, sizes)):
-            for slot in slots[contextmix.SHALLOW :]:
-                code = own[slot[late] - places.offsets[-1]]
-                found.append(np.where(bit[late] == 1, n[code % 256], n[code // 256]))
-        return np.array(found)
-
-    few = {b"prefix" + b"%06d" % i: 5 for i in range(50)}
-    many = {b"prefix" + b"%06d" % (i * 7919 % 1_000_000): 1 + i % 3 for i in range(100_000)}
-    assert (seen(b"prefix000007", vocabulary(few)) >= 5).all()
-    assert (seen(b"prefix" + b"%06d" % (77 * 7919 % 1_000_000), vocabulary(many)) >= 1).all()
-    assert contextmix.Places(1, 10**6, 10**6).own_offsets[-1] >= 16 * 10**6 and contextmix.Places(1 << 20).offsets[-1] > 3 * contextmix.OFFSETS[-1]
-    assert not hasattr(contextmix, "DEEP")
-
-
-def test_a_task_has_the_tables_that_the_driver_would_make(spark):
-    rng = np.random.default_rng(2)
-    pairs = (10 ** rng.uniform(0, 11, (500, 2))).astype(np.int64)
-    rows = spark.createDataFrame(pairs.tolist(), "zeros long, ones long").select(contextmix.slot_codes(F.col("zeros"), F.col("ones")).alias("c")).collect()
-    assert contextmix.plain_codes(pairs).tolist() == [r["c"] for r in rows]
-
-
-def test_classes_come_from_all_texts_and_a_rare_language_gets_its_own(spark):
-    rng = random.Random(3)
-    common = [[f"{x}{i}" for i in range(60)] for x in "ab"]
-    rare = [f"r{i}" for i in range(30)]
-    n = 4000
-    texts = [" ".join(rng.choices(rare if i % 200 == 7 else common[i % 2], k=60)) for i in range(n)]
-    found = contextmix.find_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    kinds = [found.of([contextmix.tokens(t.encode())])[0] for t in texts]
-    groups = [{k for i, k in enumerate(kinds) if (2 if i % 200 == 7 else i % 2) == g} for g in range(3)]
-    assert groups[0].isdisjoint(groups[1] | groups[2]) and groups[1].isdisjoint(groups[2])
-    assert len(found.odds) == 3
-
-
 # nearest neighbours
 
 
