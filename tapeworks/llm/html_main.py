@@ -1,178 +1,75 @@
 """HTML main text: a linear-chain conditional random field over the leaf blocks of a page, decoded by Viterbi.
 
-A page is read once, forgivingly: open paragraphs and list items end where the next block begins, a closing tag ends all
-that is open inside its element, and what never closes ends with the page. A leaf block is the text between two block
-boundaries. Its features are its ancestors' tags and the kinds of words in their class, id and role attributes, and measures
-of its text: length, links, marks, capitals, place on the page. The field labels every block main text or not.
+The features of a leaf block (``html_blocks``) are its ancestors' tags and the kinds of words in their class, id and role attributes,
+the share of the page's prose that stands in the same container, and measures of its text: length, links, marks, capitals, place on
+the page. The field labels every block main text or not.
 
-The tables hold no labels, so the field is trained on ``PAGES`` labelled pages that ``labelled_page`` lays out at random:
-articles with and without semantic tags, among menus, headers, footers, side columns, notices, adverts, forms and comments,
-inside and around the article, well and badly nested. The fit is the same in every run.
+The tables hold no labels, so the field is trained on ``PAGES`` labelled pages that ``html_layouts`` lays out at random. The fit is the
+same in every run.
 
 Defined results: null and empty pages, and pages without main text, give the empty text; character references are decoded;
 every run of white space in a block becomes one space; blocks of white space alone are no blocks; pages of any length are
-read whole; repeated rows are treated alike; an empty table gives an empty result; other columns are kept.
+read whole; repeated rows are treated alike; an empty table gives an empty result; other columns are kept;
+a table with a column text or n_chars is refused, as these would be overwritten.
 """
 
 from __future__ import annotations
 
 import functools
-import html
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.llm.html_blocks import KINDS, TAGS, Node, blocks
+from tapeworks.llm.html_layouts import labelled_page
 from tapeworks.llm.quality import marginals
-from tapeworks.llm.util import table
+from tapeworks.llm.util import new_columns, table
 
-PAGES, SEED = 700, 11
-ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-PART = re.compile(r"[A-Za-z]+")
-VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
-HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "textarea", "canvas", "math"}
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
-#: Elements that part blocks.
-BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-#: What a new element ends, if it is the innermost open block.
-ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-TAGS = "article main section nav header footer aside form ul ol li table h1 h2 h3 p div a button label select figure blockquote pre".split()
-#: Kinds of words in class, id and role, by their first letters.
-KINDS = {
-    "advert": ("ad", "ads", "advert", "adv", "sponsor", "promo", "banner", "outbrain", "taboola"),
-    "comments": ("comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "thread"),
-    "notice": ("cookie", "consent", "notice", "gdpr", "alert", "modal", "popup", "overlay", "privacy", "paywall", "toast"),
-    "side": ("sidebar", "side", "aside", "widget", "related", "recommend", "complementary", "trending", "popular", "recirc"),
-    "menu": ("menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "tabs", "toolbar", "pagination", "pager", "toc", "skip"),
-    "head": ("header", "masthead", "topbar", "logo", "branding", "hero"),
-    "foot": ("footer", "foot", "copyright", "colophon", "legal", "contentinfo", "bottom"),
-    "form": ("form", "login", "signup", "subscribe", "newsletter", "search", "contact"),
-    "share": ("share", "social", "follow", "tags", "meta", "byline", "author", "bio"),
-    "main": ("article", "content", "main", "post", "entry", "story", "body", "text", "articlebody", "prose"),
-}
-KIND_OF = {w: k for k, words in KINDS.items() for w in words}
+PAGES, SEED = 1200, 11
+ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
 TEXT_FEATURES = 12
-FEATURES = len(TAGS) + 2 * len(KINDS) + TEXT_FEATURES + 2
-
-
-@functools.lru_cache(maxsize=4096)
-def kinds_of(attributes: str) -> frozenset:
-    return frozenset(KIND_OF[w] for value in ATTRIBUTE.findall(attributes) for part in PART.findall(value) if (w := part.lower()) in KIND_OF)
-
-
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """Leaf blocks as (text, open elements as (tag, kinds), characters inside links)."""
-    found: list = []
-    stack: list[tuple[str, frozenset]] = []
-    pieces: list[str] = []
-    linked = hidden = anchors = at = 0
-
-    def flush():
-        nonlocal linked
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                found.append((text, tuple(stack), linked))
-            pieces.clear()
-        linked = 0
-
-    def add(text: str):
-        nonlocal linked
-        if text and not hidden:
-            pieces.append(text)
-            if anchors:
-                linked += len(text)
-
-    def pop(to: int):
-        nonlocal hidden, anchors
-        for tag, _ in stack[to:]:
-            hidden -= tag in HIDDEN
-            anchors -= tag == "a"
-        del stack[to:]
+PLACE_FEATURES = 6
+FEATURES = len(TAGS) + 2 * len(KINDS) + PLACE_FEATURES + TEXT_FEATURES + 1
 
-    while m := TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                add(" ")
-                continue
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if where >= 0:
-                if any(t in BLOCKS for t, _ in stack[where:]):
-                    flush()
-                pop(where)
-            continue
-        if tag == "br" or tag == "wbr":
-            add(" " * (tag == "br"))
-            continue
-        if tag in BLOCKS:
-            flush()
-            ends = ENDS.get(tag, {"p"})
-            # inline elements left open end with the block that they stand in
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), -1)
-            while inner >= 0 and stack[inner][0] in ends:
-                pop(inner)
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), -1)
-        elif tag == "body" or tag == "head":
-            flush()
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag == "body":
-            pop(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
-        stack.append((tag, kinds_of(m[3]) if "=" in m[3] else frozenset()))
-        hidden += tag in HIDDEN
-        anchors += tag == "a"
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag not in HIDDEN:
-                add(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-            pop(len(stack) - 1)
-    add(page[at:])
-    flush()
-    return found
 
-
-def block_features(found: list[tuple[str, tuple, int]]) -> np.ndarray:
+def block_features(found: list[tuple[str, Node, int]]) -> np.ndarray:
+    """Of each block: its ancestors' tags and kinds, its place among them, its text."""
     x = np.zeros((len(found), FEATURES))
-    for i, (text, stack, linked) in enumerate(found):
-        tags = {t for t, _ in stack}
-        x[i, : len(TAGS)] = [t in tags for t in TAGS]
-        kinds = set().union(*(k for _, k in stack))
-        nearest = next((k for _, k in reversed(stack) if k), frozenset())
-        at = len(TAGS)
-        x[i, at : at + len(KINDS)] = [k in kinds for k in KINDS]
-        x[i, at + len(KINDS) : at + 2 * len(KINDS)] = [k in nearest for k in KINDS]
-        names = [t for t, _ in stack]
-        core = max((j for j, t in enumerate(names) if t in ("article", "main")), default=-1)
-        inside = core >= 0 and not any(t in ("nav", "footer", "aside", "form") for t in names[core + 1 :])
-        words, n = text.count(" ") + 1, len(text)
-        x[i, at + 2 * len(KINDS) : -2] = (
+    bits = lambda values, n: np.array(values, np.int64)[:, None] >> np.arange(n) & 1
+    at = len(TAGS) + 2 * len(KINDS)
+    x[:, :at] = np.hstack([bits([n.tags for _, n, _ in found], len(TAGS)), bits([n.kinds for _, n, _ in found], len(KINDS)), bits([n.nearest for _, n, _ in found], len(KINDS))])
+    prose: dict = {}
+    for text, node, linked in found:
+        if len(text) > 60 and linked < 0.3 * len(text):
+            prose[id(node.home)] = prose.get(id(node.home), 0) + len(text)
+    whole, most = max(1, sum(prose.values())), max(prose.values(), default=0)
+    core_page = any(n.core for _, n, _ in found)
+    for i, (text, node, linked) in enumerate(found):
+        words, n, here = text.count(" ") + 1, len(text), prose.get(id(node.home), 0)
+        x[i, at:-1] = (
+            node.core and not node.off,
+            node.core and node.off,
+            not node.core and node.off,
+            core_page and not node.core,
+            here / whole,
+            here > 0 and here == most,
             min(np.log1p(words), 6) / 3,
             min(1.0, linked / n),
             min(1.0, 10 * sum(map(text.count, ".,;:!?")) / n),
             text[-1] in ".!?\"'",
             text[0].isupper(),
             "©" in text or "(c)" in text,
-            inside,
-            core >= 0 and not inside,
             words < 4,
             words > 20,
+            linked > 0.8 * n,
             i / len(found),
             i == 0,
+            i == len(found) - 1,
         )
-        x[i, -2] = any(t in ("nav", "footer", "aside", "form") for t in names) and core < 0
-        x[i, -1] = 1.0
+    x[:, -1] = 1.0
     return x
 
 
@@ -180,7 +77,7 @@ def features(pages: list[list]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all pages' blocks with those of the neighbours' text, and the pages' first blocks."""
     starts = np.cumsum([0, *map(len, pages)])
     own = np.concatenate([block_features(p) for p in pages]) if starts[-1] else np.zeros((0, FEATURES))
-    text = own[:, -2 - TEXT_FEATURES : -2]
+    text = own[:, -1 - TEXT_FEATURES : -1]
     before, after = np.zeros_like(text), np.zeros_like(text)
     before[1:], after[:-1] = text[:-1], text[1:]
     edges = starts[:-1][np.diff(starts) > 0]
@@ -214,102 +111,6 @@ def viterbi(scores: np.ndarray, stay: np.ndarray, starts: np.ndarray) -> np.ndar
     return labels
 
 
-# labelled pages to learn from
-
-
-def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page laid out at random, and the texts of its main blocks in order."""
-    word = lambda: "".join(rng.choice("tahesionrdlcumpébgz") for _ in range(rng.randint(1, 9)))
-    main: list[str] = []
-
-    def prose(low=3, high=90) -> str:
-        words = [word() for _ in range(rng.randint(low, high))]
-        text = " ".join(w + rng.choice(["", "", "", "", "", ",", ".", "***", "!!"]) for w in words) if rng.random() < 0.15 else " ".join(w + ("," if rng.random() < 0.08 else ". " + word().capitalize() if rng.random() < 0.07 else "") for w in words)
-        text = text[:1].upper() + text[1:]
-        return text + rng.choice([".", ".", ".", ""])
-
-    def short(low=1, high=5) -> str:
-        return " ".join(word() for _ in range(rng.randint(low, high)))
-
-    def keep(text: str) -> str:
-        main.append(text)
-        return text
-
-    def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{rng.choice([str, str.title])(short(1, 3))}</a></li>' for _ in range(n)) + "</ul>"
-
-    def named(*names) -> str:
-        return f' class="{rng.choice(names)}"'
-
-    def menu() -> str:
-        return rng.choice([f"<nav>{links(rng.randint(2, 9))}</nav>", f"<div{named('menu', 'navbar', 'main-nav', 'breadcrumbs')}>{links(rng.randint(2, 8))}</div>"])
-
-    def header() -> str:
-        inner = rng.choice([f"<a href='/'>{short()}</a>", f"<h1>{short()}</h1><p>{prose(2, 12)}</p>", f"<div class='logo'>{short()}</div>" + links(4), f"<p>{prose(2, 15)}</p>"])
-        return rng.choice([f"<header>{inner}</header>", f"<div{named('site-header', 'masthead', 'topbar')}>{inner}</div>"])
-
-    def footer() -> str:
-        inner = rng.choice([f"&copy; {word()}.example &middot; {prose(3, 25)}", f"<p>{prose(3, 25)}</p>{links(3)}", f"<p>(c) {short()}</p>"])
-        return rng.choice([f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", f"<div{named('footer', 'site-footer', 'copyright')}>{inner}</div>"])
-
-    def aside() -> str:
-        inner = rng.choice([f"<h3>{short()}</h3>{links(rng.randint(2, 6))}", f"<h3>{short()}</h3><p>{prose(4, 40)}</p>", f"<p>{prose(4, 40)}</p>"])
-        return rng.choice([f"<aside>{inner}</aside>", f"<div{named('sidebar', 'widget', 'related', 'side-column')}>{inner}</div>"])
-
-    def advert() -> str:
-        return f"<!-- ad {rng.randint(0, 999)} --><div{named('ad', 'ads', 'advert', 'banner', 'sponsored promo')}>{rng.choice([prose(2, 40), '<p>' + prose(2, 40) + '</p>'])}</div>"
-
-    def notice() -> str:
-        inner = rng.choice([f"<p>{prose(4, 30)}</p><button>{short(1, 2)}</button>", prose(4, 30)])
-        return f"<div{named('cookie-notice', 'consent', 'alert', 'notice', 'gdpr-banner', 'modal')}>{inner}</div>"
-
-    def form() -> str:
-        return f"<form{rng.choice(['', named('search', 'login', 'newsletter', 'subscribe')])}><label>{short()}</label><input name=a><p>{prose(3, 20)}</p><button>{short(1, 2)}</button></form>"
-
-    def comments() -> str:
-        one = lambda: f"<div{named('comment', 'reply')}><b>{short(1, 2)}</b><p>{prose(4, 50)}</p></div>"
-        inner = f"<h3>{short()}</h3>" + "".join(one() for _ in range(rng.randint(1, 5)))
-        return rng.choice([f"<section{named('comments', 'discussion')}>{inner}</section>", f"<div id='comments'>{inner}</div>"])
-
-    def paragraph() -> str:
-        kind, text = rng.random(), prose()
-        if kind < 0.55:
-            return f"<p>{keep(text)}</p>"
-        if kind < 0.75:
-            return f"<p><b>{keep(text)}<br>"
-        if kind < 0.8:
-            return f"<p>{keep(text)}"
-        if kind < 0.86:
-            return f"<h2>{keep(short(1, 8))}</h2>"
-        if kind < 0.91:
-            return "<ul>" + "".join(f"<li>{keep(prose(3, 25))}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
-        if kind < 0.95:
-            return f"<blockquote>{keep(text)}</blockquote>"
-        return f'<p>{keep(f"{text} {(a := short())} {text}").replace(a, f"<a href=/x>{a}</a>", 1)}</p>'
-
-    def article() -> str:
-        kind = rng.random()
-        head = "" if kind < 0.2 else f"<h1>{keep(prose(2, 14))}</h1>" if kind < 0.8 else f"<header><h1>{keep(prose(2, 14))}</h1></header>"
-        parts = []
-        for _ in range(rng.randint(1, 9)):
-            parts.append(paragraph())
-            if rng.random() < 0.08:
-                parts.append(rng.choice([advert, aside, form, notice])())
-        body = head + "".join(parts)
-        if rng.random() < 0.15:
-            body += comments()
-        return rng.choice([f"<article>{body}</article>"] * 5 + [f"<main><article>{body}</article></main>", f"<main>{body}</main>", f"<div{named('content', 'post-body', 'article-content', 'entry', 'story')}>{body}</div>", f"<div id='main'>{body}</div>"])
-
-    above = [f() for f in (notice, header, menu, advert, form, aside) if rng.random() < 0.5]
-    rng.shuffle(above)
-    core = article() if rng.random() < 0.95 else ""
-    below = [f() for f in (advert, comments, aside, form, menu) if rng.random() < 0.3]
-    rng.shuffle(below)
-    page = f'<!DOCTYPE html><html lang="en"><head><title>{short(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
-    page += "".join(above) + core + "".join(below) + (footer() if rng.random() < 0.85 else "")
-    return page + rng.choice(["</body></html>", "</body></html>", ""]), [" ".join(t.split()) for t in main]
-
-
 def labels_of(found: list, main: list[str]) -> list[int]:
     """1 for the blocks that are the main texts, met in order."""
     out, i = [], 0
@@ -366,7 +167,8 @@ def main_text(column: Column) -> Column:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages with the columns text and n_chars."""
+    """pages with the columns text and n_chars, which pages may not have already."""
+    new_columns(pages, "text", "n_chars")
     return pages.withColumn("text", main_text(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_columns(df: DataFrame, *names: str) -> None:
+    """Refuses a table that already has columns that an operator adds."""
+    taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if taken:
+        raise ValueError(f"columns {', '.join(taken)} would be overwritten: rename them first")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

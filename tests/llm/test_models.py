@@ -1,12 +1,14 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.llm import forest, html_main, quality
+from tapeworks.llm import forest, html_blocks, html_main, quality
+from tapeworks.llm.html_layouts import labelled_page
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -126,9 +128,54 @@ def test_recall_on_the_table(spark):
 
 def test_held_out_pages():
     rng, weights = random.Random(99), html_main.model()
-    pages = [html_main.labelled_page(rng) for _ in range(200)]
+    pages = [labelled_page(rng) for _ in range(300)]
     found = html_main.main_texts([p for p, _ in pages], weights)
-    assert sum(a == "\n\n".join(m) for a, (_, m) in zip(found, pages)) >= 190
+    assert sum(a == "\n\n".join(m) for a, (_, m) in zip(found, pages)) >= 280
+
+
+A, B, C = "The first paragraph of this text is long enough to be read.", "A second one follows it here, with a comma and a full stop.", "At last there is a third, which closes what was begun."
+LINKS = "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/about/>About us</a></ul>"
+BY_HAND = {
+    "article": (f"<nav>{LINKS}</nav><article><h1>Title</h1><p>{A}<p>{B}</article><footer>&copy; 2020 Firm</footer>", ["Title", A, B]),
+    "main": (f"<header><a href=/>Logo</a></header><main><h1>Title</h1><p>{A}</p><h2>Part</h2><p>{B}</p></main><aside><h3>Related</h3>{LINKS}</aside>", ["Title", A, "Part", B]),
+    "hinted div": (f"<div class=menu>{LINKS}</div><div class='post-content'><p>{A}</p><blockquote>{B}</blockquote></div><div class=footer>Some words of the firm, 2020.</div>", [A, B]),
+    "plain div": (f"<div>{LINKS}</div><div><h1>Title</h1><p>{A}</p><p>{B}</p></div>", ["Title", A, B]),
+    "table cell": (f"<table><tr><td>{LINKS}</td><td><h2>Title</h2><p>{A}<p>{B}<p>{C}</td></tr></table>", ["Title", A, B, C]),
+    "breaks in a div": (f"<div><a href=/>Home</a> | <a href=/x>About</a> | <a href=/y>News</a></div><div>{A}<br><br>{B}</div>", [f"{A} {B}"]),
+    "body": (f"<div class=nav>{LINKS}</div><h1>Title</h1><p>{A}</p><p>{B}</p><p>{C}</p><div class=copyright>(c) Firm</div>", ["Title", A, B, C]),
+    "comments inside": (f"<article><h1>Title</h1><p>{A}</p><p>{B}</p><section class='comments'><h3>2 comments</h3><p>I liked this one very much, thanks for it.</p></section></article>", ["Title", A, B]),
+    "form inside": (f"<article><h1>Title</h1><p>{A}</p><form action=x><p>Tell us what you think of this text and all the others.</p><input name=a><button>Send</button></form><p>{B}</p></article>", ["Title", A, B]),
+    "comments after": (f"<main><p>{A}</p><p>{B}</p></main><div id=comments><div class=comment><b>Bob</b><p>I liked this one very much, thanks for it.</p></div></div>", [A, B]),
+    "notice and advert": (f"<div class='cookie-consent'><p>We use cookies to give you more of them, as you know.</p><button>Yes</button></div><div class=ad>Buy one of these now, and one more.</div><article><p>{A}</p><div class='ad-slot'>Buy one of those now, too.</div><p>{B}</p></article>", [A, B]),
+    "list": (f"<nav>{LINKS}</nav><article><h1>Title</h1><p>{A}</p><ol><li>{B}</li><li>{C}</li></ol></article>", ["Title", A, B, C]),
+    "hidden": (f"<article><p>{A}</p><p style='display:none'>Not to be seen by anybody who reads this.</p><template><p>{C}</p></template><p>{B}</p></article>", [A, B]),
+    "inner markup": (f"<article><p>An <em>inner <a href=/x/>link</a></em>, a line<br>break, &lt;code&gt; &amp; more&nbsp;of it in a long text.<p>{B}</article>", ["An inner link, a line break, <code> & more of it in a long text.", B]),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_layouts_by_hand(name):
+    page, want = BY_HAND[name]
+    assert html_main.main_texts([f"<html><head><title>x</title></head><body>{page}</body></html>"], html_main.model())[0].split("\n\n") == want
+
+
+HOSTILE = {
+    "open tags": "<a " * 330_000, "nested": "<div>x" * 170_000, "quotes": '<a "> "' * 140_000, "odd quotes": "<a x=\"'" * 120_000, "strays": "<div>" * 50_000 + "</x>" * 100_000 + "</p>" * 50_000, "inline": "<b>" * 300_000, "less": "<" * 1_000_000,
+    "lists": "<ul><li>" * 100_000, "comment": "<!--" * 250_000, "raw": "<script>" * 120_000, "references": "&#" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_broken_pages_take_time_in_proportion(name):
+    start = time.process_time()
+    html_blocks.blocks(HOSTILE[name])
+    assert time.process_time() - start < 6
+
+
+def test_blocks_of_deep_pages_share_their_ancestors():
+    found = html_blocks.blocks("<div>x" * 3000)
+    assert len(found) == 3000 and html_main.features([found])[0].shape == (3000, html_main.FEATURES + 2 * html_main.TEXT_FEATURES)
+    assert [(t, n) for t, _, n in html_blocks.blocks("<p><a href=/x/>in</a> out</p><a href='/y'/>t</a>")] == [("in out", 2), ("t", 0)]
 
 
 def test_pages_by_hand(spark):
@@ -137,11 +184,13 @@ def test_pages_by_hand(spark):
         ("<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>A&amp;B title here</h1><p>First  para&shy;graph of\n the text, with an <a href=x>inner link</a> in it.<p>Second paragraph &lt;b&gt; it is, and long enough.</article><footer>&copy; 2020 Some company</footer>",
          "A&B title here\n\nFirst para\xadgraph of the text, with an inner link in it.\n\nSecond paragraph <b> it is, and long enough."),
     ]
-    rows = spark.createDataFrame([(i, f"u{i}", h, "x") for i, (h, _) in enumerate(cases)] + [(0, "u0", None, "y")], "page_id long, url string, html string, text string")
+    rows = spark.createDataFrame([(i, f"u{i}", h, "x") for i, (h, _) in enumerate(cases)] + [(0, "u0", None, "y")], "page_id long, url string, html string, note string")
     found = html_main.extract(rows).collect()
     assert sorted((r["page_id"], r["text"]) for r in found) == sorted([(i, t) for i, (_, t) in enumerate(cases)] + [(0, "")])
-    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    assert all(r["n_chars"] == len(r["text"]) for r in found) and {r["note"] for r in found} == {"x", "y"}
     assert html_main.extract(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="text"):
+        html_main.extract(rows.withColumn("text", F.lit(1)))
 
 
 def test_a_very_long_page():
