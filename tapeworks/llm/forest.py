@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue over all trees, exact reranking.
 
 Nearness is the inner product; vectors are extended by sqrt(M^2 - |x|^2) so that it becomes an angle, and a node's plane
-passes midway between two random points of its sample. The trees are fitted on at most ``SAMPLE`` distinct vectors, those
+passes midway between two random points of its sample. The trees are fitted on about ``SAMPLE`` distinct vectors, those
 that hash lowest; every vector is then sent down every tree. A query descends all trees at once from one queue ordered by
 the margin to the planes passed on the wrong side, and takes leaves until these hold ``SHARE`` of the sample, counting a
 vector once for each tree. Vectors spread evenly over a sphere, as the test tables' are, have no close neighbours that a
@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,58 +115,66 @@ def rows_of(column: pa.Array) -> np.ndarray:
 
 
 def index_leaves(shared):
-    """For mapInArrow over (point, vector): point, vector, tree, leaf, for every tree."""
+    """For mapInArrow over (point, vector): point, vector, and the leaf in each tree."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                leaves, n = shared.value.leaves(rows_of(batch.column(1))), len(batch)
-                take = pa.array(np.repeat(np.arange(n), TREES))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array(leaves.ravel())], names=["point", "vector", "tree", "leaf"])
+                leaves = shared.value.leaves(rows_of(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(0, leaves.size + 1, TREES, dtype=np.int32), leaves.ravel())], names=["point", "vector", "leaves"])
 
     return run
 
 
 def query_leaves(shared):
-    """For mapInArrow over (point, vector): the same with the leaves that a search takes."""
+    """For mapInArrow over (point, vector): the same with the leaves that a search takes, as tree + TREES * leaf."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                found = [shared.value.search(q) for q in rows_of(part.column(1))]
-                take = pa.array(np.repeat(np.arange(len(part)), [len(f) for f in found]))
-                both = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["point", "vector", "tree", "leaf"])
+            if len(batch):
+                found = [[t + TREES * leaf for t, leaf in shared.value.search(q)] for q in rows_of(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["point", "vector", "taken"])
 
     return run
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row: larger scores first, ties to the smaller id."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
+    return order[:, :k]
+
+
 def meet(k: int):
     """For cogrouped blocks of queries and index: the k + 1 best points of the block for each query."""
+    shape = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
 
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
         if not len(queries) or not len(index):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, ids = np.stack(index["vector"]).astype(np.float64), index["point"].to_numpy()
-        out = []
+            return shape.empty_table()
+        x, ids = rows_of(index.column("vector")), index.column("point").to_numpy()
+        names, n, out = queries.column("point").to_numpy(), min(k + 1, len(index)), []
+        reach = np.sqrt((x**2).sum(1).max())
         for i in range(0, len(queries), 256):
-            part = queries.iloc[i : i + 256]
-            q = np.stack(part["vector"]).astype(np.float64)
+            q = rows_of(queries.column("vector").slice(i, 256))
             scores = q @ x.T
-            n = min(k + 1, len(ids))
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            # again one by one: equal vectors get equal scores, wherever they are met
-            exact = np.einsum("id,ijd->ij", q, x[best])
-            out.append(pd.DataFrame({"query": np.repeat(part["point"].to_numpy(), n), "point": ids[best].ravel(), "score": exact.ravel()}))
-        return pd.concat(out)
+            least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+            # whatever rounding may have put below the last of the best takes part; then scores are summed one by one, so that
+            # equal vectors get equal scores wherever they are met
+            near = scores >= (least - 1e-12 * reach * np.sqrt((q**2).sum(1)))[:, None]
+            width = int(near.sum(1).max())
+            some = np.argpartition(-scores, width - 1, axis=1)[:, :width] if width < len(ids) else np.broadcast_to(np.arange(len(ids)), scores.shape)
+            exact = np.stack([np.einsum("d,jd->j", a, x[at]) for a, at in zip(q, some)])
+            best = best_of(exact, ids[some], n)
+            out.append((np.repeat(names[i : i + 256], n), np.take_along_axis(ids[some], best, 1).ravel(), np.take_along_axis(exact, best, 1).ravel()))
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=shape)
 
     return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id and vector (floats as they are, other numbers as doubles) of the rows that take part."""
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = F.col("embedding").cast(f"array<{kind if kind == 'float' else 'double'}>")
     good = F.size(v) > 0
     good &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     found = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(good, F.lit(False))).select("vec_id", v.alias("vector"))
@@ -184,25 +191,30 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     small = rows.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(ids.alias("ids"))
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     points = stored(small.groupBy("vector").agg(merged.alias("ids")).select(F.element_at("ids", 1).alias("point"), "vector", "ids"), "points")
-    sample = points.orderBy(F.xxhash64("point"), "point").select("vector").limit(SAMPLE).toArrow()
+    many = points.count()
+    place = F.pmod(F.xxhash64("point"), F.lit(1 << 40))
+    sample = points.where(place <= F.lit(int((1 << 40) * min(1.0, SAMPLE / max(many, 1))))).select("point", "vector").toArrow().sort_by("point")  # about SAMPLE rows
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    forest = context.broadcast(Forest(rows_of(sample.column(0))))
-    shape = "point long, vector array<double>, tree int, leaf int"
-    index = stored(points.select("point", "vector").mapInArrow(index_leaves(forest), shape), "index")
+    forest = context.broadcast(Forest(rows_of(sample.column(1))))
+    kind = points.schema["vector"].dataType.simpleString()
+    index = stored(points.select("point", "vector").mapInArrow(index_leaves(forest), f"point long, vector {kind}, leaves array<int>"), "index")
 
     asking = rows.where(F.col("vec_id") % every == 0)
     owners = stored(asking.join(points.select("point", F.col("vector").alias("v")), F.col("vector") == F.col("v")).select("vec_id", "point").distinct(), "owners")
-    searched = points.join(owners.select("point").distinct(), "point", "left_semi").select("point", "vector").mapInArrow(query_leaves(forest), shape)
-    searched = stored(searched, "searched")
-    blocks = lambda df, name: df.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    counts = F.broadcast(stored(blocks(index, "n_index").join(blocks(searched, "n_asking"), ["tree", "leaf"]), "blocks"))  # at most the sample's leaves
+    searched = points.join(owners.select("point").distinct(), "point", "left_semi").select("point", "vector")
+    searched = stored(searched.mapInArrow(query_leaves(forest), f"point long, vector {kind}, taken array<int>"), "searched")
+    # a vector is written once; it goes to a leaf only when dealt out to it
+    asked = searched.select("point", "vector", F.explode("taken").alias("leaf"))
+    held = index.select("point", "vector", F.posexplode("leaves").alias("tree", "own")).withColumn("leaf", F.col("tree") + TREES * F.col("own"))
+    blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    counts = F.broadcast(stored(blocks(held, "n_index").join(blocks(asked, "n_asking"), "leaf"), "blocks"))  # at most the sample's leaves
     salt = lambda n: F.pmod(F.xxhash64("point"), F.col(n)).cast("int")
-    many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = searched.join(counts, ["tree", "leaf"]).withColumn("a", salt("n_asking")).withColumn("b", many("n_index"))
-    right = index.join(counts, ["tree", "leaf"]).withColumn("b", salt("n_index")).withColumn("a", many("n_asking"))
-    keys = ["tree", "leaf", "a", "b"]
-    met = left.select(*keys, "point", "vector").groupBy(*keys).cogroup(right.select(*keys, "point", "vector").groupBy(*keys)).applyInPandas(meet(k), "query long, point long, score double")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["leaf", "a", "b"]
+    left = asked.join(counts, "leaf").withColumn("a", salt("n_asking")).withColumn("b", each("n_index")).select(*keys, "point", "vector")
+    right = held.join(counts, "leaf").withColumn("b", salt("n_index")).withColumn("a", each("n_asking")).select(*keys, "point", "vector")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet(k), "query long, point long, score double")
     best = met.groupBy("query", "point").agg(F.max("score").alias("score"))
     top = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))).where(F.col("place") <= k + 1)
     named = stored(top.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id")), "named")

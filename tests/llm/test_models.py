@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,38 @@ def test_recall_on_the_table(spark):
     assert hits / n >= 0.9
 
 
+def test_ties_go_to_the_smaller_id_in_every_block():
+    rng = np.random.default_rng(3)
+    # distinct vectors with one inner product: only the first component counts
+    rows = np.hstack([np.ones((3000, 1)), rng.integers(0, 100, (3000, 7)).astype(float)])
+    ids = rng.permutation(3000)
+    index = pa.table({"point": ids, "vector": pa.array(rows.tolist())})
+    found = forest.meet(20)(pa.table({"point": [5], "vector": [[2.0] + [0.0] * 7]}), index)
+    assert found.column("point").to_pylist() == list(range(21)) and set(found.column("score").to_pylist()) == {2.0}
+
+
+def recall_of(spark, x, k=20):
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))}))
+    found, wide = {}, x.astype(np.float32).astype(float)
+    for r in forest.nearest(rows).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = n = 0
+    for q in range(0, len(x), 200):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        best = set(np.lexsort((np.arange(len(x)), -scores))[:k].tolist())
+        hits, n = hits + len(best & found[q]), n + k
+    return hits / n
+
+
+def test_recall_on_many_vectors_spread_evenly_and_in_clusters(spark):
+    rng = np.random.default_rng(5)
+    even = rng.normal(size=(20_000, 48))
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    clusters = rng.normal(size=(200, 48))[rng.integers(0, 200, 20_000)] + 0.3 * rng.normal(size=(20_000, 48))
+    assert recall_of(spark, even) >= 0.9 and recall_of(spark, clusters) >= 0.95
+
+
 # main text
 
 
