@@ -1,6 +1,6 @@
 """Context behind a cursor, settlement ahead of it, normalised windows and pooled levels.
 
-A cursor is (symbol, t); cursors may repeat and carry an ``id``. Range joins run on buckets as long as the range, so that a
+A cursor is (symbol, t); cursors may repeat and carry an ``id``, unique within their symbol. Range joins run on buckets as long as the range, so that a
 cursor meets two buckets and never the whole tape.
 """
 
@@ -29,7 +29,7 @@ def within(cursors: DataFrame, logs: DataFrame, first: int, last: int, columns:
 def context(cursors: DataFrame, logs: DataFrame, length: int) -> DataFrame:
     """The last ``length`` rows up to each cursor, with log prices relative to the cursor's. Long form: pos from 1."""
     rows = within(cursors, logs, -(length - 1), 0, ["logp", *CHANNELS])
-    here = Window.partitionBy("id").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = Window.partitionBy("symbol", "id").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     anchored = rows.withColumn("rel", F.col("logp") - F.last("logp").over(here)).withColumn("n", F.count("*").over(here))
     return anchored.where(F.col("n") == length).withColumn("pos", F.col("s") - F.col("t") + length).drop("n", "logp")
 
@@ -37,7 +37,7 @@ def context(cursors: DataFrame, logs: DataFrame, length: int) -> DataFrame:
 def normalised(window: DataFrame, length: int, sig: Column) -> DataFrame:
     """Eight bounded channels of a context in long form: path, ret, hi, lo, act, ntr, imb, valid."""
     s = at_least(sig, 1e-8)
-    order, whole = Window.partitionBy("id").orderBy("pos"), Window.partitionBy("id")
+    order, whole = Window.partitionBy("symbol", "id").orderBy("pos"), Window.partitionBy("symbol", "id")
     step = F.col("rel") - F.lag("rel").over(order)
     channels = {
         "path": F.col("rel") / (s * math.sqrt(length)), "ret": F.coalesce(step, F.lit(0.0)) / s, "hi": F.col("hi_off") / s, "lo": F.col("lo_off") / s,
@@ -58,7 +58,7 @@ def pooled(window: DataFrame, length: int, span: int, stride: int, columns: list
 def settled(cursors: DataFrame, logs: DataFrame, horizon: int) -> DataFrame:
     """id, symbol, t, h, truth: log returns from each cursor to the next ``horizon`` bars, where all of them are known."""
     ahead = within(cursors, logs, 0, horizon, ["logp"])
-    whole = Window.partitionBy("id")
+    whole = Window.partitionBy("symbol", "id")
     anchor = F.min(F.when(F.col("s") == F.col("t"), F.col("logp"))).over(whole)
     rows = ahead.withColumn("truth", F.col("logp") - anchor).withColumn("n", F.count("*").over(whole))
     return rows.where((F.col("n") == horizon + 1) & (F.col("s") > F.col("t"))).select("id", "symbol", "t", (F.col("s") - F.col("t")).alias("h"), "truth")

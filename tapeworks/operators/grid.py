@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.scalars import EPS, at_least, cents
 
 #: Bars in a block.
-SPAN = 43_200
+SPAN = 172_800
 VOLUME_SCALE, TAKER_SCALE = 1e5, 65_535.0
 PRICES = ("open", "high", "low", "close")
 

@@ -31,6 +31,21 @@ class Average:
     first: float | None = 0.0
 
 
+def running(x: np.ndarray, halflife: float, start: float) -> np.ndarray:
+    """The average after each of an array's values, from the one before the first; the closed form by rows of SHORT values."""
+    n, b = len(x), decay(halflife)
+    rows = -(-n // SHORT) if n > SHORT else 1
+    wide = min(n, SHORT)
+    whole = x if rows * wide == n else np.append(x, np.zeros(rows * wide - n))
+    fade = b ** np.arange(1, wide + 1)
+    out = np.cumsum(whole.reshape(rows, wide) * ((1 - b) / fade), axis=1) * fade
+    carried = start
+    for row in out:
+        row += fade * carried
+        carried = row[-1]
+    return out.ravel()[:n]
+
+
 def averages(tape: DataFrame, specs: list[Average]) -> DataFrame:
     """tape (symbol, big, t, ...) with a column for each average. All share one sort and one fold."""
     so_far = Window.partitionBy("symbol", "big", "blk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -24,13 +24,12 @@ def scale(horizon: int, floor: float) -> Column:
 def losses(forecasts: DataFrame, truth: DataFrame, horizon: int, shift: int) -> DataFrame:
     """One row for each model: quantile, huber, direction, stability, smooth, loss, nrmse, hit, reward.
 
-    forecasts: model, id, t, sig, q, h, path; truth: id, h, truth. A cursor's predecessor is the cursor ``shift`` bars
-    before it; where there is none, stability has no term.
+    forecasts: model, symbol, id, t, sig, q, h, path; truth: symbol, id, h, truth. A cursor's predecessor is its symbol's cursor
+    ``shift`` bars before it; where there is none, stability has no term.
     """
     spark = forecasts.sparkSession
-    by = scale(horizon, 1e-8) * 1.0
-    wide = at_least(F.col("sig"), 1e-8) * math.sqrt(horizon)
-    joined = forecasts.join(truth.select("id", "h", "truth"), ["id", "h"]).join(F.broadcast(tilt(spark, horizon)), "h").withColumn("scale", wide)
+    by = scale(horizon, 1e-8)
+    joined = forecasts.join(truth.select("symbol", "id", "h", "truth"), ["symbol", "id", "h"]).join(F.broadcast(tilt(spark, horizon)), "h").withColumn("scale", by)
     q = F.element_at(F.array(*map(F.lit, QUANTILES)), F.col("q").cast("int") + 1)
     e = (F.col("truth") - F.col("path")) / F.col("scale")
     is_median = F.col("q") == MEDIAN
@@ -40,7 +39,7 @@ def losses(forecasts: DataFrame, truth: DataFrame, horizon: int, shift: int) ->
     weight = F.when(is_median & F.col("h").isin(ends), times).otherwise(0.0)
     turn = softplus(-F.tanh(F.col("path") / (F.col("scale") * 0.5)) * F.signum("truth") * 4.0)
     hit = (F.signum("path") == F.signum("truth")).cast("double")
-    order = Window.partitionBy("model", "id", "q").orderBy("h")
+    order = Window.partitionBy("model", "symbol", "id", "q").orderBy("h")
     bend = F.when(is_median, (F.col("path") - 2 * F.lag("path", 1).over(order) + F.lag("path", 2).over(order)) / F.col("scale"))
     terms = joined.withColumn("bend", bend).withColumn("e", e)
     plain = terms.groupBy("model").agg(
@@ -49,32 +48,32 @@ def losses(forecasts: DataFrame, truth: DataFrame, horizon: int, shift: int) ->
         F.sqrt(F.avg(F.when(is_median, F.col("e") ** 2))).alias("nrmse"), (F.sum(weight * hit) / F.sum(weight)).alias("hit"),
     )
     now = forecasts.where(F.col("h") <= horizon - shift)
-    anchor = F.max(F.when(F.col("h") == shift, F.col("path"))).over(Window.partitionBy("model", "id", "q"))
-    before = forecasts.withColumn("was", F.col("path") - anchor).where(F.col("h") > shift).select("model", (F.col("t") + shift).alias("t"), "q", (F.col("h") - shift).alias("h"), "was")
-    steady = now.join(before, ["model", "t", "q", "h"]).groupBy("model").agg(F.avg(((F.col("path") - F.col("was")) / by) ** 2).alias("stability"))
+    anchor = F.max(F.when(F.col("h") == shift, F.col("path"))).over(Window.partitionBy("model", "symbol", "id", "q"))
+    before = forecasts.withColumn("was", F.col("path") - anchor).where(F.col("h") > shift).select("model", "symbol", (F.col("t") + shift).alias("t"), "q", (F.col("h") - shift).alias("h"), "was")
+    steady = now.join(before, ["model", "symbol", "t", "q", "h"]).groupBy("model").agg(F.avg(((F.col("path") - F.col("was")) / by) ** 2).alias("stability"))
     both = plain.join(steady, "model", "left").fillna(0.0, ["stability"])
     total = sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0))
     return both.select("model", *WEIGHTS, total.alias("loss"), "nrmse", "hit", (-F.col("nrmse") + 0.5 * (F.col("hit") - 0.5)).alias("reward"))
 
 
 def scores(forecasts: DataFrame, truth: DataFrame, horizon: int, window: int = 60) -> DataFrame:
-    """model, t, nrmse, dir_hit, endpoint, jump, roll_hit, roll_nrmse, acc, roll_acc, skill and flat_nrmse.
+    """model, symbol, t, nrmse, dir_hit, endpoint, jump, roll_hit, roll_nrmse, acc, roll_acc, skill and flat_nrmse.
 
     acc is 100 exp(-nrmse). flat_nrmse is what a forecast of no move gets, to compare with.
     """
-    median = forecasts.where(F.col("q") == MEDIAN).join(truth.select("id", "h", "truth"), ["id", "h"]).withColumn("scale", scale(horizon, 1e-9))
+    median = forecasts.where(F.col("q") == MEDIAN).join(truth.select("symbol", "id", "h", "truth"), ["symbol", "id", "h"]).withColumn("scale", scale(horizon, 1e-9))
     last = F.struct("h")
     at_end = lambda c: F.max_by(c, last)
-    each = median.groupBy("model", "t").agg(
+    each = median.groupBy("model", "symbol", "t").agg(
         F.sqrt(F.avg(((F.col("path") - F.col("truth")) / F.col("scale")) ** 2)).alias("nrmse"), F.sqrt(F.avg((F.col("truth") / F.col("scale")) ** 2)).alias("flat_nrmse"),
         at_end("path").alias("end"), at_end("truth").alias("true_end"), F.first("scale").alias("scale"),
     )
-    order = Window.partitionBy("model").orderBy("t")
+    order = Window.partitionBy("model", "symbol").orderBy("t")
     found = each.select(
-        "model", "t", "nrmse", "flat_nrmse", (F.signum("end") == F.signum("true_end")).cast("double").alias("dir_hit"), (F.abs(F.col("end") - F.col("true_end")) / F.col("scale")).alias("endpoint"),
+        "model", "symbol", "t", "nrmse", "flat_nrmse", (F.signum("end") == F.signum("true_end")).cast("double").alias("dir_hit"), (F.abs(F.col("end") - F.col("true_end")) / F.col("scale")).alias("endpoint"),
         F.coalesce(F.abs(F.col("end") - F.lag("end").over(order)) / F.col("scale"), F.lit(0.0)).alias("jump"),
     )
-    rolled = found.withColumn("roll_hit", trailing_mean("dir_hit", window, "model")).withColumn("roll_nrmse", trailing_mean("nrmse", window, "model"))
+    rolled = found.withColumn("roll_hit", trailing_mean("dir_hit", window, "model", "symbol")).withColumn("roll_nrmse", trailing_mean("nrmse", window, "model", "symbol"))
     return rolled.select("*", (100 * F.exp(-F.col("nrmse"))).alias("acc"), (100 * F.exp(-F.col("roll_nrmse"))).alias("roll_acc"), (100 * (1 - F.col("nrmse"))).alias("skill"))
 
 
@@ -87,22 +86,22 @@ def scorecard(found: DataFrame) -> DataFrame:
 
 
 def band(forecasts: DataFrame, lasts: DataFrame) -> DataFrame:
-    """t, h, lower, upper: means over models of the outer quantiles' prices. lasts: t, price."""
-    priced = forecasts.join(lasts, "t").withColumn("p", prices(F.col("path"), F.col("price")))
+    """symbol, t, h, lower, upper: means over models of the outer quantiles' prices. lasts: symbol, t, price."""
+    priced = forecasts.join(lasts, ["symbol", "t"]).withColumn("p", prices(F.col("path"), F.col("price")))
     top = len(QUANTILES) - 1
-    return priced.groupBy("t", "h").agg(F.avg(F.when(F.col("q") == 0, F.col("p"))).alias("lower"), F.avg(F.when(F.col("q") == top, F.col("p"))).alias("upper"))
+    return priced.groupBy("symbol", "t", "h").agg(F.avg(F.when(F.col("q") == 0, F.col("p"))).alias("lower"), F.avg(F.when(F.col("q") == top, F.col("p"))).alias("upper"))
 
 
 def frames(cursors: DataFrame, tape: DataFrame, forecasts: DataFrame, lookback: int, horizon: int) -> DataFrame:
-    """t, price, n_past, n_future, y_low, y_high: what a frame shows, and the bounds of its price axis."""
+    """symbol, t, price, n_past, n_future, y_low, y_high: what a frame shows, and the bounds of its price axis."""
     from tapeworks.operators.context import within
 
-    lasts = cursors.join(tape.select("symbol", "t", F.col("close").alias("price")), ["symbol", "t"]).select("t", "price")
+    lasts = cursors.join(tape.select("symbol", "t", F.col("close").alias("price")), ["symbol", "t"]).select("symbol", "t", "price")
     seen = within(cursors, tape, -lookback, horizon, ["close"])
     past = F.col("s") <= F.col("t")
-    shown = seen.groupBy("t").agg(F.count_if(past).alias("n_past"), F.count_if(~past).alias("n_future"), F.min(F.when(past, F.col("close"))).alias("lo"), F.max(F.when(past, F.col("close"))).alias("hi"))
-    drawn = forecasts.where(F.col("q") == MEDIAN).join(lasts, "t").withColumn("p", prices(F.col("path"), F.col("price"))).groupBy("t").agg(F.min("p").alias("path_lo"), F.max("p").alias("path_hi"))
-    outer = band(forecasts, lasts).groupBy("t").agg(F.min("lower").alias("band_lo"), F.max("upper").alias("band_hi"))
+    shown = seen.groupBy("symbol", "t").agg(F.count_if(past).alias("n_past"), F.count_if(~past).alias("n_future"), F.min(F.when(past, F.col("close"))).alias("lo"), F.max(F.when(past, F.col("close"))).alias("hi"))
+    drawn = forecasts.where(F.col("q") == MEDIAN).join(lasts, ["symbol", "t"]).withColumn("p", prices(F.col("path"), F.col("price"))).groupBy("symbol", "t").agg(F.min("p").alias("path_lo"), F.max("p").alias("path_hi"))
+    outer = band(forecasts, lasts).groupBy("symbol", "t").agg(F.min("lower").alias("band_lo"), F.max("upper").alias("band_hi"))
     low, high = F.least("lo", "path_lo", "band_lo"), F.greatest("hi", "path_hi", "band_hi")
     pad = F.greatest((high - low) * 0.10, F.col("price") * 2e-4)
-    return shown.join(drawn, "t").join(outer, "t").join(lasts, "t").select("t", "price", "n_past", "n_future", (low - pad).alias("y_low"), (high + pad).alias("y_high"))
+    return shown.join(drawn, ["symbol", "t"]).join(outer, ["symbol", "t"]).join(lasts, ["symbol", "t"]).select("symbol", "t", "price", "n_past", "n_future", (low - pad).alias("y_low"), (high + pad).alias("y_high"))

@@ -6,6 +6,7 @@ import math
 
 from tapeworks.functions.scalars import decay
 from tapeworks.operators import analyser, forecast
+from tapeworks.operators.recurrence import Average
 from tapeworks.plans import settings as S
 
 BLOCK = 600
@@ -54,8 +55,8 @@ def grid(panel: bool = False) -> str:
     )"""
 
 
-def logs() -> str:
-    return grid() + """, logs AS (
+def logs(panel: bool = False) -> str:
+    return grid(panel) + """, logs AS (
         SELECT symbol, t, ln(greatest(close, 1e-9)) AS logp, close, ln(greatest(high, 1e-9)) - ln(greatest(close, 1e-9)) AS hi_off,
                ln(greatest(low, 1e-9)) - ln(greatest(close, 1e-9)) AS lo_off, ln(1 + greatest(vol, 0.0)) AS lv, ln(1 + greatest(ntrades::DOUBLE, 0.0)) AS lntr,
                CASE WHEN vol > 0 THEN (takerfrac - 0.5) * 2 ELSE 0.0 END AS imb, valid
@@ -67,27 +68,27 @@ def averages(source: str, specs, tag: str) -> str:
     """Closed form within short blocks, and a recursion over blocks; gives the table of that tag."""
     local = ", ".join(f"{1 - decay(s.halflife)!r} * power({decay(s.halflife)!r}, j) * sum({s.of} * power({decay(s.halflife)!r}, -j)) OVER w AS l_{s.name}" for s in specs)
     ends = ", ".join(f"arg_max(l_{s.name}, j) AS l_{s.name}" for s in specs)
-    first = ", ".join(f"CAST({f'(SELECT arg_min({s.of}, t) FROM {source})' if s.first is None else s.first} AS DOUBLE) AS c_{s.name}" for s in specs)
+    first = ", ".join(f"CAST({f'arg_min({s.of}, t)' if s.first is None else s.first} AS DOUBLE) AS c_{s.name}" for s in specs)
     fold = ", ".join(f"e.l_{s.name} + power({decay(s.halflife)!r}, e.n) * c.c_{s.name}" for s in specs)
     done = ", ".join(f"l_{s.name} + c_{s.name} * power({decay(s.halflife)!r}, j + 1) AS {s.name}" for s in specs)
     return f""", {tag}_at AS (
-        SELECT *, (t - (SELECT min(t) FROM {source})) // {BLOCK} AS blk, (t - (SELECT min(t) FROM {source})) % {BLOCK} AS j FROM {source}
+        SELECT *, (t - min(t) OVER (PARTITION BY symbol)) // {BLOCK} AS blk, (t - min(t) OVER (PARTITION BY symbol)) % {BLOCK} AS j FROM {source}
     ), {tag}_local AS (
-        SELECT *, {local} FROM {tag}_at WINDOW w AS (PARTITION BY blk ORDER BY j ROWS UNBOUNDED PRECEDING)
-    ), {tag}_ends AS (SELECT blk, count(*) AS n, {ends} FROM {tag}_local GROUP BY blk), {tag}_carry AS (
-        SELECT CAST(0 AS BIGINT) AS blk, {first}
+        SELECT *, {local} FROM {tag}_at WINDOW w AS (PARTITION BY symbol, blk ORDER BY j ROWS UNBOUNDED PRECEDING)
+    ), {tag}_ends AS (SELECT symbol, blk, count(*) AS n, {ends} FROM {tag}_local GROUP BY symbol, blk), {tag}_carry AS (
+        SELECT symbol, CAST(0 AS BIGINT) AS blk, {first} FROM {source} GROUP BY symbol
         UNION ALL
-        SELECT c.blk + 1, {fold} FROM {tag}_carry c JOIN {tag}_ends e ON e.blk = c.blk
-    ), {tag} AS (SELECT l.* EXCLUDE (blk, j), {done} FROM {tag}_local l JOIN {tag}_carry c ON c.blk = l.blk)"""
+        SELECT c.symbol, c.blk + 1, {fold} FROM {tag}_carry c JOIN {tag}_ends e ON e.blk = c.blk AND e.symbol = c.symbol
+    ), {tag} AS (SELECT l.* EXCLUDE (blk, j), {done} FROM {tag}_local l JOIN {tag}_carry c ON c.blk = l.blk AND c.symbol = l.symbol)"""
 
 
 def lagged(k: int) -> str:
     return f"coalesce(lag(logp, {k}) OVER o, first_value(logp) OVER o) AS lag_{k}"
 
 
-def analysed() -> str:
+def analysed(panel: bool = False) -> str:
     ks = sorted({*analyser.RETURNS, 120})
-    text = grid() + f""", prices AS (SELECT *, ln(greatest(close, 1e-12)) AS logp FROM tape), back AS (
+    text = grid(panel) + f""", prices AS (SELECT *, ln(greatest(close, 1e-12)) AS logp FROM tape), back AS (
         SELECT *, {", ".join(map(lagged, ks))} FROM prices WINDOW o AS (PARTITION BY symbol ORDER BY t)
     ), flows AS (
         SELECT *, logp - lag_1 AS r1, ln(1 + greatest(vol, 0.0)) AS lv, ln(1 + greatest(ntrades::DOUBLE, 0.0)) AS ln,
@@ -95,11 +96,11 @@ def analysed() -> str:
                ln(greatest(high, 1e-12) / greatest(low, 1e-12)) AS hl, CAST(valid AS INT)::DOUBLE AS ok
         FROM back
     ), inputs AS (
-        SELECT *, r1 * r1 AS r2, imb * lv AS sv, imb * lv * imb * lv AS sv2, abs(r1) / greatest(qv, 1.0) AS ami, greatest(r1, 0.0) AS up, greatest(-r1, 0.0) AS down FROM flows
+        SELECT *, r1 * r1 AS r2, imb * lv AS sv, (imb * lv) * (imb * lv) AS sv2, abs(r1) / greatest(qv, 1.0) AS ami, greatest(r1, 0.0) AS up, greatest(-r1, 0.0) AS down FROM flows
     )"""
     text += averages("inputs", analyser.FIRST, "one")
     text += ", squared AS (SELECT *, power(lv - lv_3600, 2) AS lv_dev2, power(ln - ln_3600, 2) AS ln_dev2 FROM one)"
-    return text + averages("squared", analyser.SECOND, "two")
+    return text + averages("squared", [Average("lv_dev", "lv_dev2", 3600), Average("ln_dev", "ln_dev2", 3600)], "two")
 
 
 def feature_sql() -> dict[str, str]:
@@ -123,7 +124,7 @@ def feature_sql() -> dict[str, str]:
     for name, x in (("tod", "((t * 60) % 86400) / 86400.0"), ("dow", "(((t * 60) // 86400) % 7) / 7.0")):
         out |= {f"{name}_{f}": f"{f}({2 * math.pi!r} * {x})" for f in ("sin", "cos")}
     out["valid_frac_300s"], out["gap_flag"] = "ok_300", "1.0 - ok"
-    out["accel_60s"] = f"({ret(60)} - {ret(120)} + {ret(60)}) / {over(60)}"
+    out["accel_60s"] = f"(2 * {ret(60)} - {ret(120)}) / {over(60)}"
     out["rsi_900s"] = "(up_900 - down_900) / greatest(up_900 + down_900, 1e-12)"
     return {k: f"greatest(least(coalesce({v}, 0.0), 8.0), -8.0)" for k, v in out.items()}
 
@@ -133,22 +134,22 @@ def features(*names: str) -> str:
     return f"WITH RECURSIVE {analysed()} SELECT symbol, t, {', '.join(r6(made[n], n) for n in names)} FROM two"
 
 
-def volatility() -> str:
+def volatility(panel: bool = False) -> str:
     """The tape with sig and signal at every t."""
     made = feature_sql()
-    return analysed() + f", vol AS (SELECT symbol, t, logp, close, exp({made['logvol_300s']} - 9.0) AS sig, {made['ret_60s_z']} AS signal FROM two)"
+    return analysed(panel) + f", vol AS (SELECT symbol, t, logp, close, exp({made['logvol_300s']} - 9.0) AS sig, {made['ret_60s_z']} AS signal FROM two)"
 
 
 def cursors() -> str:
-    return f", cursors AS (SELECT symbol, t, t AS id FROM tape WHERE t >= (SELECT min(t) FROM tape) + {S.CONTEXT} + 1 AND t < (SELECT max(t) FROM tape) - {S.HORIZON} + 1 AND (t - (SELECT min(t) FROM tape) - {S.CONTEXT} - 1) % {S.STRIDE} = 0)"
+    return f", cursors AS (SELECT symbol, t, t AS id FROM (SELECT symbol, t, min(t) OVER w AS a, max(t) OVER w AS b FROM tape WINDOW w AS (PARTITION BY symbol)) WHERE t >= a + {S.CONTEXT} + 1 AND t < b - {S.HORIZON} + 1 AND (t - a - {S.CONTEXT} - 1) % {S.STRIDE} = 0)"
 
 
 def truth() -> str:
-    return f", truth AS (SELECT c.id, c.symbol, c.t, x.t - c.t AS h, ln(greatest(x.close, 1e-9)) - ln(greatest(y.close, 1e-9)) AS truth FROM cursors c JOIN tape y ON y.t = c.t JOIN tape x ON x.t > c.t AND x.t <= c.t + {S.HORIZON})"
+    return f", truth AS (SELECT c.id, c.symbol, c.t, x.t - c.t AS h, ln(greatest(x.close, 1e-9)) - ln(greatest(y.close, 1e-9)) AS truth FROM cursors c JOIN tape y ON y.t = c.t AND y.symbol = c.symbol JOIN tape x ON x.symbol = c.symbol AND x.t > c.t AND x.t <= c.t + {S.HORIZON})"
 
 
-def window() -> str:
-    return logs() + cursors() + f", wide AS (SELECT c.id, c.symbol, c.t, x.t - c.t + {S.CONTEXT} AS pos, x.logp - y.logp AS rel, x.hi_off, x.lo_off, x.lv, x.lntr, x.imb, x.valid FROM cursors c JOIN logs y ON y.t = c.t JOIN logs x ON x.t <= c.t AND x.t > c.t - {S.CONTEXT})"
+def window(panel: bool = False) -> str:
+    return logs(panel) + cursors() + f", wide AS (SELECT c.id, c.symbol, c.t, x.t - c.t + {S.CONTEXT} AS pos, x.logp - y.logp AS rel, x.hi_off, x.lo_off, x.lv, x.lntr, x.imb, x.valid FROM cursors c JOIN logs y ON y.t = c.t AND y.symbol = c.symbol JOIN logs x ON x.symbol = c.symbol AND x.t <= c.t AND x.t > c.t - {S.CONTEXT})"
 
 
 def basis_sql() -> str:
@@ -159,30 +160,30 @@ def softplus(x: str) -> str:
     return f"(greatest({x}, 0.0) + ln(1 + exp(-abs({x}))))"
 
 
-def forecasts() -> str:
-    """Forecasts of all models: model, id, t, sig, q, h, path."""
+def forecasts(panel: bool = False) -> str:
+    """Forecasts of all models: model, symbol, id, t, sig, q, h, path."""
     lo, _, hi = forecast.walk_offsets(S.HORIZON, S.MODES)
     models = ", ".join(f"('{m}', {d!r})" for m, d in S.MODELS)
-    return volatility() + cursors() + ", " + basis_sql() + f""", models AS (SELECT * FROM (VALUES {models}) m(model, drift)), lead AS (
-        SELECT model, id, c.t, sig, q, k, CASE WHEN k = 1 THEN drift * signal ELSE 0.0 END
+    return volatility(panel) + cursors() + ", " + basis_sql() + f""", models AS (SELECT * FROM (VALUES {models}) m(model, drift)), lead AS (
+        SELECT model, c.symbol, id, c.t, sig, q, k, CASE WHEN k = 1 THEN drift * signal ELSE 0.0 END
                + CASE q WHEN 0 THEN -{softplus(repr(lo))} WHEN 2 THEN {softplus(repr(hi))} ELSE 0.0 END AS coef
-        FROM cursors c JOIN vol v ON v.t = c.t, models, generate_series(0, 2) a(q), generate_series(1, {S.MODES}) b(k)
+        FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol, models, generate_series(0, 2) a(q), generate_series(1, {S.MODES}) b(k)
     ), forecasts AS (
-        SELECT model, id, t, sig, q, h, sum(coef * phi * greatest(sig, 1e-8) * {math.sqrt(S.HORIZON)!r}) AS path FROM lead JOIN basis USING (k) GROUP BY ALL
+        SELECT model, symbol, id, t, sig, q, h, sum(coef * phi * greatest(sig, 1e-8) * {math.sqrt(S.HORIZON)!r}) AS path FROM lead JOIN basis USING (k) GROUP BY ALL
     )"""
 
 
-def scored() -> str:
+def scored(panel: bool = False) -> str:
     by = f"greatest(sig, 1e-9) * {math.sqrt(S.HORIZON)!r}"
-    return forecasts() + truth() + f""", each AS (
-        SELECT model, f.t, sqrt(avg(power((path - truth) / ({by}), 2))) AS nrmse, sqrt(avg(power(truth / ({by}), 2))) AS flat_nrmse,
+    return forecasts(panel) + truth() + f""", each AS (
+        SELECT model, f.symbol, f.t, sqrt(avg(power((path - truth) / ({by}), 2))) AS nrmse, sqrt(avg(power(truth / ({by}), 2))) AS flat_nrmse,
                arg_max(path, h) AS e, arg_max(truth, h) AS te, any_value({by}) AS sc
-        FROM forecasts f JOIN truth USING (id, h) WHERE q = 1 GROUP BY model, f.t
+        FROM forecasts f JOIN truth USING (symbol, id, h) WHERE q = 1 GROUP BY model, f.symbol, f.t
     ), found AS (
-        SELECT model, t, nrmse, flat_nrmse, (sign(e) = sign(te))::INT::DOUBLE AS dir_hit, abs(e - te) / sc AS endpoint,
+        SELECT model, symbol, t, nrmse, flat_nrmse, (sign(e) = sign(te))::INT::DOUBLE AS dir_hit, abs(e - te) / sc AS endpoint,
                coalesce(abs(e - lag(e) OVER o) / sc, 0.0) AS jump
-        FROM each WINDOW o AS (PARTITION BY model ORDER BY t)
+        FROM each WINDOW o AS (PARTITION BY model, symbol ORDER BY t)
     ), scores AS (
         SELECT *, avg(dir_hit) OVER o AS roll_hit, avg(nrmse) OVER o AS roll_nrmse FROM found
-        WINDOW o AS (PARTITION BY model ORDER BY t ROWS BETWEEN {S.ROLL - 1} PRECEDING AND CURRENT ROW)
+        WINDOW o AS (PARTITION BY model, symbol ORDER BY t ROWS BETWEEN {S.ROLL - 1} PRECEDING AND CURRENT ROW)
     )"""

@@ -34,8 +34,8 @@ def tape(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
     return grid.filled(grid.densify(grid.bars(ticks(spark, sf_dir, panel=panel)), common=panel))
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.projected(tape(spark, sf_dir))
+def logs(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
+    return grid.projected(tape(spark, sf_dir, panel))
 
 
 FIELDS = ("open", "high", "low", "close", "vol", "qvol", "takerfrac")
@@ -144,8 +144,8 @@ WINDOW = ("rel", "hi_off", "lo_off", "lv", "lntr", "imb")
 
 
 @query(f"WITH {O.window()} SELECT symbol, id, t, pos, valid, {', '.join(O.r6(x, x) for x in WINDOW)} FROM wide")
-def context_window(spark, sf_dir):
-    found = logs(spark, sf_dir)
+def context_window(spark, sf_dir, panel=False):
+    found = logs(spark, sf_dir, panel)
     return rounded(context.context(cursors(found), found, S.CONTEXT), *WINDOW).drop("s")
 
 
@@ -154,7 +154,7 @@ SIG = "2e-4"
 
 
 @query(f"""WITH {O.window()}, x AS (SELECT id, symbol, t, pos, rel / ({SIG} * {S.CONTEXT ** 0.5!r}) AS path, coalesce(rel - lag(rel) OVER o, 0.0) / {SIG} AS ret, hi_off / {SIG} AS hi, lo_off / {SIG} AS lo,
-    lv - avg(lv) OVER a AS act, lntr - avg(lntr) OVER a AS ntr, imb, valid::INT::DOUBLE AS valid FROM wide WINDOW o AS (PARTITION BY id ORDER BY pos), a AS (PARTITION BY id))
+    lv - avg(lv) OVER a AS act, lntr - avg(lntr) OVER a AS ntr, imb, valid::INT::DOUBLE AS valid FROM wide WINDOW o AS (PARTITION BY symbol, id ORDER BY pos), a AS (PARTITION BY symbol, id))
     SELECT id, symbol, t, pos, {", ".join(O.r6(f"greatest(least({c}, 10.0), -10.0)", c) for c in CHANNELS)} FROM x""")
 def window_normalised(spark, sf_dir):
     found = logs(spark, sf_dir)
@@ -173,8 +173,8 @@ def pyramid_pool(spark, sf_dir):
 
 
 @query(f"WITH {O.grid()}{O.cursors()}{O.truth()} SELECT id, symbol, t, h, {O.r6('truth', 'truth')} FROM truth")
-def settle_paths(spark, sf_dir):
-    found = logs(spark, sf_dir)
+def settle_paths(spark, sf_dir, panel=False):
+    found = logs(spark, sf_dir, panel)
     return rounded(context.settled(cursors(found), found, S.HORIZON), "truth")
 
 
@@ -194,48 +194,48 @@ def volatility(tape_: DataFrame) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, tape_: DataFrame) -> DataFrame:
-    """model, id, t, sig, q, h, path of every model at every cursor."""
+    """model, symbol, id, t, sig, q, h, path of every model at every cursor."""
     models = spark.createDataFrame(list(S.MODELS), "model string, drift double")
     seen = cursors(tape_).join(volatility(tape_), ["symbol", "t"])
-    raw = forecast.ordered(forecast.walk(seen, models, S.HORIZON, S.MODES), "model", "id")
-    return forecast.paths(raw, forecast.basis(spark, S.HORIZON, S.MODES), S.HORIZON, "model", "id", "t", "sig")
+    raw = forecast.ordered(forecast.walk(seen, models, S.HORIZON, S.MODES), "model", "symbol", "id")
+    return forecast.paths(raw, forecast.basis(spark, S.HORIZON, S.MODES), S.HORIZON, "model", "symbol", "id", "t", "sig")
 
 
-@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, id, t, q, h, {O.r6('path', 'path')} FROM forecasts")
+@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, symbol, id, t, q, h, {O.r6('path', 'path')} FROM forecasts")
 def path_synthesis(spark, sf_dir):
     return rounded(forecasts(spark, tape(spark, sf_dir)), "path").drop("sig")
 
 
-@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, id, t, q, h, round(close * exp(greatest(least(path, 0.5), -0.5)), 4) + 0.0 AS price FROM forecasts JOIN vol USING (t)")
+@query(f"WITH RECURSIVE {O.forecasts()} SELECT model, symbol, id, t, q, h, round(close * exp(greatest(least(path, 0.5), -0.5)), 4) + 0.0 AS price FROM forecasts JOIN vol USING (symbol, t)")
 def price_band(spark, sf_dir):
     tape_ = tape(spark, sf_dir)
-    lasts = tape_.select("t", "close")
-    return forecasts(spark, tape_).join(lasts, "t").select("model", "id", "t", "q", "h", (F.round(forecast.prices(F.col("path"), F.col("close")), 4) + 0.0).alias("price"))
+    lasts = tape_.select("symbol", "t", "close")
+    return forecasts(spark, tape_).join(lasts, ["symbol", "t"]).select("model", "symbol", "id", "t", "q", "h", (F.round(forecast.prices(F.col("path"), F.col("close")), 4) + 0.0).alias("price"))
 
 
 _E = "embeddings"
 
 
-@query(f"""WITH e AS (SELECT vec_id AS id, (i - 1) % 3 AS q, (i - 1) // 3 AS k, embedding[i]::DOUBLE AS raw FROM embeddings, generate_series(1, 24) a(i) WHERE len(embedding) >= 24)
+@query(f"""WITH e AS (SELECT vec_id AS id, (i - 1) % 3 AS q, (i - 1) // 3 AS k, embedding[i]::DOUBLE AS raw FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding) - len(embedding) % 3)) AS i FROM embeddings))
     SELECT id, q, k, {O.r6(f"CASE q WHEN 1 THEN m WHEN 0 THEN m - {O.softplus('lo')} ELSE m + {O.softplus('hi')} END", "coef")} FROM
     (SELECT *, max(raw) FILTER (WHERE q = 1) OVER w AS m, max(raw) FILTER (WHERE q = 0) OVER w AS lo, max(raw) FILTER (WHERE q = 2) OVER w AS hi FROM e WINDOW w AS (PARTITION BY id, k))""")
 def quantile_order(spark, sf_dir):
-    """Ordering of arbitrary raw coefficients, here the first 24 of each embedding."""
-    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").where("size(embedding) >= 24")
-    raw = vectors.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 24)).alias("i", "x")).select("id", (F.col("i") % 3).cast("long").alias("q"), F.floor(F.col("i") / 3).alias("k"), F.col("x").cast("double").alias("raw"))
+    """Ordering of arbitrary raw coefficients, here all whole triples of each embedding."""
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").where("embedding is not null")
+    raw = vectors.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", F.lit(1), F.size("embedding") - F.size("embedding") % 3)).alias("i", "x")).select("id", (F.col("i") % 3).cast("long").alias("q"), F.floor(F.col("i") / 3).alias("k"), F.col("x").cast("double").alias("raw"))
     return rounded(forecast.ordered(raw, "id"), "coef").drop("raw")
 
 
 SCORES = ("nrmse", "flat_nrmse", "dir_hit", "endpoint", "jump", "roll_hit", "roll_nrmse")
 
 
-@query(f"WITH RECURSIVE {O.scored()} SELECT model, t, {', '.join(O.r6(x, x) for x in SCORES)}, {O.r6('100 * exp(-nrmse)', 'acc')}, {O.r6('100 * exp(-roll_nrmse)', 'roll_acc')}, {O.r6('100 * (1 - nrmse)', 'skill')} FROM scores")
+@query(f"WITH RECURSIVE {O.scored()} SELECT model, symbol, t, {', '.join(O.r6(x, x) for x in SCORES)}, {O.r6('100 * exp(-nrmse)', 'acc')}, {O.r6('100 * exp(-roll_nrmse)', 'roll_acc')}, {O.r6('100 * (1 - nrmse)', 'skill')} FROM scores")
 def score_by_time(spark, sf_dir):
     return rounded(replay(spark, sf_dir), *SCORES, "acc", "roll_acc", "skill")
 
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape_ = tape(spark, sf_dir)
+def replay(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
+    tape_ = tape(spark, sf_dir, panel)
     return score.scores(forecasts(spark, tape_), context.settled(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL)
 
 
@@ -251,7 +251,7 @@ _SCALE = f"(greatest(sig, 1e-8) * {S.HORIZON ** 0.5!r})"
 @query(f"""WITH RECURSIVE {O.forecasts()}{O.truth()}, hw AS (SELECT h, w / avg(w) OVER () AS hw FROM (SELECT h, power(1.0 / sqrt(h), 0.5) AS w FROM generate_series(1, {S.HORIZON}) a(h))), x AS (
         SELECT f.*, truth, hw, (truth - path) / {_SCALE} AS e, CASE q WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END AS p,
                (path - 2 * lag(path) OVER o + lag(path, 2) OVER o) / {_SCALE} AS bend
-        FROM forecasts f JOIN truth USING (id, h) JOIN hw USING (h) WINDOW o AS (PARTITION BY model, f.id, q ORDER BY h)
+        FROM forecasts f JOIN truth USING (symbol, id, h) JOIN hw USING (h) WINDOW o AS (PARTITION BY model, f.symbol, f.id, q ORDER BY h)
     ), plain AS (
         SELECT model, avg(greatest(p * e, (p - 1) * e) * hw) AS quantile, avg(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END * hw) FILTER (WHERE q = 1) AS huber,
                avg({O.softplus(f"(-tanh(path / ({_SCALE} * 0.5)) * sign(truth) * 4.0)")}) FILTER (WHERE q = 1 AND h = {S.HORIZON}) AS direction,
@@ -259,8 +259,8 @@ _SCALE = f"(greatest(sig, 1e-8) * {S.HORIZON ** 0.5!r})"
         FROM x GROUP BY model
     ), steady AS (
         SELECT a.model, avg(power((a.path - (b.path - c.path)) / (greatest(a.sig, 1e-8) * {S.HORIZON ** 0.5!r}), 2)) AS stability
-        FROM forecasts a JOIN forecasts b ON b.model = a.model AND b.q = a.q AND b.t = a.t - {S.STRIDE} AND b.h = a.h + {S.STRIDE}
-        JOIN forecasts c ON c.model = a.model AND c.q = a.q AND c.t = b.t AND c.h = {S.STRIDE} GROUP BY a.model
+        FROM forecasts a JOIN forecasts b ON b.model = a.model AND b.symbol = a.symbol AND b.q = a.q AND b.t = a.t - {S.STRIDE} AND b.h = a.h + {S.STRIDE}
+        JOIN forecasts c ON c.model = a.model AND c.symbol = a.symbol AND c.q = a.q AND c.t = b.t AND c.h = {S.STRIDE} GROUP BY a.model
     ) SELECT model, {", ".join(O.r6(x, x) for x in ("quantile", "huber", "direction", "stability", "smooth", "nrmse", "hit"))}, {O.r6("quantile + huber + 0.15 * direction + 0.35 * stability + 0.02 * smooth", "loss")}, {O.r6("-nrmse + 0.5 * (hit - 0.5)", "reward")}
     FROM plain JOIN steady USING (model)""")
 def loss_terms(spark, sf_dir):
@@ -269,28 +269,55 @@ def loss_terms(spark, sf_dir):
     return rounded(found, *(c for c in found.columns if c != "model"))
 
 
-_BAND = "band AS (SELECT f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t GROUP BY f.t, h)"
+_BAND = "band AS (SELECT f.symbol, f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol GROUP BY f.symbol, f.t, h)"
 
 
-@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND} SELECT t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
+@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND} SELECT symbol, t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
 def ensemble_band(spark, sf_dir):
     tape_ = tape(spark, sf_dir)
-    found = score.band(forecasts(spark, tape_), tape_.select("t", F.col("close").alias("price")))
-    return found.select("t", "h", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+    found = score.band(forecasts(spark, tape_), tape_.select("symbol", "t", F.col("close").alias("price")))
+    return found.select("symbol", "t", "h", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
 
-@query(f"""WITH RECURSIVE {O.forecasts()}, {_BAND}, shown AS (
-        SELECT c.t, count(*) FILTER (WHERE x.t <= c.t) AS n_past, count(*) FILTER (WHERE x.t > c.t) AS n_future, min(x.close) FILTER (WHERE x.t <= c.t) AS lo, max(x.close) FILTER (WHERE x.t <= c.t) AS hi
-        FROM cursors c JOIN tape x ON x.t BETWEEN c.t - {S.LOOKBACK} AND c.t + {S.HORIZON} GROUP BY c.t
-    ), drawn AS (SELECT f.t, any_value(close) AS price, min(close * exp(greatest(least(path, 0.5), -0.5))) AS pl, max(close * exp(greatest(least(path, 0.5), -0.5))) AS ph FROM forecasts f JOIN vol v ON v.t = f.t WHERE q = 1 GROUP BY f.t),
-    b AS (SELECT t, min(lower) AS bl, max(upper) AS bh FROM band GROUP BY t), y AS (SELECT t, price, n_past, n_future, least(lo, pl, bl) AS y0, greatest(hi, ph, bh) AS y1 FROM shown JOIN drawn USING (t) JOIN b USING (t))
-    SELECT t, price, n_past, n_future, round(y0 - greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_low, round(y1 + greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_high FROM y""")
-def frame_records(spark, sf_dir):
-    tape_ = tape(spark, sf_dir)
+_FRAMES = f"""shown AS (
+        SELECT c.symbol, c.t, count(*) FILTER (WHERE x.t <= c.t) AS n_past, count(*) FILTER (WHERE x.t > c.t) AS n_future, min(x.close) FILTER (WHERE x.t <= c.t) AS lo, max(x.close) FILTER (WHERE x.t <= c.t) AS hi
+        FROM cursors c JOIN tape x ON x.symbol = c.symbol AND x.t BETWEEN c.t - {S.LOOKBACK} AND c.t + {S.HORIZON} GROUP BY c.symbol, c.t
+    ), drawn AS (SELECT f.symbol, f.t, any_value(close) AS price, min(close * exp(greatest(least(path, 0.5), -0.5))) AS pl, max(close * exp(greatest(least(path, 0.5), -0.5))) AS ph FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol WHERE q = 1 GROUP BY f.symbol, f.t),
+    b AS (SELECT symbol, t, min(lower) AS bl, max(upper) AS bh FROM band GROUP BY symbol, t), y AS (SELECT symbol, t, price, n_past, n_future, least(lo, pl, bl) AS y0, greatest(hi, ph, bh) AS y1 FROM shown JOIN drawn USING (symbol, t) JOIN b USING (symbol, t))
+    SELECT symbol, t, price, n_past, n_future, round(y0 - greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_low, round(y1 + greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_high FROM y"""
+
+
+@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND}, {_FRAMES}")
+def frame_records(spark, sf_dir, panel=False):
+    tape_ = tape(spark, sf_dir, panel)
     found = score.frames(cursors(tape_), tape_, forecasts(spark, tape_), S.LOOKBACK, S.HORIZON)
     return found.withColumns({c: F.round(c, 4) for c in ("y_low", "y_high")})
 
 
+@query(f"WITH RECURSIVE {O.forecasts(True)}, {_BAND}, {_FRAMES}")
+def panel_frames(spark, sf_dir):
+    """Frames of every symbol."""
+    return frame_records(spark, sf_dir, True)
+
+
+@query(f"WITH {O.window(True)} SELECT symbol, id, t, pos, valid, {', '.join(O.r6(x, x) for x in WINDOW)} FROM wide")
+def panel_context(spark, sf_dir):
+    """Contexts of the cursors of every symbol."""
+    return context_window(spark, sf_dir, True)
+
+
+@query(f"WITH {O.grid(True)}{O.cursors()}{O.truth()} SELECT id, symbol, t, h, {O.r6('truth', 'truth')} FROM truth")
+def panel_settlement(spark, sf_dir):
+    """What followed the cursors of every symbol."""
+    return settle_paths(spark, sf_dir, True)
+
+
+@query(f"WITH RECURSIVE {O.scored(True)} SELECT model, symbol, t, {', '.join(O.r6(x, x) for x in SCORES)}, {O.r6('100 * exp(-nrmse)', 'acc')}, {O.r6('100 * exp(-roll_nrmse)', 'roll_acc')}, {O.r6('100 * (1 - nrmse)', 'skill')} FROM scores")
+def panel_scores(spark, sf_dir):
+    """Scores of every model on every symbol."""
+    return rounded(replay(spark, sf_dir, True), *SCORES, "acc", "roll_acc", "skill")
+
+
 @query(f"WITH {O.grid()}{O.cursors()} SELECT symbol, t, id FROM cursors")
 def replay_cursors(spark, sf_dir):
     return cursors(tape(spark, sf_dir))
@@ -323,7 +350,7 @@ def last_write_wins(spark, sf_dir):
     return grid.last_wins(rows, "l_orderkey", "l_linenumber", "q", "p").select("symbol", "t", "q", "p")
 
 
-@query(f"WITH RECURSIVE {O.scored()}, logged AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM logged){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
+@query(f"WITH RECURSIVE {O.scored()}, logged AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT 'walk' AS symbol, row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM logged){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
 def metric_ema(spark, sf_dir):
     """The running 0.98 / 0.02 average of a logged metric, begun at its first value."""
     logged = replay(spark, sf_dir).where("model = 'walk'").select(F.lit("walk").alias("symbol"), F.col("t").alias("at"), (F.row_number().over(Window.partitionBy("model").orderBy("t")) - 1).cast("long").alias("t"), "nrmse")
@@ -366,7 +393,7 @@ def seam_check(spark, sf_dir):
     return both.agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
 
 
-@query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()} SELECT c.id, c.t, {O.r6("sig", "sigref")}, close AS price, {O.r6("signal", "ret_60s_z")} FROM cursors c JOIN vol v ON v.t = c.t""")
+@query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()} SELECT c.id, c.t, {O.r6("sig", "sigref")}, close AS price, {O.r6("signal", "ret_60s_z")} FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol""")
 def observe(spark, sf_dir):
     """What a cursor sees beside its window: the volatility at hand, the last price, a feature."""
     tape_ = tape(spark, sf_dir)

@@ -1,31 +1,26 @@
 """The 59 features as a stateful stream: one bar in, one row out, gaps filled, late bars dropped.
 
-State for a symbol is its last bar, the running averages, and the log prices of the longest lag; the same recursions as the
-batch plan, so that both agree to rounding. Bars of a micro-batch are put in order first; a bar not later than the last one
-seen is late and dropped.
+State for a symbol is its last bar, the running averages, and the log prices of the longest lag. A micro-batch is one more block to
+the formulas of the batch plan, begun at the averages held, so that both agree to rounding. Bars of a micro-batch are put in order
+first; a bar not later than the last one seen is late and dropped.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeworks.functions.scalars import EPS, decay
+from tapeworks.functions.scalars import EPS
 from tapeworks.operators import analyser as A
 from tapeworks.operators.grid import seconds
 
-KEPT = max(A.RETURNS) + 1
+WHOLE = A.Wanted(A.NAMES)
+KEPT = max(A.LAGS)
 STATE = "t long, close double, means array<double>, logs binary"
 OUTPUT = "symbol string, t long, close double, valid boolean, " + ", ".join(f"`{n}` double" for n in A.NAMES)
-FIRST = [s.name for s in A.FIRST]
-RATES = np.array([1 - decay(s.halflife) for s in (*A.FIRST, *A.SECOND)])
-START = np.array([math.nan if s.first is None else s.first for s in (*A.FIRST, *A.SECOND)])
-AT = {s.name: i for i, s in enumerate((*A.FIRST, *A.SECOND))}
 
 
 def dense(bars: pd.DataFrame, t: int | None, close: float | None) -> pd.DataFrame:
@@ -44,72 +39,18 @@ def dense(bars: pd.DataFrame, t: int | None, close: float | None) -> pd.DataFram
     return whole.fillna({c: 0.0 for c in ("vol", "qvol", "ntrades", "takerfrac")}).reset_index(names="t")
 
 
-def inputs(bars: pd.DataFrame, logp: np.ndarray, r1: np.ndarray) -> np.ndarray:
-    """What each first-level average is taken of, a row for each bar."""
-    vol, qv = bars["vol"].to_numpy(float), np.maximum(bars["qvol"].to_numpy(float), 0)
-    lv = np.log1p(np.maximum(vol, 0))
-    imb = np.where(vol > 0, (bars["takerfrac"].to_numpy(float) - 0.5) * 2, 0.0)
-    of = {
-        "r2": r1 * r1, "logp": logp, "hl": np.log(np.maximum(bars["high"].to_numpy(float), EPS) / np.maximum(bars["low"].to_numpy(float), EPS)), "lv": lv, "ln": np.log1p(np.maximum(bars["ntrades"].to_numpy(float), 0)),
-        "imb": imb, "sv": imb * lv, "sv2": (imb * lv) ** 2, "qv": qv, "bv": np.maximum(vol, 0), "ami": np.abs(r1) / np.maximum(qv, 1), "ok": bars["valid"].to_numpy(float), "up": np.maximum(r1, 0), "down": np.maximum(-r1, 0),
-    }
-    return np.stack([of[s.of] for s in A.FIRST], 1)
-
-
-def run(x: np.ndarray, means: np.ndarray) -> np.ndarray:
-    """All averages after each bar; the squared deviations' averages follow the averages they deviate from."""
-    out, n = np.empty((len(x), len(RATES))), len(FIRST)
-    y, lv, ln = means.copy(), FIRST.index("lv_3600"), FIRST.index("ln_3600")
-    for i, row in enumerate(x):
-        start = np.isnan(y[:n])
-        y[:n] += RATES[:n] * (row - y[:n])
-        y[:n][start] = row[start]
-        deviation = np.array([(row[lv] - y[lv]) ** 2, (row[ln] - y[ln]) ** 2])
-        y[n:] += RATES[n:] * (deviation - y[n:])
-        out[i] = y
-    return out
-
-
-def rows(bars: pd.DataFrame, logp: np.ndarray, lag: dict[int, np.ndarray], y: np.ndarray, x: np.ndarray, clock: np.ndarray) -> pd.DataFrame:
-    m = lambda name: y[:, AT[name]]
-    sig = {h: np.sqrt(np.maximum(m(f"var_{h}"), 0)) for h in A.VOLATILITY}
-    over = lambda h: np.maximum(sig[300], 1e-7) * math.sqrt(h)
-    ret = {k: logp - v for k, v in lag.items()}
-    close = bars["close"].to_numpy(float)
-    f = [ret[k] / over(k) for k in A.RETURNS] + [np.tanh(ret[k] * 200) for k in A.RETURNS]
-    f += [np.log(np.maximum(sig[h], 1e-9)) + 9 for h in A.VOLATILITY]
-    f += [np.log(np.maximum(sig[a], 1e-9) / np.maximum(sig[b], 1e-9)) for a, b in zip(A.VOLATILITY, A.VOLATILITY[1:])]
-    f += [(logp - m(f"trend_{h}")) / over(h) for h in A.TREND] + [np.log(np.maximum(m(f"range_{h}"), 1e-9)) + 9 for h in A.RANGE]
-    lv, ln = x[:, FIRST.index("lv_60")], x[:, FIRST.index("ln_60")]
-    f += [(lv - m("lv_3600")) / np.sqrt(np.maximum(m("lv_dev"), 1e-9)), m("lv_60") - m("lv_3600"), m("lv_300") - m("lv_43200")]
-    f += [(ln - m("ln_3600")) / np.sqrt(np.maximum(m("ln_dev"), 1e-9)), m("ln_60") - m("ln_3600")]
-    f += [m(f"imb_{h}") for h in A.FLOW] + [m(f"sv_{h}") / np.sqrt(np.maximum(m(f"sv2_{h}"), 1e-9)) for h in A.FLOW]
-    for h in A.RANGE:
-        vwap = np.where(m(f"bv_{h}") > EPS, m(f"qv_{h}") / np.maximum(m(f"bv_{h}"), EPS), close)
-        f.append(np.log(np.maximum(close, EPS) / np.maximum(vwap, EPS)) / over(h))
-    f += [np.log(np.maximum(m(f"ami_{h}"), 1e-15)) + 18 for h in A.ILLIQUIDITY]
-    for z in ((clock % A.DAY) / A.DAY, ((clock // A.DAY) % 7) / 7):
-        f += [np.sin(2 * np.pi * z), np.cos(2 * np.pi * z)]
-    f += [m("ok_300"), 1.0 - bars["valid"].to_numpy(float), (2 * ret[60] - ret[120]) / over(60)]
-    f.append((m("up_900") - m("down_900")) / np.maximum(m("up_900") + m("down_900"), 1e-12))
-    bound = np.clip(np.nan_to_num(np.stack(f, 1), nan=0.0, posinf=8.0, neginf=-8.0), -8, 8)
-    return pd.concat([bars[["t", "close", "valid"]].reset_index(drop=True), pd.DataFrame(bound, columns=list(A.NAMES))], axis=1)
-
-
 def advance(bars: pd.DataFrame, state: tuple | None, bar: int) -> tuple[pd.DataFrame, tuple | None]:
-    """Rows for the bars, and the next state (t, close, means, logs)."""
-    t, close, means, logs = state or (None, None, START, np.empty(0))
+    """Rows for the bars, and the next state (t, close, averages, log prices of the longest lag)."""
+    t, close, means, logs = state or (None, None, WHOLE.start, np.empty(0))
     bars = dense(bars, t, close)
     if not len(bars):
         return pd.DataFrame(), state
-    new = np.log(np.maximum(bars["close"].to_numpy(float), EPS))
-    held, n = np.concatenate([logs, new]), len(logs)
-    at = np.arange(n, len(held))
-    lag = {k: held[np.maximum(at - k, 0)] for k in (*A.RETURNS, 120)}
-    x = inputs(bars, new, new - lag[1])
-    y = run(x, means)
-    found = rows(bars, new, lag, y, x, bars["t"].to_numpy() * bar)
-    return found, (int(bars["t"].iloc[-1]), float(bars["close"].iloc[-1]), y[-1], held[-KEPT:])
+    columns = {c: bars[c].to_numpy(float) for c in A.INPUTS}
+    logs = np.append(logs, A.log_of(columns["close"], EPS))
+    v = WHOLE.values(columns, logs, means) | {"clock": bars["t"].to_numpy() * bar}
+    found = pd.DataFrame({"t": bars["t"], "close": bars["close"], "valid": bars["valid"], **WHOLE.features(v)})
+    means = np.array([v[s.name][-1] for s in (*WHOLE.first, *(s for s, _ in WHOLE.second))])
+    return found, (int(bars["t"].iloc[-1]), float(bars["close"].iloc[-1]), means, logs[-KEPT:])
 
 
 def features(bars: DataFrame, bar: int = 60) -> DataFrame:
