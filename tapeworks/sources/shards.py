@@ -8,87 +8,141 @@ option, so that shards of other writers of this layout can be read and written.
 from __future__ import annotations
 
 import json
-import struct
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tapeworks.sources.files import opened
+
 MAGIC = "TWTAPE"
-# fixed values: the columns of the layout, their types, and the scales of their integers
-COLUMNS = {"valid": "uint8", "dclose": "int32", "open_off": "int32", "high_off": "int32", "low_off": "int32", "vol": "int32", "qvol": "int32", "ntrades": "int32", "takerfrac": "uint16"}
+# fixed values: the scales of the layout's integers; columns' names and types are in LAYOUT
 PRICE_SCALE, VOLUME_SCALE, TAKER_SCALE = 100, 100_000, 65_535
 SCHEMA = "symbol string, t long, open double, high double, low double, close double, vol double, qvol double, ntrades long, takerfrac double, valid boolean"
 MANIFEST = "file string, symbol string, t0 long, n long, n_valid long, bytes long, gap_pct double, status string"
 
 
+def whole(values: np.ndarray, scale: int) -> np.ndarray:
+    """Multiples of 1 / scale, halves to even."""
+    return np.rint(np.asarray(values, float) * scale).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Codec:
+    """A column of the layout as numbers: ``put`` makes them from bars, ``get`` finds the bars' column again."""
+
+    name: str
+    kind: str
+    column: str
+
+    def numbers(self, bars: dict) -> np.ndarray:
+        raise NotImplementedError
+
+    def get(self, numbers: np.ndarray, header: dict, bars: dict) -> np.ndarray:
+        raise NotImplementedError
+
+    def put(self, bars: dict) -> bytes:
+        numbers, room = self.numbers(bars), np.iinfo(self.kind)
+        if len(numbers) and not room.min <= numbers.min() <= numbers.max() <= room.max:
+            raise ValueError(f"{self.column} is beyond {self.kind}: its {self.name} would need more bits")
+        return numbers.astype(self.kind).tobytes()
+
+
+class Bits(Codec):
+    def numbers(self, bars):
+        return np.packbits(np.asarray(bars[self.column], bool))
+
+    def get(self, numbers, header, bars):
+        return np.unpackbits(numbers, count=header["n"]).astype(bool)
+
+
+class Steps(Codec):
+    """A price by its differences in hundredths."""
+
+    def numbers(self, bars):
+        price = whole(bars[self.column], PRICE_SCALE)
+        return np.concatenate([price[:1], price[1:] - price[:-1]])
+
+    def get(self, numbers, header, bars):
+        return np.add.accumulate(numbers, dtype=np.int64) / header["price_scale"]
+
+
+class Offsets(Codec):
+    """A price by how far it is from the close."""
+
+    def numbers(self, bars):
+        return whole(bars[self.column], PRICE_SCALE) - whole(bars["close"], PRICE_SCALE)
+
+    def get(self, numbers, header, bars):
+        return (whole(bars["close"], header["price_scale"]) + numbers) / header["price_scale"]
+
+
+@dataclass(frozen=True)
+class Scaled(Codec):
+    scale: int = 1
+    field: str = ""
+
+    def numbers(self, bars):
+        return whole(bars[self.column], self.scale)
+
+    def get(self, numbers, header, bars):
+        return numbers / header[self.field] if self.field else numbers.astype(np.int64) if self.column == "ntrades" else numbers.astype(float)
+
+
+LAYOUT = (
+    Bits("valid", "uint8", "valid"), Steps("dclose", "int32", "close"), *(Offsets(f"{c}_off", "int32", c) for c in ("open", "high", "low")),
+    Scaled("vol", "int32", "vol", VOLUME_SCALE, "vol_scale"), Scaled("qvol", "int32", "qvol"), Scaled("ntrades", "int32", "ntrades"), Scaled("takerfrac", "uint16", "takerfrac", TAKER_SCALE, "taker_scale"),
+)
+CODECS = {c.name: c for c in LAYOUT}
+
+
 def encode(tape: pd.DataFrame, magic: str = MAGIC, level: int = 17) -> bytes:
     """The bytes of a shard of one symbol's consecutive bars."""
-    import zstandard
-
-    tape = tape.sort_values("t")
-    t, n = tape["t"].to_numpy(), len(tape)
-    if (np.diff(t) != 1).any():
+    bars = tape.sort_values("t")
+    t = bars["t"].to_numpy()
+    if len(t) and t[-1] - t[0] != len(t) - 1 or len(np.unique(t)) != len(t):
         raise ValueError("a shard's bars must be consecutive")
-    whole = lambda x, k: np.rint(tape[x].to_numpy(float) * k).astype(np.int64)
-    close = whole("close", PRICE_SCALE)
-    if n and np.abs(close).max() > np.iinfo(np.int32).max:
-        raise ValueError("a price is beyond 32 bits")
-    coded = {"valid": np.packbits(tape["valid"].to_numpy(bool)), "dclose": np.diff(close, prepend=np.int64(0))}
-    coded |= {f"{c}_off": whole(c, PRICE_SCALE) - close for c in ("open", "high", "low")}
-    coded |= {"vol": whole("vol", VOLUME_SCALE), "qvol": whole("qvol", 1), "ntrades": whole("ntrades", 1), "takerfrac": whole("takerfrac", TAKER_SCALE)}
-    packer = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(level, enable_ldm=True, window_log=27))
-    raw = {k: coded[k].astype(kind).tobytes() for k, kind in COLUMNS.items()}
-    frames = {k: packer.compress(x) for k, x in raw.items()}
-    header = {
-        "symbol": str(tape["symbol"].iloc[0]) if n else "", "t0": int(t[0]) if n else 0, "n": n, "price_scale": PRICE_SCALE, "vol_scale": VOLUME_SCALE, "taker_scale": TAKER_SCALE, "zstd_level": level, "n_valid": int(tape["valid"].sum()),
-        "columns": [{"name": k, "dtype": kind, "raw_bytes": len(raw[k]), "comp_bytes": len(frames[k])} for k, kind in COLUMNS.items()],
-    }
-    head = json.dumps(header, separators=(",", ":")).encode()
-    return b"".join([magic.encode(), struct.pack("<I", len(head)), head, *frames.values()])
+    columns, about, frames = bars.to_dict("series"), [], []
+    for codec in LAYOUT:
+        raw = codec.put(columns)
+        frames.append(zstandard.compress(raw, level))
+        about.append({"name": codec.name, "dtype": codec.kind, "raw_bytes": len(raw), "comp_bytes": len(frames[-1])})
+    head = {"symbol": str(bars["symbol"].iloc[0]), "t0": int(t[0])} if len(t) else {"symbol": "", "t0": 0}
+    head |= {"n": len(t), "n_valid": int(bars["valid"].sum()), "price_scale": PRICE_SCALE, "vol_scale": VOLUME_SCALE, "taker_scale": TAKER_SCALE, "zstd_level": level, "columns": about}
+    text = json.dumps(head).encode()
+    return magic.encode() + len(text).to_bytes(4, "little") + text + b"".join(frames)
 
 
 def read_header(file, magic: str) -> tuple[dict, int]:
     """The header of an open shard, and where its first frame begins."""
-    start = file.read(10)
-    if start[:6] != magic.encode():
+    if file.read(len(magic)) != magic.encode():
         raise ValueError("not a shard with this magic")
-    (n,) = struct.unpack("<I", start[6:])
-    return json.loads(file.read(n)), 10 + n
+    size = int.from_bytes(file.read(4), "little")
+    return json.loads(file.read(size)), len(magic) + 4 + size
 
 
 def decode(file, magic: str = MAGIC, wanted: set[str] | None = None) -> pd.DataFrame:
     """The bars of an open shard; frames of columns that aren't wanted are passed over, not read."""
-    import zstandard
-
     header, at = read_header(file, magic)
-    needs = {"close": {"dclose"}, "open": {"dclose", "open_off"}, "high": {"dclose", "high_off"}, "low": {"dclose", "low_off"}}
-    names = wanted or {"open", "high", "low", "close", "vol", "qvol", "ntrades", "takerfrac", "valid"}
-    frames, raw = set().union(*(needs.get(c, {c}) for c in names)), {}
-    for column in header["columns"]:
-        if column["name"] in frames:
+    names = wanted or {c.column for c in LAYOUT}
+    reads = names | ({"close"} if names & {"open", "high", "low"} else set())
+    bars = {}
+    for about in header["columns"]:
+        codec = CODECS.get(about["name"])
+        if codec and codec.column in reads:
             file.seek(at)
-            raw[column["name"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(file.read(column["comp_bytes"]), max_output_size=column["raw_bytes"] + 64), column["dtype"])
-        at += column["comp_bytes"]
-    n = header["n"]
-    out = {"symbol": np.full(n, header.get("symbol", ""), object), "t": header["t0"] + np.arange(n, dtype=np.int64)}
-    if "dclose" in raw:
-        close = np.cumsum(raw["dclose"].astype(np.int64))
-        out["close"] = close / header["price_scale"]
-        out |= {c: (close + raw[f"{c}_off"]) / header["price_scale"] for c in ("open", "high", "low") if f"{c}_off" in raw}
-    for c, scale in (("vol", header["vol_scale"]), ("qvol", 1), ("takerfrac", header["taker_scale"])):
-        if c in raw:
-            out[c] = raw[c] / scale
-    if "ntrades" in raw:
-        out["ntrades"] = raw["ntrades"].astype(np.int64)
-    if "valid" in raw:
-        out["valid"] = np.unpackbits(raw["valid"])[:n].astype(bool)
-    return pd.DataFrame({c: v for c, v in out.items() if c in names or c in ("symbol", "t")})
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(file.read(about["comp_bytes"]))
+            bars[codec.column] = codec.get(np.frombuffer(raw, about["dtype"]), header, bars)
+        at += about["comp_bytes"]
+    place = {"symbol": [header.get("symbol", "")] * header["n"], "t": np.arange(header["t0"], header["t0"] + header["n"])}
+    return pd.DataFrame(place | {c: v for c, v in bars.items() if c in names})
 
 
 class ShardPartition(InputPartition):
@@ -123,7 +177,7 @@ class ShardReader(DataSourceReader):
 
     def partitions(self):
         """A partition for each shard that the range meets, found by the headers."""
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs, root = opened(self.folder)
         found = []
         for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
             if info.is_file and not info.base_name.startswith((".", "_")) and not info.base_name.endswith(".tmp"):
@@ -134,7 +188,7 @@ class ShardReader(DataSourceReader):
         return [ShardPartition(path) for _, path in sorted(found)]
 
     def read(self, partition):
-        fs, _ = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs, _ = opened(self.folder)
         with fs.open_input_file(partition.path) as file:
             rows = decode(file, self.magic, set(self.columns.split(",")) if self.columns else None)
         if self.start is not None:
@@ -159,7 +213,7 @@ def write(tape: DataFrame, folder: str, width: int, magic: str = MAGIC, level: i
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         symbol, t0, n, valid = str(rows["symbol"].iloc[0]), int(rows["t"].min()), len(rows), int(rows["valid"].sum())
         name, status = f"{symbol}-{t0 // width:012d}.shard", "cached"

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import r6
 from tapeworks.operators.analyser import NAMES
+from tapeworks.sources.files import scratch
 from tapeworks.streaming import analyser, settle
 
 
 def place(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tapeworks-')}/stream-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{scratch(spark, f'{tempfile.gettempdir()}/tapeworks')}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, path: str | None = None) -> DataFrame:
