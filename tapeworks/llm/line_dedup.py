@@ -1,8 +1,9 @@
 """Line dedup over windows of three consecutive lines, in DataFrame operations only.
 
 The lines of a text are what newlines part. Every three consecutive lines that are not all blank are a window, hashed to
-128 bits. Of equal windows in the whole table the first, by doc_id and position, stays as it is; every later one covers its
-three lines. Covered positions merge into spans, and the lines of the spans are cut out of their text.
+128 bits. Of equal windows in the whole table the first, by doc_id and position, covers nothing; every later one covers its
+three lines. Covered positions merge into spans, and the lines of the spans are cut out of their text. A later window that
+overlaps a first one takes the lines that they share: four equal lines leave one.
 
 Hot windows: equal ones are first reduced to their first place by a partially aggregated group-by; the join that finds the
 later ones meets one row on that side, so that Spark's skew join can split a hot window's rows among tasks.
@@ -10,7 +11,8 @@ later ones meets one row on that side, so that Spark's skew join can split a hot
 Defined results: a null text stays null and has no line; an empty text is one empty line; texts of under three lines
 stay as they are; a null doc_id comes first; of rows that share a doc_id and text all windows but the first place's are
 later ones, for rows in the same place equally, so that exact repeats of a row are treated alike; an empty table gives an
-empty result; other columns are kept, whatever their names.
+empty result; other columns are kept, whatever their names, but columns named n_lines or n_removed are
+replaced by the result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.util import stored, table
+from tapeworks.llm.util import table
 
 LINES = 3
 
@@ -59,17 +61,18 @@ def without(lines: Column, cut: Column) -> Column:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text rid of repeated passages, and the columns n_lines and n_removed."""
-    numbered = docs.withColumn("__row", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
-    found = later_windows(numbered.select("__row", "doc_id", "text"))
-    marks = found.groupBy("__row").agg(F.array_sort(F.collect_set("at")).alias("__at"))  # at most a position for each line
-    joined = numbered.join(marks, "__row", "left").withColumn("__lines", F.split("text", "\n", -1)).withColumn("__cut", spans(F.col("__at")))
-    left = F.when(F.col("__at").isNull(), F.col("__lines")).otherwise(without(F.col("__lines"), F.col("__cut")))
-    kept = joined.withColumn("__left", left)
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("__at").isNull(), 0).otherwise(n - F.size("__left")).cast("long")}
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in counts]
-    return kept.select(*columns, *(x.alias(k) for k, x in counts.items()))
+    row = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    found = later_windows(docs.select(row.alias("__row"), "doc_id", "text"))
+    marks = found.groupBy("__row").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most a position for each line
+    # all of docs is one column here, so that no name of it can clash
+    joined = docs.select(F.struct("*").alias("doc"), row.alias("__row")).join(marks, "__row", "left")
+    cut = joined.withColumn("lines", F.split("doc.text", "\n", -1)).withColumn("cut", spans(F.col("at")))
+    kept = cut.withColumn("left", F.when(F.col("at").isNull(), F.col("lines")).otherwise(without(F.col("lines"), F.col("cut"))))
+    n = F.when(F.col("doc.text").isNull(), 0).otherwise(F.coalesce(F.size("lines"), F.lit(0)))
+    text = F.when(F.col("at").isNull(), F.col("doc.text")).otherwise(F.array_join("left", "\n"))
+    removed = F.when(F.col("at").isNull(), 0).otherwise(n - F.size("left"))
+    columns = [text.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return kept.select(*columns, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,15 @@ def test_line_dedup_of_edge_cases(edge):
     assert set(edge.columns) <= set(found[0].asDict()) and line_dedup.dedup(edge.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_whatever_their_names(spark, edge):
+    clashing = edge.select("doc_id", "text").withColumns({c: F.lit(1) for c in ("__row", "at", "lines", "cut", "left", "doc")})
+    found = line_dedup.dedup(clashing)
+    assert found.columns == [*clashing.columns, "n_lines", "n_removed"] and found.where("at = 1 and `left` = 1 and doc = 1").count() == edge.count()
+    assert line_dedup.dedup(edge.withColumn("n_lines", F.lit(-1))).where("n_lines < 0").count() == 0
+    four = line_dedup.dedup(spark.createDataFrame([(1, "a\na\na\na")], "doc_id long, text string")).first()
+    assert four["text"] == "a" and four["n_removed"] == 3
+
+
 def test_line_dedup_of_random_lines(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice(["a", "b", "", " "]) for _ in range(rng.randint(1, 12)))) for i in range(60)]
