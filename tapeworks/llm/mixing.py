@@ -118,7 +118,11 @@ def uniform(*columns):
 def plan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken."""
     text = F.coalesce("text", F.lit(""))
-    sized = stored(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("tie")), "sizes")
+    sized = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("key"))
+    # rows that are alike in all are told apart by a number, so that they spread over leaves like others
+    nth = F.row_number().over(Window.partitionBy("key", "source").orderBy("size"))
+    sized = sized.withColumn("nth", nth).withColumn("tie", F.when(F.col("nth") == 1, F.col("key")).otherwise(F.xxhash64("key", "nth")))
+    sized = stored(sized, "sizes")
     sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))), "targets")
     n_sources, most = sources.agg(F.count("*"), F.max("n_docs")).first()
     leaves = max(1, -(-(most or 0) // LEAF))  # of the largest source
@@ -127,7 +131,7 @@ def plan(docs: DataFrame) -> DataFrame:
     share = F.when(F.col("size") > 0, F.least(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(MOST))).otherwise(0.0)
     joined = joined.withColumn("share", share).withColumn("base", F.floor(F.col("share") + EDGE)).withColumn("copies", F.greatest(F.col("share") - F.col("base"), F.lit(0.0)))
     leaf = F.pmod(F.xxhash64(F.lit(SEED), "tie"), F.ceil(F.col("n_docs") / LEAF)).cast("int")
-    state = joined.select("doc_id", "size", "source_size", "target", "tie", F.xxhash64("of", F.col("of").isNull()).alias("group"), "base", "copies", leaf.alias("leaf"), uniform(F.lit(SEED), "tie", F.lit(0)).alias("draw"))
+    state = joined.select("doc_id", "size", "source_size", "target", "key", "nth", "tie", F.xxhash64("of", F.col("of").isNull()).alias("group"), "base", "copies", leaf.alias("leaf"), uniform(F.lit(SEED), "tie", F.lit(0)).alias("draw"))
     done, level = [], 0
     while True:
         state = stored(state.groupBy("group", "leaf").applyInPandas(round_group, state.schema), "rounded")
@@ -143,17 +147,17 @@ def plan(docs: DataFrame) -> DataFrame:
     for more in done[1:]:
         whole = whole.unionByName(more)
     copies = (F.col("base") + F.round("copies")).cast("long")
-    return whole.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "tie")
+    return whole.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key", "group", "nth")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keys = Window.partitionBy("__tie").orderBy(F.lit(1))
-    taken = plan(docs).where("copies > 0").select(F.col("tie").alias("__tie"), "copies")
-    taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy("__tie").orderBy(F.col("copies").desc()))).withColumnRenamed("copies", "__copies")
-    marked = docs.withColumn("__tie", key).withColumn("__nth", F.row_number().over(keys))
-    return marked.join(taken, ["__tie", "__nth"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    key, group = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.xxhash64("source", F.col("source").isNull())
+    taken = plan(docs).where("copies > 0").select("key", "group", "nth", "copies")
+    # all of docs is one column here, so that no name of it can clash; rows of one key, source and number are alike but for other columns
+    named = docs.select(F.struct("*").alias("doc"), key.alias("key"), group.alias("group"))
+    marked = named.withColumn("nth", F.row_number().over(Window.partitionBy("key", "group").orderBy(F.lit(1))))
+    return marked.join(taken, ["key", "group", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tapeworks.llm import mixing
 
@@ -72,3 +73,17 @@ def test_mix_repeats_rows_as_planned(spark, edge):
     assert mixed.count() == sum(r["copies"] for r in plan)
     assert all(r["taken"] == 0 for r in plan if r["size"] == 0)
     assert mixing.plan(edge.limit(0)).count() == 0 == mixing.mix(edge.limit(0)).count()
+
+
+def test_rows_alike_but_for_their_source_keep_apart(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (2, "d " * 50, "x"), (3, "e " * 5, "y"), (4, "f", None)] + [(7, "same row", "x")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("k")).withColumn("copies", F.lit(9))
+    plan, mixed = mixing.plan(docs), mixing.mix(docs)
+    want = {(r["size"], r["source_size"]): 0 for r in plan.collect()}
+    sizes = {"x": 113, "y": 8, None: 1}
+    for r in plan.collect():
+        want[r["size"], r["source_size"]] += r["copies"]
+    found = {k: 0 for k in want}
+    for r in mixed.collect():
+        found[len(r["text"].split()), sizes[r["source"]]] += 1
+    assert found == want and mixed.columns == docs.columns
