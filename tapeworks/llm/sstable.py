@@ -27,12 +27,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.util import ASCII_LOWER, new_path, stored, table
+from tapeworks.sources.files import opened
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -89,7 +89,7 @@ class Writer:
     """Writes one shard from entries in key order; one block is held at a time."""
 
     def __init__(self, folder: str, width: int):
-        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs, self.root = opened(folder)
         self.fs.create_dir(self.root, recursive=True)
         self.name = f"shard-{uuid.uuid4().hex}.sst"
         self.out, self.width = self.fs.open_output_stream(f"{self.root}/{self.name}.tmp"), width
@@ -137,7 +137,7 @@ class Reader:
     """Reads one shard: whole, in order, or by key."""
 
     def __init__(self, folder: str, name: str):
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, root = opened(folder)
         self.file = fs.open_input_file(f"{root}/{name}")
         size = self.file.size()
         index_at, index_len, bloom_at, bloom_len, self.docs, self.tokens, self.width, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))

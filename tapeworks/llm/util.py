@@ -8,22 +8,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.sources.files import scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is made only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; where none is set, a local one, but not on a cluster."""
+    found = scratch(spark, "")
     if not found:
-        context = spark.sparkContext
-        option = context._jsc.sc().getCheckpointDir()
-        if option.isDefined():
-            return option.get()
-        found = tempfile.mkdtemp(prefix="tapeworks-")
-        context.setCheckpointDir(found)
-        return context._jsc.sc().getCheckpointDir().get()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapeworks-"))
+        found = scratch(spark, "")
     return found
 
 
@@ -34,15 +31,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, so lost executors cost no rerun."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
-def new_columns(df: DataFrame, *names: str) -> None:
-    """Refuses a table that already has columns that an operator adds."""
-    taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
-    if taken:
-        raise ValueError(f"columns {', '.join(taken)} would be overwritten: rename them first")
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
