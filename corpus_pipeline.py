@@ -7,6 +7,7 @@ of documents. ``run`` writes each stage's result as Parquet to the shared folder
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeworks.llm import bpe, exact_dedup, mixing, quality, simhash
 from tapeworks.llm.util import stored, table
@@ -14,7 +15,8 @@ from tapeworks.llm.util import stored, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text")  # no column of docs can clash with what is added
+    return quality.classify(rows, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc.*")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ A line's evidence comes from its own features and those of its neighbours; two t
 Training takes every line of a labelled document to have the document's label. The document's score is the length-weighted
 mean of the lines' forward-backward marginals, passed through a logistic curve fitted to the same training documents.
 
-Only the fit is bounded: at most ``TRAIN_DOCS`` labelled documents, those whose id hashes lowest, and of these whole
-documents up to ``TRAIN_LINES`` lines. Scoring reads every whole text.
+Only the fit is bounded: at most ``TRAIN_DOCS`` labelled documents of ``TRAIN_BYTES`` bytes each, those whose id hashes lowest, and
+of these whole documents up to ``TRAIN_LINES`` lines. Scoring reads every whole text.
 
 Defined results: null and empty texts are one empty line, scored like any other; a null label is no label; of several
 labels of a document the highest counts; with no labelled rows every score is 0.5, with one class only that class's
-smoothed share; repeated rows are scored alike; an empty table gives an empty result; other columns are kept as they are.
+smoothed share; repeated rows are scored alike; an empty table gives an empty result; other columns are kept as they are, but columns
+named score or predicted are replaced by the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.util import crc_mod, table
 
-TRAIN_DOCS, TRAIN_LINES = 4000, 400_000
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 4000, 20_000, 400_000
 FOLDS, THRESHOLD = 5, 0.3
 ROUNDS, RATE, RIDGE = 120, 0.15, 1e-3
 
@@ -160,11 +161,12 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Learns from labelled rows outside the held-out fold. Only the bounded training sample reaches the driver."""
+    """Learns from labelled rows outside the held-out fold. Only the bounded training sample reaches the driver: TRAIN_DOCS x TRAIN_BYTES at most."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != 0))
     chosen = marked.groupBy("doc_id").agg(F.max("quality").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), "__label"))  # TRAIN_DOCS rows at most
-    found = docs.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "__label", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).toArrow()
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    found = short.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "__label", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).toArrow()
     texts, classes, lines = [], [], 0
     for text, label in zip(found.column("text").cast(pa.binary()).to_pylist(), found.column("__label").to_pylist()):
         lines += (text or b"").count(b"\n") + 1

@@ -34,7 +34,9 @@ def test_stages_narrow_the_rows_and_keep_the_columns(spark):
 
 def test_stages_of_edge_cases(spark, edge):
     docs = edge
-    for _, stage in corpus_pipeline.STAGES:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
-        docs = stage(spark, docs, DATA)
-    assert docs.count() >= 0
+        last, docs = docs, stage(spark, docs, DATA).cache()
+        if name != "bpe":
+            assert docs.columns == edge.columns and docs.exceptAll(last.crossJoin(spark.range(3)).drop("id")).count() == 0
+    assert docs.count() == last.count()
