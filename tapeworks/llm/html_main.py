@@ -10,7 +10,7 @@ same in every run.
 Defined results: null and empty pages, and pages without main text, give the empty text; character references are decoded;
 every run of white space in a block becomes one space; blocks of white space alone are no blocks; pages of any length are
 read whole; repeated rows are treated alike; an empty table gives an empty result; other columns are kept;
-a table with a column text or n_chars is refused, as these would be overwritten.
+columns named text or n_chars are replaced by the result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.html_blocks import KINDS, TAGS, Node, blocks
 from tapeworks.llm.html_layouts import labelled_page
 from tapeworks.llm.quality import marginals
-from tapeworks.llm.util import new_columns, table
+from tapeworks.llm.util import table
 
 PAGES, SEED = 1200, 11
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
@@ -167,8 +167,7 @@ def main_text(column: Column) -> Column:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages with the columns text and n_chars, which pages may not have already."""
-    new_columns(pages, "text", "n_chars")
+    """pages with the columns text and n_chars."""
     return pages.withColumn("text", main_text(F.col("html"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
