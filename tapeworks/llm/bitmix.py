@@ -54,7 +54,8 @@ class Lookups:
         less = [(np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0)), (zeros, ones)]
         self.odds = np.concatenate([log_odds(z, o) for z, o in less])
         steps = [1, 2, 3, 6, 15, 60, 400]
-        self.seen = np.concatenate([np.searchsorted(steps, z + o, side="right") for z, o in less]).astype(np.uint8)
+        self.seen = np.concatenate([np.searchsorted(steps, z + o, side="right") for z, o in less]).astype(np.int16)
+        self.seen_first = self.seen * np.int16(LEVELS)
 
 
 def sigmoid(x):
@@ -65,7 +66,7 @@ class Tree:
     """A binary prefix code. child[2 * node + bit] is the next node, or -1 - symbol; node 0 is the root."""
 
     def __init__(self, child: np.ndarray, code: np.ndarray, depth: np.ndarray):
-        self.child, self.code, self.depth = child, code, depth
+        self.child, self.code, self.depth = child.astype(np.int64), code, depth
 
     @classmethod
     def bytes(cls) -> Tree:
@@ -73,7 +74,7 @@ class Tree:
         node = np.arange(1, 256)
         child = np.stack([2 * node, 2 * node + 1], 1).ravel()
         child = np.where(child < 256, child - 1, -1 - (child - 256))
-        return cls(child.astype(np.int32), np.arange(256, dtype=np.uint64), np.full(256, 8, np.int8))
+        return cls(child, np.arange(256, dtype=np.uint64), np.full(256, 8, np.int8))
 
     @classmethod
     def huffman(cls, counts: np.ndarray) -> Tree:
@@ -95,7 +96,7 @@ class Tree:
             made.append(two[0][0] + two[1][0])
             pairs.append((two[0][1], two[1][1]))
         inner = np.array(pairs, np.int64).reshape(-1, 2)[::-1]  # the root first
-        child = np.where(inner >= 0, n - 2 - inner, inner).ravel().astype(np.int32)
+        child = np.where(inner >= 0, n - 2 - inner, inner).ravel()
         code, depth = np.zeros(n, np.uint64), np.zeros(n, np.int8)
         level, path, d = np.zeros(min(n - 1, 1), np.int64), np.zeros(min(n - 1, 1), np.uint64), 0
         while len(level):
@@ -126,13 +127,18 @@ class Tree:
 
     def levels(self, symbols: np.ndarray):
         """For symbols ordered from the longest path to the shortest: how many have a bit at each level, nodes, and bits."""
-        depth, code = self.depth[symbols], self.code[symbols]
+        depth = self.depth[symbols]
+        path = self.code[symbols] << (64 - np.maximum(depth, 1)).astype(np.uint64)  # the next bit comes first
+        ends = np.searchsorted(-depth, -np.arange(int(depth[0]) if len(depth) else 0), side="left").tolist()
         node = np.zeros(len(symbols), np.int64)
-        for d in range(int(depth[0]) if len(depth) else 0):
-            m = int(np.searchsorted(-depth, -d, side="left"))
-            bit = (code[:m] >> (depth[:m] - d - 1).astype(np.uint64) & np.uint64(1)).astype(np.int64)
-            yield d, m, node[:m], bit
-            node = self.child[2 * node[:m] + bit].astype(np.int64)
+        for d, m in enumerate(ends):
+            path, node = path[:m], node[:m]
+            bit = (path >> np.uint64(63)).view(np.int64)
+            yield d, m, node, bit
+            path = path << np.uint64(1)
+            node = 2 * node
+            node += bit
+            node = self.child[node]
 
 
 class Fixed:
@@ -168,19 +174,27 @@ class Hashed:
             slot[self.away[: len(node)]] = 1 << self.bits  # the last slot stays empty
         return slot
 
-    def count(self, symbols: np.ndarray, train: np.ndarray, tree: Tree) -> None:
-        sums = np.zeros(2 << self.bits, np.int32)
-        counted = np.flatnonzero(train if self.used is None else train & self.used)
-        for i in range(0, len(counted), CHUNK):
-            at = counted[i : i + CHUNK]
-            at = at[np.argsort(-tree.depth[symbols[at]], kind="stable")]
-            self.begin(at)
-            for _, _, node, bit in tree.levels(symbols[at]):
-                slot = self.slots(node, node.view(np.uint64) * K2)
+
+def count(contexts: list[Hashed], symbols: np.ndarray, train: np.ndarray, tree: Tree) -> None:
+    """Fills the contexts' tables with counts of the training symbols."""
+    sums = [np.zeros((1 << c.bits) * 2 + 2, np.int32) for c in contexts]
+    counted = np.flatnonzero(train)
+    for i in range(0, len(counted), CHUNK):
+        at = counted[i : i + CHUNK]
+        at = at[np.argsort(-tree.depth[symbols[at]], kind="stable")]
+        for c in contexts:
+            c.begin(at)
+        for _, _, node, bit in tree.levels(symbols[at]):
+            mixed = node.view(np.uint64) * K2
+            for c, held in zip(contexts, sums):
+                slot = c.slots(node, mixed)
                 slot *= 2
                 slot += bit
-                np.add.at(sums, slot, np.int32(1))
-        self.codes = np.append(pair_codes(sums[::2], sums[1::2]), np.uint16(0))
+                np.add.at(held, slot, np.int32(1))
+    for c, held in zip(contexts, sums):
+        held[-2:] = 0  # symbols without a context see nothing
+        c.codes = pair_codes(held[::2], held[1::2])
+
 
 
 class Mixer:
@@ -243,7 +257,7 @@ def coded(symbols: np.ndarray, train: np.ndarray, tree: Tree, predictors: list,
             own, mixed = less[:m] + bit * step[:m], node.view(np.uint64) * K2
             codes = [p.codes[p.slots(node, mixed)] + own for p in predictors]
             inputs = [look.odds[c] for c in codes]
-            gate = look.seen[codes[-1]].astype(np.int64) * LEVELS + look.seen[codes[-2]]
+            gate = (look.seen_first[codes[-1]] + look.seen[codes[-2]]).astype(np.int64)
             if guess is not None:
                 on = (hoping < m) & (hope_depth > d)
                 hoping, hope_code, hope_depth = hoping[on], hope_code[on], hope_depth[on]
@@ -253,8 +267,9 @@ def coded(symbols: np.ndarray, train: np.ndarray, tree: Tree, predictors: list,
                 extra[hoping] = mixer.worth[d] * (2 * hoped - 1)
                 inputs.append(extra)
             p, fine, bucket = mixer.predict(inputs, gate)
-            total[:m] *= np.where(bit == 1, fine, 1 - fine)
-            mixer.learn(inputs, gate, bit, p, bucket, known[:m])
+            wave = bit.astype(np.float32)
+            total[:m] *= np.abs(1 - wave - fine)
+            mixer.learn(inputs, gate, wave, p, bucket, known[:m])
             if guess is not None:
                 right, learnt = hoped == bit[hoping], known[hoping]
                 mixer.guesses[:, d] += (right * learnt).sum(), learnt.sum()

@@ -30,25 +30,25 @@ import math
 import uuid
 import zlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm.bitmix import Fixed, Hashed, Lookups, Mixer, Tree, coded, pair_codes
-from tapeworks.llm.textclass import END, GROUP, TELLING, Classes, find_classes, firsts, numbers, tokens
+from tapeworks.llm.bitmix import Fixed, Hashed, Lookups, Mixer, Tree, coded, count, pair_codes
+from tapeworks.llm.textclass import END, TELLING, Classes, Words, find_classes, groups, place_of
 from tapeworks.llm.util import crc_mod, stored, table
 
 FOLDS = 10
 COMMON, LONG = 1 << 19, 256
 #: Tokens, and distinct words outside the code, that meet in one task; tokens after one word beyond which they are dealt out.
-PART, SPELLED = 2_000_000, 300_000
+PART, SPELLED = 1_000_000, 200_000
 HOT = PART // 4
-#: Distinct words, and tokens, that a task holds before it passes them on.
-HELD, HELD_TOKENS = 600_000, 1_000_000
+#: Tokens that a task holds before it passes them on.
+HELD_TOKENS = 400_000
 #: Words of the code that are counted by class in one piece.
 PIECE = 1 << 15
 #: Rows whose scores travel together.
@@ -62,8 +62,12 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays one after the other, the like bytes of their numbers together, compressed."""
-    raw = b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    raw = []
+    for a in arrays:
+        wide = a.dtype.itemsize
+        whole = a.view(f"u{wide}")
+        raw += [whole if wide == 1 else (whole >> whole.dtype.type(8 * k)).astype(np.uint8) for k in range(wide)]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(raw))
 
 
 def unpacked(data: bytes, *shapes: tuple) -> list[np.ndarray]:
@@ -72,56 +76,48 @@ def unpacked(data: bytes, *shapes: tuple) -> list[np.ndarray]:
     for kind, n in shapes:
         wide = np.dtype(kind).itemsize
         n = (len(raw) - at) // wide if n < 0 else n
-        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
-        at += n * wide
+        whole = np.zeros(n, f"u{wide}")
+        for k in range(wide):
+            whole |= raw[at : at + n].astype(whole.dtype) << whole.dtype.type(8 * k)
+            at += n
+        out.append(whole.view(kind))
     return out
 
 
 def count_words(batches):
     """For mapInArrow over (text, train): word, how often training texts hold it (c), and how often all do (m)."""
-
-    def flush(counts, every):
-        words = list(every)
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            yield batch_of(word=pa.array(part, pa.binary()), c=pa.array([counts[w] for w in part], pa.int64()), m=pa.array([every[w] for w in part], pa.int64()))
-
-    counts, every = Counter(), Counter()
-    for batch in batches:
-        for text, train in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-            words = tokens(text or b"")
-            every.update(words)
-            if train:
-                counts.update(words)
-        if len(every) > HELD:
-            yield from flush(counts, every)
-            counts, every = Counter(), Counter()
-    yield from flush(counts, every)
+    for batch in groups(batches, 0, 4):
+        train = batch.column(1).to_numpy(zero_copy_only=False)
+        for trained in (True, False):
+            texts = batch.column(0).filter(pa.array(train == trained))
+            if len(texts):
+                found = Words(texts).flat.value_counts()
+                words = pa.concat_arrays([found.field(0).cast(pa.binary()), pa.array([END], pa.binary())])
+                n = np.append(found.field(1).to_numpy(), len(texts)).astype(np.int64)
+                yield batch_of(word=words, c=pa.array(n if trained else np.zeros_like(n)), m=pa.array(n))
 
 
 class Lexicon:
     """The words of the code, by falling count, their classes' tellers, and who is hot. Word n is any other, n + 1 the start of a text."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, kinds: Classes, hot: dict):
-        self.number, self.counts, self.kinds = {w: i for i, w in enumerate(words)}, counts, kinds
-        self.n = len(words)
+        self.words, self.counts, self.kinds = pa.array(words, pa.binary()).cast(pa.string()), counts, kinds
+        self.n, self.end = len(words), place_of(words, END)
         self.telling = np.full(self.n + 1, -1, np.int64)
-        for w, i in kinds.number.items():
-            if w in self.number:
-                self.telling[self.number[w]] = i
-        self.whole = int((self.telling >= 0).sum()) == len(kinds.number)
-        found = sorted((self.name(w), -(-m // HOT)) for w, m in hot.items())
+        self.telling[: len(kinds.words)] = np.arange(len(kinds.words))  # the first words of the code tell
+        at = {w: i for i, w in enumerate(words) if w in hot}
+        found = sorted((self.n + 1 if w is None else at.get(w, self.name(w or b"")), -(-m // HOT)) for w, m in hot.items())
         self.hot, self.parts = (np.array([x[k] for x in found], np.uint32) for k in (0, 1))
 
-    def name(self, word: bytes | None) -> int:
-        """A word's number; others have one from their hash."""
-        return self.n + 1 if word is None else self.number.get(word, -1) if word in self.number else self.n + 2 + zlib.crc32(word) % (1 << 26)
+    def name(self, word: bytes) -> int:
+        """The number of a word outside the code, from its hash."""
+        return self.n + 2 + zlib.crc32(word) % (1 << 26)
 
-    def read(self, texts: list[list[bytes]]):
-        """For several texts: word numbers (-1: not in the code), first words, and classes."""
-        found, starts = numbers(self.number, texts), firsts(texts)
-        kinds = self.kinds.best(self.telling[found], starts) if self.whole else self.kinds.of(texts)
-        return found, starts, kinds
+    def read(self, texts: pa.Array):
+        """For several texts: their words, the words' numbers (-1: not in the code), and the texts' classes."""
+        read = Words(texts)
+        found = read.numbers(self.words, self.end)
+        return read, found, self.kinds.best(self.telling[found], read.sizes)
 
     def parts_of(self, words: np.ndarray) -> np.ndarray:
         """1, or the number of parts that the tokens after a hot word are dealt to."""
@@ -147,30 +143,26 @@ def read_documents(shared, name: str, n: int, v: int):
     kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "cls": pa.int32(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "bytes": pa.int64(), "word": pa.binary(), "piece": pa.int32(), "counts": pa.binary()}
 
     def pack(many, **columns):
-        return batch_of(**{k: pa.array(columns[k], t) if k in columns else pa.nulls(many, t) for k, t in kinds.items()})
+        return batch_of(**{k: (columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], t)) if k in columns else pa.nulls(many, t) for k, t in kinds.items()})
 
     def run(batches):
         lexicon = lexicon_of(shared, name)
         base_of = np.append(np.log10((lexicon.counts + 0.1) / (n + 0.1 * (v + 1))), 0.0)
         width = lexicon.n + 1
         sums = np.zeros(len(lexicon.kinds.odds) * width, np.int32)
-        for batch in batches:
-            for i in range(0, len(batch), GROUP):
-                part = batch.slice(i, GROUP)
-                raw = [t or b"" for t in part.column(3).cast(pa.binary()).to_pylist()]
-                texts = [tokens(t) for t in raw]
-                found, starts, cls = lexicon.read(texts)
-                sizes, held = np.diff(starts, append=len(found)), np.array(part.column(2).to_pylist())
-                np.add.at(sums, (np.repeat(cls, sizes) * width + np.where(found < 0, lexicon.n, found))[np.repeat(~held, sizes)], np.int32(1))
-                known, base = np.add.reduceat(found >= 0, starts, dtype=np.int64), np.add.reduceat(base_of[found], starts)
-                yield pack(len(part), row=part.column(0), doc_id=part.column(1), held_out=part.column(2), cls=cls, n=sizes, known=known, base=base, bytes=[*map(len, raw)])
-                away = np.flatnonzero(found < 0)
-                if len(away):
-                    flat = list(chain.from_iterable(texts))
-                    rows = np.repeat(np.arange(len(part)), sizes)[away]
-                    many = Counter(zip(rows.tolist(), (flat[k] for k in away.tolist())))
-                    rows, words = zip(*many)
-                    yield pack(len(many), row=part.column(0).take(pa.array(rows)), cls=cls[list(rows)], word=words, n=list(many.values()))
+        for batch in groups(batches, 3):
+            read, found, cls = lexicon.read(batch.column(3))
+            sizes, starts, held = read.sizes, read.starts, batch.column(2).to_numpy(zero_copy_only=False)
+            np.add.at(sums, (np.repeat(cls * width, sizes) + np.where(found < 0, lexicon.n, found))[np.repeat(~held, sizes)], np.int32(1))
+            known, base = np.add.reduceat(found >= 0, starts, dtype=np.int64), np.add.reduceat(base_of[found], starts)
+            size = pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())
+            yield pack(len(batch), row=batch.column(0), doc_id=batch.column(1), held_out=batch.column(2), cls=cls, n=sizes, known=known, base=base, bytes=size)
+            away = np.flatnonzero(found < 0)
+            if len(away):
+                rows = np.searchsorted(starts, away, side="right") - 1
+                many = Counter(zip(rows.tolist(), read.spelled(away)))
+                rows, words = zip(*many)
+                yield pack(len(many), row=batch.column(0).take(pa.array(rows)), cls=cls[list(rows)], word=words, n=list(many.values()))
         for cls in range(len(lexicon.kinds.odds)):
             for at in range(0, width, PIECE):
                 counts = sums[cls * width + at : cls * width + min(at + PIECE, width)]
@@ -208,39 +200,35 @@ def send_tokens(shared, name: str, parts: int):
 
     def run(batches):
         lexicon, held, n, many = lexicon_of(shared, name), ([], []), 0, 0
-        start = np.uint32(lexicon.name(None))
-        for batch in batches:
-            for i in range(0, len(batch), GROUP):
-                piece = batch.slice(i, GROUP)
-                texts = [tokens(t or b"") for t in piece.column(2).cast(pa.binary()).to_pylist()]
-                word, starts, cls = lexicon.read(texts)
-                sizes = np.diff(starts, append=len(word))
-                if len(away := np.flatnonzero(word < 0)):
-                    flat = list(chain.from_iterable(texts))
-                    word[away] = [lexicon.name(flat[k]) for k in away.tolist()]
-                word = word.astype(np.uint32)
-                prev, before = np.full_like(word, start), np.full_like(word, start)
-                prev[1:], before[2:] = word[:-1], word[:-2]
-                prev[starts] = before[starts] = start
-                before[(starts + 1)[sizes > 1]] = start
-                rows, doc = piece.column(0).to_numpy(), np.repeat(np.arange(len(texts)), sizes)
-                wide, last = prev.astype(np.uint64) * C1, before.astype(np.uint64) * C2
-                same = (wide + last) * C3 + doc.astype(np.uint64) * C2
-                order = np.argsort(same, kind="stable")
-                again = np.flatnonzero(same[order[1:]] == same[order[:-1]])
-                guess = np.zeros_like(word)
-                guess[order[again + 1]] = word[order[again]] + np.uint32(1)
-                at = np.arange(len(word)) - np.repeat(starts, sizes)
-                parts_prev, parts_before = lexicon.parts_of(prev), lexicon.parts_of(before)
-                spread = (rows[doc].astype(np.uint64) * C3 >> np.uint64(20)) + (at >> 16).astype(np.uint64)
-                key = wide + np.where(parts_prev > 1, last + np.where(parts_before > 1, spread % np.minimum(parts_prev, parts_before) * C3, np.uint64(0)), np.uint64(0))
-                key = (key ^ key >> np.uint64(31)) * C2 >> np.uint64(32)
-                held[0].append((word, prev, before, guess, at, (key % np.uint64(parts)).astype(np.int64), doc + many))
-                held[1].append((rows, cls.astype(np.uint8), ~np.array(piece.column(1).to_pylist(), bool)))
-                n, many = n + len(word), many + len(texts)
-                if n > HELD_TOKENS:
-                    yield from flush(held)
-                    held, n, many = ([], []), 0, 0
+        start = np.uint32(lexicon.n + 1)
+        for batch in groups(batches, 2):
+            read, word, cls = lexicon.read(batch.column(2))
+            starts, sizes = read.starts, read.sizes
+            if len(away := np.flatnonzero(word < 0)):
+                word[away] = [lexicon.name(w) for w in read.spelled(away)]
+            word = word.astype(np.uint32)
+            prev, before = np.full_like(word, start), np.full_like(word, start)
+            prev[1:], before[2:] = word[:-1], word[:-2]
+            prev[starts] = before[starts] = start
+            before[(starts + 1)[sizes > 1]] = start
+            rows, doc = batch.column(0).to_numpy(), np.repeat(np.arange(len(batch)), sizes)
+            wide, last = prev.astype(np.uint64) * C1, before.astype(np.uint64) * C2
+            same = (wide + last) * C3 + doc.astype(np.uint64) * C2
+            order = np.argsort(same, kind="stable")
+            again = np.flatnonzero(same[order[1:]] == same[order[:-1]])
+            guess = np.zeros_like(word)
+            guess[order[again + 1]] = word[order[again]] + np.uint32(1)
+            at = np.arange(len(word)) - np.repeat(starts, sizes)
+            parts_prev, parts_before = lexicon.parts_of(prev), lexicon.parts_of(before)
+            spread = (rows[doc].astype(np.uint64) * C3 >> np.uint64(20)) + (at >> 16).astype(np.uint64)
+            key = wide + np.where(parts_prev > 1, last + np.where(parts_before > 1, spread % np.minimum(parts_prev, parts_before) * C3, np.uint64(0)), np.uint64(0))
+            key = (key ^ key >> np.uint64(31)) * C2 >> np.uint64(32)
+            held[0].append((word, prev, before, guess, at, (key % np.uint64(parts)).astype(np.int64), doc + many))
+            held[1].append((rows, cls.astype(np.uint8), ~batch.column(1).to_numpy(zero_copy_only=False)))
+            n, many = n + len(word), many + len(batch)
+            if n > HELD_TOKENS:
+                yield from flush(held)
+                held, n, many = ([], []), 0, 0
         if n:
             yield from flush(held)
 
@@ -265,8 +253,9 @@ def code_tokens(shared):
     """For applyInArrow over the rows of a part: log10 probabilities of its tokens in the code, by text."""
 
     def run(rows: pa.Table) -> pa.Table:
+        _LEXICONS.clear()
         tree, node_codes, class_codes, n = shared.value
-        tree, fields, doc_base = Tree(*tree), [], 0
+        tree, fields = Tree(*tree), []
         blobs = sorted(zip(*(rows.column(x).to_pylist() for x in ("first", "tokens", "texts", "data"))))
         for _, many, texts, data in blobs:
             u4 = (np.uint32, many)
@@ -279,12 +268,14 @@ def code_tokens(shared):
         hope = np.where(guess > 0, np.minimum(guess.astype(np.int64) - 1, n), -1)
         one = prev.astype(np.uint64) * C1
         two = (one ^ before.astype(np.uint64)) * C2 + C3
-        _, which, times = np.unique(two, return_inverse=True, return_counts=True)
         learnt, bits = train[at], table_bits(len(word))
         # what stands behind two words once only is told by nobody else
-        contexts = [Hashed(one, bits), Hashed(two, bits, times[which] > 1)]
-        for c in contexts:
-            c.count(symbol, learnt, tree)
+        order = np.argsort(two)
+        again, told = np.flatnonzero(two[order[1:]] == two[order[:-1]]), np.zeros(len(two), bool)
+        told[order[again]] = told[order[again + 1]] = True
+        del order, again, word, prev, before, guess, fields, place
+        contexts = [Hashed(one, bits), Hashed(two, bits, told)]
+        count(contexts, symbol, learnt, tree)
         predictors = [Fixed(node_codes), Fixed(class_codes.ravel(), cls[at], class_codes.shape[1]), *contexts]
         found = coded(symbol, learnt, tree, predictors, Mixer([0.2, 0.4, 0.2, 0.4]), Lookups(), hope)
         group, data, many = by_rows(row[at], found)
@@ -334,8 +325,7 @@ def spell(n: int, v: int):
         whole = (whole - np.repeat(whole[starts], sizes)) * C1
         tree, train, symbol = Tree.bytes(), np.repeat(counts > 0, sizes), raw.astype(np.int64)
         contexts = [Hashed(c, table_bits(len(raw))) for c in (last(2), last(3), last(5), whole)]
-        for c in contexts:
-            c.count(symbol, train, tree)
+        count(contexts, symbol, train, tree)
         found = coded(symbol, train, tree, contexts, Mixer([0.2, 0.3, 0.3, 0.3]), Lookups())
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts.astype(np.int64)), "base": pa.array(base), "model": pa.array(np.add.reduceat(found, starts))}, schema=pa.schema(list(shape.items())))

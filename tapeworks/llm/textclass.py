@@ -3,67 +3,117 @@
 from __future__ import annotations
 
 import math
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.util import ASCII_LOWER, stored
+from tapeworks.llm.util import forget, stored
 
 END = b"\n"
 #: Texts that seed classes, which is also the most classes there can be; words that tell classes apart; and passes that refine them.
 SEEDS, TELLING, STEPS = 32, 4096, 5
-#: Texts that are read together.
-GROUP = 64
-
-
-def tokens(text: bytes) -> list[bytes]:
-    words = text.translate(ASCII_LOWER).split()
-    words.append(END)
-    return words
+#: Bytes of text that are read together.
+GROUP = 1 << 22
+
+
+class Words:
+    """Several texts as their lower-cased words, one end after each text's."""
+
+    def __init__(self, texts: pa.Array):
+        lowered = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), "")))
+        lists = pc.ascii_split_whitespace(lowered)
+        empty = pc.equal(pc.binary_length(lowered), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        #: All words but the ends.
+        self.flat = flat.filter(pc.greater(pc.binary_length(flat), 0)) if empty.any() else flat
+        self.sizes = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64) + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def numbers(self, value_set: pa.Array, end: int) -> np.ndarray:
+        """Each token's place in the set, -1 for none; ``end`` for the ends."""
+        out = np.empty(int(self.sizes.sum()), np.int64)
+        ends = self.starts + self.sizes - 1
+        words = np.ones(len(out), bool)
+        words[ends] = False
+        out[words] = pc.fill_null(pc.index_in(self.flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
+        out[ends] = end
+        return out
+
+    def spelled(self, at: np.ndarray) -> list[bytes]:
+        """The tokens at some places."""
+        text = np.searchsorted(self.starts, at, side="right") - 1
+        ends = self.starts + self.sizes - 1
+        words = self.flat.take(pa.array(np.minimum(at - text, max(len(self.flat) - 1, 0)))).cast(pa.binary()).to_pylist() if len(self.flat) else [END] * len(at)
+        return [END if end else w for w, end in zip(words, (ends[text] == at).tolist())]
+
+
+def groups(batches, text: int, wide: int = 1):
+    """Batches cut or joined to about ``wide`` times GROUP bytes of text, never within a text."""
+    held, size, most = [], 0, wide * GROUP
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < len(batch):
+            done = int(sizes[at - 1]) if at else 0
+            to = min(len(batch), int(np.searchsorted(sizes, done + most - size)) + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(sizes[to - 1]) - done
+            at = to
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def place_of(words: list[bytes], word: bytes) -> int:
+    return words.index(word) if word in words else -1
 
 
 class Classes:
     """Tells the class of a text from its common words, as the likeliest of a mixture of word distributions."""
 
     def __init__(self, words: list[bytes], odds: np.ndarray):
-        self.number, self.odds = {w: i for i, w in enumerate(words)}, odds
+        self.words, self.odds = words, odds
         self.padded = np.hstack([np.zeros((len(odds), 1)), odds]).astype(np.float32).T.copy()  # the first row is for other words
 
-    def best(self, telling: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def best(self, telling: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The class of each of several texts, whose words' places among the telling ones (-1: none) follow one another."""
-        text = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(telling)))
-        width = len(self.padded)
-        counts = np.bincount(text * width + telling + 1, minlength=len(starts) * width).reshape(-1, width)
-        return np.argmax(counts.astype(np.float32) @ self.padded, axis=1)
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        return self.best(numbers(self.number, texts), firsts(texts))
-
+        width, out, first = len(self.padded), [], 0
+        for i in range(0, len(sizes), 256):
+            part = sizes[i : i + 256]
+            last = first + int(part.sum())
+            counts = np.bincount(np.repeat(np.arange(len(part)) * width, part) + telling[first:last] + 1, minlength=len(part) * width)
+            out.append(np.argmax(counts.reshape(-1, width).astype(np.float32) @ self.padded, axis=1))
+            first = last
+        return np.concatenate(out)
 
-def numbers(table: dict, texts: list[list[bytes]]) -> np.ndarray:
-    """What the table has for each word of the texts, one after the other; -1 for none."""
-    return np.fromiter(map(table.get, chain.from_iterable(texts), repeat(-1)), np.int64, sum(map(len, texts)))
-
-
-def firsts(texts: list[list[bytes]]) -> np.ndarray:
-    """The place of each text's first word; a text has its end token at least."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.cumsum(sizes) - sizes
+    def of(self, texts: list[str]) -> np.ndarray:
+        found = Words(pa.array(texts, pa.string()))
+        return self.best(found.numbers(pa.array(self.words, pa.binary()).cast(pa.string()), place_of(self.words, END)), found.sizes)
 
 
 def telling_words(shared):
     """For mapInArrow over (key, text): key, how many telling words, which ones (at) and how often each (n)."""
 
     def run(batches):
-        number = shared.value.number
-        for batch in batches:
-            found = [numbers(number, [tokens(t or b"")]) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            kept = [np.unique(x[x >= 0], return_counts=True) for x in found]
-            columns = ([x.astype(np.uint16).tobytes() for x, _ in kept], [x.astype(np.uint32).tobytes() for _, x in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x.sum()) for _, x in kept], pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["key", "known", "at", "n"])
+        words = shared.value
+        among, end, width = pa.array(words, pa.binary()).cast(pa.string()), place_of(words, END), len(words) + 1
+        for batch in groups(batches, 1):
+            read = Words(batch.column(1))
+            found = read.numbers(among, end) + 1
+            pairs, times = np.unique(np.repeat(np.arange(len(batch)) * width, read.sizes) + found, return_counts=True)
+            text, at = np.divmod(pairs, width)
+            kept = at > 0
+            text, at, times = text[kept], at[kept] - 1, times[kept]
+            edges = np.searchsorted(text, np.arange(len(batch) + 1)).tolist()
+            at, n, sums = at.astype(np.uint16), times.astype(np.uint32), np.append(0, np.cumsum(times))
+            known = sums[edges[1:]] - sums[edges[:-1]]
+            columns = ([x[a:b].tobytes() for a, b in zip(edges, edges[1:])] for x in (at, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], names=["key", "known", "at", "n"])
 
     return run
 
@@ -87,8 +137,8 @@ def class_sums(shared):
         width = odds.shape[1] + 1
         sums = np.zeros(len(odds) * width, np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 4 * GROUP):
-                at, n = (batch.column(k).slice(i, 4 * GROUP).to_pylist() for k in (2, 3))
+            for i in range(0, len(batch), 256):
+                at, n = (batch.column(k).slice(i, 256).to_pylist() for k in (2, 3))
                 texts, flat, times, kinds, _ = classed(at, n, odds)
                 np.add.at(sums, kinds[texts] * width + flat, times)
                 np.add.at(sums, kinds * width + width - 1, 1)
@@ -136,7 +186,7 @@ def find_classes(train: DataFrame, words: list[bytes], whole: np.ndarray) -> Cla
     if not words:
         return Classes([], np.zeros((1, 0)))
     prior = (whole + 0.5) / (whole.sum() + 0.5 * len(whole))
-    shared = context.broadcast(Classes(words, np.zeros((1, len(words)))))
+    shared = context.broadcast(words)
     rows = stored(train.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(telling_words(shared), "key long, known long, at binary, n binary"), "telling")
 
     def refined(odds: np.ndarray, steps: int):
@@ -161,4 +211,6 @@ def find_classes(train: DataFrame, words: list[bytes], whole: np.ndarray) -> Cla
     for k, (at, n) in enumerate(zip(first.column("at").to_pylist(), first.column("n").to_pylist())):
         dense[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
     sums, many = joined(*refined(spread(dense, prior), STEPS), prior)
-    return Classes(words, spread(refined(spread(sums, prior), 2)[0], prior))
+    found = Classes(words, spread(refined(spread(sums, prior), 2)[0], prior))
+    forget(rows)
+    return found

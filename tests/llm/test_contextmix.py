@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def test_base_scores_of_edge_cases(edge):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_few_words_in_the_code_many_parts_and_hot_words(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, value in (("COMMON", 300), ("PART", 6000), ("HOT", 1500), ("SPELLED", 800), ("HELD", 3000), ("HELD_TOKENS", 5000), ("PIECE", 64), ("ROWS", 32)):
+    for name, value in (("COMMON", 300), ("PART", 6000), ("HOT", 1500), ("SPELLED", 800), ("HELD_TOKENS", 5000), ("PIECE", 64), ("ROWS", 32)):
         monkeypatch.setattr(contextmix, name, value)
     found = contextmix.scores(docs, reread=True).collect()
     assert shown(found) == plain_base([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -138,8 +139,7 @@ def test_mixing_against_a_plain_form():
     guess = np.where(rng.random(n) < 0.5, symbols, np.where(rng.random(n) < 0.5, rng.integers(0, 12, n), -1))
     plain = [np.zeros(n, int), one, one * 12 + two]
     hashed = [bitmix.Hashed((c.astype(np.uint64) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15), 18) for k, c in enumerate(plain)]
-    for h in hashed:
-        h.count(symbols, train, tree)
+    bitmix.count(hashed, symbols, train, tree)
     want = plain_coded(symbols, train, tree, plain, bitmix.Mixer([0.2, 0.3, 0.4]), guess)
     found = bitmix.coded(symbols, train, tree, hashed, bitmix.Mixer([0.2, 0.3, 0.4]), bitmix.Lookups(), guess)
     assert found == pytest.approx(want, abs=2e-3)
@@ -162,6 +162,31 @@ def test_classes_come_from_all_texts_and_a_rare_language_gets_its_own(spark):
     texts = [" ".join(rng.choices(rare if i % 40 == 7 else common[i % 2], k=60)) for i in range(n)]
     counts = Counter(w.encode() for t in texts for w in t.split()).most_common()
     found = textclass.find_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [w for w, _ in counts], np.array([c for _, c in counts], float))
-    kinds = [int(found.of([textclass.tokens(t.encode())])[0]) for t in texts]
+    kinds = [int(found.of([t])[0]) for t in texts]
     groups = [{k for i, k in enumerate(kinds) if (2 if i % 40 == 7 else i % 2) == g} for g in range(3)]
     assert groups[0].isdisjoint(groups[1] | groups[2]) and groups[1].isdisjoint(groups[2])
+
+
+def test_words_and_groups_against_plain_ones():
+    texts = ["", None, "  a\tB\n c\x1cd é\u00a0x ", "\x0b\x0c", "One one ONE", " lead", "trail \r\n"]
+    read = textclass.Words(pa.array(texts))
+    plain = [(t or "").encode().translate(LOWER).split() + [b"\n"] for t in texts]
+    flat = [w for ws in plain for w in ws]
+    assert read.sizes.tolist() == [*map(len, plain)] and read.spelled(np.arange(len(flat))) == flat
+    among = sorted({w for w in flat if w != b"\n"})[1:]
+    number = {w: i for i, w in enumerate(among)} | {b"\n": 77}
+    assert read.numbers(pa.array(among, pa.binary()).cast(pa.string()), 77).tolist() == [number.get(w, -1) for w in flat]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["x" * (k % 50) for k in range(n)], pa.string())], names=["i", "text"]) for n in (3, 0, 200, 1)]
+    old, textclass.GROUP = textclass.GROUP, 100
+    try:
+        found = list(textclass.groups(batches, 1))
+    finally:
+        textclass.GROUP = old
+    assert [x for b in found for x in b.column(1).to_pylist()] == [x for b in batches for x in b.column(1).to_pylist()] and len(found) > 20
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(4)
+    kept = [rng.integers(0, 2**32, 9).astype(np.uint32), rng.integers(-(2**60), 2**60, 5), rng.random(4) > 0.5, rng.normal(size=3).astype(np.float32), np.zeros(0, np.uint8)]
+    back = contextmix.unpacked(contextmix.packed(*kept), *((x.dtype, len(x)) for x in kept))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(kept, back))
