@@ -134,6 +134,13 @@ def features(*names: str) -> str:
     return f"WITH RECURSIVE {analysed()} SELECT symbol, t, {', '.join(r6(made[n], n) for n in names)} FROM two"
 
 
+def streamed_features() -> str:
+    """Features up to the last bar that closed ten minutes before the last event."""
+    made = feature_sql()
+    last = "(SELECT max(t) FROM bars WHERE (t + 1) * 60 <= (SELECT epoch_us(max(ts)) / 1e6 - 600 FROM events))"
+    return f"WITH RECURSIVE {analysed()} SELECT symbol, t, valid, {', '.join(r6(x, n) for n, x in made.items())} FROM two WHERE t <= {last}"
+
+
 def volatility(panel: bool = False) -> str:
     """The tape with sig and signal at every t."""
     made = feature_sql()

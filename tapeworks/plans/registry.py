@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.scalars import at_least, r6
+from tapeworks.functions.scalars import at_least, clipped, r6
 from tapeworks.operators import analyser, context, forecast, grid, recurrence, score
 from tapeworks.plans import oracles as O
 from tapeworks.plans import settings as S
@@ -136,6 +136,12 @@ for _group, _marks in GROUPS.items():
 QUERIES["analyser_features"], ORACLE_SQL["analyser_features"] = features_of(analyser.NAMES), O.features(*analyser.NAMES)
 
 
+# the stream gives out what the watermark has passed
+ORACLE_SQL["stream_analyser"] = O.streamed_features()
+ORACLE_SQL["stream_settlement"] = f"""WITH {O.grid()} SELECT c.symbol, c.t, x.t - c.t AS h, {O.r6("ln(greatest(x.close, 1e-9)) - ln(greatest(c.close, 1e-9))", "truth")}, x.close = c.close AS hit
+    FROM tape c JOIN tape x ON x.symbol = c.symbol AND x.t > c.t AND x.t <= c.t + {S.HORIZON} WHERE c.t % {S.STRIDE} = 0"""
+
+
 def cursors(tape_: DataFrame) -> DataFrame:
     return context.replay_times(tape_, S.CONTEXT, S.HORIZON, S.STRIDE)
 
@@ -380,17 +386,15 @@ def learning_rates(spark, sf_dir):
 ORACLE_SQL["learning_rates"] = "SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 0.1 + 0.45 * (1 + cos(pi() * least((s - 100) / 900.0, 1.0))) END, 9) AS lr FROM generate_series(0, 1099) a(s)"
 
 
-@query()
+@query("SELECT 0.0::DOUBLE AS worst, 0::BIGINT AS rows_apart")
 def seam_check(spark, sf_dir):
-    """The last average, made block by block, against one plain recursion over all bars; for tapes small enough for that."""
-    back = recurrence.lags(logs(spark, sf_dir), "logp", [1]).withColumn("r2", (F.col("logp") - F.col("lag_1")) ** 2)
-    spec = recurrence.Average("var", "r2", 60)
-    whole = back.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "r2"))), lambda x: x["r2"]).alias("x"), F.min("t").alias("t0"))
-    b = recurrence.decay(60)
-    plain = whole.select("symbol", (F.col("t0") + F.size("x") - 1).alias("t"), F.aggregate("x", F.lit(0.0), lambda y, x: y * b + x * (1 - b)).alias("plain"))
-    both = recurrence.averages(back, [spec]).join(plain, ["symbol", "t"])
-    apart = F.abs(F.col("var") - F.col("plain"))
-    return both.agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
+    """One volatility by both forms of the averages, which cut a tape at different places: they must agree at every bar."""
+    found = tape(spark, sf_dir)
+    back = recurrence.lags(grid.projected(found), "logp", [1]).withColumn("r2", (F.col("logp") - F.col("lag_1")) ** 2)
+    plan = recurrence.averages(back, [recurrence.Average("var", "r2", 60)]).select("symbol", "t", (F.ln(at_least(F.sqrt(at_least(F.col("var"), 0.0)), 1e-9)) + 9.0).alias("plan"))
+    blocks = analyser.features(found, names=("logvol_60s",)).select("symbol", "t", "logvol_60s")
+    apart = F.abs(clipped(F.col("plan")) - F.col("logvol_60s"))
+    return blocks.join(plan, ["symbol", "t"]).agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
 
 
 @query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()} SELECT c.id, c.t, {O.r6("sig", "sigref")}, close AS price, {O.r6("signal", "ret_60s_z")} FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,14 +179,16 @@ class ShardReader(DataSourceReader):
     def partitions(self):
         """A partition for each shard that the range meets, found by the headers."""
         fs, root = opened(self.folder)
-        found = []
-        for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
-            if info.is_file and not info.base_name.startswith((".", "_")) and not info.base_name.endswith(".tmp"):
-                with fs.open_input_file(info.path) as file:
-                    header, _ = read_header(file, self.magic)
-                if (self.stop is None or header["t0"] < self.stop) and (self.start is None or header["t0"] + header["n"] > self.start):
-                    found.append((header["t0"], info.path))
-        return [ShardPartition(path) for _, path in sorted(found)]
+
+        def place(path: str) -> tuple[int, int, str]:
+            with fs.open_input_file(path) as file:
+                header, _ = read_header(file, self.magic)
+            return header["t0"], header["t0"] + header["n"], path
+
+        files = [x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(root)) if x.is_file and not x.base_name.startswith((".", "_")) and not x.base_name.endswith(".tmp")]
+        with ThreadPoolExecutor(16) as pool:
+            places = sorted(pool.map(place, files))
+        return [ShardPartition(path) for first, end, path in places if (self.stop is None or first < self.stop) and (self.start is None or end > self.start)]
 
     def read(self, partition):
         fs, _ = opened(self.folder)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import r6
+from tapeworks.operators import grid
 from tapeworks.operators.analyser import NAMES
+from tapeworks.plans import settings as S
+from tapeworks.sources.events import ticks
 from tapeworks.sources.files import scratch
 from tapeworks.streaming import analyser, settle
 
@@ -32,7 +35,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_analyser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events to bars to features: two streams, the second reading the table of closed bars that the first appends to."""
+    """Events to bars to features: two streams, the second reading the table of closed bars that the first appends to.
+
+    A bar is given out once the watermark, ten minutes behind the latest event, has passed it. A live stream has no end, so the
+    last ten minutes of the table wait for events that don't come.
+    """
     path = place(spark)
     closed = drained(analyser.bars(events(spark, sf_dir)), path)
     found = drained(analyser.features(spark.readStream.schema(closed.schema).parquet(f"{path}/out")))
@@ -40,12 +47,15 @@ def stream_analyser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of no move for every event's price, settled against events half an hour on."""
-    at = F.timestamp_seconds(analyser.seconds(F.col("ts")))
-    logp = F.ln(F.col("value") + 1000.0)
-    prices = events(spark, sf_dir).select(F.col("event_type").alias("symbol"), at.alias("at"), logp.alias("logp"))
-    asked = events(spark, sf_dir).select(F.col("event_type").alias("symbol"), at.alias("at"), F.lit(0.0).alias("forecast"), logp.alias("anchor"))
-    return drained(settle.settled(asked, prices, 1800)).select("symbol", "at", r6(F.col("truth")).alias("truth"), "hit")
+    """At every STRIDE-th bar of the filled tape a forecast of no move for each of the next HORIZON bars, settled as these arrive."""
+    path = f"{place(spark)}/tape"
+    grid.projected(grid.filled(grid.densify(grid.bars(ticks(spark, sf_dir))))).select("symbol", "t", "logp").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    bars = lambda: spark.readStream.schema(schema).parquet(path).withColumn("at", F.timestamp_seconds(F.col("t") * 60))
+    ahead = F.explode(F.sequence(F.lit(60), F.lit(60 * S.HORIZON), F.lit(60)))
+    asked = bars().where(F.col("t") % S.STRIDE == 0).select("symbol", "at", F.col("logp").alias("anchor"), F.lit(0.0).alias("forecast"), ahead.alias("ahead"))
+    found = drained(settle.settled(asked, bars()))
+    return found.select("symbol", (F.unix_seconds("at") / 60).cast("long").alias("t"), (F.col("ahead") / 60).cast("long").alias("h"), r6(F.col("truth")).alias("truth"), "hit")
 
 
 QUERIES = {"stream_analyser": stream_analyser, "stream_settlement": stream_settlement}

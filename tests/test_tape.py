@@ -98,6 +98,38 @@ def test_features_are_causal(spark, features):
     assert np.abs(moved.loc[:5999, names] - found.loc[:5999, names]).to_numpy().max() < 1e-9
 
 
+def test_features_over_several_blocks_reach_the_longest_lag(spark):
+    frame = tape(2 * grid.SPAN + 50_000, t0=grid.SPAN - 20_000)
+    names = ("ret_43200s_tanh", "ret_1s_tanh", "vol_z", "trend_z_43200s", "valid_frac_300s", "signed_vol_3600s", "rsi_900s")
+    found = ordered(analyser.features(placed(spark, frame), names=names))
+    logp = np.log(frame["close"].to_numpy())
+    back = lambda k: logp[np.maximum(np.arange(len(logp)) - k, 0)]
+    r1, lv = logp - back(1), np.log1p(frame["vol"].to_numpy())
+    sig, slow = np.maximum(np.sqrt(plain_average(r1 * r1, 300, 0.0)), 1e-7), plain_average(lv, 3600, 0.0)
+    imb = np.where(frame["vol"] > 0, (frame["takerfrac"] - 0.5) * 2, 0.0)
+    up, down = plain_average(np.maximum(r1, 0), 900, 0.0), plain_average(np.maximum(-r1, 0), 900, 0.0)
+    want = {
+        "ret_43200s_tanh": np.tanh(200 * (logp - back(43_200))), "ret_1s_tanh": np.tanh(200 * r1), "vol_z": (lv - slow) / np.sqrt(np.maximum(plain_average((lv - slow) ** 2, 3600, 0.0), 1e-9)),
+        "trend_z_43200s": (logp - plain_average(logp, 43_200)) / (sig * np.sqrt(43_200)), "valid_frac_300s": plain_average(frame["valid"].to_numpy(float), 300, 1.0),
+        "signed_vol_3600s": plain_average(imb * lv, 3600, 0.0) / np.sqrt(np.maximum(plain_average((imb * lv) ** 2, 3600, 0.0), 1e-9)), "rsi_900s": (up - down) / np.maximum(up + down, 1e-12),
+    }
+    for n, x in want.items():
+        assert np.abs(found[n] - np.clip(x, -8, 8)).max() < 1e-7, n
+
+
+def test_two_symbols_keep_apart(spark):
+    one, two = tape(400, t0=1000), tape(400, t0=1000, seed=1).assign(symbol="Y")
+    logs = grid.projected(placed(spark, pd.concat([one, two])))
+    cursors = context.replay_times(logs, 50, 30, 40)
+    both = {k: f(cursors, logs) for k, f in (("context", lambda c, x: context.context(c, x, 50)), ("settled", lambda c, x: context.settled(c, x, 30)))}
+    for symbol in "XY":
+        alone, mine = logs.where(f"symbol = '{symbol}'"), cursors.where(f"symbol = '{symbol}'")
+        assert both["context"].where(f"symbol = '{symbol}'").exceptAll(context.context(mine, alone, 50)).count() == 0
+        assert both["settled"].where(f"symbol = '{symbol}'").count() == context.settled(mine, alone, 30).count() == 8 * 30
+    wide = context.normalised(both["context"], 50, F.lit(1e-4)).groupBy("symbol", "id").count().collect()
+    assert len(wide) == 16 and all(r["count"] == 50 for r in wide)
+
+
 @pytest.mark.parametrize("frame", [tape(1), tape(300).assign(vol=0.0, qvol=0.0), tape(300).assign(close=5.0, high=5.0, low=5.0), tape(50).assign(valid=False)])
 def test_features_of_odd_tapes(spark, frame):
     block = ordered(analyser.features(placed(spark, frame)))[list(analyser.NAMES)].to_numpy()
