@@ -86,7 +86,7 @@ def unpacked(data: bytes, *shapes: tuple) -> list[np.ndarray]:
 
 def count_words(batches):
     """For mapInArrow over (text, train): word, how often training texts hold it (c), and how often all do (m)."""
-    for batch in groups(batches, 0, 4):
+    for batch in groups(batches, 0):
         train = batch.column(1).to_numpy(zero_copy_only=False)
         for trained in (True, False):
             texts = batch.column(0).filter(pa.array(train == trained))
@@ -254,6 +254,7 @@ def code_tokens(shared):
 
     def run(rows: pa.Table) -> pa.Table:
         _LEXICONS.clear()
+        pa.default_memory_pool().release_unused()
         tree, node_codes, class_codes, n = shared.value
         tree, fields = Tree(*tree), []
         blobs = sorted(zip(*(rows.column(x).to_pylist() for x in ("first", "tokens", "texts", "data"))))

@@ -50,19 +50,19 @@ class Words:
         return [END if end else w for w, end in zip(words, (ends[text] == at).tolist())]
 
 
-def groups(batches, text: int, wide: int = 1):
-    """Batches cut or joined to about ``wide`` times GROUP bytes of text, never within a text."""
-    held, size, most = [], 0, wide * GROUP
+def groups(batches, text: int):
+    """Batches cut or joined to about GROUP bytes of text, never within a text."""
+    held, size = [], 0
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
         while at < len(batch):
             done = int(sizes[at - 1]) if at else 0
-            to = min(len(batch), int(np.searchsorted(sizes, done + most - size)) + 1)
+            to = min(len(batch), int(np.searchsorted(sizes, done + GROUP - size)) + 1)
             held.append(batch.slice(at, to - at))
             size += int(sizes[to - 1]) - done
             at = to
-            if size >= most:
+            if size >= GROUP:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
     if size:
