@@ -40,16 +40,16 @@ def shard_scan(spark, sf_dir):
 
 @R.query(f"WITH {O.grid(True)}, e AS (SELECT max(t) AS b FROM tape) SELECT symbol, t, close, valid FROM tape, e WHERE t >= b - 2880 AND t < b - 1440")
 def shard_range(spark, sf_dir):
-    """Two columns of a day out of shards; other shards aren't opened, other columns' frames not read."""
+    """Two columns of a day out of shards: the filter reaches the source, so other shards aren't opened, other columns' frames not read."""
     folder = written(spark, sf_dir)
     last = grid.bars(ticks(spark, sf_dir, panel=True)).agg(F.max("t")).first()[0]
-    return shards.read(spark, folder, t_start=last - 2 * DAY, t_stop=last - DAY, columns="close,valid")
+    return shards.read(spark, folder, ["close", "valid"]).where((F.col("t") >= last - 2 * DAY) & (F.col("t") < last - DAY))
 
 
 @R.query(f"""WITH {O.grid(True)}, s AS (SELECT symbol, t // {WEEK} AS w, min(t) AS t0, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid FROM tape GROUP BY ALL)
     SELECT symbol, t0, n, n_valid, round(100.0 * (n - n_valid) / n, 4) AS gap_pct, 'ok' AS status FROM s""")
 def shard_manifest(spark, sf_dir):
-    """What the writer says of its shards."""
+    """What the sink's commit says of its shards."""
     return shards.write(R.tape(spark, sf_dir, True), place(spark, "shards"), WEEK, level=3).drop("file", "bytes")
 
 

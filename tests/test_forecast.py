@@ -58,9 +58,9 @@ def test_quantile_order_runs_outwards(spark):
 def test_stability_is_zero_for_forecasts_that_agree(spark):
     rng, horizon, shift = np.random.default_rng(0), 60, 10
     tape = np.cumsum(rng.normal(0, 1e-4, 400))
-    rows = [("m", i, 10 * i, 2e-4, q, h, float(tape[10 * i + h] - tape[10 * i]) * (1 + q)) for i in range(20) for q in range(3) for h in range(1, horizon + 1)]
-    paths = spark.createDataFrame(rows, "model string, id long, t long, sig double, q long, h long, path double")
-    truth = paths.where("q = 1").select("id", "h", (F.col("path") / 2).alias("truth"))
+    rows = [("m", s, i, 10 * i, 2e-4, q, h, float(tape[10 * i + h] - tape[10 * i]) * (1 + q)) for s in "AB" for i in range(20) for q in range(3) for h in range(1, horizon + 1)]
+    paths = spark.createDataFrame(rows, "model string, symbol string, id long, t long, sig double, q long, h long, path double")
+    truth = paths.where("q = 1").select("symbol", "id", "h", (F.col("path") / 2).alias("truth"))
     found = score.losses(paths, truth, horizon, shift).first()
     assert found["stability"] == pytest.approx(0, abs=1e-20) and found["hit"] == 1.0
     assert found["reward"] == pytest.approx(-found["nrmse"] + 0.25)

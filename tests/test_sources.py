@@ -32,13 +32,102 @@ def test_shards_round_trip_range_and_columns(spark, tmp_path):
     back = shards.read(spark, str(tmp_path / "s")).orderBy("t").toPandas()
     assert np.allclose(back[list(grid.PRICES)], frame[list(grid.PRICES)]) and (back["valid"] == frame["valid"]).all()
     assert np.allclose(back["vol"], frame["vol"], atol=1e-5) and (back["ntrades"] == frame["ntrades"]).all()
-    part = shards.read(spark, str(tmp_path / "s"), t_start=9_500, t_stop=9_600, columns="close,valid")
+    part = shards.read(spark, str(tmp_path / "s"), ["close", "valid"]).where("t >= 9500 and t < 9600")
     assert part.columns == ["symbol", "t", "close", "valid"] and part.count() == 100 and part.rdd.getNumPartitions() == 1
     with pytest.raises(Exception, match="magic"):
+        for f in (tmp_path / "s").glob("*.index.json"):
+            f.unlink()
         shards.read(spark, str(tmp_path / "s"), magic="OTHERS").count()
     assert shards.totals(spark.createDataFrame(made)).first()["shards"] == 3
 
 
+def whole_cents(frame):
+    for c in grid.PRICES:
+        frame[c] = np.rint(frame[c] * 100) / 100
+    return frame
+
+
+def test_filters_open_only_the_shards_they_meet(spark, tmp_path):
+    """Shards outside the filter are spoilt: opening one would fail. Without an index, headers are read instead."""
+    folder = tmp_path / "s"
+    for symbol in ("X", "Y"):
+        shards.write(spark.createDataFrame(whole_cents(tape(6000, t0=0)).assign(symbol=symbol)), str(folder), 1000)
+    spoilt = [f for f in folder.glob("*.shard") if f.name not in ("X-000000000002.shard", "X-000000000003.shard")]
+    assert len(spoilt) == 10
+    for f in spoilt:
+        f.write_bytes(b"?" * f.stat().st_size)
+    found = shards.read(spark, str(folder)).where("symbol = 'X' and t >= 2900 and t < 3100")
+    assert found.count() == 200 and found.rdd.getNumPartitions() == 2
+    assert shards.read(spark, str(folder)).where("symbol in ('X') and t in (2000, 3999)").select("t", "close").count() == 2
+    assert shards.read(spark, str(folder)).where("symbol = 'X' and t > 2999 and t <= 3000").count() == 1
+    assert shards.read(spark, str(folder)).where("symbol = 'Z'").count() == 0
+    with pytest.raises(Exception, match="magic"):
+        shards.read(spark, str(folder)).where("t >= 2900 and t < 3100").count()  # Y's shards are met too
+
+
+def test_headers_are_opened_only_where_no_index_knows_a_shard(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    folder = tmp_path / "s"
+    shards.write(spark.createDataFrame(whole_cents(tape(3000, t0=0))), str(folder), 1000)
+    (folder / "X-000000000009.shard").write_bytes(shards.encode(whole_cents(tape(1000, t0=9000))))  # by another writer
+    opened, real = [], shards.read_header
+    monkeypatch.setattr(shards, "read_header", lambda *a: opened.append(a) or real(*a))
+    reader = shards.ShardReader({"path": str(folder)})
+    left = reader.pushFilters([GreaterThanOrEqual(("t",), 1500), LessThan(("t",), 9500), EqualTo(("symbol",), "X")])
+    assert len(list(left)) == 3 and (reader.start, reader.stop, reader.symbols) == (1500, 9500, {"X"})
+    assert [p.path.rsplit("-", 1)[1] for p in reader.partitions()] == ["000000000001.shard", "000000000002.shard", "000000000009.shard"]
+    assert len(opened) == 1
+
+
+def test_a_task_that_fails_once_leaves_nothing(spark, tmp_path):
+    """The first attempt of a task dies after it has staged shards; its second attempt's are the only ones kept."""
+    from tapeworks.sources.shards import ShardSource, ShardWriter
+
+    folder, mark = tmp_path / "s", tmp_path / "died"
+
+    class Once(ShardWriter):
+        def write(self, iterator):
+            done = super().write(iterator)
+            if not mark.exists():
+                mark.touch()
+                raise RuntimeError("lost")
+            return done
+
+    class Source(ShardSource):
+        @classmethod
+        def name(cls):
+            return "tape_shards_once"
+
+        def writer(self, schema, overwrite):
+            return Once(self.options, overwrite)
+
+    spark.dataSource.register(Source)
+    rows = spark.createDataFrame(whole_cents(tape(4000, t0=0))).select(*shards.NAMES).coalesce(1).sortWithinPartitions("t")
+    write = lambda: rows.write.format("tape_shards_once").options(width=1000, job="j").mode("append").save(str(folder))
+    with pytest.raises(Exception, match="lost"):
+        write()  # a local master gives a task one attempt: the job is aborted
+    assert mark.exists() and list(folder.iterdir()) == []
+    staged = Once({"path": str(folder), "width": "1000", "job": "j"}, False)
+    staged.write(iter([]))
+    staged.shard(whole_cents(tape(1000, t0=0)))  # what a lost attempt leaves behind
+    assert [f.name for f in folder.iterdir()] == ["_staged-j"]
+    write()
+    assert sorted(f.name for f in folder.iterdir() if not f.name.startswith(".")) == ["X-000000000000.shard", "X-000000000001.shard", "X-000000000002.shard", "X-000000000003.shard", "j.index.json"]
+    assert len((folder / "j.index.json").read_text().splitlines()) == 4
+
+
+def test_changed_bars_replace_a_shard_and_overwrite_takes_others_away(spark, tmp_path):
+    folder, frame = str(tmp_path / "s"), whole_cents(tape(2000, t0=0))
+    shards.write(spark.createDataFrame(frame), folder, 1000)
+    frame.loc[1500, "vol"] += 1
+    made = shards.write(spark.createDataFrame(frame), folder, 1000).orderBy("t0").toPandas()
+    assert made["status"].tolist() == ["cached", "ok"]
+    assert shards.read(spark, folder).where("t = 1500").first()["vol"] == pytest.approx(frame["vol"][1500], abs=1e-5)
+    shards.write(spark.createDataFrame(frame.iloc[:500]), folder, 1000, mode="overwrite")
+    assert shards.read(spark, folder).count() == 500 and len(list((tmp_path / "s").glob("*.index.json"))) == 1
+
+
 def test_store_prunes_months(spark, tmp_path):
     rows = spark.range(0, 90 * 1440, 60).select(F.lit("X").alias("symbol"), F.col("id").alias("t"))
     store.save(rows, str(tmp_path / "f"), 60)
