@@ -42,9 +42,8 @@ def replay(spark: SparkSession, folder: str, length: int = 10_800, horizon: int
     models = spark.createDataFrame([("walk", 0.0), ("trend", 0.1), ("fade", -0.1)], "model string, drift double")
     cursors = context.replay_times(bars, length, horizon, stride)
     seen = analyser.features(bars, names=("logvol_300s", "ret_60s_z")).select("symbol", "t", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
-    raw = forecast.ordered(forecast.walk(cursors.join(seen, ["symbol", "t"]), models, horizon, modes), "model", "symbol", "id")
-    paths = forecast.paths(raw, forecast.basis(spark, horizon, modes), horizon, "model", "symbol", "id", "t", "sig")
-    return score.scorecard(score.scores(paths, context.settled(cursors, grid.projected(bars), horizon), horizon))
+    paths = forecast.path_arrays(forecast.walk_arrays(cursors.join(seen, ["symbol", "t"]), models, horizon, modes), horizon)
+    return score.scorecard(score.scores(paths, context.futures(cursors, grid.projected(bars), horizon), horizon))
 
 
 def smoke(spark: SparkSession, folder: str, seconds: int = 20_000) -> DataFrame:

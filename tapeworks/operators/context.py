@@ -1,7 +1,7 @@
 """Context behind a cursor, settlement ahead of it, normalised windows and pooled levels.
 
-A cursor is (symbol, t); cursors may repeat and carry an ``id``, unique within their symbol. Range joins run on buckets as long as the range, so that a
-cursor meets two buckets and never the whole tape.
+A cursor is (symbol, t); cursors may repeat and carry an ``id``, unique within their symbol. Cursors meet the tape block by block
+(``around``), and what they see of it is an array; the long forms here lay such arrays out a row a bar.
 """
 
 from __future__ import annotations
@@ -12,26 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import at_least, clipped
+from tapeworks.operators.around import slices
 
 CHANNELS = ("hi_off", "lo_off", "lv", "lntr", "imb", "valid")
 
 
-def within(cursors: DataFrame, logs: DataFrame, first: int, last: int, columns: list[str]) -> DataFrame:
-    """id, symbol, t, s and columns of every tape row with first <= s - t <= last."""
-    width = last - first + 1
-    low = F.floor((F.col("t") + first) / width)
-    asked = cursors.withColumn("bucket", F.explode(F.array(low, low + 1)))
-    tape = logs.select("symbol", F.col("t").alias("s"), F.floor(F.col("t") / width).alias("bucket"), *columns)
-    met = asked.join(tape, ["symbol", "bucket"])
-    return met.where((F.col("s") - F.col("t")).between(first, last)).drop("bucket")
-
-
 def context(cursors: DataFrame, logs: DataFrame, length: int) -> DataFrame:
     """The last ``length`` rows up to each cursor, with log prices relative to the cursor's. Long form: pos from 1."""
-    rows = within(cursors, logs, -(length - 1), 0, ["logp", *CHANNELS])
-    here = Window.partitionBy("symbol", "id").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    anchored = rows.withColumn("rel", F.col("logp") - F.last("logp").over(here)).withColumn("n", F.count("*").over(here))
-    return anchored.where(F.col("n") == length).withColumn("pos", F.col("s") - F.col("t") + length).drop("n", "logp")
+    wide = slices(cursors.select("symbol", "t", "id"), logs.withColumn("valid", F.col("valid").cast("int")), 1 - length, 0, ["logp", *CHANNELS])
+    here = F.element_at("logp", -1)
+    zipped = F.arrays_zip("logp", *CHANNELS)
+    rows = wide.select("id", "symbol", "t", here.alias("here"), F.posexplode(zipped).alias("at", "x"))
+    flags = [F.col(f"x.{c}").cast("boolean").alias(c) if c == "valid" else F.col(f"x.{c}").alias(c) for c in CHANNELS]
+    return rows.select("id", "symbol", "t", *flags, (F.col("x.logp") - F.col("here")).alias("rel"), (F.col("at") + 1).cast("long").alias("pos"))
 
 
 def normalised(window: DataFrame, length: int, sig: Column) -> DataFrame:
@@ -55,13 +48,16 @@ def pooled(window: DataFrame, length: int, span: int, stride: int, columns: list
     return rows.groupBy("id", "symbol", "t", "step").agg(*(F.avg(c).alias(c) for c in columns))
 
 
+def futures(cursors: DataFrame, logs: DataFrame, horizon: int) -> DataFrame:
+    """The cursors with ``truth``, an array: log returns from each to the next ``horizon`` bars, where all of them are known."""
+    wide = slices(cursors, logs, 0, horizon, ["logp"])
+    return wide.withColumn("truth", F.transform(F.slice("logp", 2, horizon), lambda x: x - F.element_at("logp", 1))).drop("logp")
+
+
 def settled(cursors: DataFrame, logs: DataFrame, horizon: int) -> DataFrame:
-    """id, symbol, t, h, truth: log returns from each cursor to the next ``horizon`` bars, where all of them are known."""
-    ahead = within(cursors, logs, 0, horizon, ["logp"])
-    whole = Window.partitionBy("symbol", "id")
-    anchor = F.min(F.when(F.col("s") == F.col("t"), F.col("logp"))).over(whole)
-    rows = ahead.withColumn("truth", F.col("logp") - anchor).withColumn("n", F.count("*").over(whole))
-    return rows.where((F.col("n") == horizon + 1) & (F.col("s") > F.col("t"))).select("id", "symbol", "t", (F.col("s") - F.col("t")).alias("h"), "truth")
+    """id, symbol, t, h, truth: ``futures`` in long form."""
+    wide = futures(cursors.select("symbol", "t", "id"), logs, horizon)
+    return wide.select("id", "symbol", "t", F.posexplode("truth").alias("h", "truth")).withColumn("h", (F.col("h") + 1).cast("long"))
 
 
 def replay_times(tape: DataFrame, length: int, horizon: int, stride: int, start: int | None = None, stop: int | None = None) -> DataFrame:

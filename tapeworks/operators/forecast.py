@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeworks.functions.scalars import at_least, inverse_softplus, softplus, z_score
 
@@ -78,6 +81,64 @@ def paths(coefficients: DataFrame, modes: DataFrame, horizon: int, *keys: str) -
     return coefficients.join(F.broadcast(modes), "k").groupBy(*keys, "q", "h").agg(F.sum(F.col("coef") * F.col("phi") * scale).alias("path"))
 
 
+def ordered_arrays(raw: list[Column], quantiles=QUANTILES) -> Column:
+    """``ordered`` on arrays over the modes, one for each quantile: an array of such arrays."""
+    m = list(quantiles).index(0.5) if 0.5 in quantiles else len(quantiles) // 2
+    out = {m: raw[m]}
+    for way in (range(m + 1, len(raw)), range(m - 1, -1, -1)):
+        away = None
+        for q in way:
+            step = F.transform(raw[q], softplus)
+            away = step if away is None else F.zip_with(away, step, lambda a, b: a + b)
+            out[q] = F.zip_with(raw[m], away, (lambda a, b: a + b) if q > m else (lambda a, b: a - b))
+    return F.array(*(out[q] for q in range(len(raw))))
+
+
+def walk_arrays(cursors: DataFrame, models: DataFrame, horizon: int, n_basis: int) -> DataFrame:
+    """``walk`` as a row a model and cursor, with coef, an ordered array over quantiles of arrays over modes; no shuffle."""
+    offsets, m = walk_offsets(horizon, n_basis), QUANTILES.index(0.5)
+    lead = F.concat(F.array(F.col("drift") * F.col("signal")), F.array_repeat(F.lit(0.0), n_basis - 1))
+    raw = [lead if q == m else F.array_repeat(F.lit(offset), n_basis) for q, offset in enumerate(offsets)]
+    every = cursors.crossJoin(F.broadcast(models))  # a row for each model, of which there are few
+    return every.withColumn("coef", ordered_arrays(raw)).drop("drift", "signal")
+
+
+def path_arrays(coefficients: DataFrame, horizon: int) -> DataFrame:
+    """Rows with coef (quantiles x modes) and sig get paths (quantiles x horizon) in its place: one matrix product a batch."""
+    inner = T.ArrayType(T.ArrayType(T.DoubleType()))
+    shape = T.StructType([*(f for f in coefficients.schema if f.name != "coef"), T.StructField("paths", inner)])
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            outer = batch.column("coef")
+            quantiles, modes = len(outer[0]), len(outer[0][0])
+            c = outer.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(batch), quantiles, modes)
+            w = (np.arange(1, modes + 1) - 0.5) * math.pi
+            phi = math.sqrt(2.0) * np.sin(np.arange(1, horizon + 1)[:, None] / horizon * w) / w
+            scale = np.maximum(batch.column("sig").to_numpy(zero_copy_only=False), 1e-8) * math.sqrt(horizon)
+            paths = (c @ phi.T) * scale[:, None, None]
+            ends = lambda n, size: pa.array(np.arange(n + 1, dtype=np.int32) * size)
+            lists = pa.ListArray.from_arrays(ends(len(batch), quantiles), pa.ListArray.from_arrays(ends(len(batch) * quantiles, horizon), pa.array(paths.ravel())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "coef"), lists], names=[f.name for f in shape])
+
+    return coefficients.mapInArrow(run, shape)
+
+
+def laid_out(forecasts: DataFrame) -> DataFrame:
+    """Forecasts with paths as arrays, in long form: q, h and path."""
+    rest = [c for c in forecasts.columns if c != "paths"]
+    by_quantile = forecasts.select(*rest, F.posexplode("paths").alias("q", "p"))
+    return by_quantile.select(*rest, F.col("q").cast("long").alias("q"), F.posexplode("p").alias("h", "path")).withColumn("h", (F.col("h") + 1).cast("long"))
+
+
+def gathered(forecasts: DataFrame, *keys: str) -> DataFrame:
+    """The inverse of ``laid_out``: paths as arrays, from rows of keys, q, h and path."""
+    lines = forecasts.groupBy(*keys, "q").agg(F.array_sort(F.collect_list(F.struct("h", "path")))["path"].alias("p"))
+    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "p")))["p"].alias("paths"))
+
+
 def prices(path: Column, last: Column) -> Column:
     return last * F.exp(F.greatest(F.least(path, F.lit(0.5)), F.lit(-0.5)))
 

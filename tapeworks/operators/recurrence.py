@@ -90,6 +90,48 @@ def lags(tape: DataFrame, column: str, ks: list[int], name: str = "lag_{k}") ->
     return shown.select(*tape.columns, "home", *back).where("home").drop("home")
 
 
-def trailing_mean(column: str | Column, width: int, *keys: str, order: str = "t") -> Column:
-    """The mean of the last ``width`` rows, or of as many as there are."""
-    return F.avg(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width - 1), 0))
+#: Rows in a block of numbered rows.
+ROWS = 65_536
+
+
+def numbered(rows: DataFrame, *keys: str, order: str = "t") -> DataFrame:
+    """rows with ``n``, their number from 0 in the order of a whole number that is theirs alone within its keys.
+
+    Counted block by block of ``SPAN`` units of the order: a block's rows are numbered in its task, and what came before it is
+    a running count over a row a block.
+    """
+    placed = rows.withColumn("__blk", F.floor(F.col(order) / SPAN))
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    counts = placed.groupBy(*keys, "__blk").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__blk").orderBy(order)) - 1
+    return placed.withColumn("__in", inside).join(counts, [*keys, "__blk"]).withColumn("n", (F.col("__before") + F.col("__in")).cast("long")).drop("__blk", "__before", "__in")
+
+
+def looking_back(rows: DataFrame, reach: int, made: dict, *keys: str) -> DataFrame:
+    """Numbered rows with a column for each of ``made``: name to a function of a window over the keys.
+
+    The functions may look ``reach`` rows back. The window holds a block of ``ROWS`` rows (or ``reach``, if that is more) and the last
+    ``reach`` of the block before, never all rows of a key.
+    """
+    size = max(ROWS, reach)
+    block = F.floor(F.col("n") / size)
+    shown = rows.withColumn("__at", F.explode(F.when(F.col("n") - block * size >= size - reach, F.array(block, block + 1)).otherwise(F.array(block))))
+    order = Window.partitionBy(*keys, "__at").orderBy("n")
+    found = shown.select("*", *(f(order).alias(name) for name, f in made.items()))
+    return found.where(F.col("__at") == block).drop("__at")
+
+
+def trailing_mean(column: str, width: int):
+    """For ``looking_back`` by width - 1: the mean of the last ``width`` rows, or of as many as there are."""
+    return lambda order: F.avg(column).over(order.rowsBetween(-(width - 1), 0))
+
+
+def so_far(rows: DataFrame, sums: dict, *keys: str) -> DataFrame:
+    """Numbered rows with, for each name in ``sums``, the running sum of a column: sums in blocks of ``ROWS``, and a row a block."""
+    placed = rows.withColumn("__blk", F.floor(F.col("n") / ROWS))
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(*keys, "__blk").agg(*(F.sum(of).alias(name) for name, of in sums.items()))
+    ends = ends.select(*keys, "__blk", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__{name}") for name in sums))
+    inside = Window.partitionBy(*keys, "__blk").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.select("*", *(F.sum(of).over(inside).alias(name) for name, of in sums.items())).join(ends, [*keys, "__blk"])
+    return found.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums}).drop("__blk", *(f"__{name}" for name in sums))

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 
-from tapeworks.functions.scalars import decay
-from tapeworks.operators import analyser, forecast
+from tapeworks.operators import analyser
 from tapeworks.operators.recurrence import Average
 from tapeworks.plans import settings as S
 
+#: The normal quantile of 0.9.
+Z90 = 1.2815515655446004
+
+
+def decay(halflife: float) -> float:
+    """What remains of an average after one bar."""
+    return math.exp(-math.log(2.0) / halflife)
+
 BLOCK = 600
 
 
@@ -16,16 +23,16 @@ def r6(x: str, name: str) -> str:
     return f"round({x}, 6) + 0.0 AS {name}"
 
 
-def ticks(panel: bool = False) -> str:
+def ticks(panel: bool = False, bar: int = 60) -> str:
     return f"""ticks AS (
-        SELECT {"event_type" if panel else "'ALL'"} AS symbol, epoch_us(ts) // 60000000 AS t, ts, event_id, value + 1000.0 AS price, value AS size,
+        SELECT {"event_type" if panel else "'ALL'"} AS symbol, epoch_us(ts) // {bar}000000 AS t, ts, event_id, value + 1000.0 AS price, value AS size,
                CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END AS taker
         FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
     )"""
 
 
-def bars(panel: bool = False) -> str:
-    return ticks(panel) + """, sums AS (
+def bars(panel: bool = False, bar: int = 60) -> str:
+    return ticks(panel, bar) + """, sums AS (
         SELECT symbol, t, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close,
                sum(size) AS vol, sum(size * price) AS qvol, count(*) AS ntrades, sum(taker) AS tb
         FROM ticks GROUP BY symbol, t
@@ -37,9 +44,9 @@ def bars(panel: bool = False) -> str:
     )"""
 
 
-def grid(panel: bool = False) -> str:
+def grid(panel: bool = False, bar: int = 60) -> str:
     ends = "SELECT symbol, (SELECT min(t) FROM bars) AS a, (SELECT max(t) FROM bars) AS b FROM (SELECT DISTINCT symbol FROM bars)" if panel else "SELECT symbol, min(t) AS a, max(t) AS b FROM bars GROUP BY symbol"
-    return bars(panel) + f""", ends AS ({ends}), skeleton AS (
+    return bars(panel, bar) + f""", ends AS ({ends}), skeleton AS (
         SELECT symbol, unnest(generate_series(a, b)) AS t FROM ends
     ), met AS (
         SELECT s.symbol, s.t, b.* EXCLUDE (symbol, t), b.close IS NOT NULL AS valid
@@ -55,8 +62,8 @@ def grid(panel: bool = False) -> str:
     )"""
 
 
-def logs(panel: bool = False) -> str:
-    return grid(panel) + """, logs AS (
+def logs(panel: bool = False, bar: int = 60) -> str:
+    return grid(panel, bar) + """, logs AS (
         SELECT symbol, t, ln(greatest(close, 1e-9)) AS logp, close, ln(greatest(high, 1e-9)) - ln(greatest(close, 1e-9)) AS hi_off,
                ln(greatest(low, 1e-9)) - ln(greatest(close, 1e-9)) AS lo_off, ln(1 + greatest(vol, 0.0)) AS lv, ln(1 + greatest(ntrades::DOUBLE, 0.0)) AS lntr,
                CASE WHEN vol > 0 THEN (takerfrac - 0.5) * 2 ELSE 0.0 END AS imb, valid
@@ -64,7 +71,7 @@ def logs(panel: bool = False) -> str:
     )"""
 
 
-def averages(source: str, specs, tag: str) -> str:
+def averages(source: str, specs, tag: str, block: int = BLOCK) -> str:
     """Closed form within short blocks, and a recursion over blocks; gives the table of that tag."""
     local = ", ".join(f"{1 - decay(s.halflife)!r} * power({decay(s.halflife)!r}, j) * sum({s.of} * power({decay(s.halflife)!r}, -j)) OVER w AS l_{s.name}" for s in specs)
     ends = ", ".join(f"arg_max(l_{s.name}, j) AS l_{s.name}" for s in specs)
@@ -72,7 +79,7 @@ def averages(source: str, specs, tag: str) -> str:
     fold = ", ".join(f"e.l_{s.name} + power({decay(s.halflife)!r}, e.n) * c.c_{s.name}" for s in specs)
     done = ", ".join(f"l_{s.name} + c_{s.name} * power({decay(s.halflife)!r}, j + 1) AS {s.name}" for s in specs)
     return f""", {tag}_at AS (
-        SELECT *, (t - min(t) OVER (PARTITION BY symbol)) // {BLOCK} AS blk, (t - min(t) OVER (PARTITION BY symbol)) % {BLOCK} AS j FROM {source}
+        SELECT *, (t - min(t) OVER (PARTITION BY symbol)) // {block} AS blk, (t - min(t) OVER (PARTITION BY symbol)) % {block} AS j FROM {source}
     ), {tag}_local AS (
         SELECT *, {local} FROM {tag}_at WINDOW w AS (PARTITION BY symbol, blk ORDER BY j ROWS UNBOUNDED PRECEDING)
     ), {tag}_ends AS (SELECT symbol, blk, count(*) AS n, {ends} FROM {tag}_local GROUP BY symbol, blk), {tag}_carry AS (
@@ -141,48 +148,57 @@ def streamed_features() -> str:
     return f"WITH RECURSIVE {analysed()} SELECT symbol, t, valid, {', '.join(r6(x, n) for n, x in made.items())} FROM two WHERE t <= {last}"
 
 
-def volatility(panel: bool = False) -> str:
-    """The tape with sig and signal at every t."""
-    made = feature_sql()
-    return analysed(panel) + f", vol AS (SELECT symbol, t, logp, close, exp({made['logvol_300s']} - 9.0) AS sig, {made['ret_60s_z']} AS signal FROM two)"
+def volatility(panel: bool = False, bar: int = 60) -> str:
+    """The tape with sig and signal at every t: the volatility at hand over 300 bars, and the last 60 bars' move in units of it."""
+    text = grid(panel, bar) + """, back AS (
+        SELECT *, logp - coalesce(lag(logp) OVER o, logp) AS r1, logp - coalesce(lag(logp, 60) OVER o, first_value(logp) OVER o) AS move
+        FROM (SELECT *, ln(greatest(close, 1e-12)) AS logp FROM tape) WINDOW o AS (PARTITION BY symbol ORDER BY t)
+    ), squares AS (SELECT *, r1 * r1 AS r2 FROM back)"""
+    text += averages("squares", [Average("var_300", "r2", 300)], "varied", BLOCK if bar > 1 else 30_000)
+    held = lambda x: f"greatest(least({x}, 8.0), -8.0)"
+    dev = "sqrt(greatest(var_300, 0.0))"
+    return text + f", vol AS (SELECT symbol, t, logp, close, exp({held(f'ln(greatest({dev}, 1e-9)) + 9.0')} - 9.0) AS sig, {held(f'move / (greatest({dev}, 1e-7) * {math.sqrt(60)!r})')} AS signal FROM varied)"
 
 
-def cursors() -> str:
-    return f", cursors AS (SELECT symbol, t, t AS id FROM (SELECT symbol, t, min(t) OVER w AS a, max(t) OVER w AS b FROM tape WINDOW w AS (PARTITION BY symbol)) WHERE t >= a + {S.CONTEXT} + 1 AND t < b - {S.HORIZON} + 1 AND (t - a - {S.CONTEXT} - 1) % {S.STRIDE} = 0)"
+def cursors(z=S) -> str:
+    return f", cursors AS (SELECT symbol, t, t AS id FROM (SELECT symbol, t, min(t) OVER w AS a, max(t) OVER w AS b FROM tape WINDOW w AS (PARTITION BY symbol)) WHERE t >= a + {z.CONTEXT} + 1 AND t < b - {z.HORIZON} + 1 AND (t - a - {z.CONTEXT} - 1) % {z.STRIDE} = 0)"
 
 
-def truth() -> str:
-    return f", truth AS (SELECT c.id, c.symbol, c.t, x.t - c.t AS h, ln(greatest(x.close, 1e-9)) - ln(greatest(y.close, 1e-9)) AS truth FROM cursors c JOIN tape y ON y.t = c.t AND y.symbol = c.symbol JOIN tape x ON x.symbol = c.symbol AND x.t > c.t AND x.t <= c.t + {S.HORIZON})"
+def truth(z=S) -> str:
+    return f", truth AS (SELECT c.id, c.symbol, c.t, c.h, ln(greatest(x.close, 1e-9)) - ln(greatest(c.close, 1e-9)) AS truth FROM (SELECT c.*, y.close, unnest(generate_series(1, {z.HORIZON})) AS h FROM cursors c JOIN tape y ON y.t = c.t AND y.symbol = c.symbol) c JOIN tape x ON x.symbol = c.symbol AND x.t = c.t + c.h)"
 
 
 def window(panel: bool = False) -> str:
-    return logs(panel) + cursors() + f", wide AS (SELECT c.id, c.symbol, c.t, x.t - c.t + {S.CONTEXT} AS pos, x.logp - y.logp AS rel, x.hi_off, x.lo_off, x.lv, x.lntr, x.imb, x.valid FROM cursors c JOIN logs y ON y.t = c.t AND y.symbol = c.symbol JOIN logs x ON x.symbol = c.symbol AND x.t <= c.t AND x.t > c.t - {S.CONTEXT})"
+    return logs(panel) + cursors() + f", wide AS (SELECT c.id, c.symbol, c.t, c.pos, x.logp - c.logp AS rel, x.hi_off, x.lo_off, x.lv, x.lntr, x.imb, x.valid FROM (SELECT c.*, y.logp, unnest(generate_series(1, {S.CONTEXT})) AS pos FROM cursors c JOIN logs y ON y.t = c.t AND y.symbol = c.symbol) c JOIN logs x ON x.symbol = c.symbol AND x.t = c.t + c.pos - {S.CONTEXT})"
 
 
-def basis_sql() -> str:
-    return f"basis AS (SELECT h, k, {math.sqrt(2.0)!r} * sin(h / {S.HORIZON}.0 * ((k - 0.5) * pi())) / ((k - 0.5) * pi()) AS phi FROM generate_series(1, {S.HORIZON}) a(h), generate_series(1, {S.MODES}) b(k))"
+def basis_sql(z=S) -> str:
+    return f"basis AS (SELECT h, k, {math.sqrt(2.0)!r} * sin(h / {z.HORIZON}.0 * ((k - 0.5) * pi())) / ((k - 0.5) * pi()) AS phi FROM generate_series(1, {z.HORIZON}) a(h), generate_series(1, {z.MODES}) b(k))"
 
 
 def softplus(x: str) -> str:
     return f"(greatest({x}, 0.0) + ln(1 + exp(-abs({x}))))"
 
 
-def forecasts(panel: bool = False) -> str:
+def offset(z=S) -> float:
+    """What each mode is moved by so that at the horizon a path lies Z90 deviations of a walk from the median."""
+    return Z90 / sum(math.sqrt(2.0) * math.sin((k - 0.5) * math.pi) / ((k - 0.5) * math.pi) for k in range(1, z.MODES + 1))
+
+
+def forecasts(panel: bool = False, z=S) -> str:
     """Forecasts of all models: model, symbol, id, t, sig, q, h, path."""
-    lo, _, hi = forecast.walk_offsets(S.HORIZON, S.MODES)
-    models = ", ".join(f"('{m}', {d!r})" for m, d in S.MODELS)
-    return volatility(panel) + cursors() + ", " + basis_sql() + f""", models AS (SELECT * FROM (VALUES {models}) m(model, drift)), lead AS (
-        SELECT model, c.symbol, id, c.t, sig, q, k, CASE WHEN k = 1 THEN drift * signal ELSE 0.0 END
-               + CASE q WHEN 0 THEN -{softplus(repr(lo))} WHEN 2 THEN {softplus(repr(hi))} ELSE 0.0 END AS coef
-        FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol, models, generate_series(0, 2) a(q), generate_series(1, {S.MODES}) b(k)
-    ), forecasts AS (
-        SELECT model, symbol, id, t, sig, q, h, sum(coef * phi * greatest(sig, 1e-8) * {math.sqrt(S.HORIZON)!r}) AS path FROM lead JOIN basis USING (k) GROUP BY ALL
+    models = ", ".join(f"('{m}', {d!r})" for m, d in z.MODELS)
+    return volatility(panel, z.BAR) + cursors(z) + ", " + basis_sql(z) + f""", models AS (SELECT * FROM (VALUES {models}) m(model, drift)), lead AS (
+        SELECT model, c.symbol, id, c.t, sig, q, list_transform(generate_series(1, {z.MODES}), lambda k: CASE WHEN k = 1 THEN drift * signal ELSE 0.0 END + (q - 1) * {offset(z)!r}) AS coef
+        FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol, models, generate_series(0, 2) a(q)
+    ), modes AS (SELECT h, list(phi ORDER BY k) AS phi FROM basis GROUP BY h), forecasts AS (
+        SELECT model, symbol, id, t, sig, q, h, list_inner_product(coef, phi) * greatest(sig, 1e-8) * {math.sqrt(z.HORIZON)!r} AS path FROM lead, modes
     )"""
 
 
-def scored(panel: bool = False) -> str:
-    by = f"greatest(sig, 1e-9) * {math.sqrt(S.HORIZON)!r}"
-    return forecasts(panel) + truth() + f""", each AS (
+def scored(panel: bool = False, z=S) -> str:
+    by = f"greatest(sig, 1e-9) * {math.sqrt(z.HORIZON)!r}"
+    return forecasts(panel, z) + truth(z) + f""", each AS (
         SELECT model, f.symbol, f.t, sqrt(avg(power((path - truth) / ({by}), 2))) AS nrmse, sqrt(avg(power(truth / ({by}), 2))) AS flat_nrmse,
                arg_max(path, h) AS e, arg_max(truth, h) AS te, any_value({by}) AS sc
         FROM forecasts f JOIN truth USING (symbol, id, h) WHERE q = 1 GROUP BY model, f.symbol, f.t
@@ -192,5 +208,5 @@ def scored(panel: bool = False) -> str:
         FROM each WINDOW o AS (PARTITION BY model, symbol ORDER BY t)
     ), scores AS (
         SELECT *, avg(dir_hit) OVER o AS roll_hit, avg(nrmse) OVER o AS roll_nrmse FROM found
-        WINDOW o AS (PARTITION BY model, symbol ORDER BY t ROWS BETWEEN {S.ROLL - 1} PRECEDING AND CURRENT ROW)
+        WINDOW o AS (PARTITION BY model, symbol ORDER BY t ROWS BETWEEN {z.ROLL - 1} PRECEDING AND CURRENT ROW)
     )"""

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import at_least, clipped, r6
-from tapeworks.operators import analyser, context, forecast, grid, recurrence, score
+from tapeworks.operators import analyser, around, context, forecast, grid, recurrence, score
 from tapeworks.plans import oracles as O
 from tapeworks.plans import settings as S
 from tapeworks.sources.events import ticks
+from tapeworks.sources.files import kept
 from tapeworks.streaming import queries as streams
 
 QUERIES: dict = dict(streams.QUERIES)
@@ -30,8 +31,8 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(F.col(n)) for n in names})
 
 
-def tape(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
-    return grid.filled(grid.densify(grid.bars(ticks(spark, sf_dir, panel=panel)), common=panel))
+def tape(spark: SparkSession, sf_dir: str, panel: bool = False, bar: int = S.BAR) -> DataFrame:
+    return grid.filled(grid.densify(grid.bars(ticks(spark, sf_dir, bar, panel)), common=panel))
 
 
 def logs(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
@@ -142,8 +143,8 @@ ORACLE_SQL["stream_settlement"] = f"""WITH {O.grid()} SELECT c.symbol, c.t, x.t
     FROM tape c JOIN tape x ON x.symbol = c.symbol AND x.t > c.t AND x.t <= c.t + {S.HORIZON} WHERE c.t % {S.STRIDE} = 0"""
 
 
-def cursors(tape_: DataFrame) -> DataFrame:
-    return context.replay_times(tape_, S.CONTEXT, S.HORIZON, S.STRIDE)
+def cursors(tape_: DataFrame, z=S) -> DataFrame:
+    return context.replay_times(tape_, z.CONTEXT, z.HORIZON, z.STRIDE)
 
 
 WINDOW = ("rel", "hi_off", "lo_off", "lv", "lntr", "imb")
@@ -152,7 +153,7 @@ WINDOW = ("rel", "hi_off", "lo_off", "lv", "lntr", "imb")
 @query(f"WITH {O.window()} SELECT symbol, id, t, pos, valid, {', '.join(O.r6(x, x) for x in WINDOW)} FROM wide")
 def context_window(spark, sf_dir, panel=False):
     found = logs(spark, sf_dir, panel)
-    return rounded(context.context(cursors(found), found, S.CONTEXT), *WINDOW).drop("s")
+    return rounded(context.context(cursors(found), found, S.CONTEXT), *WINDOW)
 
 
 CHANNELS = ("path", "ret", "hi", "lo", "act", "ntr", "imb", "valid")
@@ -196,27 +197,30 @@ def horizon_tilt(spark, sf_dir):
 
 def volatility(tape_: DataFrame) -> DataFrame:
     """symbol, t, logp, close, sig, signal of every bar."""
-    return analyser.features(tape_, F.col("t") * 60, ("logvol_300s", "ret_60s_z")).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
+    return analyser.features(tape_, names=("logvol_300s", "ret_60s_z")).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
 
 
-def forecasts(spark: SparkSession, tape_: DataFrame) -> DataFrame:
-    """model, symbol, id, t, sig, q, h, path of every model at every cursor."""
-    models = spark.createDataFrame(list(S.MODELS), "model string, drift double")
-    seen = cursors(tape_).join(volatility(tape_), ["symbol", "t"])
-    raw = forecast.ordered(forecast.walk(seen, models, S.HORIZON, S.MODES), "model", "symbol", "id")
-    return forecast.paths(raw, forecast.basis(spark, S.HORIZON, S.MODES), S.HORIZON, "model", "symbol", "id", "t", "sig")
+def seen(tape_: DataFrame, z=S) -> DataFrame:
+    """The cursors, each with the volatility and the signal it sees."""
+    return cursors(tape_, z).join(volatility(tape_).select("symbol", "t", "sig", "signal"), ["symbol", "t"])
+
+
+def forecasts(spark: SparkSession, tape_: DataFrame, z=S) -> DataFrame:
+    """model, symbol, id, t, sig, paths (arrays) of every model at every cursor."""
+    models = spark.createDataFrame(list(z.MODELS), "model string, drift double")
+    return forecast.path_arrays(forecast.walk_arrays(seen(tape_, z), models, z.HORIZON, z.MODES), z.HORIZON)
 
 
 @query(f"WITH RECURSIVE {O.forecasts()} SELECT model, symbol, id, t, q, h, {O.r6('path', 'path')} FROM forecasts")
 def path_synthesis(spark, sf_dir):
-    return rounded(forecasts(spark, tape(spark, sf_dir)), "path").drop("sig")
+    return rounded(forecast.laid_out(forecasts(spark, tape(spark, sf_dir))), "path").drop("sig")
 
 
 @query(f"WITH RECURSIVE {O.forecasts()} SELECT model, symbol, id, t, q, h, round(close * exp(greatest(least(path, 0.5), -0.5)), 4) + 0.0 AS price FROM forecasts JOIN vol USING (symbol, t)")
 def price_band(spark, sf_dir):
-    tape_ = tape(spark, sf_dir)
+    tape_ = kept(tape(spark, sf_dir), "tape")
     lasts = tape_.select("symbol", "t", "close")
-    return forecasts(spark, tape_).join(lasts, ["symbol", "t"]).select("model", "symbol", "id", "t", "q", "h", (F.round(forecast.prices(F.col("path"), F.col("close")), 4) + 0.0).alias("price"))
+    return forecast.laid_out(forecasts(spark, tape_).join(lasts, ["symbol", "t"])).select("model", "symbol", "id", "t", "q", "h", (F.round(forecast.prices(F.col("path"), F.col("close")), 4) + 0.0).alias("price"))
 
 
 _E = "embeddings"
@@ -240,9 +244,9 @@ def score_by_time(spark, sf_dir):
     return rounded(replay(spark, sf_dir), *SCORES, "acc", "roll_acc", "skill")
 
 
-def replay(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
-    tape_ = tape(spark, sf_dir, panel)
-    return score.scores(forecasts(spark, tape_), context.settled(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL)
+def replay(spark: SparkSession, sf_dir: str, panel: bool = False, z=S) -> DataFrame:
+    tape_ = kept(tape(spark, sf_dir, panel, z.BAR), "tape")
+    return score.scores(forecasts(spark, tape_, z), context.futures(cursors(tape_, z), grid.projected(tape_), z.HORIZON), z.HORIZON, z.ROLL)
 
 
 @query(f"""WITH RECURSIVE {O.scored()} SELECT model, round(avg(dir_hit) * 100, 2) AS dir_hit_pct, round(avg(nrmse), 4) AS path_nrmse, round(avg(endpoint), 4) AS endpoint_nrmse, round(avg(100 * exp(-nrmse)), 2) AS accuracy_pct,
@@ -251,36 +255,79 @@ def scorecard(spark, sf_dir):
     return score.scorecard(replay(spark, sf_dir))
 
 
-_SCALE = f"(greatest(sig, 1e-8) * {S.HORIZON ** 0.5!r})"
-
-
-@query(f"""WITH RECURSIVE {O.forecasts()}{O.truth()}, hw AS (SELECT h, w / avg(w) OVER () AS hw FROM (SELECT h, power(1.0 / sqrt(h), 0.5) AS w FROM generate_series(1, {S.HORIZON}) a(h))), x AS (
-        SELECT f.*, truth, hw, (truth - path) / {_SCALE} AS e, CASE q WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END AS p,
-               (path - 2 * lag(path) OVER o + lag(path, 2) OVER o) / {_SCALE} AS bend
-        FROM forecasts f JOIN truth USING (symbol, id, h) JOIN hw USING (h) WINDOW o AS (PARTITION BY model, f.symbol, f.id, q ORDER BY h)
+def loss_sql(z) -> str:
+    by = f"(greatest(sig, 1e-8) * {z.HORIZON ** 0.5!r})"
+    ends = [min(h, z.HORIZON) for h in (60, 300, 900, 1500)]
+    return f"""WITH RECURSIVE {O.forecasts(z=z)}{O.truth(z)}, hw AS (SELECT h, w / avg(w) OVER () AS hw FROM (SELECT h, power(1.0 / sqrt(h), 0.5) AS w FROM generate_series(1, {z.HORIZON}) a(h))), x AS (
+        SELECT f.*, truth, hw, (truth - path) / {by} AS e, CASE q WHEN 0 THEN 0.1 WHEN 1 THEN 0.5 ELSE 0.9 END AS p FROM forecasts f JOIN truth USING (symbol, id, h) JOIN hw USING (h)
     ), plain AS (
-        SELECT model, avg(greatest(p * e, (p - 1) * e) * hw) AS quantile, avg(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END * hw) FILTER (WHERE q = 1) AS huber,
-               avg({O.softplus(f"(-tanh(path / ({_SCALE} * 0.5)) * sign(truth) * 4.0)")}) FILTER (WHERE q = 1 AND h = {S.HORIZON}) AS direction,
-               avg(power(bend, 2)) FILTER (WHERE q = 1) * {S.HORIZON} AS smooth, sqrt(avg(e * e) FILTER (WHERE q = 1)) AS nrmse, avg((sign(path) = sign(truth))::INT) FILTER (WHERE q = 1 AND h = {S.HORIZON}) AS hit
-        FROM x GROUP BY model
+        SELECT model, avg(greatest(p * e, (p - 1) * e) * hw) AS quantile, avg(CASE WHEN abs(e) <= 1 THEN 0.5 * e * e ELSE abs(e) - 0.5 END * hw) FILTER (WHERE q = 1) AS huber, sqrt(avg(e * e) FILTER (WHERE q = 1)) AS nrmse FROM x GROUP BY model
+    ), turned AS (
+        SELECT model, avg({O.softplus(f"(-tanh(path / ({by} * 0.5)) * sign(truth) * 4.0)")}) AS direction, avg((sign(path) = sign(truth))::INT) AS hit
+        FROM x JOIN (SELECT unnest({ends}) AS h) d USING (h) WHERE q = 1 GROUP BY model
+    ), bent AS (
+        SELECT model, avg(power(bend, 2)) * {z.HORIZON} AS smooth
+        FROM (SELECT model, (path - 2 * lag(path) OVER o + lag(path, 2) OVER o) / {by} AS bend FROM forecasts WHERE q = 1 WINDOW o AS (PARTITION BY model, symbol, id ORDER BY h)) GROUP BY model
+    ), anchors AS MATERIALIZED (SELECT model, symbol, q, t, path AS anchor FROM forecasts WHERE h = {z.STRIDE}), earlier AS MATERIALIZED (
+        SELECT model, symbol, q, t + {z.STRIDE} AS t, h - {z.STRIDE} AS h, path - anchor AS was FROM forecasts JOIN anchors USING (model, symbol, q, t) WHERE h > {z.STRIDE}
     ), steady AS (
-        SELECT a.model, avg(power((a.path - (b.path - c.path)) / (greatest(a.sig, 1e-8) * {S.HORIZON ** 0.5!r}), 2)) AS stability
-        FROM forecasts a JOIN forecasts b ON b.model = a.model AND b.symbol = a.symbol AND b.q = a.q AND b.t = a.t - {S.STRIDE} AND b.h = a.h + {S.STRIDE}
-        JOIN forecasts c ON c.model = a.model AND c.symbol = a.symbol AND c.q = a.q AND c.t = b.t AND c.h = {S.STRIDE} GROUP BY a.model
+        SELECT model, avg(power((path - was) / {by}, 2)) AS stability FROM forecasts JOIN earlier USING (model, symbol, q, t, h) GROUP BY model
     ) SELECT model, {", ".join(O.r6(x, x) for x in ("quantile", "huber", "direction", "stability", "smooth", "nrmse", "hit"))}, {O.r6("quantile + huber + 0.15 * direction + 0.35 * stability + 0.02 * smooth", "loss")}, {O.r6("-nrmse + 0.5 * (hit - 0.5)", "reward")}
-    FROM plain JOIN steady USING (model)""")
-def loss_terms(spark, sf_dir):
-    tape_ = tape(spark, sf_dir)
-    found = score.losses(forecasts(spark, tape_), context.settled(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.STRIDE)
+    FROM plain JOIN turned USING (model) JOIN bent USING (model) JOIN steady USING (model)"""
+
+
+def losses(spark: SparkSession, sf_dir: str, z=S) -> DataFrame:
+    tape_ = kept(tape(spark, sf_dir, bar=z.BAR), "tape")
+    found = score.losses(forecasts(spark, tape_, z), context.futures(cursors(tape_, z), grid.projected(tape_), z.HORIZON), z.HORIZON, z.STRIDE)
     return rounded(found, *(c for c in found.columns if c != "model"))
 
 
+@query(loss_sql(S))
+def loss_terms(spark, sf_dir):
+    return losses(spark, sf_dir)
+
+
+@query(loss_sql(S.FULL))
+def loss_terms_full(spark, sf_dir):
+    """The losses at full size: bars of a second, a horizon of 1 500 on 24 modes, and four directions apart."""
+    return losses(spark, sf_dir, S.FULL)
+
+
+@query(f"WITH RECURSIVE {O.scored(z=S.FULL)} SELECT model, symbol, t, {', '.join(O.r6(x, x) for x in SCORES)}, {O.r6('100 * exp(-nrmse)', 'acc')}, {O.r6('100 * exp(-roll_nrmse)', 'roll_acc')}, {O.r6('100 * (1 - nrmse)', 'skill')} FROM scores")
+def scores_full(spark, sf_dir):
+    """The scores at full size."""
+    return rounded(replay(spark, sf_dir, z=S.FULL), *SCORES, "acc", "roll_acc", "skill")
+
+
+LEVELS = tuple((min(span, S.FULL.CONTEXT), stride) for span, stride in forecast.LEVELS)
+TOKENS = ("logp", "hi_off", "lo_off", "lv", "lntr", "imb", "valid")
+_EDGES = " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS level, k // {forecast.PATCH} AS token, {1 - span + (span // stride) % forecast.PATCH * stride} + k * {stride} AS first, {stride} AS stride FROM generate_series(0, {span // stride // forecast.PATCH * forecast.PATCH - 1}) a(k)"
+    for i, (span, stride) in enumerate(LEVELS)
+)
+
+
+@query(f"""WITH {O.logs(bar=1)}{O.cursors(S.APART)}, edges AS ({_EDGES}), asked AS MATERIALIZED (
+        SELECT symbol, id, t, level, token, first, t + first + unnest(generate_series(0, stride - 1)) AS bar FROM cursors, edges
+    ), laid AS MATERIALIZED (SELECT symbol, t AS bar, logp, hi_off, lo_off, lv, lntr, imb, valid::INT AS valid FROM logs), owns AS MATERIALIZED (SELECT c.symbol, c.t, x.logp AS own FROM cursors c JOIN laid x ON x.symbol = c.symbol AND x.bar = c.t),
+    steps AS (SELECT symbol, id, t, level, token, first, {", ".join(f"avg({c}) AS {c}" for c in TOKENS)} FROM asked JOIN laid USING (symbol, bar) GROUP BY ALL)
+    SELECT symbol, id, t, level, token, {O.r6('min(logp - own)', 'low')}, {O.r6('max(logp - own)', 'high')}, {", ".join(O.r6(f"avg({c})", c) for c in TOKENS[1:])} FROM steps JOIN owns USING (symbol, t) GROUP BY symbol, id, t, level, token""")
+def pyramid_full(spark, sf_dir):
+    """The four levels of a context of 43 200 seconds: 64, 64, 64 and 42 patches of 16 means a cursor, each summed up in a row."""
+    found = grid.projected(tape(spark, sf_dir, bar=1)).withColumn("valid", F.col("valid").cast("int"))
+    found = kept(found.select("symbol", "t", *TOKENS), "logs")
+    asked = cursors(found, S.APART).join(found.select("symbol", "t", F.col("logp").alias("own")), ["symbol", "t"])
+    tokens = around.pyramid(asked, found, S.FULL.CONTEXT, LEVELS, forecast.PATCH, list(TOKENS))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / forecast.PATCH
+    return tokens.select("symbol", "id", "t", *(F.col(c).cast("long").alias(c) for c in ("level", "token")), r6(F.array_min("logp") - F.col("own")).alias("low"), r6(F.array_max("logp") - F.col("own")).alias("high"), *(r6(mean(c)).alias(c) for c in TOKENS[1:]))
+
+
 _BAND = "band AS (SELECT f.symbol, f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol GROUP BY f.symbol, f.t, h)"
 
 
 @query(f"WITH RECURSIVE {O.forecasts()}, {_BAND} SELECT symbol, t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
 def ensemble_band(spark, sf_dir):
-    tape_ = tape(spark, sf_dir)
+    tape_ = kept(tape(spark, sf_dir), "tape")
     found = score.band(forecasts(spark, tape_), tape_.select("symbol", "t", F.col("close").alias("price")))
     return found.select("symbol", "t", "h", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
@@ -293,11 +340,38 @@ _FRAMES = f"""shown AS (
     SELECT symbol, t, price, n_past, n_future, round(y0 - greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_low, round(y1 + greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_high FROM y"""
 
 
+def framed(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
+    tape_ = kept(tape(spark, sf_dir, panel), "tape")
+    made = kept(forecasts(spark, tape_), "forecasts")
+    found = kept(score.scores(made, context.futures(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL), "scores")
+    return score.frames(cursors(tape_), tape_, made, found, S.LOOKBACK, S.HORIZON)
+
+
 @query(f"WITH RECURSIVE {O.forecasts()}, {_BAND}, {_FRAMES}")
 def frame_records(spark, sf_dir, panel=False):
-    tape_ = tape(spark, sf_dir, panel)
-    found = score.frames(cursors(tape_), tape_, forecasts(spark, tape_), S.LOOKBACK, S.HORIZON)
-    return found.withColumns({c: F.round(c, 4) for c in ("y_low", "y_high")})
+    return framed(spark, sf_dir, panel).select("symbol", "t", "price", "n_past", "n_future", *(F.round(c, 4).alias(c) for c in ("y_low", "y_high")))
+
+
+def _listed(x: str, order: str, where: str = "") -> str:
+    return f"string_agg((round({x} * 10000))::BIGINT::VARCHAR, ',' ORDER BY {order}){where}"
+
+
+_PRICED = "close * exp(greatest(least(path, 0.5), -0.5))"
+
+
+@query(f"""WITH RECURSIVE {O.scored()}, {_BAND}, near AS (
+        SELECT c.symbol, c.t, {_listed("x.close", "x.t", " FILTER (WHERE x.t <= c.t)")} AS past, {_listed("x.close", "x.t", " FILTER (WHERE x.t > c.t)")} AS future
+        FROM (SELECT *, unnest(generate_series(t - {S.LOOKBACK}, t + {S.HORIZON})) AS at FROM cursors) c JOIN tape x ON x.symbol = c.symbol AND x.t = c.at GROUP BY ALL
+    ), drawn AS (SELECT f.symbol, f.t, {_listed(_PRICED, "model, h")} AS paths FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol WHERE q = 1 GROUP BY ALL),
+    edged AS (SELECT symbol, t, {_listed("lower", "h")} AS lower, {_listed("upper", "h")} AS upper FROM band GROUP BY ALL),
+    counted AS (SELECT model, symbol, t, count(*) OVER o AS n, sum(dir_hit) OVER o AS hits, roll_hit FROM scores WINDOW o AS (PARTITION BY model, symbol ORDER BY t ROWS UNBOUNDED PRECEDING)),
+    said AS (SELECT symbol, t, string_agg(model || ':' || n || ':' || hits::BIGINT || ':' || (round(roll_hit * 10000))::BIGINT, ',' ORDER BY model) AS hits FROM counted GROUP BY ALL)
+    SELECT * FROM near JOIN drawn USING (symbol, t) JOIN edged USING (symbol, t) JOIN said USING (symbol, t)""")
+def frame_arrays(spark, sf_dir):
+    """The whole record of each frame, its arrays in hundredths of a cent: what is drawn of past and future, paths, band and hits."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 10000).cast("long")), ",")
+    hits = F.transform("models", lambda m: F.concat_ws(":", m["model"], m["n"].cast("string"), F.round(m["hit_so_far"] * m["n"]).cast("long").cast("string"), F.round(m["roll_hit"] * 10000).cast("long").cast("string")))
+    return framed(spark, sf_dir).select("symbol", "t", *(listed(c).alias(c) for c in ("past", "future", "lower", "upper")), listed(F.flatten("models.path")).alias("paths"), F.array_join(hits, ",").alias("hits"))
 
 
 @query(f"WITH RECURSIVE {O.forecasts(True)}, {_BAND}, {_FRAMES}")
@@ -359,8 +433,9 @@ def last_write_wins(spark, sf_dir):
 @query(f"WITH RECURSIVE {O.scored()}, logged AS (SELECT t, nrmse FROM scores WHERE model = 'walk'), o AS (SELECT 'walk' AS symbol, row_number() OVER (ORDER BY t) AS t, t AS stamp, nrmse FROM logged){O.averages('o', [recurrence.Average('ema', 'nrmse', 34.30961849, None)], 'm')} SELECT stamp AS t, {O.r6('ema', 'ema')} FROM m")
 def metric_ema(spark, sf_dir):
     """The running 0.98 / 0.02 average of a logged metric, begun at its first value."""
-    logged = replay(spark, sf_dir).where("model = 'walk'").select(F.lit("walk").alias("symbol"), F.col("t").alias("at"), (F.row_number().over(Window.partitionBy("model").orderBy("t")) - 1).cast("long").alias("t"), "nrmse")
-    steps = recurrence.averages(logged.withColumn("big", F.lit(0).cast("long")), [recurrence.Average("ema", "nrmse", 34.30961849, None)])
+    logged = recurrence.numbered(replay(spark, sf_dir).where("model = 'walk'").select(F.lit("walk").alias("symbol"), "t", "nrmse"), "symbol")
+    logged = logged.select("symbol", F.col("t").alias("at"), F.col("n").alias("t"), F.floor(F.col("n") / grid.SPAN).alias("big"), "nrmse")
+    steps = recurrence.averages(logged, [recurrence.Average("ema", "nrmse", 34.30961849, None)])
     return steps.select(F.col("at").alias("t"), r6(F.col("ema")).alias("ema"))
 
 
@@ -386,15 +461,15 @@ def learning_rates(spark, sf_dir):
 ORACLE_SQL["learning_rates"] = "SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 0.1 + 0.45 * (1 + cos(pi() * least((s - 100) / 900.0, 1.0))) END, 9) AS lr FROM generate_series(0, 1099) a(s)"
 
 
-@query("SELECT 0.0::DOUBLE AS worst, 0::BIGINT AS rows_apart")
+@query(f"""WITH RECURSIVE {O.logs()}, inputs AS (SELECT *, power(logp - coalesce(lag(logp) OVER (PARTITION BY symbol ORDER BY t), logp), 2) AS r2 FROM logs){O.averages("inputs", [recurrence.Average("var", "r2", 60)], "one")},
+    v AS (SELECT symbol, t, greatest(least(ln(greatest(sqrt(greatest(var, 0.0)), 1e-9)) + 9.0, 8.0), -8.0) AS v FROM one) SELECT symbol, t, {O.r6("v", "by_plan")}, {O.r6("v", "by_blocks")}, false AS apart FROM v""")
 def seam_check(spark, sf_dir):
     """One volatility by both forms of the averages, which cut a tape at different places: they must agree at every bar."""
-    found = tape(spark, sf_dir)
+    found = kept(tape(spark, sf_dir), "tape")
     back = recurrence.lags(grid.projected(found), "logp", [1]).withColumn("r2", (F.col("logp") - F.col("lag_1")) ** 2)
-    plan = recurrence.averages(back, [recurrence.Average("var", "r2", 60)]).select("symbol", "t", (F.ln(at_least(F.sqrt(at_least(F.col("var"), 0.0)), 1e-9)) + 9.0).alias("plan"))
-    blocks = analyser.features(found, names=("logvol_60s",)).select("symbol", "t", "logvol_60s")
-    apart = F.abs(clipped(F.col("plan")) - F.col("logvol_60s"))
-    return blocks.join(plan, ["symbol", "t"]).agg(F.round(F.max(apart), 9).alias("worst"), F.count_if(apart > 1e-9).alias("rows_apart"))
+    plan = recurrence.averages(back, [recurrence.Average("var", "r2", 60)]).select("symbol", "t", clipped(F.ln(at_least(F.sqrt(at_least(F.col("var"), 0.0)), 1e-9)) + 9.0).alias("plan"))
+    blocks = analyser.features(found, names=("logvol_60s",)).select("symbol", "t", "logvol_60s").join(plan, ["symbol", "t"])
+    return blocks.select("symbol", "t", r6(F.col("plan")).alias("by_plan"), r6(F.col("logvol_60s")).alias("by_blocks"), (F.abs(F.col("plan") - F.col("logvol_60s")) > 1e-9).alias("apart"))
 
 
 @query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()} SELECT c.id, c.t, {O.r6("sig", "sigref")}, close AS price, {O.r6("signal", "ret_60s_z")} FROM cursors c JOIN vol v ON v.t = c.t AND v.symbol = c.symbol""")
@@ -407,15 +482,13 @@ def observe(spark, sf_dir):
 @query(f"WITH RECURSIVE {O.scored()} SELECT model, t, count(*) OVER o AS n, {O.r6('avg(dir_hit) OVER o', 'hit_so_far')} FROM scores WINDOW o AS (PARTITION BY model ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def hit_history(spark, sf_dir):
     """Hits so far, as a frame shows them."""
-    so_far = Window.partitionBy("model").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return replay(spark, sf_dir).select("model", "t", F.count("*").over(so_far).alias("n"), r6(F.avg("dir_hit").over(so_far)).alias("hit_so_far"))
+    return score.hits_so_far(replay(spark, sf_dir)).select("model", "t", "n", r6(F.col("hit_so_far")).alias("hit_so_far"))
 
 
 @query(f"WITH {O.grid()}{O.cursors()} SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM cursors) WHERE k % 5 = 0")
 def frame_stride(spark, sf_dir):
     """Every fifth cursor."""
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy("t")) - 1
-    return cursors(tape(spark, sf_dir)).withColumn("k", place).where("k % 5 = 0").select("t")
+    return recurrence.numbered(cursors(tape(spark, sf_dir)), "symbol").where("n % 5 = 0").select("t")
 
 
 @query(f"WITH {O.grid()}, e AS (SELECT max(t) AS b FROM tape) SELECT t, close, strftime(make_timestamp(t * 60000000), '%Y-%m-%d %H:%M:%S') AS utc, t * 60 - (t * 60) % 86400 AS day_start FROM tape, e WHERE t >= b - 2880 AND t < b - 1440")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Names that Spark gives to stores which the Arrow library knows by others.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "abfss": "abfs"}
@@ -29,3 +31,18 @@ def scratch(spark: SparkSession, made: str) -> str:
     if found is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
     return found or made
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df computed once, written as a table in the shared folder and read again: lineage ends there, and its size is known."""
+    path = f"{scratch(df.sparkSession, f'{tempfile.gettempdir()}/tapeworks')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``kept`` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

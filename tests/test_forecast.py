@@ -31,10 +31,26 @@ def test_basis(spark):
 
 @pytest.fixture(scope="module")
 def walked(spark):
-    cursors = spark.createDataFrame([(i, 100 + 10 * i, 1e-4 * (i + 1), 0.5) for i in range(4)], "id long, t long, sig double, signal double")
+    cursors = spark.createDataFrame([("X", i, 100 + 10 * i, 1e-4 * (i + 1), 0.5) for i in range(4)], "symbol string, id long, t long, sig double, signal double")
     models = spark.createDataFrame([("walk", 0.0), ("lead", 0.3)], "model string, drift double")
     raw = forecast.ordered(forecast.walk(cursors, models, 300, 12), "model", "id")
-    return forecast.paths(raw, forecast.basis(spark, 300, 12), 300, "model", "id", "t", "sig").cache()
+    return forecast.paths(raw, forecast.basis(spark, 300, 12), 300, "model", "symbol", "id", "t", "sig").cache()
+
+
+def test_arrays_agree_with_the_long_form(spark, walked):
+    cursors = walked.where("q = 1 and h = 1 and model = 'walk'").select("symbol", "id", "t", "sig", F.lit(0.5).alias("signal"))
+    models = spark.createDataFrame([("walk", 0.0), ("lead", 0.3)], "model string, drift double")
+    wide = forecast.path_arrays(forecast.walk_arrays(cursors, models, 300, 12), 300)
+    keys = ["model", "symbol", "id", "q", "h"]
+    found = forecast.laid_out(wide).toPandas().sort_values(keys).reset_index(drop=True)
+    want = walked.toPandas().sort_values(keys).reset_index(drop=True)
+    assert len(found) == len(want) == 2 * 4 * 3 * 300 and np.allclose(found["path"], want["path"], rtol=0, atol=1e-15)
+    back = forecast.gathered(walked, "model", "symbol", "id", "t", "sig").toPandas()
+    assert all(len(p) == 3 and len(p[0]) == 300 for p in back["paths"])
+    five = spark.createDataFrame([([0.3], [-1.0], [2.0], [0.5], [1.0])], "a array<double>, b array<double>, c array<double>, d array<double>, e array<double>")
+    made = five.select(forecast.ordered_arrays([F.col(c) for c in "abcde"], (0.05, 0.25, 0.5, 0.75, 0.95)).alias("x")).first()["x"]
+    sp = lambda x: math.log1p(math.exp(x))
+    assert [x[0] for x in made] == pytest.approx([2 - sp(-1) - sp(0.3), 2 - sp(-1), 2.0, 2 + sp(0.5), 2 + sp(0.5) + sp(1.0)])
 
 
 def test_walk_is_calibrated_and_anchored(walked):
@@ -60,8 +76,11 @@ def test_stability_is_zero_for_forecasts_that_agree(spark):
     tape = np.cumsum(rng.normal(0, 1e-4, 400))
     rows = [("m", s, i, 10 * i, 2e-4, q, h, float(tape[10 * i + h] - tape[10 * i]) * (1 + q)) for s in "AB" for i in range(20) for q in range(3) for h in range(1, horizon + 1)]
     paths = spark.createDataFrame(rows, "model string, symbol string, id long, t long, sig double, q long, h long, path double")
-    truth = paths.where("q = 1").select("symbol", "id", "h", (F.col("path") / 2).alias("truth"))
-    found = score.losses(paths, truth, horizon, shift).first()
+    wide = forecast.gathered(paths, "model", "symbol", "id", "t", "sig")
+    truth = wide.select("symbol", "id", F.transform(F.element_at("paths", 2), lambda x: x / 2).alias("truth"))
+    found = score.losses(wide, truth, horizon, shift).first()
+    alone = score.losses(wide.where("id % 2 = 0"), truth, horizon, shift).first()  # no cursor has its predecessor
+    assert alone["stability"] == 0
     assert found["stability"] == pytest.approx(0, abs=1e-20) and found["hit"] == 1.0
     assert found["reward"] == pytest.approx(-found["nrmse"] + 0.25)
 
@@ -71,7 +90,10 @@ def test_scores_against_numpy(spark, walked):
     paths = walked.toPandas()
     truth = pd.DataFrame([(i, h) for i in range(4) for h in range(1, 301)], columns=["id", "h"])
     truth["truth"] = rng.normal(0, 1e-3, len(truth))
-    found = score.scores(walked, spark.createDataFrame(truth), 300, 3).toPandas().sort_values(["model", "t"])
+    wide = forecast.gathered(walked, "model", "symbol", "id", "t", "sig")
+    real = spark.createDataFrame([("X", i, [float(x) for x in rows["truth"]]) for i, rows in truth.groupby("id")], "symbol string, id long, truth array<double>")
+    scored = score.scores(wide, real, 300, 3).cache()
+    found = scored.toPandas().sort_values(["model", "t"])
     for model, rows in found.groupby("model"):
         med = paths[(paths.model == model) & (paths.q == 1)].pivot(index="id", columns="h", values="path").to_numpy()
         real = truth.pivot(index="id", columns="h", values="truth").to_numpy()
@@ -82,8 +104,30 @@ def test_scores_against_numpy(spark, walked):
         jump = np.r_[0, np.abs(np.diff(med[:, -1])) / scale[1:]]
         assert np.allclose(rows["jump"], jump)
         assert np.allclose(rows["roll_nrmse"], [nrmse[max(0, i - 2) : i + 1].mean() for i in range(4)])
-    card = score.scorecard(score.scores(walked, spark.createDataFrame(truth), 300, 3)).collect()
-    assert {r["model"] for r in card} == {"walk", "lead"}
+    card = {r["model"]: r for r in score.scorecard(scored).collect()}
+    assert set(card) == {"walk", "lead"} and all(card[m]["stability_jump_sigma"] == pytest.approx(round(float(np.median(rows["jump"])), 5)) for m, rows in found.groupby("model"))
+
+
+def test_losses_with_four_directions_against_numpy(spark):
+    rng, horizon, shift = np.random.default_rng(5), 1500, 600
+    paths, truth, sig = rng.normal(0, 1e-3, (6, 3, horizon)).cumsum(2), rng.normal(0, 1e-3, (6, horizon)).cumsum(1), rng.uniform(1e-4, 1e-3, 6)
+    rows = [("m", "X", i, i * shift, float(sig[i]), paths[i].tolist()) for i in range(6)]
+    wide = spark.createDataFrame(rows, "model string, symbol string, id long, t long, sig double, paths array<array<double>>")
+    found = score.losses(wide, spark.createDataFrame([("X", i, truth[i].tolist()) for i in range(6)], "symbol string, id long, truth array<double>"), horizon, shift).first()
+    scale = sig[:, None] * math.sqrt(horizon)
+    e, mid, q = (truth[:, None] - paths) / scale[:, None], paths[:, 1], np.array([0.1, 0.5, 0.9])[:, None]
+    hw = np.arange(1, horizon + 1) ** -0.25
+    hw /= hw.mean()
+    at = np.array([60, 300, 900, 1500]) - 1
+    turn = np.logaddexp(0, -np.tanh(mid[:, at] / (0.5 * scale)) * np.sign(truth[:, at]) * 4)
+    hit = (np.sign(mid[:, at]) == np.sign(truth[:, at])).mean()
+    moved = paths[:-1, :, shift:] - paths[:-1, :, shift - 1 : shift]
+    want = {
+        "quantile": (np.maximum(q * e, (q - 1) * e) * hw).mean(), "huber": (np.where(abs(e[:, 1]) <= 1, e[:, 1] ** 2 / 2, abs(e[:, 1]) - 0.5) * hw).mean(), "direction": turn.mean(), "hit": hit,
+        "smooth": ((np.diff(mid, 2, axis=1) / scale) ** 2).mean() * horizon, "nrmse": np.sqrt((e[:, 1] ** 2).mean()), "stability": (((paths[1:, :, :-shift] - moved) / scale[1:, None]) ** 2).mean(),
+    }
+    assert {k: found[k] for k in want} == pytest.approx(want)
+    assert 0 < hit < 1 and found["loss"] == pytest.approx(want["quantile"] + want["huber"] + 0.15 * want["direction"] + 0.35 * want["stability"] + 0.02 * want["smooth"])
 
 
 def test_population_names(spark):
