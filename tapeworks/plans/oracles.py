@@ -44,8 +44,10 @@ def bars(panel: bool = False, bar: int = 60) -> str:
     )"""
 
 
-def grid(panel: bool = False, bar: int = 60) -> str:
+def grid(panel: bool = False, bar: int = 60, upto: str = "") -> str:
+    """upto: the last bar of every symbol, which then begins with its own first."""
     ends = "SELECT symbol, (SELECT min(t) FROM bars) AS a, (SELECT max(t) FROM bars) AS b FROM (SELECT DISTINCT symbol FROM bars)" if panel else "SELECT symbol, min(t) AS a, max(t) AS b FROM bars GROUP BY symbol"
+    ends = f"SELECT symbol, min(t) AS a, {upto} AS b FROM bars GROUP BY symbol HAVING min(t) <= {upto}" if upto else ends
     return bars(panel, bar) + f""", ends AS ({ends}), skeleton AS (
         SELECT symbol, unnest(generate_series(a, b)) AS t FROM ends
     ), met AS (
@@ -93,9 +95,9 @@ def lagged(k: int) -> str:
     return f"coalesce(lag(logp, {k}) OVER o, first_value(logp) OVER o) AS lag_{k}"
 
 
-def analysed(panel: bool = False) -> str:
+def analysed(panel: bool = False, upto: str = "") -> str:
     ks = sorted({*analyser.RETURNS, 120})
-    text = grid(panel) + f""", prices AS (SELECT *, ln(greatest(close, 1e-12)) AS logp FROM tape), back AS (
+    text = grid(panel, upto=upto) + f""", prices AS (SELECT *, ln(greatest(close, 1e-12)) AS logp FROM tape), back AS (
         SELECT *, {", ".join(map(lagged, ks))} FROM prices WINDOW o AS (PARTITION BY symbol ORDER BY t)
     ), flows AS (
         SELECT *, logp - lag_1 AS r1, ln(1 + greatest(vol, 0.0)) AS lv, ln(1 + greatest(ntrades::DOUBLE, 0.0)) AS ln,
@@ -148,6 +150,13 @@ def streamed_features() -> str:
     return f"WITH RECURSIVE {analysed()} SELECT symbol, t, valid, {', '.join(r6(x, n) for n, x in made.items())} FROM two WHERE t <= {last}"
 
 
+def panel_features() -> str:
+    """Features of every symbol up to the last bar that ended ten minutes before the last event."""
+    made = feature_sql()
+    last = "(SELECT (epoch_us(max(ts)) // 1000000 - 600) // 60 - 1 FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)"
+    return f"WITH RECURSIVE {analysed(True, last)} SELECT symbol, t, valid, {', '.join(r6(x, n) for n, x in made.items())} FROM two"
+
+
 def volatility(panel: bool = False, bar: int = 60) -> str:
     """The tape with sig and signal at every t: the volatility at hand over 300 bars, and the last 60 bars' move in units of it."""
     text = grid(panel, bar) + """, back AS (

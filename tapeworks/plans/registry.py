@@ -139,6 +139,7 @@ QUERIES["analyser_features"], ORACLE_SQL["analyser_features"] = features_of(anal
 
 # the stream gives out what the watermark has passed
 ORACLE_SQL["stream_analyser"] = O.streamed_features()
+ORACLE_SQL["stream_panel"] = O.panel_features()
 ORACLE_SQL["stream_settlement"] = f"""WITH {O.grid()} SELECT c.symbol, c.t, x.t - c.t AS h, {O.r6("ln(greatest(x.close, 1e-9)) - ln(greatest(c.close, 1e-9))", "truth")}, x.close = c.close AS hit
     FROM tape c JOIN tape x ON x.symbol = c.symbol AND x.t > c.t AND x.t <= c.t + {S.HORIZON} WHERE c.t % {S.STRIDE} = 0"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tapeworks.operators.analyser import NAMES
 from tapeworks.plans import settings as S
 from tapeworks.sources.events import ticks
 from tapeworks.sources.files import scratch
-from tapeworks.streaming import analyser, settle
+from tapeworks.streaming import analyser, panel, settle
 
 
 def place(spark: SparkSession) -> str:
@@ -58,4 +59,23 @@ def stream_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", (F.unix_seconds("at") / 60).cast("long").alias("t"), (F.col("ahead") / 60).cast("long").alias("h"), r6(F.col("truth")).alias("truth"), "hit")
 
 
-QUERIES = {"stream_analyser": stream_analyser, "stream_settlement": stream_settlement}
+@contextmanager
+def stored_in_rocks(spark: SparkSession):
+    """Streams started here keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, panel.PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def stream_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of a symbol for each event type, from its first bar to the last that ended ten minutes before the last event."""
+    with stored_in_rocks(spark):
+        found = drained(panel.features(panel.ticks(events(spark, sf_dir))))
+    return found.select("symbol", "t", "valid", *(r6(F.col(n)).alias(n) for n in NAMES))
+
+
+QUERIES = {"stream_panel": stream_panel, "stream_analyser": stream_analyser, "stream_settlement": stream_settlement}

@@ -31,3 +31,56 @@ def test_gaps_and_repeats_in_order():
     found = analyser.dense(bars, None, None)
     assert found["t"].tolist() == [3, 4, 5] and found["close"].tolist() == [1.5, 1.5, 2.0] and found["valid"].tolist() == [True, False, True]
     assert analyser.dense(bars, 4, 1.5)["t"].tolist() == [5]
+
+
+def test_panel_closes_bars_and_fills_gaps_over_several_batches(spark, tmp_path, monkeypatch):
+    """Three symbols, one of which falls silent; ticks out of order in a batch; late ticks. Against the batch rows."""
+    from tapeworks.streaming import panel
+    from tapeworks.streaming.queries import stored_in_rocks
+
+    rng = np.random.default_rng(4)
+    n, t0 = 900, 1_700_000_000 - 1_700_000_000 % 60
+    at = np.sort(rng.integers(0, 40 * 3600, n))
+    kind = np.where(at > 20 * 3600, rng.choice(["view", "purchase"], n), rng.choice(["view", "purchase", "click"], n))
+    frame = pd.DataFrame({"event_id": np.arange(n), "ts": pd.to_datetime((t0 + at) * 1_000_000 + rng.integers(0, 1_000_000, n), unit="us").astype("datetime64[us]"), "event_type": kind, "value": rng.random(n).round(2) * 100})
+    for i, part in enumerate(np.array_split(frame, 4)):
+        part.sample(frac=1, random_state=i).to_parquet(tmp_path / f"{i}.parquet", index=False)
+    frame.iloc[:3].assign(value=9e3, event_id=[5000, 5001, 5002]).to_parquet(tmp_path / "4.parquet", index=False)  # far too late
+    schema = spark.read.parquet(str(tmp_path)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    with stored_in_rocks(spark):
+        found = drained(panel.features(panel.ticks(stream))).toPandas().sort_values(["symbol", "t"]).reset_index(drop=True)
+    last = (int(t0 + at[-1]) - 600) // 60 - 1
+    rows = spark.createDataFrame(frame).select(F.col("event_type").alias("symbol"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).alias("t"), F.struct("ts", "event_id").alias("at"), (F.col("value") + 1000.0).alias("price"), F.col("value").alias("size"), F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0).alias("taker"))
+    bars = grid.bars(rows.where(F.col("t") <= last))
+    ends = bars.select("symbol").distinct().withColumn("t", F.lit(last).cast("long"))
+    whole = grid.filled(grid.densify(bars.unionByName(ends.join(bars.select("symbol", "t"), ["symbol", "t"], "left_anti"), allowMissingColumns=True)))
+    want = batch.features(whole, F.col("t") * 60).toPandas().sort_values(["symbol", "t"]).reset_index(drop=True)
+    assert len(found) == len(want) and (found[["symbol", "t"]].to_numpy() == want[["symbol", "t"]].to_numpy()).all()
+    assert set(found.groupby("symbol")["t"].max()) == {last} and (found["valid"] == want["valid"]).all()
+    assert np.abs(found[list(batch.NAMES)] - want[list(batch.NAMES)]).to_numpy().max() < 1e-6
+
+
+def test_panel_keeps_chunks_that_lags_reach_and_no_others(monkeypatch):
+    from tapeworks.streaming import panel
+
+    monkeypatch.setattr(panel, "KEPT", 300)
+    monkeypatch.setattr(panel, "CHUNK", 100)
+
+    class Value:
+        def __init__(self):
+            self.x = None
+
+        def update(self, x):
+            self.x = x
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    held = panel.Panel(60)
+    held.last, held.logs = Value(), Map()
+    x = np.arange(2000.0)
+    for a, b in ((0, 10), (10, 450), (450, 451), (451, 1900), (1900, 2000)):
+        held.keep(50 + a, x[a:b], (50 + b - 1, 1.0, [0.5], None))
+        parts = np.concatenate([np.frombuffer(raw) for _, (_, raw) in sorted(held.logs.items())])
+        assert (parts[-300:] == x[max(0, b - 300) : b]).all() and len(parts) <= 500
