@@ -95,12 +95,16 @@ def ordered_arrays(raw: list[Column], quantiles=QUANTILES) -> Column:
 
 
 def walk_arrays(cursors: DataFrame, models: DataFrame, horizon: int, n_basis: int) -> DataFrame:
-    """``walk`` as a row a model and cursor, with coef, an ordered array over quantiles of arrays over modes; no shuffle."""
+    """``walk`` as a row a model and cursor, with coef, an ordered array over quantiles of arrays over modes; no shuffle.
+
+    models may have a column ``level`` too, a lead that doesn't depend on the signal.
+    """
     offsets, m = walk_offsets(horizon, n_basis), QUANTILES.index(0.5)
-    lead = F.concat(F.array(F.col("drift") * F.col("signal")), F.array_repeat(F.lit(0.0), n_basis - 1))
+    models = models if "level" in models.columns else models.withColumn("level", F.lit(0.0))
+    lead = F.concat(F.array(F.col("level") + F.col("drift") * F.col("signal")), F.array_repeat(F.lit(0.0), n_basis - 1))
     raw = [lead if q == m else F.array_repeat(F.lit(offset), n_basis) for q, offset in enumerate(offsets)]
     every = cursors.crossJoin(F.broadcast(models))  # a row for each model, of which there are few
-    return every.withColumn("coef", ordered_arrays(raw)).drop("drift", "signal")
+    return every.withColumn("coef", ordered_arrays(raw)).drop("drift", "level", "signal")
 
 
 def path_arrays(coefficients: DataFrame, horizon: int) -> DataFrame:

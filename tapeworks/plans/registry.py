@@ -12,6 +12,7 @@ from tapeworks.plans import settings as S
 from tapeworks.sources.events import ticks
 from tapeworks.sources.files import kept
 from tapeworks.streaming import queries as streams
+from tapeworks.streaming import train
 
 QUERIES: dict = dict(streams.QUERIES)
 ORACLE_SQL: dict = {}
@@ -323,6 +324,57 @@ def pyramid_full(spark, sf_dir):
     return tokens.select("symbol", "id", "t", *(F.col(c).cast("long").alias(c) for c in ("level", "token")), r6(F.array_min("logp") - F.col("own")).alias("low"), r6(F.array_max("logp") - F.col("own")).alias("high"), *(r6(mean(c)).alias(c) for c in TOKENS[1:]))
 
 
+#: The forecaster learns from cursors in the first three quarters of the tape.
+_LEARNT = f"""examples AS (
+        SELECT v.signal AS x, f.truth / (greatest(v.sig, 1e-8) * {2 ** 0.5 / (0.5 * 3.141592653589793) * S.HORIZON ** 0.5!r}) AS y FROM truth f JOIN vol v ON v.symbol = f.symbol AND v.t = f.t
+        WHERE h = {S.HORIZON} AND f.t < (SELECT min(t) + (max(t) - min(t)) * 3 // 4 FROM tape)
+    ), products AS (SELECT count(*) + 1e-6 AS n, sum(x) AS x, sum(x * x) + 1e-6 AS xx, sum(y) AS y, sum(x * y) AS xy FROM examples), learnt AS (SELECT (xx * y - x * xy) / (n * xx - x * x) AS level, (n * xy - x * y) / (n * xx - x * x) AS drift FROM products)"""
+
+
+def learnt(spark: SparkSession, tape_: DataFrame) -> DataFrame:
+    """Versions of a forecaster that learns from a stream of settled cursors, a batch for each file of them."""
+    path = streams.place(spark)
+    ends = tape_.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    asked = context.replay_times(tape_, S.CONTEXT, S.HORIZON, S.STRIDE, stop=ends["a"] + (ends["b"] - ends["a"]) * 3 // 4)
+    at = asked.join(volatility(tape_).select("symbol", "t", "sig", "signal"), ["symbol", "t"])
+    rows = train.examples(at, context.futures(asked, grid.projected(tape_), S.HORIZON), S.HORIZON)
+    rows.repartitionByRange(4, "t").write.parquet(f"{path}/examples")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/examples")
+    return train.learnt(stream, path)
+
+
+@query(f"WITH RECURSIVE {O.volatility()}{O.cursors()}{O.truth()}, {_LEARNT} SELECT (SELECT count(*) FROM examples) AS n, round(level, 6) + 0.0 AS level, round(drift, 6) + 0.0 AS drift FROM learnt")
+def online_training(spark, sf_dir):
+    """What a forecaster has learnt at the end of a stream of settled cursors."""
+    last = learnt(spark, kept(tape(spark, sf_dir), "tape")).agg(F.max_by(F.struct("n", "level", "drift"), "batch").alias("v"))
+    return last.select(F.col("v.n").cast("long").alias("n"), r6(F.col("v.level")).alias("level"), r6(F.col("v.drift")).alias("drift"))
+
+
+@query(f"""WITH RECURSIVE {O.volatility()}{O.cursors()}{O.truth()}, {_LEARNT}, every AS (
+        SELECT c.symbol, c.t, v.sig, v.signal, model, lead FROM cursors c JOIN vol v ON v.symbol = c.symbol AND v.t = c.t, LATERAL (SELECT unnest(['walk', 'trend', 'fade', 'learnt']) AS model, unnest([0.0, 0.1 * v.signal, -0.1 * v.signal, (SELECT level FROM learnt) + (SELECT drift FROM learnt) * v.signal]) AS lead)
+    ), each AS (
+        SELECT model, e.symbol, e.t, sqrt(avg(power((lead * {2 ** 0.5!r} * sin(h / {S.HORIZON}.0 * (0.5 * pi())) / (0.5 * pi()) * greatest(sig, 1e-8) - truth / {S.HORIZON ** 0.5!r}) / greatest(sig, 1e-9), 2))) AS nrmse, any_value(sign(lead)) AS s, arg_max(sign(truth), h) AS ts
+        FROM every e JOIN truth f ON f.symbol = e.symbol AND f.t = e.t GROUP BY model, e.symbol, e.t
+    ) SELECT model, round(avg((s = ts)::INT) * 100, 2) AS dir_hit_pct, round(avg(nrmse), 4) AS path_nrmse FROM each GROUP BY model""")
+def learnt_scorecard(spark, sf_dir):
+    """The forecaster that learnt from the first three quarters beside those that don't learn."""
+    tape_ = kept(tape(spark, sf_dir), "tape")
+    last = learnt(spark, tape_).agg(F.max_by(F.struct("level", "drift"), "batch").alias("v")).select(F.lit("learnt").alias("model"), "v.drift", "v.level")
+    models = spark.createDataFrame([(m, d, 0.0) for m, d in S.MODELS], "model string, drift double, level double").unionByName(last)
+    paths = forecast.path_arrays(forecast.walk_arrays(seen(tape_), models, S.HORIZON, S.MODES), S.HORIZON)
+    found = score.scores(paths, context.futures(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL)
+    return score.scorecard(kept(found, "scores")).select("model", "dir_hit_pct", "path_nrmse")
+
+
+@query("SELECT count(*) AS rows, true AS every_batch_rated FROM events")
+def stream_throughput(spark, sf_dir):
+    """Rows that a listener counted, batch by batch, while the events streamed through."""
+    path = f"{streams.place(spark)}/counters"
+    with train.Counters(spark, path) as counters:
+        streams.drained(streams.events(spark, sf_dir).select("event_id"))
+    return counters.rows().agg(F.sum("rows").alias("rows"), F.bool_and((F.col("rows") == 0) | (F.col("done") > 0)).alias("every_batch_rated"))
+
+
 _BAND = "band AS (SELECT f.symbol, f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol GROUP BY f.symbol, f.t, h)"
 
 
