@@ -15,9 +15,9 @@ from tapeworks.functions.scalars import r6
 from tapeworks.operators import grid, score
 from tapeworks.plans import oracles as O
 from tapeworks.plans import registry as R
-from tapeworks.sources import klines, shards, store
+from tapeworks.sources import archives, klines, shards, store
 from tapeworks.sources.events import ticks
-from tapeworks.sources.files import scratch
+from tapeworks.sources.files import opened, scratch
 
 DAY, WEEK = 1_440, 10_080
 
@@ -97,3 +97,34 @@ def score_sidecar(spark, sf_dir):
     if len(asked) != 1:
         raise RuntimeError("the second read must come from the cache")
     return store.sidecar(score.scorecard(found), f"{folder}/scorecard")
+
+
+_MONTHS = "SELECT strftime(unnest(generate_series(date_trunc('month', min(ts)) - INTERVAL 1 MONTH, date_trunc('month', max(ts)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
+
+
+@R.query(f"""WITH {O.bars()}, months AS ({_MONTHS}), held AS (SELECT strftime(make_timestamp(t * 60000000), '%Y-%m') AS month, count(*) AS n_valid, count(DISTINCT t // 1440) AS days FROM bars GROUP BY ALL)
+    SELECT 'ALL' AS symbol, month, CASE WHEN days IS NULL THEN 'unavailable' ELSE 'ok' END AS status, CASE WHEN days IS NOT NULL THEN 'daily' END AS source, coalesce(days, 0) AS archives,
+           CASE WHEN days IS NOT NULL THEN 1440 * day(last_day(strptime(month || '-01', '%Y-%m-%d')::DATE)) ELSE 0 END AS n, coalesce(n_valid, 0) AS n_valid FROM months LEFT JOIN held USING (month)""")
+def archive_statuses(spark, sf_dir):
+    """Bars laid down as an archive of candles a day, and packed by months: a status for each, one of them without archives."""
+    bars = grid.bars(ticks(spark, sf_dir))
+    day = F.date_format(F.timestamp_seconds(F.col("t") * 60), "yyyy-MM-dd")
+    zero = F.lit(0)
+    lines = bars.select((F.col("t") * 60).alias("open_time"), "open", "high", "low", "close", "vol", zero.alias("end"), "qvol", "ntrades", (F.col("vol") * F.col("takerfrac")).alias("taker"), zero.alias("quote"), zero.alias("last"), day.alias("day"))
+    folder = place(spark, "archives")
+    whole = lines.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", *lines.columns[:-1]))), "\n").alias("text"))  # a day's bars
+    fs, root = opened(folder)
+    fs.create_dir(root, recursive=True)
+
+    def lay_down(batches):
+        for batch in batches:
+            fs, root = opened(folder)
+            for name, text in zip(batch["day"], batch["text"]):
+                with fs.open_output_stream(f"{root}/ALL-1m-{name}.csv") as out:
+                    out.write(text.encode())
+            yield batch[["day"]]
+
+    days = whole.mapInPandas(lay_down, "day string").agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    before = spark.range(1).select(F.date_format(F.add_months(F.to_date(F.lit(days["a"])), -1), "yyyy-MM").alias("m")).first()["m"]
+    found = archives.packed(spark, folder, place(spark, "packed"), "ALL", before, days["b"][:7], 60, level=3)
+    return found.select("symbol", "month", "status", "source", "archives", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_valid")))

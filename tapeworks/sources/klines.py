@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.operators.grid import epoch_seconds
@@ -42,13 +42,13 @@ def read_zip(spark: SparkSession, paths: str | list[str], symbol: str = "ALL") -
     return candles(raw.mapInPandas(run, SHAPE), symbol)
 
 
-def candles(rows: DataFrame, symbol: str) -> DataFrame:
-    """symbol, t (seconds), prices, vol, qvol, ntrades, takerfrac; of candles for one second the last in file order stays."""
+def candles(rows: DataFrame, symbol: str, t: Column | None = None, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """symbol, t (seconds, unless given), prices, vol, qvol, ntrades, takerfrac, keep; of candles for one t the last in file order stays."""
     from tapeworks.operators.grid import TAKER_SCALE, VOLUME_SCALE, last_wins
 
     share = F.when(F.col("volume") > 0, F.least(F.greatest(F.col("taker_base") / F.greatest("volume", F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     found = rows.select(
-        F.lit(symbol).alias("symbol"), epoch_seconds(F.col("open_time")).alias("t"), *((F.rint(F.col(c) * 100) / 100).alias(c) for c in ("open", "high", "low", "close")),
+        F.lit(symbol).alias("symbol"), (epoch_seconds(F.col("open_time")) if t is None else t).alias("t"), *keep, *((F.rint(F.col(c) * 100) / 100).alias(c) for c in ("open", "high", "low", "close")),
         (F.rint(F.col("volume") * VOLUME_SCALE) / VOLUME_SCALE).alias("vol"), F.rint("quote_volume").alias("qvol"), F.col("trades").alias("ntrades"), (F.rint(share * TAKER_SCALE) / TAKER_SCALE).alias("takerfrac"), "file", "row",
     )
     return last_wins(found, "file", "row").drop("file", "row")

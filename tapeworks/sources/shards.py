@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -215,7 +215,7 @@ class ShardPartition(InputPartition):
 class ShardSource(DataSource):
     """spark.read.format("tape_shards").schema(columns wanted).load(folder); option magic.
 
-    Written with options magic, level and ``width``, the bars of a stretch that a shard holds. Rows must come with each
+    Written with options magic and level, from rows with a column ``stretch`` too, which names the shard. Rows must come with each
     stretch of a symbol whole in one partition and together, as ``write`` deals them.
     """
 
@@ -287,18 +287,18 @@ class Staged(WriterCommitMessage):
 class ShardWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.folder, self.magic, self.overwrite = options["path"], options.get("magic", MAGIC), overwrite
-        self.width, self.level = int(options["width"]), int(options.get("level", 17))
+        self.level = int(options.get("level", 17))
         self.job = options.get("job") or uuid.uuid4().hex
 
     def stage(self) -> tuple[pyarrow.fs.FileSystem, str, str]:
         fs, root = opened(self.folder)
         return fs, root, f"{root}/_staged-{self.job}"
 
-    def shard(self, rows: pd.DataFrame) -> dict:
+    def shard(self, rows: pd.DataFrame, stretch: str) -> dict:
         """Stages a stretch, unless a shard with the same bars is there already."""
         fs, root, stage = self.stage()
         head, raw = packed(rows)
-        name = f"{head['symbol']}-{head['t0'] // self.width:012d}.shard"
+        name = f"{head['symbol']}-{stretch}.shard"
         row = {"file": name, "symbol": head["symbol"], "t0": head["t0"], "n": head["n"], "n_valid": head["n_valid"], "gap_pct": round(100 * (head["n"] - head["n_valid"]) / head["n"], 4), "staged": None}
         there = fs.get_file_info(f"{root}/{name}")
         if there.is_file:
@@ -320,14 +320,14 @@ class ShardWriter(DataSourceArrowWriter):
         at = None
         for batch in iterator:
             rows = batch.to_pandas()
-            for key, part in rows.groupby([rows["symbol"], rows["t"] // self.width], sort=False):
+            for key, part in rows.groupby(["symbol", "stretch"], sort=False):
                 if key != at and held:
-                    done.append(self.shard(pd.concat(held)))
+                    done.append(self.shard(pd.concat(held), at[1]))
                     held = []
                 at = key
                 held.append(part)
         if held:
-            done.append(self.shard(pd.concat(held)))
+            done.append(self.shard(pd.concat(held), at[1]))
         return Staged(done)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -375,16 +375,19 @@ def read(spark: SparkSession, folder: str, columns: Iterable[str] = NAMES, **opt
     return spark.read.format("tape_shards").schema(schema).options(**{k: str(v) for k, v in options.items()}).load(folder)
 
 
-def write(tape: DataFrame, folder: str, width: int, magic: str = MAGIC, level: int = 17, mode: str = "append") -> DataFrame:
-    """Writes a shard for each symbol and stretch of ``width`` bars, which bounds a task's rows; gives the job's manifest.
+def write(tape: DataFrame, folder: str, width: int = 0, magic: str = MAGIC, level: int = 17, mode: str = "append", by: Column | None = None) -> DataFrame:
+    """Writes a shard for each symbol and stretch of ``width`` bars, or of bars with one text ``by``; gives the job's manifest.
+
+    A task holds one stretch.
 
     A shard that is there with the same bars stays as it is, with status cached; one with others is replaced at commit. Mode
     overwrite takes away what this job didn't write.
     """
     spark, job = tape.sparkSession, uuid.uuid4().hex
     registered(spark)
-    dealt = tape.select(*NAMES).repartition("symbol", F.floor(F.col("t") / width)).sortWithinPartitions("symbol", "t")
-    dealt.write.format("tape_shards").options(width=width, magic=magic, level=level, job=job).mode(mode).save(folder)
+    stretch = F.lpad(F.floor(F.col("t") / width).cast("string"), 12, "0") if by is None else by
+    dealt = tape.select(*NAMES, stretch.alias("stretch")).repartition("symbol", "stretch").sortWithinPartitions("symbol", "stretch", "t")
+    dealt.write.format("tape_shards").options(magic=magic, level=level, job=job).mode(mode).save(folder)
     return spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}/{job}{INDEX}")
 
 

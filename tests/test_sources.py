@@ -103,14 +103,14 @@ def test_a_task_that_fails_once_leaves_nothing(spark, tmp_path):
             return Once(self.options, overwrite)
 
     spark.dataSource.register(Source)
-    rows = spark.createDataFrame(whole_cents(tape(4000, t0=0))).select(*shards.NAMES).coalesce(1).sortWithinPartitions("t")
-    write = lambda: rows.write.format("tape_shards_once").options(width=1000, job="j").mode("append").save(str(folder))
+    rows = spark.createDataFrame(whole_cents(tape(4000, t0=0))).select(*shards.NAMES, F.format_string("%012d", F.floor(F.col("t") / 1000)).alias("stretch")).coalesce(1).sortWithinPartitions("t")
+    write = lambda: rows.write.format("tape_shards_once").options(job="j").mode("append").save(str(folder))
     with pytest.raises(Exception, match="lost"):
         write()  # a local master gives a task one attempt: the job is aborted
     assert mark.exists() and list(folder.iterdir()) == []
-    staged = Once({"path": str(folder), "width": "1000", "job": "j"}, False)
+    staged = Once({"path": str(folder), "job": "j"}, False)
     staged.write(iter([]))
-    staged.shard(whole_cents(tape(1000, t0=0)))  # what a lost attempt leaves behind
+    staged.shard(whole_cents(tape(1000, t0=0)), "000000000000")  # what a lost attempt leaves behind
     assert [f.name for f in folder.iterdir()] == ["_staged-j"]
     write()
     assert sorted(f.name for f in folder.iterdir() if not f.name.startswith(".")) == ["X-000000000000.shard", "X-000000000001.shard", "X-000000000002.shard", "X-000000000003.shard", "j.index.json"]
@@ -134,3 +134,33 @@ def test_store_prunes_months(spark, tmp_path):
     part = store.load(spark, str(tmp_path / "f"), 60, 45 * 1440, 46 * 1440)
     assert part.count() == 24 and {r["month"] for r in part.collect()} == {"1970-02"}
     assert len({f.split("month=")[1][:7] for f in part.inputFiles()}) <= 3
+
+
+def test_months_of_archives_end_with_a_status_each(spark, tmp_path):
+    from tapeworks.sources import archives
+
+    folder, target, day = tmp_path / "in", str(tmp_path / "out"), 86_400
+    folder.mkdir()
+    at = lambda text: int(np.datetime64(text, "s").astype(int))
+    line = lambda t, c: LINE.format(t=t, v=2.0, b=0.5).replace("10.5", str(c))
+    # a month's archive, in ms, with a candle of the next month that isn't its own; and a day's, which the month's makes needless
+    (folder / "X-1m-2023-01.csv").write_text("".join(line((at("2023-01-03") + 60 * i) * 1000, 10 + i) for i in range(3)) + line(at("2023-02-01") * 1000, 99))
+    (folder / "X-1m-2023-01-09.csv").write_text(line(at("2023-01-09"), 55))
+    # days, zipped, in microseconds and in seconds
+    for name, unit in (("2023-02-02", 10**6), ("2023-02-05", 1)):
+        with zipfile.ZipFile(folder / f"X-1m-{name}.zip", "w") as out:
+            out.writestr("a.csv", "open_time,a,b\n" + line(at(name) * unit, 20))
+    (folder / "X-1m-2023-03.zip").write_bytes(b"no zip")
+    (folder / "X-1m-2023-04.csv").write_text("open_time,open\n")
+    (folder / "Y-1m-2023-05.csv").write_text(line(at("2023-05-01"), 1))
+    run = lambda: {r["month"]: r for r in archives.packed(spark, str(folder), target, "X", "2023-01", "2023-05", 60, level=3).collect()}
+    found = run()
+    assert {m: r["status"] for m, r in found.items()} == {"2023-01": "ok", "2023-02": "ok", "2023-03": "error", "2023-04": "empty", "2023-05": "unavailable"}
+    assert [(found[m]["source"], found[m]["archives"], found[m]["n"], found[m]["n_valid"]) for m in ("2023-01", "2023-02")] == [("monthly", 1, 31 * 1440, 3), ("daily", 2, 28 * 1440, 2)]
+    assert "BadZipFile" in found["2023-03"]["error"] and found["2023-01"]["gap_pct"] == pytest.approx(100 * (1 - 3 / (31 * 1440)), abs=1e-4)
+    bars = shards.read(spark, target).where(f"t < {at('2023-02-01') // 60}").orderBy("t").toPandas()
+    assert bars["t"].iloc[0] == at("2023-01-01") // 60 and len(bars) == 31 * 1440 and set(bars["close"][: 2 * 1440 + 1]) == {10.0} and bars["close"].iloc[-1] == 12.0
+    (folder / "X-1m-2023-03.zip").unlink()
+    (folder / "X-1m-2023-03.csv").write_text(line(at("2023-03-31") + day - 60, 7))
+    again = run()
+    assert {m: r["status"] for m, r in again.items()} == {"2023-01": "cached", "2023-02": "cached", "2023-03": "ok", "2023-04": "empty", "2023-05": "unavailable"}
