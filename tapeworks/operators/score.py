@@ -17,6 +17,7 @@ from tapeworks.operators.around import slices
 from tapeworks.operators.forecast import QUANTILES, prices
 from tapeworks.operators.recurrence import looking_back, numbered, so_far, trailing_mean
 from tapeworks.operators.select import median
+from tapeworks.sources.files import kept
 
 MEDIAN = QUANTILES.index(0.5)
 # fixed values: weights of the loss terms and the horizons of the directional one
@@ -133,7 +134,11 @@ def hits_so_far(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def scorecard(found: DataFrame) -> DataFrame:
-    """One row for each model. The median is selected by counts, so that no task holds a model's column."""
+    """One row for each model. The median is selected by counts, so that no task holds a model's column.
+
+    The scores are made once and kept, as the selection reads them several times.
+    """
+    found = kept(found.select("model", "dir_hit", "nrmse", "endpoint", "acc", "jump"), "scored")
     means = found.groupBy("model").agg(
         F.round(F.avg("dir_hit") * 100, 2).alias("dir_hit_pct"), F.round(F.avg("nrmse"), 4).alias("path_nrmse"), F.round(F.avg("endpoint"), 4).alias("endpoint_nrmse"),
         F.round(F.avg("acc"), 2).alias("accuracy_pct"),

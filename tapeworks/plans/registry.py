@@ -363,7 +363,7 @@ def learnt_scorecard(spark, sf_dir):
     models = spark.createDataFrame([(m, d, 0.0) for m, d in S.MODELS], "model string, drift double, level double").unionByName(last)
     paths = forecast.path_arrays(forecast.walk_arrays(seen(tape_), models, S.HORIZON, S.MODES), S.HORIZON)
     found = score.scores(paths, context.futures(cursors(tape_), grid.projected(tape_), S.HORIZON), S.HORIZON, S.ROLL)
-    return score.scorecard(kept(found, "scores")).select("model", "dir_hit_pct", "path_nrmse")
+    return score.scorecard(found).select("model", "dir_hit_pct", "path_nrmse")
 
 
 @query("SELECT count(*) AS rows, true AS every_batch_rated FROM events")
