@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +63,20 @@ def stream_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @contextmanager
 def stored_in_rocks(spark: SparkSession):
-    """Streams started here keep their state in RocksDB."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
+    """Streams started here keep their state in RocksDB, and the process that Spark starts beside the driver for them finds this package.
+
+    That process doesn't get what ``addPyFile`` ships; tasks do.
+    """
+    key, environment = "spark.sql.streaming.stateStore.providerClass", spark.sparkContext.environment
+    before, paths = spark.conf.get(key, None), environment.get("PYTHONPATH")
     spark.conf.set(key, panel.PROVIDER)
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[2]), paths]))
     try:
         yield
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+        environment.pop("PYTHONPATH")
+        environment.update({"PYTHONPATH": paths} if paths else {})
 
 
 def stream_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
