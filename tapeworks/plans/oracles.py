@@ -169,7 +169,17 @@ def volatility(panel: bool = False, bar: int = 60) -> str:
     return text + f", vol AS (SELECT symbol, t, logp, close, exp({held(f'ln(greatest({dev}, 1e-9)) + 9.0')} - 9.0) AS sig, {held(f'move / (greatest({dev}, 1e-7) * {math.sqrt(60)!r})')} AS signal FROM varied)"
 
 
+def session_cursors(z) -> str:
+    """Cursors of a day drawn by seed, which begins no sooner than full context and ends no later than full futures allow."""
+    return f""", room AS (SELECT symbol, a, b, greatest(a, b - {z.DAY}) AS l FROM (SELECT symbol, min(t) + {z.CONTEXT} + 1 AS a, max(t) - {z.HORIZON} + 1 AS b FROM tape GROUP BY symbol) WHERE a < b),
+    picked AS (SELECT symbol, a, b, l, arg_min(day, md5('{z.SEED}-' || day::VARCHAR)) AS day FROM (SELECT *, unnest(generate_series(a // {z.DAY}, l // {z.DAY})) AS day FROM room) GROUP BY ALL),
+    replayed AS (SELECT symbol, b, least(greatest(a, day * {z.DAY}), l) AS a FROM picked),
+    cursors AS (SELECT symbol, t, t AS id FROM (SELECT symbol, unnest(generate_series(a, least(b, a + {z.DAY}) - 1, {z.STRIDE})) AS t FROM replayed))"""
+
+
 def cursors(z=S) -> str:
+    if hasattr(z, "SEED"):
+        return session_cursors(z)
     return f", cursors AS (SELECT symbol, t, t AS id FROM (SELECT symbol, t, min(t) OVER w AS a, max(t) OVER w AS b FROM tape WINDOW w AS (PARTITION BY symbol)) WHERE t >= a + {z.CONTEXT} + 1 AND t < b - {z.HORIZON} + 1 AND (t - a - {z.CONTEXT} - 1) % {z.STRIDE} = 0)"
 
 

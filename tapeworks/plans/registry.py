@@ -202,15 +202,15 @@ def volatility(tape_: DataFrame) -> DataFrame:
     return analyser.features(tape_, names=("logvol_300s", "ret_60s_z")).select("symbol", "t", "logp", "close", F.exp(F.col("logvol_300s") - 9.0).alias("sig"), F.col("ret_60s_z").alias("signal"))
 
 
-def seen(tape_: DataFrame, z=S) -> DataFrame:
+def seen(tape_: DataFrame, z=S, at: DataFrame | None = None) -> DataFrame:
     """The cursors, each with the volatility and the signal it sees."""
-    return cursors(tape_, z).join(volatility(tape_).select("symbol", "t", "sig", "signal"), ["symbol", "t"])
+    return (cursors(tape_, z) if at is None else at).join(volatility(tape_).select("symbol", "t", "sig", "signal"), ["symbol", "t"])
 
 
-def forecasts(spark: SparkSession, tape_: DataFrame, z=S) -> DataFrame:
-    """model, symbol, id, t, sig, paths (arrays) of every model at every cursor."""
+def forecasts(spark: SparkSession, tape_: DataFrame, z=S, at: DataFrame | None = None) -> DataFrame:
+    """model, symbol, id, t, sig, paths (arrays) of every model at every cursor, or at those given."""
     models = spark.createDataFrame(list(z.MODELS), "model string, drift double")
-    return forecast.path_arrays(forecast.walk_arrays(seen(tape_, z), models, z.HORIZON, z.MODES), z.HORIZON)
+    return forecast.path_arrays(forecast.walk_arrays(seen(tape_, z, at), models, z.HORIZON, z.MODES), z.HORIZON)
 
 
 @query(f"WITH RECURSIVE {O.forecasts()} SELECT model, symbol, id, t, q, h, {O.r6('path', 'path')} FROM forecasts")
@@ -375,19 +375,20 @@ def stream_throughput(spark, sf_dir):
     return counters.rows().agg(F.sum("rows").alias("rows"), F.bool_and((F.col("rows") == 0) | (F.col("done") > 0)).alias("every_batch_rated"))
 
 
-_BAND = "band AS (SELECT f.symbol, f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol GROUP BY f.symbol, f.t, h)"
+BAND = "band AS (SELECT f.symbol, f.t, h, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 0) AS lower, avg(close * exp(greatest(least(path, 0.5), -0.5))) FILTER (WHERE q = 2) AS upper FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol GROUP BY f.symbol, f.t, h)"
 
 
-@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND} SELECT symbol, t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
+@query(f"WITH RECURSIVE {O.forecasts()}, {BAND} SELECT symbol, t, h, round(lower, 4) AS lower, round(upper, 4) AS upper FROM band")
 def ensemble_band(spark, sf_dir):
     tape_ = kept(tape(spark, sf_dir), "tape")
     found = score.band(forecasts(spark, tape_), tape_.select("symbol", "t", F.col("close").alias("price")))
     return found.select("symbol", "t", "h", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
 
-_FRAMES = f"""shown AS (
+def frames_sql(z=S) -> str:
+    return f"""shown AS (
         SELECT c.symbol, c.t, count(*) FILTER (WHERE x.t <= c.t) AS n_past, count(*) FILTER (WHERE x.t > c.t) AS n_future, min(x.close) FILTER (WHERE x.t <= c.t) AS lo, max(x.close) FILTER (WHERE x.t <= c.t) AS hi
-        FROM cursors c JOIN tape x ON x.symbol = c.symbol AND x.t BETWEEN c.t - {S.LOOKBACK} AND c.t + {S.HORIZON} GROUP BY c.symbol, c.t
+        FROM cursors c JOIN tape x ON x.symbol = c.symbol AND x.t BETWEEN c.t - {z.LOOKBACK} AND c.t + {z.HORIZON} GROUP BY c.symbol, c.t
     ), drawn AS (SELECT f.symbol, f.t, any_value(close) AS price, min(close * exp(greatest(least(path, 0.5), -0.5))) AS pl, max(close * exp(greatest(least(path, 0.5), -0.5))) AS ph FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol WHERE q = 1 GROUP BY f.symbol, f.t),
     b AS (SELECT symbol, t, min(lower) AS bl, max(upper) AS bh FROM band GROUP BY symbol, t), y AS (SELECT symbol, t, price, n_past, n_future, least(lo, pl, bl) AS y0, greatest(hi, ph, bh) AS y1 FROM shown JOIN drawn USING (symbol, t) JOIN b USING (symbol, t))
     SELECT symbol, t, price, n_past, n_future, round(y0 - greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_low, round(y1 + greatest((y1 - y0) * 0.1, price * 2e-4), 4) AS y_high FROM y"""
@@ -400,7 +401,7 @@ def framed(spark: SparkSession, sf_dir: str, panel: bool = False) -> DataFrame:
     return score.frames(cursors(tape_), tape_, made, found, S.LOOKBACK, S.HORIZON)
 
 
-@query(f"WITH RECURSIVE {O.forecasts()}, {_BAND}, {_FRAMES}")
+@query(f"WITH RECURSIVE {O.forecasts()}, {BAND}, {frames_sql()}")
 def frame_records(spark, sf_dir, panel=False):
     return framed(spark, sf_dir, panel).select("symbol", "t", "price", "n_past", "n_future", *(F.round(c, 4).alias(c) for c in ("y_low", "y_high")))
 
@@ -412,7 +413,7 @@ def _listed(x: str, order: str, where: str = "") -> str:
 _PRICED = "close * exp(greatest(least(path, 0.5), -0.5))"
 
 
-@query(f"""WITH RECURSIVE {O.scored()}, {_BAND}, near AS (
+@query(f"""WITH RECURSIVE {O.scored()}, {BAND}, near AS (
         SELECT c.symbol, c.t, {_listed("x.close", "x.t", " FILTER (WHERE x.t <= c.t)")} AS past, {_listed("x.close", "x.t", " FILTER (WHERE x.t > c.t)")} AS future
         FROM (SELECT *, unnest(generate_series(t - {S.LOOKBACK}, t + {S.HORIZON})) AS at FROM cursors) c JOIN tape x ON x.symbol = c.symbol AND x.t = c.at GROUP BY ALL
     ), drawn AS (SELECT f.symbol, f.t, {_listed(_PRICED, "model, h")} AS paths FROM forecasts f JOIN vol v ON v.t = f.t AND v.symbol = f.symbol WHERE q = 1 GROUP BY ALL),
@@ -422,12 +423,16 @@ _PRICED = "close * exp(greatest(least(path, 0.5), -0.5))"
     SELECT * FROM near JOIN drawn USING (symbol, t) JOIN edged USING (symbol, t) JOIN said USING (symbol, t)""")
 def frame_arrays(spark, sf_dir):
     """The whole record of each frame, its arrays in hundredths of a cent: what is drawn of past and future, paths, band and hits."""
+    return listed_frames(framed(spark, sf_dir))
+
+
+def listed_frames(frames: DataFrame) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 10000).cast("long")), ",")
     hits = F.transform("models", lambda m: F.concat_ws(":", m["model"], m["n"].cast("string"), F.round(m["hit_so_far"] * m["n"]).cast("long").cast("string"), F.round(m["roll_hit"] * 10000).cast("long").cast("string")))
-    return framed(spark, sf_dir).select("symbol", "t", *(listed(c).alias(c) for c in ("past", "future", "lower", "upper")), listed(F.flatten("models.path")).alias("paths"), F.array_join(hits, ",").alias("hits"))
+    return frames.select("symbol", "t", *(listed(c).alias(c) for c in ("past", "future", "lower", "upper")), listed(F.flatten("models.path")).alias("paths"), F.array_join(hits, ",").alias("hits"))
 
 
-@query(f"WITH RECURSIVE {O.forecasts(True)}, {_BAND}, {_FRAMES}")
+@query(f"WITH RECURSIVE {O.forecasts(True)}, {BAND}, {frames_sql()}")
 def panel_frames(spark, sf_dir):
     """Frames of every symbol."""
     return frame_records(spark, sf_dir, True)

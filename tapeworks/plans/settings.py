@@ -10,3 +10,5 @@ POOL = (("near", 32, 1), ("mid", 64, 4), ("far", 128, 16))
 FULL = SimpleNamespace(BAR=1, CONTEXT=43_200, HORIZON=1_500, STRIDE=1_440, MODES=24, ROLL=60, LOOKBACK=900, MODELS=MODELS)
 #: The same with cursors four hours apart.
 APART = SimpleNamespace(**vars(FULL) | {"STRIDE": 14_400})
+#: A day of minutes drawn by seed, with cursors ten minutes apart.
+DRAWN = SimpleNamespace(BAR=60, CONTEXT=CONTEXT, HORIZON=HORIZON, STRIDE=10, MODES=MODES, ROLL=ROLL, LOOKBACK=LOOKBACK, MODELS=MODELS, DAY=1_440, SEED=7)

@@ -12,12 +12,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scalars import r6
-from tapeworks.operators import grid, score
+from tapeworks.operators import grid, replays, score
 from tapeworks.plans import oracles as O
 from tapeworks.plans import registry as R
+from tapeworks.plans import settings as S
 from tapeworks.sources import archives, klines, shards, store
 from tapeworks.sources.events import ticks
-from tapeworks.sources.files import opened, scratch
+from tapeworks.sources.files import kept, opened, scratch
 
 DAY, WEEK = 1_440, 10_080
 
@@ -64,6 +65,17 @@ def csv_scan(spark, sf_dir):
     return R.rounded(klines.read_csv(spark, f"{folder}/*.csv"), *R.FIELDS)
 
 
+@R.query(f"WITH {O.bars()} SELECT 'ALL' AS symbol, t * 60 AS t, ntrades, {R.R_FIELDS} FROM bars")
+def csv_units(spark, sf_dir):
+    """Candles of four sets of files, each stamped in a unit of its own, which every file's first stamp tells."""
+    bars, folder, zero = grid.bars(ticks(spark, sf_dir)), place(spark, "units"), F.lit(0)
+    for i, unit in enumerate((1, 10**3, 10**6, 10**9)):
+        stamp = F.col("t") * 60 * unit
+        text = bars.where(F.pmod(F.floor(F.col("t") / DAY), F.lit(4)) == i).select(stamp.alias("open_time"), "open", "high", "low", "close", "vol", stamp.alias("close_time"), "qvol", "ntrades", (F.col("vol") * F.col("takerfrac")).alias("taker"), zero.alias("quote"), zero.alias("last"))
+        text.write.option("header", True).csv(f"{folder}/{i}")
+    return R.rounded(klines.read_csv(spark, f"{folder}/*/*.csv"), *R.FIELDS)
+
+
 @R.query(f"WITH {O.logs()}, e AS (SELECT max(t) AS b FROM logs) SELECT symbol, t, {O.r6('logp', 'logp')}, valid FROM logs, e WHERE t >= b - 2880 AND t < b - 1440")
 def store_range(spark, sf_dir):
     """A day out of a store partitioned by month; other months aren't listed."""
@@ -99,6 +111,48 @@ def score_sidecar(spark, sf_dir):
     return store.sidecar(score.scorecard(found), f"{folder}/scorecard")
 
 
+def replayed(spark: SparkSession, sf_dir: str, z=S) -> replays.Snapshot:
+    """A snapshot made once and opened twice: what comes of the second is made without models or the tape."""
+    folder, asked = place(spark, "snapshot"), []
+
+    def make():
+        asked.append(1)
+        tape = kept(R.tape(spark, sf_dir, bar=z.BAR), "tape")
+        bounds = replays.session(tape, z.CONTEXT, z.HORIZON, z.BAR, seed=z.SEED) if hasattr(z, "SEED") else None
+        at = R.cursors(tape, z) if bounds is None else replays.cursors(bounds, z.STRIDE)
+        return at, tape, R.forecasts(spark, tape, z, at)
+
+    for _ in range(2):
+        found = replays.snapshot(spark, folder, make, z.HORIZON, z.LOOKBACK)
+    if len(asked) != 1:
+        raise RuntimeError("the second opening must not make the snapshot again")
+    return found
+
+
+@R.query(R.ORACLE_SQL["scorecard"])
+def snapshot_scorecard(spark, sf_dir):
+    """The scorecard of a replay from its snapshot alone."""
+    return replayed(spark, sf_dir).scorecard()
+
+
+@R.query(R.ORACLE_SQL["frame_arrays"])
+def snapshot_frames(spark, sf_dir):
+    """Whole frames of a replay from its snapshot alone."""
+    return R.listed_frames(replayed(spark, sf_dir).frames(S.ROLL))
+
+
+@R.query(f"WITH RECURSIVE {O.scored(z=S.DRAWN)} SELECT model, symbol, t, {', '.join(O.r6(x, x) for x in R.SCORES)} FROM scores")
+def session_scores(spark, sf_dir):
+    """Scores over a day of the tape drawn by seed."""
+    return R.rounded(replayed(spark, sf_dir, S.DRAWN).scores(S.DRAWN.ROLL), *R.SCORES).select("model", "symbol", "t", *R.SCORES)
+
+
+@R.query(f"""WITH RECURSIVE {O.forecasts(z=S.DRAWN)}, {R.BAND}, {R.frames_sql(S.DRAWN)}""")
+def session_frames(spark, sf_dir):
+    """Frames over the same day: what they show of the past reaches before it."""
+    return replayed(spark, sf_dir, S.DRAWN).frames(S.DRAWN.ROLL).select("symbol", "t", "price", "n_past", "n_future", *(F.round(c, 4).alias(c) for c in ("y_low", "y_high")))
+
+
 _MONTHS = "SELECT strftime(unnest(generate_series(date_trunc('month', min(ts)) - INTERVAL 1 MONTH, date_trunc('month', max(ts)), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM events WHERE ts IS NOT NULL AND value IS NOT NULL"
 
 

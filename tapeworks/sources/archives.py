@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import grid
 from tapeworks.sources import shards
 from tapeworks.sources.files import kept, opened
-from tapeworks.sources.klines import COLUMNS, READ, candles
+from tapeworks.sources.klines import COLUMNS, READ, candles, unit
 
 NAME = r"([^/]+?)-(?:[^/]*-)?(\d{4}-\d{2})(-\d{2})?\.(csv|zip)$"
 STATUSES = "symbol string, month string, status string, source string, archives long, n long, n_valid long, bytes long, gap_pct double, error string"
@@ -49,7 +49,7 @@ def planned(wanted: DataFrame, archives: DataFrame, symbol: str) -> DataFrame:
 
 
 def lines(content: bytes, path: str) -> pd.DataFrame:
-    """The candles of an archive. One unit of time holds for a whole file: that of its largest stamp."""
+    """The candles of an archive. One unit of time holds for a whole file: that of its first stamp."""
     if path.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             content = archive.read(archive.namelist()[0])
@@ -57,9 +57,8 @@ def lines(content: bytes, path: str) -> pd.DataFrame:
     if not body.strip():
         return pd.DataFrame(columns=list(READ))
     rows = pd.read_csv(io.BytesIO(body), header=None, names=list(COLUMNS), usecols=list(READ))
-    most = int(rows["open_time"].max()) if len(rows) else 0
-    unit = next((u for limit, u in ((10**17, 10**9), (10**14, 10**6), (10**11, 10**3)) if most > limit), 1)
-    return rows.assign(open_time=rows["open_time"].astype("int64") // unit)[list(READ)]
+    scale = unit(int(rows["open_time"].iloc[0])) if len(rows) else 1
+    return rows.assign(open_time=rows["open_time"].astype("int64") // scale)[list(READ)]
 
 
 def parsed(batches):

@@ -22,6 +22,26 @@ def test_candles_from_csv_and_zip(spark, tmp_path):
     assert [r["t"] for r in zipped] == [1_700_000_000, 1_700_000_001] and zipped[0]["open"] == 10.13
 
 
+def test_a_file_has_one_unit_which_its_first_stamp_tells(spark, tmp_path):
+    """Around the size that parts seconds from milliseconds, and in a folder that Spark partitions and names with a space."""
+    line = lambda t: LINE.format(t=t, v=1.0, b=0.5)
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "ms.csv").write_text("\n" + line(100_000_001_000) + line(99_999_999_000) + line(99_999_998_999))
+    (folder / "us.csv").write_text("open_time,open\n" + line(1_700_000_000_000_000))
+    (folder / "ns.csv").write_text(line(1_700_000_001_000_000_000))
+    (folder / "s.csv").write_text(line(1_700_000_002) + line(100_000_001_000))
+    (folder / "none.csv").write_text("open_time,open\n")
+    (folder / "empty.csv").write_text("")
+    want = [99_999_998, 99_999_999, 100_000_001, 1_700_000_000, 1_700_000_001, 1_700_000_002, 100_000_001_000]
+    for paths in (str(folder), str(folder / "*.csv"), [str(folder / f"{n}.csv") for n in ("ms", "us", "ns", "s", "none")]):
+        assert [r["t"] for r in klines.read_csv(spark, paths).orderBy("t").collect()] == want
+    assert {r["file"].rsplit("/", 1)[1]: r["unit"] for r in klines.units(spark, str(folder)).collect()} == {"ms.csv": 1000, "us.csv": 10**6, "ns.csv": 10**9, "s.csv": 1}
+    with zipfile.ZipFile(tmp_path / "ms.zip", "w") as out:
+        out.writestr("ms.csv", line(100_000_001_000) + line(99_999_999_000))
+    assert [r["t"] for r in klines.read_zip(spark, str(tmp_path / "ms.zip")).orderBy("t").collect()] == [99_999_999, 100_000_001]
+
+
 def test_shards_round_trip_range_and_columns(spark, tmp_path):
     frame = tape(5000, t0=7_000)
     for c in grid.PRICES:
