@@ -2,7 +2,8 @@
 
 A page is an article and a choice of other regions around and inside it. Every region is marked by its element, by a hint in its
 class or id, or, for lists of links, not at all; the article stands in ``article`` or ``main``, in a hinted or a nameless ``div``, in
-a table cell, or in the body itself. Words are random letters, so that no language is learnt.
+a table cell, or in the body itself. Words are random letters, so that no language is learnt. Some pages are foreign: no name of
+theirs is a hint. Where the article has an element of its own, names outside it are left out at random, as its place tells all.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ class Layout:
     def __init__(self, rng: random.Random):
         self.rng, self.main = rng, []
         self.longest = rng.choice((15, 25, 50, 90))  # words of a paragraph
+        self.way = rng.random()
+        self.core, self.inside = self.way < 0.5, False
+        self.foreign = self.chance(0.25)
         self.style = rng.choice(("plain", "plain", "plain", "plain", "noisy", "shouting"))
 
     def pick(self, *options):
@@ -70,7 +74,8 @@ class Layout:
     # regions
 
     def named(self, kind: str | None) -> str:
-        names = self.rng.choice(HINTS[kind]) if kind else self.rng.choice(NEUTRAL)
+        unknown = self.foreign or (self.core and not self.inside and self.chance(0.35))
+        names = self.rng.choice(NEUTRAL) if not kind else self.word() if unknown else self.rng.choice(HINTS[kind])
         if self.chance(0.4):
             names += " " + self.rng.choice(NEUTRAL)
         return self.pick(f' class="{names}"', f" class='{names}'", f' id="{names.split()[0]}"', f' data-x="{self.word()}" class="{names}"')
@@ -99,12 +104,16 @@ class Layout:
         return self.marked("menu", self.links(self.rng.randint(3, 10)), ("nav", "nav", "menu"), plain=True)
 
     def header(self) -> str:
+        if self.foreign and not self.core:
+            return self.marked("header", self.pick(f"<a href='/'>{self.short()}</a>", f"<div>{self.short()}</div>{self.links(4)}"), ("header",))
         inner = self.pick(f"<a href='/'>{self.short()}</a>", f"<div>{self.short()}</div>{self.links(4)}", f"<h1>{self.short()}</h1><p>{self.prose(2, 12)}</p>", f"<p>{self.prose(2, 15)}</p>")
         return self.marked("header", inner, ("header",))
 
     def footer(self) -> str:
-        mark = self.pick("&copy; ", "© ", "Copyright ", "")
-        inner = self.pick(f"{mark}2019 {self.short()} - {self.prose(3, 25)}", f"<p>{mark}{self.prose(3, 25)}</p>{self.links(3)}", f"<small>{mark}{self.short()}</small>")
+        if self.chance(0.3):  # a line in no element of its own
+            return f"<p>{self.pick('&copy;', '©', '(c)', 'Copyright')} {self.rng.randint(1998, 2030)} {self.pick(self.short(), self.prose(2, 15))}</p>"
+        mark = "" if self.foreign and self.chance(0.5) else self.pick("&copy; ", "© ", "Copyright ", "")
+        inner = self.pick(f"{mark}2019 {self.short()} - {self.prose(3, 25)}", f"<p>{mark}{self.prose(3, 25)}</p>{self.links(3)}", f"<small>{mark}{self.short()}</small>", f"{mark}{self.short(2, 5)}, {self.short(1, 2)} {self.rng.randint(1, 99)}, {self.short(1, 1)}")
         return self.marked("footer", inner, ("footer", "footer", "footer"))
 
     def side(self) -> str:
@@ -122,7 +131,7 @@ class Layout:
         return f"<form{self.named('form') if self.chance(0.4) else ''}>{fields}<button>{self.short(1, 2)}</button></form>"
 
     def comments(self) -> str:
-        item = self.pick("li", "div", "div", "article" if self.chance(0.3) else "div")
+        item = self.pick("li", "div", "div", "article" if self.chance(0.3) and not self.foreign and (self.inside or not self.core) else "div")
         name = self.pick(' class="comment"', " class=reply", "", f" class='{self.word()}'")
         one = lambda: f"<{item}{name}>{self.pick(f'<b>{self.short(1, 2)}</b>', f'<h4>{self.short(1, 2)}</h4>', '')}<p>{self.prose(3, 60)}</p></{item}>"
         inner = "".join(one() for _ in range(self.rng.randint(1, 5)))
@@ -138,6 +147,9 @@ class Layout:
 
     def paragraph(self) -> str:
         text, way = self.prose(4, self.longest), self.rng.random()
+        if self.core and self.chance(0.08):  # what would be told by its text elsewhere
+            text = self.pick(text, text, f"{self.pick('©', '(c)', 'Copyright')} 2019 {text}")
+            return f"<p><a href='/{self.word()}'>{self.keep(text)}</a></p>" if text[0] not in "©(" else f"<p>{self.keep(text)}</p>"
         if way < 0.5:
             return f"<p>{self.keep(text)}{self.pick('</p>', '</p>', '</p>', '')}"
         if way < 0.6:
@@ -164,17 +176,23 @@ class Layout:
         return f"<p>{whole.replace(link, f'<a href=/x/>{link}</a>', 1)}</p>"
 
     def article(self) -> str:
-        way, parts = self.rng.random(), []
+        self.inside = True
+        made = self.article_of(self.rng.random())
+        self.inside = False
+        return made
+
+    def article_of(self, way: float) -> str:
+        parts = []
         if way < 0.8:
             title = f"<h1>{self.keep(self.prose(2, 14))}</h1>"
             parts.append(f"<header>{title}</header>" if way < 0.1 else title)
         for _ in range(self.rng.randint(1, 10)):
             parts.append(self.paragraph())
-            if self.chance(0.07):
+            if not self.foreign and self.chance(0.07):
                 parts.append(self.pick(self.advert, self.side, self.form, self.notice, self.share)())
         body = "".join(parts)
-        after = self.pick(self.comments, self.form, self.share, self.comments)() if self.chance(0.3) else ""
-        way = self.rng.random()
+        after = self.pick(self.comments, self.form, self.share, self.comments)() if not self.foreign and self.chance(0.3) else ""
+        way = self.way
         if way < 0.35:
             return f"<article{self.named('main') if self.chance(0.3) else ''}>{body}{after}</article>"
         if way < 0.5:
@@ -183,19 +201,23 @@ class Layout:
             return f"<div{self.named('main')}>{body}{after}</div>"
         if way < 0.78:
             return f"<div{self.named(None) if self.chance(0.6) else ''}>{body}</div>{after}"
-        if way < 0.9:
+        if way < 0.86:
             beside = f"<td>{self.links(self.rng.randint(3, 8))}</td>" * self.chance(0.7)
             return f"<table><tr>{beside}<td>{body}</td></tr></table>{after}"
-        return f"<section>{body}</section>{after}" if way < 0.95 else f"{body}{after}"
+        return f"<section>{body}</section>{after}" if way < 0.9 else f"{body}{after}"
 
 
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page laid out at random, and the texts of its main blocks in order."""
     page = Layout(rng)
-    above = [f() for f in (page.notice, page.header, page.menu, page.advert, page.form, page.side) if rng.random() < 0.45]
+    written = rng.random() < 0.97
+    page.core &= written
+    # what only a name would tell apart from an article without an element of its own isn't on foreign pages
+    told = (lambda *regions: regions) if page.core or not page.foreign else lambda *regions: [f for f in regions if f in (page.header, page.menu, page.form, page.share)]
+    above = [f() for f in told(page.notice, page.header, page.menu, page.advert, page.form, page.side) if rng.random() < 0.45]
     rng.shuffle(above)
-    core = page.article() if rng.random() < 0.97 else ""
-    below = [f() for f in (page.advert, page.comments, page.side, page.form, page.menu, page.share) if rng.random() < 0.2]
+    core = page.article() if written else ""
+    below = [f() for f in told(page.advert, page.comments, page.side, page.form, page.menu, page.share) if rng.random() < 0.2]
     rng.shuffle(below)
     head = f"<title>{page.short(2, 9)}</title>" + rng.choice(("", "<style>a > b {color: red}</style>", "<script>if (a<b) {document.write('<p>x')}</script>", "<noscript>no</noscript>"))
     body = "".join(above) + core + "".join(below) + (page.footer() if rng.random() < 0.6 else "")

@@ -2,7 +2,8 @@
 
 The features of a leaf block (``html_blocks``) are its ancestors' tags and the kinds of words in their class, id and role attributes,
 the share of the page's prose that stands in the same container, and measures of its text: length, links, marks, capitals, place on
-the page. The field labels every block main text or not.
+the page. What a block's form tells against it (links, a line of rights, the first or last place) doesn't count inside an article or main
+element. The field labels every block main text or not.
 
 The tables hold no labels, so the field is trained on ``PAGES`` labelled pages that ``html_layouts`` lays out at random. The fit is the
 same in every run.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,15 @@ from tapeworks.llm.quality import marginals
 from tapeworks.llm.util import table
 
 PAGES, SEED = 1200, 11
-ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
+ROUNDS, RATE, RIDGE = 500, 0.1, 2e-4
 TEXT_FEATURES = 12
-PLACE_FEATURES = 6
+PLACE_FEATURES = 8
+#: How a line of rights begins.
+SIGNED = re.compile(r"\W{0,3}(?:©|\(c\)|copyright\b)", re.I)
+#: Characters of a block beyond which it counts as prose of its container.
+PROSE = 40
+#: Blocks of a page beyond which it is decoded by itself.
+LONG = 2_000
 FEATURES = len(TAGS) + 2 * len(KINDS) + PLACE_FEATURES + TEXT_FEATURES + 1
 
 
@@ -43,31 +51,35 @@ def block_features(found: list[tuple[str, Node, int]]) -> np.ndarray:
     x[:, :at] = np.hstack([bits([n.tags for _, n, _ in found], len(TAGS)), bits([n.kinds for _, n, _ in found], len(KINDS)), bits([n.nearest for _, n, _ in found], len(KINDS))])
     prose: dict = {}
     for text, node, linked in found:
-        if len(text) > 60 and linked < 0.3 * len(text):
+        if len(text) > PROSE and linked < 0.3 * len(text):
             prose[id(node.home)] = prose.get(id(node.home), 0) + len(text)
     whole, most = max(1, sum(prose.values())), max(prose.values(), default=0)
     core_page = any(n.core for _, n, _ in found)
+    signed = [bool(SIGNED.match(text)) for text, _, _ in found]
     for i, (text, node, linked) in enumerate(found):
         words, n, here = text.count(" ") + 1, len(text), prose.get(id(node.home), 0)
+        out = not node.core or node.off  # what a text's form tells against it doesn't count where its place tells for it
         x[i, at:-1] = (
-            node.core and not node.off,
+            not out,
             node.core and node.off,
             not node.core and node.off,
             core_page and not node.core,
             here / whole,
             here > 0 and here == most,
+            not core_page and signed[i] and i >= len(found) - 2,
+            not core_page and here < most and i >= len(found) - 2,
             min(np.log1p(words), 6) / 3,
-            min(1.0, linked / n),
+            out and min(1.0, linked / n),
             min(1.0, 10 * sum(map(text.count, ".,;:!?")) / n),
             text[-1] in ".!?\"'",
             text[0].isupper(),
-            "©" in text or "(c)" in text,
+            out and signed[i],
             words < 4,
             words > 20,
-            linked > 0.8 * n,
+            out and linked > 0.8 * n,
             i / len(found),
-            i == 0,
-            i == len(found) - 1,
+            out and i == 0,
+            out and i == len(found) - 1,
         )
     x[:, -1] = 1.0
     return x
@@ -87,8 +99,10 @@ def features(pages: list[list]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(scores: np.ndarray, stay: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The likeliest labels of each page's blocks; all pages advance together."""
+    """The likeliest labels of each page's blocks; pages of up to ``LONG`` blocks advance together."""
     sizes = np.diff(starts)
+    long = np.flatnonzero(sizes > LONG)
+    sizes = np.where(sizes > LONG, 0, sizes)
     order = np.argsort(-sizes, kind="stable")
     first, sizes = starts[:-1][order], sizes[order]
     hop = np.array([[stay[0], 0.0], [0.0, stay[1]]])
@@ -108,9 +122,23 @@ def viterbi(scores: np.ndarray, stay: np.ndarray, starts: np.ndarray) -> np.ndar
         if more:
             later = at[:more] + 1
             labels[at[:more]] = back[later, labels[later]]
+    for page in long:
+        labels[starts[page] : starts[page + 1]] = decoded(scores[starts[page] : starts[page + 1]].tolist(), float(stay[0]), float(stay[1]))
     return labels
 
 
+def decoded(scores: list[float], bad_bad: float, good_good: float) -> list[int]:
+    """The same of one page, block by block."""
+    bad, good, back = 0.0, scores[0], []
+    for gain in scores[1:]:
+        back.append((int(good > bad + bad_bad), int(good + good_good > bad)))
+        bad, good = max(bad + bad_bad, good), max(bad, good + good_good) + gain
+    labels = [int(good > bad)]
+    for came in reversed(back):
+        labels.append(came[labels[-1]])
+    return labels[::-1]
+
+
 def labels_of(found: list, main: list[str]) -> list[int]:
     """1 for the blocks that are the main texts, met in order."""
     out, i = [], 0

@@ -37,7 +37,7 @@ def test_forward_backward_and_viterbi_against_enumeration():
     for i, (a, b) in enumerate(zip(starts, starts[1:])):
         want, both, best = plain_marginals(scores[a:b], stay)
         assert good[a:b] == pytest.approx(want) and pairs[i] == pytest.approx(both)
-        assert labels[a:b].tolist() == [best >> j & 1 for j in range(b - a)]
+        assert labels[a:b].tolist() == [best >> j & 1 for j in range(b - a)] == html_main.decoded(scores[a:b].tolist(), *stay)
 
 
 def junk(rng, bad):
@@ -184,11 +184,16 @@ BY_HAND = {
     "notice and advert": (f"<div class='cookie-consent'><p>We use cookies to give you more of them, as you know.</p><button>Yes</button></div><div class=ad>Buy one of these now, and one more.</div><article><p>{A}</p><div class='ad-slot'>Buy one of those now, too.</div><p>{B}</p></article>", [A, B]),
     "list": (f"<nav>{LINKS}</nav><article><h1>Title</h1><p>{A}</p><ol><li>{B}</li><li>{C}</li></ol></article>", ["Title", A, B, C]),
     "hidden": (f"<article><p>{A}</p><p style='display:none'>Not to be seen by anybody who reads this.</p><template><p>{C}</p></template><p>{B}</p></article>", [A, B]),
+    "unknown names outside": (f"<article><h1>Title</h1><p>{A}</p><p>{B}</p></article><section id='opinions'><h3>Opinions</h3><div><p>I liked this one very much, thanks for it.</p></div><div><p>I did not, but I have read worse ones this year.</p></div></section>", ["Title", A, B]),
+    "a linked paragraph": (f"<nav>{LINKS}</nav><article><h1>Title</h1><p>{A}</p><p><a href=/y>{B}</a></p><p>{C}</p></article>", ["Title", A, B, C]),
+    "a last line of rights": (f"<p>{A}</p><p>{B}</p><p>{C}</p><p>© 2021 The firm. All rights reserved.</p>", [A, B, C]),
+    "german": (f"<div class=navigation>{LINKS}</div><div class=inhalt><h1>Ein Titel</h1><p>Der erste Absatz dieses Textes ist lang genug, um gelesen zu werden.</p><p>Ein zweiter folgt ihm hier, mit Komma und Punkt am Ende.</p></div><div class=fusszeile>Impressum der Firma, Hauptstrasse 1, Berlin</div>", ["Ein Titel", "Der erste Absatz dieses Textes ist lang genug, um gelesen zu werden.", "Ein zweiter folgt ihm hier, mit Komma und Punkt am Ende."]),
+    "french": (f"<div class=entete><a href=/>Le journal</a></div><main><h1>Un titre</h1><p>{A}</p><p>{B}</p></main><div class=avis><p>Bravo pour ce texte, je le lirai encore demain.</p><p>Moi aussi, il est bien fait.</p></div><div class=pied>Mentions du journal</div>", ["Un titre", A, B]),
     "inner markup": (f"<article><p>An <em>inner <a href=/x/>link</a></em>, a line<br>break, &lt;code&gt; &amp; more&nbsp;of it in a long text.<p>{B}</article>", ["An inner link, a line break, <code> & more of it in a long text.", B]),
 }
 
 
-@pytest.mark.parametrize("name", BY_HAND)
+@pytest.mark.parametrize("name", [n if n != "german" else pytest.param(n, marks=pytest.mark.xfail(reason="a footer told by its name alone, in a language whose names aren't known")) for n in BY_HAND])
 def test_layouts_by_hand(name):
     page, want = BY_HAND[name]
     assert html_main.main_texts([f"<html><head><title>x</title></head><body>{page}</body></html>"], html_main.model())[0].split("\n\n") == want
@@ -207,6 +212,13 @@ def test_broken_pages_take_time_in_proportion(name):
     assert time.process_time() - start < 6
 
 
+@pytest.mark.parametrize("name", ["nested", "lists", "strays"])
+def test_broken_pages_are_decoded_in_time(name):
+    weights, start = html_main.model(), time.process_time()
+    html_main.main_texts([HOSTILE[name], "<p>x"], weights)
+    assert time.process_time() - start < 8
+
+
 def test_blocks_of_deep_pages_share_their_ancestors():
     found = html_blocks.blocks("<div>x" * 3000)
     assert len(found) == 3000 and html_main.features([found])[0].shape == (3000, html_main.FEATURES + 2 * html_main.TEXT_FEATURES)
