@@ -161,6 +161,11 @@ class Wanted:
         deviations = {s.name: running((x[s.of] - out[of]) ** 2, s.halflife, y) for (s, of), y in zip(self.second, start[len(self.first) :])}
         return out | deviations
 
+    def after(self, x: dict, start: np.ndarray) -> np.ndarray:
+        """All averages after the last bar, from those before the first."""
+        found = self.averages(x, start)
+        return np.array([found[s.name][-1] for s in (*self.first, *(s for s, _ in self.second))])
+
     def values(self, bar: dict, logs: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
         """All that formulas read but the clock. logs: log prices of the bars before these, then theirs; before them all, the first."""
         n = len(bar["close"])

@@ -1,45 +1,41 @@
 """The 59 features of many symbols as one stream, from ticks: bars close by event time, and gaps fill when nothing arrives.
 
-State lies in RocksDB by symbol: ticks of bars that aren't closed yet (a list), the last bar with the running averages, and the
-log prices that lags look back on, in chunks of ``CHUNK`` bars under their number, so that a batch writes the chunks it adds
-to and drops those no lag reaches, and leaves the rest alone. A timer at the end of each symbol's next bar fires once the
-watermark has passed it, whether or not the symbol has had ticks: every symbol's tape runs to the same bar.
+Three steps. Ticks become bars in a windowed aggregation with partial sums, so that they never meet by symbol, however many they
+are; it gives out a bar once the watermark has passed its end. Closed bars meet by symbol in ``Panel``, which puts those of a batch
+in order and fills gaps. Its state lies in RocksDB: the last bar with the running averages, and the log prices that lags look back
+on, in chunks of ``CHUNK`` bars under their number, so that a batch writes the chunks it adds to and drops those no lag reaches, and
+leaves the rest alone. A timer at the end of each symbol's next bar fires once the watermark has passed it, whether or not the
+symbol has had ticks: every symbol's tape runs to the same bar. ``Panel`` carries averages only, and gives out blocks of ``AT_ONCE``
+bars with what stood before them; the blocks are dealt out by symbol and time, and their features are made wherever they land.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapeworks.functions.scalars import EPS
 from tapeworks.operators import analyser as A
+from tapeworks.operators import grid
 from tapeworks.operators.grid import seconds
 from tapeworks.sources.events import LIFT
-from tapeworks.streaming.analyser import KEPT, OUTPUT, WHOLE, advance
+from tapeworks.streaming.analyser import KEPT, OUTPUT, WHOLE, dense
 
 CHUNK = 1_440
-#: Bars given out at once.
+#: Bars in a block that is given out.
 AT_ONCE = 20_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TICK = ("t", "at", "event_id", "price", "size", "taker")
+#: Bars from ``first`` on, a row for each of INPUTS; the averages and log prices before them.
+BLOCK = "symbol string, first long, bars binary, start binary, logs binary"
+COLUMNS = ["t", *grid.PRICES, "vol", "qvol", "ntrades", "takerfrac"]
 
 
-def bars_of(ticks: pd.DataFrame) -> pd.DataFrame:
-    """Ticks as bars, quantised as ``grid.bars`` does."""
-    ordered = ticks.sort_values(["at", "event_id"], kind="stable").assign(value=lambda f: f["size"] * f["price"]).groupby("t")
-    found = ordered.agg(open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"), vol=("size", "sum"), qvol=("value", "sum"), ntrades=("price", "size"), tb=("taker", "sum")).reset_index()
-    share = np.where(found["vol"] > 0, np.clip(found["tb"] / np.maximum(found["vol"], EPS), 0, 1), 0.0)
-    for c in ("open", "high", "low", "close"):
-        found[c] = np.rint(found[c] * 100) / 100
-    return found.assign(vol=np.rint(found["vol"] * 1e5) / 1e5, qvol=np.rint(found["qvol"]), ntrades=found["ntrades"].astype(float), takerfrac=np.rint(share * 65_535) / 65_535).drop(columns="tb")
-
-
-def until(bars: pd.DataFrame, t: int, last: int) -> pd.DataFrame:
-    """The bars after t up to ``last``, with an empty place for the last one if there is none, so that the gap before it fills."""
-    bars = bars[(bars["t"] > t) & (bars["t"] <= last)].astype(dict.fromkeys(bars.columns.drop("t"), float))
+def until(bars: pd.DataFrame, last: int) -> pd.DataFrame:
+    """The bars, with an empty place for the last one if there is none, so that the gap before it fills."""
     if not len(bars) or bars["t"].iloc[-1] < last:
         empty = pd.DataFrame([{"t": last} | dict.fromkeys(bars.columns.drop("t"), np.nan)])
         bars = pd.concat([bars, empty]) if len(bars) else empty
@@ -52,7 +48,6 @@ class Panel(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, at long, event_id long, price double, size double, taker double")
         self.last = handle.getValueState("last", "t long, close double, means array<double>")
         self.logs = handle.getMapState("logs", "chunk long", "first long, logs binary")
 
@@ -60,45 +55,38 @@ class Panel(StatefulProcessor):
         """A timer's time, in ms: it fires once the watermark has reached the end of bar t."""
         return (t + 1) * self.bar * 1000 - 1
 
+    def ended(self, timerValues) -> int:
+        """The last bar that has ended."""
+        return timerValues.getCurrentWatermarkInMs() // (self.bar * 1000) - 1
+
     def handleInputRows(self, key, rows, timerValues):
-        closed = self.last.get()[0] if self.last.exists() else None
-        begun = closed is not None or self.waiting.exists()
-        first = None
-        for part in rows:
-            part = part if closed is None else part[part["t"] > closed]  # what comes after its bar has closed is late
-            if len(part):
-                self.waiting.appendList(list(part[list(TICK)].itertuples(index=False, name=None)))
-                first = int(part["t"].min()) if first is None else min(first, int(part["t"].min()))
-        if not begun and first is not None:
-            self.handle.registerTimer(self.end_of(first))
-        yield from ()
+        begun, last = self.last.exists(), self.ended(timerValues)
+        bars = pd.concat([part[COLUMNS] for part in rows]).astype(dict.fromkeys(COLUMNS[1:], float)).sort_values("t", ignore_index=True)
+        yield from self.closed(key[0], bars, max(last, int(bars["t"].iloc[-1])))
+        if not begun:
+            self.handle.registerTimer(self.end_of(self.last.get()[0] + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = timerValues.getCurrentWatermarkInMs() // (self.bar * 1000) - 1  # the last bar that has ended
-        ticks = pd.DataFrame(list(self.waiting.get()), columns=list(TICK))
-        due = ticks[ticks["t"] <= last]
-        if len(due):
-            rest = ticks[ticks["t"] > last]
-            self.waiting.put(list(rest.itertuples(index=False, name=None))) if len(rest) else self.waiting.clear()
-        yield from self.closed(key[0], bars_of(due) if len(due) else None, last)
+        last = self.ended(timerValues)
+        yield from self.closed(key[0], pd.DataFrame(columns=COLUMNS), last)
         self.handle.registerTimer(self.end_of(max(last + 1, int(expiredTimerInfo.getExpiryTimeInMs() // (self.bar * 1000)))))
 
-    def closed(self, symbol: str, bars: pd.DataFrame | None, last: int):
-        """Rows of the bars up to ``last``, some at a time."""
-        if bars is None and not self.last.exists():
+    def closed(self, symbol: str, bars: pd.DataFrame, last: int):
+        """Blocks of the bars up to ``last``. bars: those that closed since, in order."""
+        if self.last.exists() and self.last.get()[0] >= last:
             return
-        state = self.history()
-        bars = bars if bars is not None else pd.DataFrame(columns=["t", "open", "high", "low", "close", "vol", "qvol", "ntrades", "takerfrac"])
-        t = state[0] if state else int(bars["t"].iloc[0]) - 1  # the tape begins with its first bar
-        made: list[np.ndarray] = []
-        begun = t + 1
+        t, close, means, logs = self.history() or (int(bars["t"].iloc[0]) - 1, None, WHOLE.start, np.empty(0))  # the tape begins with its first bar
+        times, begun, made = bars["t"].to_numpy(np.int64), t + 1, []
         while t < last:
-            out, state = advance(until(bars, t, min(last, t + AT_ONCE)), state, self.bar)
-            made.append(A.log_of(out["close"].to_numpy(), EPS))
-            t = state[0]
-            yield out.assign(symbol=symbol)[["symbol", "t", "close", "valid", *A.NAMES]]
-        if made:
-            self.keep(begun, np.concatenate(made), state)
+            to = min(last, t + AT_ONCE)
+            own = dense(until(bars.iloc[slice(*np.searchsorted(times, [t, to], side="right"))], to), None if close is None else t, close)
+            columns = {c: own[c].to_numpy(float) for c in A.INPUTS}
+            yield pd.DataFrame({"symbol": [symbol], "first": [t + 1], "bars": [np.stack([columns[c] for c in A.INPUTS]).tobytes()], "start": [means.tobytes()], "logs": [logs.tobytes()]})
+            new = A.log_of(columns["close"], EPS)
+            means = WHOLE.after(A.flows(columns, new, np.append(logs[-1:] if len(logs) else new[:1], new[:-1])), means)
+            t, close, logs = to, float(columns["close"][-1]), np.append(logs, new)[-KEPT:]
+            made.append(new)
+        self.keep(begun, np.concatenate(made), (t, close, means, logs))
 
     def history(self):
         """What ``advance`` goes on from: the last bar, the averages, and the log prices of the longest lag."""
@@ -141,6 +129,30 @@ def ticks(events: DataFrame, bar: int = 60, late: str = "10 minutes") -> DataFra
     return found.withWatermark("stamp", late)
 
 
+def bars(ticks: DataFrame, bar: int = 60) -> DataFrame:
+    """Bars of every symbol, each given out once no tick can be added to it, with the time of its end."""
+    found = grid.bars(ticks.withColumn("t", F.window("stamp", f"{bar} seconds")).withColumn("at", F.struct("at", "event_id")))
+    return found.withColumn("stamp", F.window_time("t")).withColumn("t", F.floor(F.unix_seconds("t.start") / bar).cast("long"))
+
+
+def block_features(bar: int):
+    """For mapInArrow over blocks: the features of each bar."""
+    kinds = pa.schema([("symbol", pa.string()), ("t", pa.int64()), ("close", pa.float64()), ("valid", pa.bool_()), *((n, pa.float64()) for n in A.NAMES)])
+
+    def run(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                symbol, first, bars, start, logs = (batch.column(k)[row].as_py() for k in range(5))
+                columns = dict(zip(A.INPUTS, np.frombuffer(bars).reshape(len(A.INPUTS), -1)))
+                t = np.arange(first, first + len(columns["close"]))
+                v = WHOLE.values(columns, np.append(np.frombuffer(logs), A.log_of(columns["close"], EPS)), np.frombuffer(start)) | {"clock": t * bar}
+                found = {"symbol": pa.repeat(symbol, len(t)), "t": t, "close": columns["close"], "valid": columns["valid"] > 0} | WHOLE.features(v)
+                yield pa.RecordBatch.from_arrays([pa.array(found[c], x) if isinstance(found[c], np.ndarray) else found[c] for c, x in zip(kinds.names, kinds.types)], schema=kinds)
+
+    return run
+
+
 def features(ticks: DataFrame, bar: int = 60) -> DataFrame:
     """Features of every symbol's closed bars. The session's state store must be RocksDB (``PROVIDER``) when the stream starts."""
-    return ticks.groupBy("symbol").transformWithStateInPandas(Panel(bar), OUTPUT, "append", "EventTime")
+    blocks = bars(ticks, bar).groupBy("symbol").transformWithStateInPandas(Panel(bar), BLOCK, "append", "EventTime")
+    return blocks.repartition("symbol", "first").mapInArrow(block_features(bar), OUTPUT)

@@ -84,3 +84,55 @@ def test_panel_keeps_chunks_that_lags_reach_and_no_others(monkeypatch):
         held.keep(50 + a, x[a:b], (50 + b - 1, 1.0, [0.5], None))
         parts = np.concatenate([np.frombuffer(raw) for _, (_, raw) in sorted(held.logs.items())])
         assert (parts[-300:] == x[max(0, b - 300) : b]).all() and len(parts) <= 500
+
+
+def test_ticks_become_bars_before_they_meet_by_symbol(spark, tmp_path):
+    from tapeworks.streaming import panel
+    from tapeworks.streaming.queries import stored_in_rocks
+
+    n = 30_000
+    at = np.sort(np.random.default_rng(5).integers(0, 3600, n))
+    pd.DataFrame({"event_id": np.arange(n), "ts": pd.to_datetime(1_700_000_040 + at, unit="s").astype("datetime64[us]"), "event_type": "view", "value": 1.0}).to_parquet(tmp_path / "0.parquet", index=False)
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path)).schema).parquet(str(tmp_path))
+    with stored_in_rocks(spark):
+        query = panel.features(panel.ticks(stream)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    # the panel is told first: it keeps the last bar and one chunk or two of log prices of the symbol, and met bars, not ticks
+    most = [max(op["numRowsUpdated"] for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    assert len(most) and max(most) <= 61
+
+
+def test_blocks_of_a_panel_give_the_features_of_the_whole(monkeypatch):
+    """Bars out of order with gaps in several batches and small blocks, against one block."""
+    import pyarrow as pa
+
+    from tapeworks.streaming import panel
+
+    monkeypatch.setattr(panel, "AT_ONCE", 70)
+
+    class Value:
+        x = None
+        exists, get, update = lambda s: s.x is not None, lambda s: s.x, lambda s, x: setattr(s, "x", x)
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey, iterator = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__, dict.items
+
+    class Clock:
+        def __init__(self, t):
+            self.getCurrentWatermarkInMs = lambda: (t + 1) * 60_000
+
+        registered = []
+        registerTimer = registered.append
+
+    frame = tape(600, t0=1_000).drop(columns=["symbol", "valid"]).astype({"ntrades": float}).drop(index=[5, 6, 299, 300, 301, 599])
+    held = panel.Panel(60)
+    held.last, held.logs, held.handle = Value(), Map(), Clock
+    out = []
+    for a, b in ((0, 200), (200, 301), (301, 600)):
+        part = frame[(frame["t"] >= 1_000 + a) & (frame["t"] < 1_000 + b)].sample(frac=1, random_state=1)
+        out += list(held.handleInputRows(("X",), iter(np.array_split(part, 3)), Clock(999 + b)))
+    assert Clock.registered == [(1_200 + 1) * 60_000 - 1] and len(out) == 3 + 2 + 5
+    found = pd.concat(pa.Table.from_batches([x]).to_pandas() for x in panel.block_features(60)(pa.RecordBatch.from_pandas(x, preserve_index=False) for x in out))
+    want, _ = analyser.advance(pd.concat([frame, frame.tail(1).assign(**dict.fromkeys(frame.columns.drop("t"), np.nan), t=1_599)]), None, 60)
+    assert found["t"].tolist() == want["t"].tolist() == list(range(1_000, 1_600)) and (found["valid"].to_numpy() == want["valid"].to_numpy()).all()
+    assert np.abs(found[list(batch.NAMES)].to_numpy() - want[list(batch.NAMES)].to_numpy()).max() < 1e-9
