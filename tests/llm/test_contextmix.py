@@ -190,3 +190,25 @@ def test_packed_arrays_come_back():
     kept = [rng.integers(0, 2**32, 9).astype(np.uint32), rng.integers(-(2**60), 2**60, 5), rng.random(4) > 0.5, rng.normal(size=3).astype(np.float32), np.zeros(0, np.uint8)]
     back = contextmix.unpacked(contextmix.packed(*kept), *((x.dtype, len(x)) for x in kept))
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(kept, back))
+
+
+def test_different_words_are_looked_up_once_for_several_texts():
+    texts = ["", None, "b a\tB\n c é x a", "One one ONE", "\x0b"]
+    plain = [w for t in texts for w in (t or "").encode().translate(LOWER).split() + [b"\n"]]
+    words, at = textclass.Words(pa.array(texts)).distinct()
+    assert [words[i] for i in at] == plain and len(words) == len(set(plain)) and words[-1] == b"\n"
+    words, at = textclass.Words(pa.array(["", None])).distinct()
+    assert words == [b"\n"] and at.tolist() == [0, 0]
+
+    class Once(dict):
+        asked = 0
+
+        def get(self, *x):
+            Once.asked += 1
+            return super().get(*x)
+
+    kinds = textclass.Classes([b"one", b"a"], np.array([[0.0, -9.0], [-9.0, 0.0]]))
+    lexicon = contextmix.Lexicon([b"one", b"a", b"\n"], np.array([3, 2, 5]), kinds, {})
+    lexicon.place = Once(lexicon.place)
+    _, words, at, number, cls = lexicon.read(pa.array(texts))
+    assert Once.asked == len(set(plain)) and number[at].tolist() == [{b"one": 0, b"a": 1, b"\n": 2}.get(w, -1) for w in plain] and cls.tolist()[2:4] == [1, 0]
