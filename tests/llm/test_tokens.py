@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeworks.llm import bpe, sstable
@@ -101,3 +102,15 @@ def test_blocks_index_and_filter(tmp_path):
     missing = [i for i in range(-2000, 6000) if i not in values]
     passed = sum(all(reader.bloom[p >> 3] >> (p & 7) & 1 for p in sstable.probes(sstable.key_of(i), reader.bits)) for i in missing)
     assert reader.find(-1999) is None and passed < 0.03 * len(missing)
+
+
+def test_reading_drops_the_words_of_writing_and_passes_small_batches_on(tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "HELD_IDS", 500, raising=False)
+    writer = sstable.Writer(f"file://{tmp_path}", 2)
+    for i in range(100):
+        writer.add(sstable.key_of(i), np.full(90, i, "<u2").tobytes())
+    writer.close()
+    sstable._ENCODERS["a tokenizer", 1] = "and its words"
+    batches = list(sstable.read_shards(f"file://{tmp_path}")([pa.RecordBatch.from_pydict({"name": [writer.name], "base": [7]})]))
+    assert not sstable._ENCODERS and max(sum(b.column(2).to_pylist()) for b in batches) <= 500 + 90
+    assert [x for b in batches for x in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)))] == [(i, 7 + 90 * i, 90) for i in range(100)]
