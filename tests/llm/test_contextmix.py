@@ -212,3 +212,51 @@ def test_different_words_are_looked_up_once_for_several_texts():
     lexicon.place = Once(lexicon.place)
     _, words, at, number, cls = lexicon.read(pa.array(texts))
     assert Once.asked == len(set(plain)) and number[at].tolist() == [{b"one": 0, b"a": 1, b"\n": 2}.get(w, -1) for w in plain] and cls.tolist()[2:4] == [1, 0]
+
+
+def test_symbols_reach_as_far_as_others_go_and_are_counted_so_far():
+    rng = np.random.default_rng(5)
+    tree = bitmix.Tree.huffman(rng.integers(1, 200, 40))
+    n = 600
+    symbols, train, kinds = rng.integers(0, 40, n), rng.random(n) < 0.7, rng.integers(0, 90, n)
+    kinds[:3] = 1000, 1001, 1002  # alone
+    context = (kinds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    path = [format(int(tree.code[s]), "b").zfill(tree.depth[s]) for s in symbols]
+    met = lambda i, d: any(j != i and kinds[j] == kinds[i] and path[j].startswith(path[i][:d]) for j in range(n))
+    reach = bitmix.reaches(context, symbols, tree)
+    assert reach.tolist() == [sum(met(i, d) for d in range(len(path[i]))) for i in range(n)] and not reach[:3].any()
+    whole, short = bitmix.Hashed(context, 20), bitmix.Hashed(context, 20, reach)
+    bitmix.count([whole], symbols, train, tree)
+    bitmix.count([short], symbols, train, tree)
+    assert 0 < np.count_nonzero(short.codes) < 0.9 * np.count_nonzero(whole.codes)
+    node = bitmix.Fixed(bitmix.pair_codes(*tree.node_counts(np.bincount(symbols[train], minlength=40)).T))
+    a, b = (bitmix.coded(symbols, train, tree, [node, p], bitmix.Mixer([0.3, 0.4]), bitmix.Lookups()) for p in (whole, short))
+    assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_tokens_are_sent_from_what_reading_found():
+    texts, ids, held = ["b a b a", None, "a new word b", "new b"], [4, 5, 6, None], [False, False, True, False]
+    kinds = textclass.Classes([b"a", b"b"], np.array([[0.0, -9.0], [-9.0, 0.0]]))
+
+    class Shared:
+        value = ([b"a", b"b", b"\n"], np.array([3, 4, 3]), kinds, {})
+
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([7, 8, 9, 12]), "doc_id": pa.array(ids, pa.int64()), "held_out": held, "text": pa.array(texts)})
+    read = pa.Table.from_batches(contextmix.read_documents(Shared, "sent", 10, 3)([batch])).to_pylist()
+    kept = [(r["n"], r["known"], r["tokens"]) for r in read if r["tokens"]]
+    sent = list(contextmix.send_tokens(Shared, "sent", 1)([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*kept)], names=["n", "known", "tokens"])]))
+    (part, first, n, many, data), = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+    u4 = (np.uint32, n)
+    word, prev, before, guess, new, rows, cls, train = contextmix.unpacked(data, u4, u4, u4, u4, (np.uint8, (n + 7) // 8), (np.int64, many), (np.uint8, many), (np.bool_, many))
+    number = {b"a": 0, b"b": 1, b"\n": 2} | {w: 5 + zlib.crc32(w) % (1 << 26) for w in (b"new", b"word")}
+    plain = [[number[w] for w in (t or "").encode().split() + [b"\n"]] for t in texts]
+    assert (part, first, n, many) == (0, 7, 14, 4) and word.tolist() == sum(plain, [])
+    assert prev.tolist() == [x for ws in plain for x in [4, *ws[:-1]]] and before.tolist() == [x for ws in plain for x in [4, 4, *ws[:-2]][: len(ws)]]
+    assert np.cumsum(rows).tolist() == [7, 8, 9, 12] and (~train).tolist() == held and np.flatnonzero(np.unpackbits(new)[:n]).tolist() == [0, 5, 6, 11]
+    assert guess.tolist() == [0] * 4 + [number[b"b"] + 1] + [0] * 9  # after the second "b a"
+
+
+def test_words_of_training_and_other_texts_are_counted_in_one_row_each():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a b a", "b c", None, ""]), "train": [True, False, True, False]})
+    rows = [tuple(r.values()) for b in contextmix.count_words([batch]) for r in b.to_pylist()]
+    assert sorted(rows) == [(b"\n", 2, 4), (b"a", 2, 2), (b"b", 1, 2), (b"c", 0, 1)]
